@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewire.llm import byte_bpe, exact_dedup, mixing
+from tidewire.llm import byte_bpe, exact_dedup, language, mixing, quality, sampling, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,3 +71,31 @@ ORACLE_SQL = {
           doc_id IS NOT DISTINCT FROM first_value(doc_id) OVER best AS kept, text_sha256
         FROM d WINDOW best AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)""",
 }
+
+
+def op4_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = language.train(docs, sampling.fold(F.col("_id"), 3) != 1)
+    out = language.predicted(docs, model)
+    return out.select("doc_id", (sampling.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "cosine", "rejected")
+
+
+def op5_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), sampling.fold(F.col("_id"), 5) != 0)
+    out = toxicity.scored(docs, model)
+    return out.select("doc_id", (sampling.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+
+
+def op8_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), sampling.fold(F.col("_id"), 4) != 2)
+    out = quality.scored(docs, model, keep=["doc_id"])
+    return out.select("doc_id", (sampling.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES |= {
+    "op4_centroid_language": op4_centroid_language,
+    "op5_noisy_or_toxicity": op5_noisy_or_toxicity,
+    "op8_quadratic_quality": op8_quadratic_quality,
+}
