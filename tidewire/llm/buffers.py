@@ -22,15 +22,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into pieces whose text column holds about SLICE_BYTES."""
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into pieces whose text column holds about `size` bytes."""
     n = batch.num_rows
     if not n:
         return
     _, at = utf8(batch.column(batch.schema.get_field_index(column)))
     start = 0
     while start < n:
-        end = int(np.searchsorted(at, at[start] + SLICE_BYTES, side="right")) - 1
+        end = int(np.searchsorted(at, at[start] + size, side="right")) - 1
         end = min(n, max(end, start + 1))
         yield batch.slice(start, end - start)
         start = end

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import byte_bpe, exact_dedup, language, mixing, quality, sampling, toxicity
+from tidewire.llm import byte_bpe, exact_dedup, language, mixing, near_dedup, quality, sampling, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,3 +99,10 @@ QUERIES |= {
     "op5_noisy_or_toxicity": op5_noisy_or_toxicity,
     "op8_quadratic_quality": op8_quadratic_quality,
 }
+
+
+def op9_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_documents(spark, sf_dir))
+
+
+QUERIES["op9_weighted_minhash"] = op9_weighted_minhash
