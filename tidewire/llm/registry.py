@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import byte_bpe, exact_dedup, language, mixing, near_dedup, quality, sampling, toxicity
+from tidewire.llm import byte_bpe, exact_dedup, language, mixing, near_dedup, quality, repeats, sampling, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,3 +106,10 @@ def op9_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_weighted_minhash"] = op9_weighted_minhash
+
+
+def op6_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(_documents(spark, sf_dir))
+
+
+QUERIES["op6_maximal_repeats"] = op6_maximal_repeats
