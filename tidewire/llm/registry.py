@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import byte_bpe, exact_dedup, language, mixing, near_dedup, quality, repeats, sampling, toxicity
+from tidewire.llm import byte_bpe, exact_dedup, language, mixing, near_dedup, neighbours, quality, repeats, sampling, toxicity, web_text
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,3 +113,14 @@ def op6_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_maximal_repeats"] = op6_maximal_repeats
+
+
+def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 100 == 0)
+
+
+def op7_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+QUERIES |= {"op2_learned_partitions": op2_learned_partitions, "op7_template_text": op7_template_text}
