@@ -1,3 +1,59 @@
-STAGES = []
+"""The corpus pipeline: quality, exact duplicates, near-duplicates, source mix, tokens.
+
+STAGES run in order, each on the Parquet that its predecessor wrote; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewire.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality, registry
+from tidewire.runtime import materialise, workers_see_package
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from all labelled ones."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
+    return quality.accepted(docs, model)
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.distinct_rows(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dedup.one_of_each(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix by target weights: documents as many times as it takes them."""
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mix, as digests, with the decoded bytes' digest."""
+    return byte_bpe.digests(docs, registry.tokenizer_path(), registry.tokenizer_pattern())
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_duplicates),
+    ("near-duplicates", near_duplicates),
+    ("source mix", source_mix),
+    ("byte BPE", tokens),
+]
+
+#: Classifier, sampling signatures and merges are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    workers_see_package(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
