@@ -18,14 +18,14 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = materialise(edges.select("a", "b").where("a <> b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct())
     labels = materialise(nodes.select("id", F.col("id").alias("component")).distinct())
     while True:
-        heard = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
+        heard = both.join(checked(labels.select(F.col("id").alias("b"), F.col("component").alias("c"))), "b").groupBy("a").agg(F.min("c").alias("c"))
         spread = labels.join(heard, F.col("id") == F.col("a"), "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("c", "component")).alias("component"))
         spread = materialise(spread)
+        if spread.where("component <> was").isEmpty():
+            return spread.select("id", "component")
         root = checked(spread.select(F.col("id").alias("component"), F.col("component").alias("further")))
-        jumped = materialise(spread.join(root, "component", "left").select("id", "was", F.least("component", F.coalesce("further", "component")).alias("component")))
-        if jumped.where("component <> was").isEmpty():
-            return jumped.select("id", "component")
-        labels = jumped.select("id", "component")
+        jumped = materialise(spread.join(root, "component", "left").select("id", F.least("component", F.coalesce("further", "component")).alias("component")))
+        labels = jumped
 
 
 def split_coherently(vectors: np.ndarray, least: float) -> list[list[int]]:

@@ -31,7 +31,7 @@ def signal(members: DataFrame) -> DataFrame:
     g = members.groupBy("cluster_id").agg(F.count("*").alias("articles"), F.countDistinct("source_name").alias("sources"), F.countDistinct("region").alias("regions"), F.avg(tier).alias("mean_tier"))
     score = 0.45 * F.least("sources", F.lit(4)) / 4 + 0.30 * F.least("regions", F.lit(3)) / 3 + 0.25 * F.col("mean_tier")
     flags = F.array_compact(F.array(F.when(F.col("sources") <= 1, "single_source"), F.when((F.col("regions") <= 1) & (F.col("articles") >= 2), "single_region")))
-    return g.select("cluster_id", "articles", "sources", "regions", F.round(clamp(score), 6).alias("signal"), flags.alias("flags"))
+    return g.select("cluster_id", "articles", "sources", "regions", clamp(score).alias("signal"), flags.alias("flags"))
 
 
 def weights(spark, calibrated: dict[str, float] | None = None) -> dict[str, float]:
@@ -79,7 +79,7 @@ def ownership_gate(members: DataFrame, assessments: DataFrame) -> DataFrame:
     keep = (F.col("n") < MIN_GATE_CLUSTER) | (F.col("composite") >= REVIEW_FLOOR)
     gated = F.when(all_blocked & ~keep, "suppress").when(all_blocked, "needs_review").when((F.col("review") > 0) & (F.col("status") == "publishable"), "needs_review").otherwise(F.col("status"))
     penalised = F.when((F.col("review") > 0) & F.col("worst").isNotNull(), F.col("composite") * F.col("worst")).otherwise(F.col("composite"))
-    return a.select("cluster_id", F.coalesce("blocked", F.lit(0)).cast("bigint").alias("blocked"), F.coalesce("review", F.lit(0)).cast("bigint").alias("review"), gated.alias("status"), F.round(penalised, 6).alias("composite"))
+    return a.select("cluster_id", F.coalesce("blocked", F.lit(0)).cast("bigint").alias("blocked"), F.coalesce("review", F.lit(0)).cast("bigint").alias("review"), gated.alias("status"), penalised.alias("composite"))
 
 
 def gate_badge(target: Column, blocked: Column, review: Column) -> Column:

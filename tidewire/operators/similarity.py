@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire.functions.text import char_ngrams, jaccard
 
@@ -67,12 +68,12 @@ def token_set_ratio(a: str | None, b: str | None) -> float:
     return max(best, indel_ratio(common, with_a), indel_ratio(common, with_b)) if common else best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def token_set_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 

@@ -1,4 +1,8 @@
 """Named queries over the driver's tables, and the SQL that each must agree with."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from tidewire.plans import news_queries, text_queries
+
+QUERIES: dict = {**news_queries.QUERIES, **text_queries.QUERIES}
+ORACLE_SQL: dict = {**news_queries.ORACLE_SQL, **text_queries.ORACLE_SQL}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only after a count shows at most so many (narrow) rows.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 
 _written: list[tuple[object, str]] = []
 

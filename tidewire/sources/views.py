@@ -12,7 +12,8 @@ OWNERSHIPS = ("independent_public", "independent_nonprofit", "independent_privat
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
 
 
 def pick(values: tuple, index) -> F.Column:
@@ -110,4 +111,9 @@ def with_views(body: str) -> str:
     for name in SQL:
         if name in body:
             names += [n for n in (*_NEEDS.get(name, ()), name) if n not in names]
-    return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in names) + (", " + body[5:] if body.startswith("WITH ") else " " + body) if names else body
+    if not names:
+        return body
+    recursive = body.startswith("WITH RECURSIVE ")
+    rest = body[len("WITH RECURSIVE ") if recursive else len("WITH ") :] if body.startswith("WITH ") else None
+    views = ", ".join(f"{n} AS ({SQL[n]})" for n in names)
+    return f"WITH {'RECURSIVE ' if recursive else ''}{views}" + (f" {body}" if rest is None else f", {rest}")
