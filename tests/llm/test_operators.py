@@ -1,0 +1,320 @@
+"""Every operator against brute force on small fixtures, and on odd tables: nulls, empty and long texts, ties, repeated rows, clashing columns."""
+
+import base64
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tidewire.llm import byte_bpe, exact_dedup, language, mixing, near_dedup, neighbours, quality, registry, repeats, toxicity, web_text
+
+SPACE = str.maketrans("", "", " \t\n\x0b\x0c\r")
+ODD_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id bigint, size string, score string, uid string, digest string, copies string, `row` string"
+
+
+def odd_rows():
+    rnd = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta", "épsilon", "zeta", "eta", "theta", "iota", "kappa"]
+    long = " ".join(rnd.choice(words) for _ in range(12_000))
+    texts = [(1, "hello world one two three four five"), (2, None), (None, "no id here at all"), (3, ""), (4, "hello  world one two three four five"), (1, "hello world one two three four five"), (5, long), (6, long), (7, " \n\t"), (8, "é" * 300), (9, "x"), (10, "a b c")]
+    return [(i, t, None if i in (2, 9) else "en", None if i in (3, None) else f"s{(i or 0) % 3}", None, 7, "s", "s", "u", "d", "c", "r") for i, t in texts]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), ODD_SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], ODD_SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in range(1, 11)], "doc_id bigint, quality int, toxic int")
+
+
+def test_mixing_targets(spark):
+    sizes = spark.createDataFrame([("a", 10), ("b", 100), ("c", 1000), (None, 10)], "source string, size bigint")
+    got = {r.source: r.target for r in mixing.mix_targets(sizes).collect()}
+    assert got["a"] == 20 and got["b"] == 200 and got[None] == 20
+    assert abs(sum(got.values()) - 1.5 * 1120) < 1e-6
+
+
+def test_mixing_takes_targets(spark):
+    rnd = random.Random(1)
+    rows = [(i, " ".join("w" for _ in range(rnd.randint(1, 40))), f"s{min(i % 7, 3)}") for i in range(900)]
+    got = mixing.taken(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).toPandas()
+    source = {i: s for i, _, s in rows}
+    got["source"] = got.doc_id.map(source)
+    for _, own in got.groupby("source"):
+        assert abs(own.taken.sum() - own.target.iloc[0]) <= 40
+    assert (got.taken <= 2 * got["size"]).all()
+    again = mixing.taken(spark.createDataFrame(rows[::-1], "doc_id bigint, text string, source string").repartition(5)).toPandas()
+    assert dict(zip(got.doc_id, got.taken)) == dict(zip(again.doc_id, again.taken))
+
+
+def test_mixing_odd(odd, none):
+    got = mixing.taken(odd)
+    assert got.count() == 12 and got.where("doc_id = 2").first()["taken"] == 0
+    assert mixing.taken(none).count() == 0
+    mixed = mixing.mixed(odd)
+    assert mixed.columns == odd.columns and mixed.where("text IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("digits", [64, 2])
+def test_exact_dedup(spark, digits):
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice("abcdef") * rnd.randint(0, 3) + " " * rnd.randint(0, 2)) for i in range(300)]
+    got = {r.doc_id: r for r in exact_dedup.classes(spark.createDataFrame(rows, "doc_id bigint, text string"), digest_hex=digits).collect()}
+    groups: dict[str, list] = {}
+    for i, t in rows:
+        groups.setdefault(t.translate(SPACE), []).append((-len(t), i))
+    for i, t in rows:
+        own = t.translate(SPACE)
+        r = got[i]
+        assert (r.keep_id, r.group_size, r.kept) == (min(groups[own])[1], len(groups[own]), min(groups[own])[1] == i)
+        assert r.text_sha256 == hashlib.sha256(own.encode()).hexdigest()
+
+
+def test_exact_dedup_odd(odd, none):
+    got = exact_dedup.classes(odd)
+    assert got.count() == 12
+    assert {r.doc_id for r in got.where("group_size = 3").collect() if r.keep_id in (2, 3, 7)} == {2, 3, 7}
+    assert exact_dedup.classes(none).count() == 0
+    kept = exact_dedup.distinct_rows(odd)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {4, None, 5, 7, 8, 9, 10}
+
+
+def test_near_dedup_against_all_pairs(spark):
+    rnd = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for base in range(12):
+        words = [rnd.choice(vocabulary) for _ in range(rnd.randint(3, 160))]
+        for _ in range(5):
+            own = list(words)
+            for _ in range(rnd.choice([0, 0, 1, 3])):
+                own[rnd.randrange(len(own))] = rnd.choice(vocabulary)
+            rows.append((len(rows), " ".join(own)))
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    owner, value, _ = near_dedup.shingles(*buffers_of([t for _, t in rows]))
+    frequency = np.bincount((value % np.uint64(near_dedup.SKETCH)).astype(int), minlength=near_dedup.SKETCH)
+    idf = near_dedup.idf_table(frequency, len(rows))
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    pairs = [(a, b) for b in range(len(rows)) for a in range(b)]
+    sims = near_dedup.similarities(pa.array([rows[a][1] for a, _ in pairs]), pa.array([rows[b][1] for _, b in pairs]), idf)
+    for (a, b), s in zip(pairs, sims, strict=True):
+        if s >= near_dedup.THRESHOLD:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    assert got == {i: root(i) for i in range(len(rows))}
+    assert owner.max() == len(rows) - 1
+
+
+def buffers_of(texts):
+    from tidewire.llm import buffers
+
+    return buffers.utf8(pa.array(texts))
+
+
+def test_consistent_samples_estimate_similarity():
+    rnd = np.random.default_rng(0)
+    value = rnd.integers(1, 2**62, 400).astype(np.uint64)
+    a, b = rnd.uniform(1, 3, 400), rnd.uniform(1, 3, 400)
+    true = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+    _, s = near_dedup.samples(np.repeat([0, 1], 400), np.concatenate([value, value]), np.concatenate([a, b]), 2000)
+    assert abs((s[0] == s[1]).mean() - true) < 0.05
+
+
+def test_near_dedup_odd(odd, none):
+    got = near_dedup.classes(odd)
+    assert got.count() == 12
+    by_id = {r.doc_id: r.class_id for r in got.where("doc_id IS NOT NULL").collect()}
+    assert by_id[4] == 1 and by_id[6] == 5 and by_id[2] == 2 and by_id[3] == 3 and by_id[10] == 10
+    assert near_dedup.classes(none).count() == 0
+    assert near_dedup.one_of_each(odd).columns == odd.columns
+
+
+def brute_repeats(rows, width=repeats.WIDTH):
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        raw = t.encode()
+        mark = bytearray(len(raw))
+        for k in range(len(raw) - width + 1):
+            w = raw[k : k + width]
+            if w in seen:
+                mark[k : k + width] = b"\1" * width
+            seen.add(w)
+        kept = bytes(x for x, m in zip(raw, mark, strict=True) if not m)
+        runs = sum(1 for j in range(len(raw)) if mark[j] and (j == 0 or not mark[j - 1]))
+        out[i] = (len(raw), sum(mark), runs, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("hot", [2_000, 15])
+def test_repeats_against_all_windows(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT_ROWS", hot)
+    monkeypatch.setattr(repeats, "GROUP_CONTEXTS", 4_000 if hot > 100 else 5)
+    rnd = random.Random(5)
+    shared = ["".join(rnd.choice("abcdefgh é") for _ in range(rnd.randint(80, 400))) for _ in range(12)]
+    rows = [(i, "".join(rnd.choice(shared)[rnd.randint(0, 30) :] if rnd.random() < 0.6 else "".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 120))) for _ in range(rnd.randint(0, 6)))) for i in range(80)]
+    rows += [(100, "a" * 500), (101, "a" * 300), (102, "b" * 99), (103, "xyz" * 200), (104, "")]
+    got = {r[0]: tuple(r)[1:] for r in repeats.digests(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert got == brute_repeats(rows)
+
+
+def test_maximal_repeat_groups_hold_all_occurrences():
+    body = bytes(range(65, 91)) * 1
+    contexts = [b"1" + body + b"x", b"2" + body + b"y", b"3" + body + b"y"]
+    groups = dict(repeats.maximal_repeats(contexts, [len(c) - 9 for c in contexts], width=10))
+    assert {length: len(places) for length, places in groups.items()} == {26: 3, 27: 2}
+
+
+def test_repeats_odd(odd, none):
+    got = {(r.doc_id, r.n_bytes): r for r in repeats.digests(odd).collect()}
+    size = len(odd_rows()[6][1].encode())
+    assert got[6, size].n_removed == size and got[5, size].n_removed < size and got[8, 600].n_removed == 500 + 100 - 2
+    assert repeats.digests(none).count() == 0
+
+
+def test_byte_bpe_equals_tiktoken(spark):
+    path, pattern = registry.tokenizer_path(), registry.tokenizer_pattern()
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    rnd = random.Random(6)
+    alphabet = ["the", " ", "  ", "\n", "é", "12", "don't", "!!", "漢字", "\t", "a" * 40]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(n)) for n in (0, 1, 50, 400, 900, 2500)] + ["b" * 3000, " " * 900, None, "x " * 700]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in byte_bpe.encode(docs, path, pattern, chunk_chars=200, overlap_chars=40).collect()}
+    for i, t in enumerate(texts):
+        want = np.array(coder.encode_ordinary(t or ""), "<u4").tobytes()
+        assert bytes(got[i].ids) == want and bytes(got[i].decoded) == (t or "").encode()
+        assert byte_bpe.stitched(t or "", path, pattern, 200, 40).tobytes() == want
+
+
+def test_byte_bpe_odd(odd, none):
+    path, pattern = registry.tokenizer_path(), registry.tokenizer_pattern()
+    got = byte_bpe.digests(odd, path, pattern)
+    assert got.count() == 12 and got.where("doc_id = 2").first()["n_tokens"] == 0
+    assert byte_bpe.digests(none, path, pattern).count() == 0
+
+
+def test_neighbours_recall(spark):
+    rnd = np.random.default_rng(1)
+    centres = rnd.normal(size=(40, 16))
+    x = centres[rnd.integers(0, 40, 1500)] + 0.3 * rnd.normal(size=(1500, 16))
+    x[700:760] = x[0]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [1.0]), (5100, [None] * 16)]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("id") % 100 == 0).toPandas()
+    hits = total = 0
+    for q in range(0, 1500, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want = np.lexsort((np.arange(1500), d))[:10]
+        own = got[got.query_id == q].sort_values("rank")
+        assert own["rank"].tolist() == list(range(1, 11))
+        assert np.allclose(own.score, d[own.vec_id], atol=1e-12)
+        hits += len(set(own.vec_id) & set(want))
+        total += 10
+    assert hits / total >= 0.9
+    assert set(got[got.query_id == 0].sort_values("rank").vec_id) == set(range(700, 710))
+
+
+def test_neighbours_few_and_none(spark):
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0])], "vec_id bigint, embedding array<float>")
+    assert [(r.query_id, r.rank, r.vec_id) for r in neighbours.search(few, F.col("id") == 0).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
+    assert neighbours.search(few.limit(0), F.col("id") == 0).count() == 0
+
+
+def test_language(spark, odd, none):
+    rnd = random.Random(7)
+    words = {"en": ["the", "and", "which", "thing", "with"], "de": ["der", "und", "nicht", "schön", "über"], "fr": ["le", "être", "pour", "élève", "que"]}
+    rows = [(i, " ".join(rnd.choice(words[g]) for _ in range(rnd.randint(3, 60))), g) for i in range(240) for g in [rnd.choice(list(words))]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1}
+    model = language.train(docs, F.crc32(F.col("_id").cast("string").cast("binary")) % 3 != 1)
+    got = {r.doc_id: r for r in language.predicted(docs, model).collect()}
+    assert np.mean([got[i].lang_pred == g for i, _, g in rows if i in held]) > 0.97
+    strange = language.predicted(odd, model).toPandas()
+    assert len(strange) == 12 and set(strange[strange.doc_id.isin([2, 3, 7])].lang_pred) == {"und"}
+    assert language.predicted(odd, language.train(none, F.lit(True))).where("lang_pred <> 'und'").count() == 0
+    assert language.predicted(none, model).count() == 0
+
+
+def test_toxicity_finds_documents_and_sentences(spark, odd, none, labels):
+    rnd = random.Random(8)
+    clean = ["river", "stone", "cloud", "paper", "green", "window", "morning", "letter"]
+    rows, marks = [], []
+    for i in range(500):
+        sentences = [" ".join(rnd.choice(clean) for _ in range(6)) for _ in range(rnd.randint(2, 9))]
+        toxic = int(i % 5 == 0)
+        if toxic:
+            sentences[rnd.randrange(len(sentences))] += " blurgh" + rnd.choice(["a", "en", "ix"])
+        rows.append((i, ". ".join(sentences) + "."))
+        marks.append((i, 1, toxic))
+    docs, known = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
+    model = toxicity.train(docs, known, F.col("_id") % 3 != 0)
+    for r in toxicity.scored(docs, model).collect():
+        assert (r.score >= 0.5) == (r.doc_id % 5 == 0)
+        found = [rows[r.doc_id][1][s.start : s.start + s.length] for s in r.offending]
+        assert all("blurgh" in f for f in found) and bool(found) == (r.doc_id % 5 == 0)
+    strange = toxicity.scored(odd, toxicity.train(odd, labels, F.lit(True)))
+    assert strange.count() == 12 and strange.where("score IS NULL OR score < 0 OR score > 1").count() == 0
+    assert toxicity.scored(none, model).count() == 0
+    assert toxicity.train(docs, known.where("toxic = 0"), F.lit(True)) == {"only": 0.0}
+
+
+def test_quality(spark, odd, none, labels):
+    rnd = random.Random(9)
+    words = [f"{a}{b}" for a in ("ri", "sto", "clo", "pa", "gre") for b in ("ver", "ne", "ud", "per", "en")]
+    rows, marks = [], []
+    for i in range(600):
+        own = [rnd.choice(words) for _ in range(rnd.randint(20, 200))]
+        good = i % 4 != 0
+        rows.append((i, " ".join(own) + "." if good else " ".join([w.upper() + "!!" for w in own] if i % 8 else [own[0]] * len(own))))
+        marks.append((i, int(good), 0))
+    docs, known = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
+    model = quality.train(docs, known, F.col("_id") % 3 != 0)
+    got = quality.scored(docs, model, keep=["doc_id"]).toPandas()
+    assert ((got.score >= quality.THRESHOLD) == (got.doc_id % 4 != 0)).mean() > 0.98
+    strange = quality.scored(odd, quality.train(odd, labels, F.lit(True)), keep=["doc_id"])
+    assert strange.count() == 12 and strange.where("score IS NULL OR score < 0 OR score > 1").count() == 0
+    assert quality.accepted(odd, model).columns == odd.columns
+    assert quality.scored(none, model, keep=["doc_id"]).count() == 0
+    assert quality.train(docs, known.where("quality = 1"), F.lit(True)) == {"only": 1.0}
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body>
+<header><a href="/">Home</a></header><nav><ul><li>Menu</li></ul></nav><div class="ad">Buy {n}</div>
+<article><h1>Title {n}</h1><p>First &amp; <b>bold {n}<br>next<p>Second&nbsp;part {n}</p><div class="comments">Nice {n}!</div></article>
+<aside>Side {n}</aside><form><label>Mail</label></form><footer>&copy; all</footer></body></html>"""
+
+
+def test_web_text(spark):
+    rows = [(i, f"https://h{i % 2}.example/{i}", PAGE.format(n=i)) for i in range(12)] + [(50, None, None), (51, "https://h9.example/x", "<body><div>Plain text<div class='sidebar'>no</div></div><p>End"), (52, "::", ""), (53, "https://h9.example/x", "just text")]
+    got = {r.page_id: r.text for r in web_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(12):
+        assert got[i] == f"Title {i}\n\nFirst & bold {i} next\n\nSecond part {i}"
+    assert got[50] == "" and got[51] == "Plain text\n\nEnd" and got[52] == "" and got[53] == "just text"
+    assert web_text.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_template_needs_no_article_element():
+    pages = [f"<body><div id='menu'>Menu</div><div id='content'><p>Story {n} text</p></div><div>Same line</div></body>" for n in range(6)]
+    template = web_text.deduce(pages)
+    assert web_text.blocks(pages[3], template) == ["Story 3 text"]

@@ -1,0 +1,36 @@
+"""The pipeline's stages on a small corpus, against what plain Python expects of each."""
+
+import random
+
+import corpus_pipeline
+from tidewire.llm import mixing
+from tidewire.runtime import materialise
+
+
+def test_stages(spark, tmp_path):
+    rnd = random.Random(11)
+    words = ["river", "stone", "cloud", "paper", "green", "window", "morning", "letter", "garden", "silver"]
+    docs, labels = [], []
+    for i in range(300):
+        own = [rnd.choice(words) + rnd.choice(["", "s", "ed"]) for _ in range(rnd.randint(40, 120))]
+        good = i % 5 != 0
+        docs.append((i, " ".join(own) + "." if good else " ".join(w.upper() + "!!" for w in own), "en", f"s{i % 4}", 0))
+        labels.append((i, int(good), 0))
+    docs += [(1000 + i, docs[i][1] + " ", "en", "s0", 0) for i in (1, 2, 3)]  # longer originals of equal text
+    docs += [(2000 + i, docs[i][1].replace(".", " more."), "en", "s1", 0) for i in (4, 6, 7)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    frames = [spark.read.parquet(f"{tmp_path}/documents.parquet")]
+    for _, stage in corpus_pipeline.STAGES:
+        frames.append(materialise(stage(spark, frames[-1], str(tmp_path))))
+    ids = [{r.doc_id for r in f.collect()} for f in frames]
+    assert all(f.columns == frames[0].columns for f in frames[:-1])
+    assert ids[0] - ids[1] == {i for i in range(0, 300, 5)}
+    assert ids[1] - ids[2] == {1, 2, 3}
+    assert ids[2] - ids[3] == {2004, 2006, 2007}
+    taken = {r.doc_id: r.taken for r in mixing.taken(frames[3]).collect()}
+    size = {r.doc_id: len(r.text.split()) for r in frames[3].collect()}
+    assert frames[4].count() == sum(t // size[i] for i, t in taken.items())
+    assert frames[5].count() == frames[4].count()
+    assert len(corpus_pipeline.STAGES) == 5

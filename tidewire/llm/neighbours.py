@@ -174,7 +174,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
     distinct = vectors.withColumn("r", F.row_number().over(first_ids)).where(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     distinct = materialise(distinct.select("ids", "v"))
     chosen = distinct.orderBy(F.xxhash64("v"), F.element_at("ids", 1)).limit(sample).select("v").toPandas()
-    drawn = np.array(chosen["v"].tolist(), float).reshape(len(chosen), -1)
+    drawn = np.array(chosen["v"].tolist(), float) if len(chosen) else np.zeros((0, 1))
     cut = min(HELD_OUT, len(drawn) // 4)
     model = fit(drawn[cut:], drawn[:cut], k, parts, recall)
     shared = spark.sparkContext.broadcast(model)
