@@ -1,0 +1,119 @@
+"""Operators on hand-made rows: the sequential rules against plain Python, and table-driven cases."""
+
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tidewire.functions import text as X
+from tidewire.operators import analytics as A
+from tidewire.operators import clustering as C
+from tidewire.operators import dedup as D
+from tidewire.operators import graph as G
+from tidewire.operators import scoring as S
+from tidewire.operators import selection as T
+from tidewire.operators import similarity as Y
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("abcd", max_size=12), st.text("abcd", max_size=12))
+def test_lcs_by_table(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    assert Y.lcs_length(a, b) == table[-1][-1]
+
+
+@pytest.mark.parametrize(("a", "b", "want"), [("", "", 100.0), ("abc", "abc", 100.0), ("abc", "abd", 200 * 2 / 6), (None, "a", 0.0)])
+def test_indel_ratio(a, b, want):
+    assert Y.indel_ratio(a, b) == pytest.approx(want)
+
+
+def test_token_set_ratio():
+    assert Y.token_set_ratio("fuzzy was a bear", "fuzzy fuzzy was a bear") == 100.0
+    assert Y.token_set_ratio("", "a") == 0.0
+
+
+@pytest.mark.parametrize("rule", [D.keep_fuzzy, D.keep_anchored])
+def test_rules_per_component_equal_the_whole(spark, rule):
+    rnd = random.Random(3)
+    n = 60
+    weights = [rnd.choice([0.2, 0.5, 0.9]) for _ in range(n)]
+    similar = {(i, j) for i in range(n) for j in range(i + 1, n) if rnd.random() < 0.02}
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(weights)], "id bigint, weight double")
+    edges = spark.createDataFrame(sorted(similar), "a bigint, b bigint")
+    assert {r.id for r in D.by_component(rows, edges, rule).collect()} == set(rule(list(range(n)), weights, similar))
+
+
+def test_fuzzy_dedup_needs_one_source(spark):
+    rows = spark.createDataFrame([(1, "Markets rally on rates", "a"), (2, "Markets rally on rate", "a"), (3, "Markets rally on rates", "b")], "id bigint, title string, source_name string")
+    weights = spark.createDataFrame([("a", 0.9)], "name string, weight double")
+    assert {r.id for r in D.fuzzy_dedup(rows, weights).collect()} == {1, 3}
+
+
+def test_components_of_chain_and_ring(spark):
+    edges = [(i, i + 1) for i in range(1, 30)] + [(100, 101), (101, 102), (102, 100)]
+    got = {r.id: r.component for r in G.connected_components(spark.createDataFrame([(7000,)], "id bigint").union(spark.createDataFrame([(x,) for e in edges for x in e], "id bigint")), spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got[30] == 1 and got[102] == 100 and got[7000] == 7000
+
+
+def test_coherent_split_keeps_like_together():
+    a, b = np.array([1.0, 0.0]), np.array([0.0, 1.0])
+    parts = G.split_coherently(np.stack([a, b, a, b, a]), 0.6)
+    assert sorted(map(sorted, parts)) == [[0, 2, 4], [1, 3]]
+
+
+def test_event_edges_respect_time(spark):
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00", [1.0, 0.0]), (2, "2024-01-02 23:00:00", [0.97, 0.03]), (3, "2024-01-04 00:00:01", [1.0, 0.0])], "id bigint, t string, embedding array<double>").withColumn("published_at", F.col("t").cast("timestamp"))
+    assert {(r.a, r.b) for r in C.event_edges(rows).collect()} == {(1, 2), (2, 3)}
+
+
+def test_matrices(spark):
+    rows = spark.createDataFrame([(10, True, ["il"], "World", 8.0), (11, True, ["cn"], "World", 4.0), (12, False, ["us"], "World", 0.0)], "cluster_id bigint, selected boolean, subject_regions array<string>, display_category string, scope double")
+    members = spark.createDataFrame([(10, "us"), (11, "us"), (11, "cn"), (11, "cn")], "cluster_id bigint, origin_region string")
+    assert {tuple(r) for r in A.source_subject(rows, members).collect()} == {("us", "il", 1), ("us", "cn", 1), ("cn", "cn", 1)}
+    assert {tuple(r) for r in A.subject_category(rows).collect()} == {("il", "World", 1), ("cn", "World", 1)}
+
+
+def test_trends_without_verdicts(spark):
+    rows = spark.createDataFrame([("d1", True, 0.5, 1), ("d1", False, 0.3, None), ("d2", True, 0.2, -1), ("d3", True, 0.2, None)], "report_date string, selected boolean, composite double, verdict int")
+    assert {r.report_date: (r.selected, r.candidates, r.accept_rate) for r in A.trends(rows).collect()} == {"d1": (1, 1, 1.0), "d2": (1, 0, 0.0), "d3": (1, 0, None)}
+
+
+def test_diverse_equals_greedy(spark):
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice(["a", "b", "c", None]), rnd.random()) for i in range(80)]
+    chosen, over, per = [], [], {}
+    for i, c, _ in sorted(rows, key=lambda r: -r[2]):
+        if len(chosen) >= 20:
+            break
+        if c and per.get(c, 0) >= 3:
+            over.append(i)
+            continue
+        chosen.append(i)
+        per[c] = per.get(c, 0) + 1
+    chosen += over[: 20 - len(chosen)]
+    got = T.diverse(spark.createDataFrame(rows, "id bigint, c string, s double"), "c", "s", "id", 20, 3)
+    assert {r.id for r in got.collect()} == set(chosen)
+
+
+def test_gate_penalises_all_members(spark):
+    members = spark.createDataFrame([(1, "s1", "cn", "state_controlled_block"), (1, "s2", "gb", "private_constrained"), (1, "s3", "us", "state_influenced_review"), (2, "s4", "gb", "state_controlled_block")], "cluster_id bigint, source_name string, region string, ownership string")
+    a = spark.createDataFrame([(1, "gb", True, 0.5, "publishable"), (2, "gb", True, 0.5, "publishable"), (3, None, False, 0.4, "publishable")], "cluster_id bigint, target string, home_affairs boolean, composite double, status string")
+    got = {r.cluster_id: (r.blocked, r.review, r.status, round(r.composite, 4)) for r in S.ownership_gate(members, a).collect()}
+    assert got == {1: (1, 1, "needs_review", 0.425), 2: (0, 0, "publishable", 0.5), 3: (0, 0, "publishable", 0.4)}
+
+
+def test_text_functions(spark):
+    row = spark.createDataFrame([("https://www.a.example/2024/03/05/x?url=https%3A%2F%2Fb.example%2Fy", "**Bold headline** rest")], "u string, m string")
+    got = row.select(X.host(F.col("u")).alias("h"), X.url_date(F.col("u")).cast("string").alias("d"), X.unwrapped(F.col("u")).alias("t"), X.headline(F.col("m")).alias("m"), X.is_real(F.lit("placeholder:1")).alias("r")).first()
+    assert tuple(got) == ("a.example", "2024-03-05", "https://b.example/y", "Bold headline", False)
+
+
+def test_claims_within_tolerance(spark):
+    got = spark.range(1).select(X.unsupported_claims(F.array(F.lit("100"), F.lit("55%"), F.lit("7")), F.array(F.lit("95"), F.lit("55"), F.lit("7"))).alias("x")).first()
+    assert got.x == ["55%"]

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: A side is broadcast only after a count shows at most so many (narrow) rows.
 BROADCAST_ROWS = 50_000
 
+#: Bytes of an Arrow batch for Python workers at most (whole rows), so that long texts don't fill an executor.
+ARROW_BYTES = 16 << 20
+
 _written: list[tuple[object, str]] = []
 
 
@@ -71,7 +74,9 @@ def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def workers_see_package(spark: SparkSession) -> None:
-    """Let Python workers import this package when the driver found it by sys.path alone."""
+    """Let Python workers import this package when the driver found it by sys.path alone, and keep Arrow batches small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
