@@ -117,3 +117,32 @@ def test_text_functions(spark):
 def test_claims_within_tolerance(spark):
     got = spark.range(1).select(X.unsupported_claims(F.array(F.lit("100"), F.lit("55%"), F.lit("7")), F.array(F.lit("95"), F.lit("55"), F.lit("7"))).alias("x")).first()
     assert got.x == ["55%"]
+
+
+def test_equivalent_perspectives_group_in_order():
+    from tidewire.operators import perspectives as E
+
+    texts = ["Government welcomes the deal", "Government welcomes the deal!", "Critics call it a sell-out", "Government welcomes this deal"]
+    assert E.canonical(texts) == [0, 0, 1, 0]
+    assert E.keep_preferred([0, 1, 2], [0.1, 0.9, 0.5], {(0, 1), (1, 2)}) == [1]
+
+
+def test_editorial_rules(spark):
+    from tidewire.operators import editorial as E
+
+    row = spark.range(1).select(
+        E.host_suffixes(F.lit("a.b.c")).alias("s"), E.failure_label(F.lit("http_503,x")).alias("f"),
+        E.publication_issues(F.lit("t"), F.lit("**b**"), F.lit("placeholder:1"), F.lit(0), F.lit("needs_review"), F.lit(False)).alias("i"),
+        E.rejection_reason(F.lit(True), F.lit(True), F.lit(False), F.lit(90.0), F.lit(0.1)).alias("r"))
+    got = row.first()
+    assert got.s == ["a.b.c", "b.c", "c"] and got.f == "HTTP error 503" and got.r == "duplicate_of_existing"
+    assert got.i == ["body_too_short", "markdown_leak", "no_real_article", "no_source", "status_not_publishable"]
+
+
+def test_foreach_batch_sink_keeps_keys_unique(spark, tmp_path):
+    from tidewire.streaming import streams as R
+
+    write = R.append_new(f"{tmp_path}/table", ["k"])
+    write(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k bigint, v string"), 0)
+    write(spark.createDataFrame([(2, "d"), (3, "e")], "k bigint, v string"), 1)
+    assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/table").collect()) == [1, 2, 3]
