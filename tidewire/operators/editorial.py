@@ -95,9 +95,9 @@ def placeholders(targets: DataFrame, satisfied: DataFrame, keys: list[str]) -> D
     return targets.join(satisfied.select(*keys).distinct(), keys, "left_anti").withColumn("url", F.concat(F.lit("placeholder:"), F.concat_ws("-", *keys)))
 
 
-def within_budget(rows: DataFrame, cost: str, order: list, budget: int, reserve: int) -> DataFrame:
-    """Requests in order while the spent cost leaves the reserve."""
-    spent = F.sum(cost).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+def within_budget(rows: DataFrame, group: list[str], cost: str, order: list, budget: int, reserve: int) -> DataFrame:
+    """A run's requests in order while the spent cost leaves the reserve."""
+    spent = F.sum(cost).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return rows.withColumn("run", spent <= budget - reserve)
 
 

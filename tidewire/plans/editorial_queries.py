@@ -130,10 +130,10 @@ def v12(s, d):
     return E.placeholders(c.select("user_id", "event_type").distinct(), c.where("reason IS NULL"), ["user_id", "event_type"])
 
 
-@query("v14_search_budget", "SELECT page_id, sum(1) OVER (ORDER BY page_id) <= 38 AS run FROM (SELECT page_id FROM pages ORDER BY page_id LIMIT 60)")
+@query("v14_search_budget", "SELECT event_id, sum(1 + event_id % 3) OVER (PARTITION BY user_id ORDER BY event_id) <= 8 AS run FROM events")
 def v14(s, d):
-    top = V.table(s, d, "pages").select("page_id", F.lit(1).alias("cost")).orderBy("page_id").limit(60)
-    return E.within_budget(top, "cost", ["page_id"], 40, 2).select("page_id", "run")
+    rows = V.table(s, d, "events").select("event_id", "user_id", (1 + F.col("event_id") % 3).alias("cost"))
+    return E.within_budget(rows, ["user_id"], "cost", ["event_id"], 10, 2).select("event_id", "run")
 
 
 @query("j19_existing_urls", "SELECT p.page_id, count(q.page_id) AS earlier FROM pages p LEFT JOIN pages q ON q.url = p.url AND q.page_id < p.page_id GROUP BY 1")
@@ -165,9 +165,9 @@ def r12(s, d):
     return E.day_links(V.table(s, d, "orders").select(F.col("o_orderdate").cast("date").cast("string").alias("day")), "day")
 
 
-@query("r14_numbered_digest", "WITH t AS (SELECT * FROM v_evaluations WHERE report_date < DATE '1995-03-01') SELECT evaluation_id, row_number() OVER w AS number, lag(display_category) OVER w IS DISTINCT FROM display_category AS header FROM t WINDOW w AS (PARTITION BY report_date ORDER BY display_category, composite DESC, evaluation_id)")
+@query("r14_numbered_digest", "SELECT evaluation_id, row_number() OVER w AS number, lag(display_category) OVER w IS DISTINCT FROM display_category AS header FROM v_evaluations WINDOW w AS (PARTITION BY report_date ORDER BY display_category, composite DESC, evaluation_id)")
 def r14(s, d):
-    t = V.evaluations(s, d, False).where(F.col("report_date") < F.to_date(F.lit("1995-03-01")))
+    t = V.evaluations(s, d, False)
     return E.numbered_digest(t, "report_date", "display_category", ["display_category", F.desc("composite"), "evaluation_id"]).select("evaluation_id", "number", "header")
 
 
@@ -263,9 +263,9 @@ def w03(s, d):
     return T.per_group(lines, ["cluster_id", "source"], [F.desc("l_shipdate"), "line"], 1).select("cluster_id", "source", "line")
 
 
-@query("z03_training_text", "SELECT l_orderkey AS id, string_agg(l_returnflag || ':' || l_linenumber, '; ' ORDER BY l_linenumber, l_returnflag) AS memo FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1")
+@query("z03_training_text", "SELECT l_orderkey AS id, string_agg(l_returnflag || ':' || l_linenumber, '; ' ORDER BY l_linenumber, l_returnflag) AS memo FROM lineitem GROUP BY 1")
 def z03(s, d):
-    lines = V.table(s, d, "lineitem").where("l_orderkey % 50 = 0")
+    lines = V.table(s, d, "lineitem")
     pieces = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag")))
     return lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_join(F.transform(pieces, lambda p: F.concat(p["l_returnflag"], F.lit(":"), p["l_linenumber"].cast("string"))), "; ").alias("memo"))
 

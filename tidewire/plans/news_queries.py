@@ -240,9 +240,9 @@ def j09(s, d):
     return V.articles(s, d).join(dim, "source_name", "left").select("id", F.coalesce("weight", F.lit(0.5)).alias("weight"), F.coalesce("region", F.lit("intl")).alias("region"))
 
 
-@query("j10_zero_contribution", f"WITH {_MR} SELECT name AS source_name FROM v_sources WHERE name NOT IN (SELECT source_name FROM mr WHERE cluster_id % 50 = 0)")
+@query("j10_zero_contribution", f"WITH {_MR} SELECT name AS source_name FROM v_sources WHERE name NOT IN (SELECT mr.source_name FROM mr JOIN v_evaluations e ON e.cluster_id = mr.cluster_id WHERE e.composite >= 0.999)")
 def j10(s, d):
-    return A.zero_contribution(V.sources(s, d), _member_regions(s, d).where("cluster_id % 50 = 0"))
+    return A.zero_contribution(V.sources(s, d), _member_regions(s, d).join(V.evaluations(s, d, False).where("composite >= 0.999"), "cluster_id", "left_semi"))
 
 
 @query("w01_daily_rank", "SELECT evaluation_id, row_number() OVER (PARTITION BY report_date ORDER BY composite DESC, evaluation_id) AS rank FROM v_evaluations")
@@ -317,9 +317,10 @@ def t08(s, d):
     return T.shared_labels(o, "k", "o_orderpriority").select("id", "shared_label")
 
 
-@query("s04_unclustered_recent", "SELECT id FROM v_articles WHERE id % 3 <> 0 AND url LIKE 'https://%' AND published_at >= TIMESTAMP '2024-01-02 00:00:00'")
+@query("s04_unclustered_recent", "SELECT id FROM v_articles WHERE id NOT IN (SELECT doc_id FROM labels) AND url LIKE 'https://%' AND published_at >= TIMESTAMP '2024-01-02 00:00:00'")
 def s04(s, d):
-    return V.articles(s, d).where((F.col("id") % 3 != 0) & F.col("url").startswith("https://") & (F.col("published_at") >= F.lit("2024-01-02").cast("timestamp"))).select("id")
+    clustered = V.table(s, d, "labels").select(F.col("doc_id").alias("id"))
+    return V.articles(s, d).join(clustered, "id", "left_anti").where(F.col("url").startswith("https://") & (F.col("published_at") >= F.lit("2024-01-02").cast("timestamp"))).select("id")
 
 
 @query("s05_by_ids", "SELECT id, title FROM v_articles WHERE id IN (SELECT doc_id FROM labels WHERE quality = 0)")
@@ -343,17 +344,17 @@ def s08(s, d):
     return M.recent_clusters(V.clusters(s, d), "1996-07-15", 5).select("id", F.col("report_date").cast("string").alias("report_date"))
 
 
-@query("k01_insert_new", "WITH e AS (SELECT id, url FROM v_articles WHERE id % 4 = 0), i AS (SELECT id + 1000000 AS id, source_name || '/' || id % 7 AS url FROM v_articles UNION ALL SELECT id + 2000000, url FROM v_articles WHERE id % 2 = 0) SELECT id, url FROM e UNION ALL SELECT id, url FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id) AS r FROM i WHERE url NOT IN (SELECT url FROM e)) WHERE r = 1")
+@query("k01_insert_new", "WITH e AS (SELECT id, url FROM v_articles WHERE lang = 'en'), i AS (SELECT id + 1000000 AS id, source_name || '/' || id % 7 AS url FROM v_articles UNION ALL SELECT id + 2000000, url FROM v_articles) SELECT id, url FROM e UNION ALL SELECT id, url FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id) AS r FROM i WHERE url NOT IN (SELECT url FROM e)) WHERE r = 1")
 def k01(s, d):
-    a = V.articles(s, d).select("id", "url", "source_name")
+    a = V.articles(s, d).select("id", "url", "source_name", "lang")
     again = a.select((F.col("id") + 1000000).alias("id"), F.concat("source_name", F.lit("/"), (F.col("id") % 7).cast("string")).alias("url"))
-    return M.insert_new(a.where("id % 4 = 0").select("id", "url"), again.union(a.where("id % 2 = 0").select(F.col("id") + 2000000, "url")), "url", ["id"])
+    return M.insert_new(a.where("lang = 'en'").select("id", "url"), again.union(a.select(F.col("id") + 2000000, "url")), "url", ["id"])
 
 
-@query("k03_replace_children", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 10 <> 0 UNION ALL SELECT o_orderkey, 1, 0.0 FROM orders WHERE o_orderkey % 10 = 0")
+@query("k03_replace_children", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') UNION ALL SELECT o_orderkey, 1, 0.0 FROM orders WHERE o_orderstatus = 'P'")
 def k03(s, d):
     lines = V.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    new = V.table(s, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(0.0).alias("l_quantity"))
+    new = V.table(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(0.0).alias("l_quantity"))
     return M.replace_children(lines, new, "l_orderkey")
 
 
@@ -396,11 +397,11 @@ def m02(s, d):
     return kept.select(F.lit("orders").alias("t"), "id").union(children["lines"].select(F.lit("lines"), "id"))
 
 
-@query("m03_upsert_evaluations", "WITH e AS (SELECT o_orderkey AS id, o_custkey AS k, o_orderstatus = 'F' AS selected, o_totalprice AS composite FROM orders WHERE o_orderkey % 2 = 0), i AS (SELECT o_orderkey + 1000000 AS id, o_orderkey AS ref, o_totalprice / 2 AS composite FROM orders WHERE o_orderkey % 3 = 0) SELECT coalesce(e.id, i.id) AS id, i.ref, CASE WHEN e.id IS NULL THEN true ELSE false END AS selected, round(i.composite + 1e-6::DOUBLE, 2) AS composite FROM i LEFT JOIN e ON e.id = i.ref UNION ALL SELECT id, id, selected, round(composite + 1e-6::DOUBLE, 2) FROM e WHERE id NOT IN (SELECT ref FROM i)")
+@query("m03_upsert_evaluations", "WITH e AS (SELECT o_orderkey AS id, o_custkey AS k, o_orderstatus = 'F' AS selected, o_totalprice AS composite FROM orders WHERE o_orderstatus <> 'P'), i AS (SELECT o_orderkey + 1000000 AS id, o_orderkey AS ref, o_totalprice / 2 AS composite FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) SELECT coalesce(e.id, i.id) AS id, i.ref, CASE WHEN e.id IS NULL THEN true ELSE false END AS selected, round(i.composite + 1e-6::DOUBLE, 2) AS composite FROM i LEFT JOIN e ON e.id = i.ref UNION ALL SELECT id, id, selected, round(composite + 1e-6::DOUBLE, 2) FROM e WHERE id NOT IN (SELECT ref FROM i)")
 def m03(s, d):
     o = V.table(s, d, "orders")
-    e = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("ref"), (F.col("o_orderstatus") == "F").alias("selected"), F.col("o_totalprice").alias("composite"))
-    i = o.where("o_orderkey % 3 = 0").select((F.col("o_orderkey") + 1000000).alias("id"), F.col("o_orderkey").alias("ref"), F.lit(True).alias("selected"), (F.col("o_totalprice") / 2).alias("composite"))
+    e = o.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("ref"), (F.col("o_orderstatus") == "F").alias("selected"), F.col("o_totalprice").alias("composite"))
+    i = o.where("o_orderpriority IN ('1-URGENT', '2-HIGH')").select((F.col("o_orderkey") + 1000000).alias("id"), F.col("o_orderkey").alias("ref"), F.lit(True).alias("selected"), (F.col("o_totalprice") / 2).alias("composite"))
     return M.upsert(e, i, ["ref"], ["id"], {"selected": False}).withColumn("composite", F.round(F.col("composite") + 1e-6, 2))
 
 

@@ -8,6 +8,7 @@ from tidewire.operators import perspectives as E
 from tidewire.operators import storyline as L
 from tidewire.sources import payloads as P
 from tidewire.sources import views as V
+from tidewire.sources.pages import title
 from tidewire.sources.views import with_views
 
 QUERIES: dict = {}
@@ -63,7 +64,7 @@ def z08(s, d):
 
 @query("d27_canonical_perspectives")
 def d27(s, d):
-    c = V.table(s, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 60).alias("text"))
+    c = V.table(s, d, "conversations").select("conv_id", "turn", "text")
     return E.canonicalise(c, "conv_id", "turn", "text")
 
 
@@ -72,7 +73,9 @@ def d23(s, d):
     rows = V.table(s, d, "pages").select(F.col("page_id").alias("id"), (F.col("page_id") % 7).cast("double").alias("weight"), "url")
     first = rows.groupBy("url").agg(F.min("id").alias("a"))
     same = rows.join(first, "url").where("id <> a").select("a", F.col("id").alias("b"))
-    near = rows.where("id % 10 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).join(rows.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
+    titled = V.table(s, d, "pages").select(F.col("page_id").alias("id"), title(F.col("html")).alias("title")).where("title <> ''")
+    lead = titled.groupBy("title").agg(F.min("id").alias("a"))
+    near = titled.join(lead, "title").where("id <> a").select("a", F.col("id").alias("b"))
     return E.display_dedup(rows.select("id", "weight"), same, near)
 
 

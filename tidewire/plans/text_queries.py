@@ -132,7 +132,7 @@ def d15(s, d):
 
 @query("d07_fuzzy_dedup")
 def d07(s, d):
-    a = V.articles(s, d).select("id", F.substring("title", 1, 60).alias("title"), "source_name")
+    a = V.articles(s, d).select("id", "title", "source_name")
     return D.fuzzy_dedup(a, V.doc_sources(s, d), 85.0)
 
 
@@ -153,11 +153,11 @@ def d06(s, d):
 
 
 @query("j14_match_history", """WITH v AS (SELECT vec_id, embedding, DATE '2024-01-01' + CAST(vec_id % 10 AS INTEGER) AS day FROM embeddings),
- m AS (SELECT c.vec_id AS id, h.vec_id AS h_id, h.day AS h_day, list_sum(list_transform(list_zip(c.embedding, h.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS cosine, greatest(0.0::DOUBLE, (5 - (c.day - h.day)) / 5::DOUBLE) * 0.08::DOUBLE AS bonus FROM v c JOIN v h ON h.day < c.day AND h.day >= c.day - 5 WHERE c.vec_id % 5 = 0),
+ m AS (SELECT c.vec_id AS id, h.vec_id AS h_id, h.day AS h_day, list_sum(list_transform(list_zip(c.embedding, h.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS cosine, greatest(0.0::DOUBLE, (5 - (c.day - h.day)) / 5::DOUBLE) * 0.08::DOUBLE AS bonus FROM v c JOIN v h ON h.day < c.day AND h.day >= c.day - 5),
  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine + bonus DESC, h_day DESC, h_id) AS k FROM m WHERE cosine >= 0.3) SELECT id, h_id, round(cosine, 4) AS cosine, round(cosine + bonus, 4) AS score FROM r WHERE k = 1""")
 def j14(s, d):
     v = V.table(s, d, "embeddings").select("vec_id", "embedding", F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("vec_id") % 10).cast("int")).alias("day"))
-    current = v.where("vec_id % 5 = 0").select(F.col("vec_id").alias("id"), "day", F.col("embedding").alias("vector"))
+    current = v.select(F.col("vec_id").alias("id"), "day", F.col("embedding").alias("vector"))
     return L.match_history(current, v.select(F.col("vec_id").alias("h_id"), F.col("day").alias("h_day"), F.col("embedding").alias("h_vector")), 0.3)
 
 
@@ -194,9 +194,9 @@ def key_cluster(s, d):
     return V.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), X.key_of(parts).alias("cluster_key"), L.storyline_key(parts).alias("storyline_key"))
 
 
-@query("fn_slug_preview", "SELECT doc_id, substr(regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40) AS slug, CASE WHEN length(trim(regexp_replace(substr(text, 1, 400), '[ \\t\\n\\f\\r\\v]+', ' ', 'g'))) <= 120 THEN trim(regexp_replace(substr(text, 1, 400), '[ \\t\\n\\f\\r\\v]+', ' ', 'g')) ELSE rtrim(substr(trim(regexp_replace(substr(text, 1, 400), '[ \\t\\n\\f\\r\\v]+', ' ', 'g')), 1, 119)) || '…' END AS preview FROM documents")
+@query("fn_slug_preview", "SELECT id, substr(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40) AS slug, CASE WHEN length(trim(regexp_replace(content, '[ \\t\\n\\f\\r\\v]+', ' ', 'g'))) <= 120 THEN trim(regexp_replace(content, '[ \\t\\n\\f\\r\\v]+', ' ', 'g')) ELSE rtrim(substr(trim(regexp_replace(content, '[ \\t\\n\\f\\r\\v]+', ' ', 'g')), 1, 119)) || '…' END AS preview FROM v_articles")
 def fn_slug(s, d):
-    return V.table(s, d, "documents").select("doc_id", X.slug(F.substring("text", 1, 60)).alias("slug"), X.preview(F.substring("text", 1, 400)).alias("preview"))
+    return V.articles(s, d).select("id", X.slug(F.col("title")).alias("slug"), X.preview(F.col("content")).alias("preview"))
 
 
 @query("fn_host", "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '^www\\.', '') AS host FROM pages")
@@ -226,11 +226,9 @@ def fn_day_gap(s, d):
     return V.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), gap.cast("bigint").alias("gap"), F.round(X.recency_bonus(gap), 6).alias("bonus"))
 
 
-@query("fn_numeric_claims", "SELECT doc_id, array_to_string(list_distinct(list_transform(regexp_extract_all(text, '([0-9][0-9,]*(?:\\.[0-9]+)?%?)', 1), lambda x: replace(x, ',', ''))), '|') AS claims FROM (SELECT doc_id, substr(text, 1, 400) AS text FROM documents) WHERE len(list_distinct(regexp_extract_all(text, '([0-9][0-9,]*(?:\\.[0-9]+)?%?)', 1))) <= 1")
+@query("fn_numeric_claims", "SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '([0-9][0-9,]*(?:\\.[0-9]+)?%?)', 1), lambda x: replace(x, ',', '')))), '|') AS claims FROM documents")
 def fn_claims(s, d):
-    t = V.table(s, d, "documents").select("doc_id", F.substring("text", 1, 400).alias("text"))
-    few = F.size(F.array_distinct(F.regexp_extract_all("text", F.lit("([0-9][0-9,]*(?:\\.[0-9]+)?%?)"), 1))) <= 1
-    return t.where(few).select("doc_id", F.array_join(X.numeric_claims(F.col("text")), "|").alias("claims"))
+    return V.table(s, d, "documents").select("doc_id", F.array_join(F.array_sort(X.numeric_claims(F.col("text"))), "|").alias("claims"))
 
 
 @query("s15_page_links", "WITH l AS (SELECT page_id, list_filter(regexp_extract_all(html, '<a href=\"([^\"#]+)\"', 1), lambda h: NOT regexp_matches(lower(h), '/(author|tag|topic|search|archive)s?(/|$)')) AS h FROM pages), u AS (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) AS i FROM l), f AS (SELECT page_id, href, min(i) AS i FROM u GROUP BY 1, 2), r AS (SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY i) AS k FROM f) SELECT page_id, CAST(k - 1 AS BIGINT) AS pos, href FROM r WHERE k <= 25")
