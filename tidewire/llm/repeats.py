@@ -13,7 +13,7 @@ are bytes fetched.
 Settling them. The blocks of an anchor become contexts; their suffixes that start a window are sorted, the common-prefix
 array is scanned with a stack into its interval tree, and each interval of at least WIDTH bytes whose suffixes differ in
 the byte before (or start a block) is a maximal repeat, put out as a group with all its occurrences. All but a group's
-first occurrence are removed. Anchors that are frequent beyond HOT (found by a sketch of fixed size that covers all
+first occurrence are removed. Anchors of very many different blocks (found by a sketch of fixed size that covers all
 rows) are not gathered: their windows are grouped by hash instead, which gives the same bytes.
 
 Null texts are empty. Documents are taken in order of id, null last; rows repeated under one id are ordered by their text
@@ -41,6 +41,8 @@ HOT_MULTIPLE = 8
 #: Contexts of an anchor that are put into one suffix array at most; beyond that its windows are grouped by hash.
 GROUP_CONTEXTS = 4_000
 SLICE = 1_000_000
+#: Blocks that a task holds before it settles the equal ones.
+FLUSH = 400_000
 
 
 def anchors(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
@@ -136,7 +138,7 @@ def _common(a: bytes, b: bytes) -> int:
 
 def _intervals(rows, before, common, owner, start, width) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     """Scan of the common-prefix array: each interval of its tree, if its suffixes differ in the byte before."""
-    stack = [(width, 0)]
+    stack: list[tuple[int, int]] = []
     for k in range(1, len(rows) + 1):
         now = common[k - 1] if k < len(rows) else -1
         left = k - 1
@@ -144,7 +146,7 @@ def _intervals(rows, before, common, owner, start, width) -> Iterator[tuple[int,
             depth, left = stack.pop()
             if k - left > 1 and len(set(before[left:k].tolist())) > 1:
                 yield depth, [(int(owner[r]), int(start[r])) for r in rows[left:k]]
-        if now >= 0 and (not stack or stack[-1][0] < now):
+        if now >= width and (not stack or stack[-1][0] < now):
             stack.append((now, left))
 
 
@@ -180,10 +182,25 @@ def removals(keyed: DataFrame) -> DataFrame:
     texts = keyed.select("uid", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SKETCH, np.int64)
+        """Anchors of the blocks that a task would deal out: equal blocks count once."""
+        sketch, held, waiting = np.zeros(SKETCH, np.int64), [], 0
+
+        def flush() -> None:
+            anchor, block = (np.concatenate(x) for x in zip(*held, strict=True))
+            once = anchor[_first_of_equal(block, anchor, np.arange(len(anchor)))]
+            np.add(sketch, np.bincount((once % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), out=sketch)
+            held.clear()
+
         for batch in batches:
             for part in buffers.slices(batch, "text", SLICE):
-                sketch += np.bincount((anchors(*buffers.utf8(part.column("text")))["anchor"] % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+                b = anchors(*buffers.utf8(part.column("text")))
+                held.append((b["anchor"], b["block"]))
+                waiting += len(b["anchor"])
+            if waiting > FLUSH:
+                flush()
+                waiting = 0
+        if held:
+            flush()
         used = np.flatnonzero(sketch)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sketch[used])], ["slot", "n"])
 
@@ -204,8 +221,15 @@ def removals(keyed: DataFrame) -> DataFrame:
                 is_hot = hot.value[(b["anchor"] % np.uint64(SKETCH)).astype(np.int64)]
                 held.append((b["anchor"], b["block"], uid[b["doc"]], b["first"], b["last"], b["owner"], is_hot))
                 waiting += len(b["doc"])
+                lead = np.zeros(len(is_hot), bool)
                 warm = np.flatnonzero(is_hot)
                 if len(warm):
+                    #: Equal blocks of the slice are settled whole; only the first of them is cut into windows.
+                    order = warm[np.lexsort((b["first"][warm], uid[b["doc"][warm]]))]
+                    lead[order] = _first_of_equal(b["block"][order], b["anchor"][order], np.arange(len(order)))
+                    again = order[~lead[order]]
+                    yield from _runs_out(uid[b["doc"][again]], b["first"][again], b["last"][again])
+                    warm = np.flatnonzero(lead)
                     base = at[b["doc"][warm]]
                     size = b["last"][warm] - b["first"][warm] + 1
                     which = np.repeat(warm, size)
@@ -218,7 +242,7 @@ def removals(keyed: DataFrame) -> DataFrame:
                     mask[order] = _first_of_equal(window[order], anchor[order], np.arange(len(order)))
                     yield from _rows(2, anchor[mask], window[mask], owner_uid[mask], place[mask], place[mask], place[mask])
                     yield from _runs_out(owner_uid[~mask], place[~mask], place[~mask])
-            if waiting > 400_000:
+            if waiting > FLUSH:
                 yield from _settled(held)
                 held, waiting = [], 0
         yield from _settled(held)
@@ -292,7 +316,7 @@ def _later(windows: DataFrame) -> DataFrame:
 
 def _meeting(texts: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts with their list, texts without one). Only texts that have a list are shuffled, where their ids can be broadcast."""
-    ids = checked(lists.select("uid"))
+    ids = checked(lists.select("uid"), 200_000)
     return texts.join(ids, "uid", "left_semi").join(lists, "uid"), texts.join(ids, "uid", "left_anti")
 
 
