@@ -91,17 +91,32 @@ def test_exact_dedup_odd(odd, none):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {4, None, 5, 7, 8, 9, 10}
 
 
-def test_near_dedup_against_all_pairs(spark):
+def near_copies():
     rnd = random.Random(3)
     vocabulary = [f"w{i}" for i in range(400)]
-    rows = []
-    for base in range(12):
+    texts = []
+    for _ in range(12):
         words = [rnd.choice(vocabulary) for _ in range(rnd.randint(3, 160))]
         for _ in range(5):
             own = list(words)
             for _ in range(rnd.choice([0, 0, 1, 3])):
                 own[rnd.randrange(len(own))] = rnd.choice(vocabulary)
-            rows.append((len(rows), " ".join(own)))
+            texts.append(" ".join(own))
+    return texts
+
+
+def shared_passage():
+    """Texts that share most of their words in one passage, unlike by the rest: buckets stay crowded after a round."""
+    rnd = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(900)]
+    passage = [rnd.choice(vocabulary) for _ in range(90)]
+    texts = [" ".join([*passage, *(rnd.choice(vocabulary) for _ in range(rnd.randint(12, 45)))]) for _ in range(70)]
+    return texts + [texts[k] + " more" for k in (3, 30, 60)]
+
+
+@pytest.mark.parametrize("fixture", [near_copies, shared_passage])
+def test_near_dedup_against_all_pairs(spark, fixture):
+    rows = list(enumerate(fixture()))
     got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     owner, value, _ = near_dedup.shingles(*buffers_of([t for _, t in rows]))
     frequency = np.bincount((value % np.uint64(near_dedup.SKETCH)).astype(int), minlength=near_dedup.SKETCH)
