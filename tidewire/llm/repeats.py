@@ -381,8 +381,10 @@ def _group_removals(rows: list[tuple]) -> list[tuple[int, int, int]]:
 
 
 def _removed(found: list[tuple]) -> pa.RecordBatch:
-    uid, first, last = zip(*found, strict=True) if found else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["uid", "first", "last"])
+    """The runs that touch, of all groups of a batch, put together."""
+    runs = np.array(found, np.int64).reshape(-1, 3)
+    uid, first, last = _joined_runs(runs[:, 0], runs[:, 1], runs[:, 2])
+    return pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["uid", "first", "last"])
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
