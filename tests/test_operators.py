@@ -146,3 +146,43 @@ def test_foreach_batch_sink_keeps_keys_unique(spark, tmp_path):
     write(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k bigint, v string"), 0)
     write(spark.createDataFrame([(2, "d"), (3, "e")], "k bigint, v string"), 1)
     assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/table").collect()) == [1, 2, 3]
+
+
+def test_vector_pairs_equal_all_pairs(spark):
+    rnd = np.random.default_rng(8)
+    v = rnd.normal(size=(300, 6))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = spark.createDataFrame([(i * 7, x.tolist()) for i, x in enumerate(v)] + [(-1, None)], "id bigint, v array<double>")
+    want = {(i * 7, j * 7) for i in range(300) for j in range(i + 1, 300) if v[i] @ v[j] >= 0.5}
+    for size in (1000, 64, 50):
+        got = [(r.a, r.b) for r in Y.vector_pairs(rows, "id", "v", 0.5, size).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_semantic_dedup_query_has_no_time_band(spark):
+    from tidewire.plans import text_queries as Q
+    from tidewire.sources import views as V
+
+    sf = "/root/testdata/sf0.1"
+    rows = Q._vector_articles(spark, sf).select("id", "source_name", "embedding").orderBy("id").collect()
+    weight = {r["name"]: r["weight"] for r in V.doc_sources(spark, sf).collect()}
+    v = np.array([r.embedding for r in rows])
+    cosine = v @ v.T
+    source = np.array([r.source_name for r in rows])
+    similar = cosine >= np.where(source[:, None] == source[None, :], 0.35, 0.40)
+    pairs = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(similar, 1)))}
+    assert any(j - i > 411 for i, j in pairs)
+    want = {rows[k].id for k in D.keep_anchored(list(range(len(rows))), [weight.get(s, 0.5) for s in source], pairs)}
+    got = [r.id for r in Q.QUERIES["d08_semantic_dedup"](spark, sf).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_semantic_dedup_of_equal_vectors(spark):
+    rnd = random.Random(9)
+    shapes = [[1.0, 0.0], [0.6, 0.8], [0.99, 0.14106735979665885], [-1.0, 0.0]]
+    rows = [(i, rnd.choice(["a", "b", "c", None]), shapes[rnd.choice([0, 0, 1, 2, 3])]) for i in range(40)]
+    weight = {"a": 0.2, "b": 0.9}
+    similar = {(i, j) for i, s, x in rows for j, t, y in rows if i < j and x[0] * y[0] + x[1] * y[1] >= (0.58 if s == t and s is not None else 0.95)}
+    want = {rows[k][0] for k in D.keep_anchored(list(range(40)), [weight.get(s, 0.5) for _, s, _ in rows], similar)}
+    got = D.semantic_dedup(spark.createDataFrame(rows, "id bigint, source_name string, embedding array<double>"), spark.createDataFrame(list(weight.items()), "name string, weight double"), 0.58, 0.95)
+    assert {r.id for r in got.collect()} == want

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.operators.graph import connected_components
-from tidewire.operators.similarity import ratio_possible, ratio_udf
+from tidewire.operators.similarity import dot, ratio_possible, ratio_udf, vector_pairs
+from tidewire.runtime import materialise
 
 
 def keep_fuzzy(positions: list[int], weights: list[float], similar: set[tuple[int, int]]) -> list[int]:
@@ -73,8 +75,61 @@ def fuzzy_dedup(articles: DataFrame, weights: DataFrame, least: float = 85.0) ->
     return by_component(rows, fuzzy_edges(articles, least), keep_fuzzy)
 
 
-def semantic_dedup(articles: DataFrame, pairs: DataFrame, weights: DataFrame, same: float = 0.82, cross: float = 0.98) -> DataFrame:
-    """D08 over pairs (a, b, cosine, same_source): the bar depends on whether the sources agree."""
-    rows = articles.join(weights.select(F.col("name").alias("source_name"), "weight"), "source_name", "left").select("id", F.coalesce("weight", F.lit(0.5)).alias("weight"))
-    edges = pairs.where(F.col("cosine") >= F.when(F.col("same_source"), same).otherwise(cross)).select("a", "b")
-    return by_component(rows, edges, keep_anchored)
+def anchored(weights: np.ndarray, sources: np.ndarray, classes: np.ndarray, links: tuple[np.ndarray, np.ndarray, np.ndarray], same: float, cross: float) -> list[int]:
+    """`keep_anchored` where rows of one class have one vector: links (class, class, cosine) hold both directions and each class itself."""
+    a, b, cosine = (x[order] for order in [np.argsort(links[0], kind="stable")] for x in links)
+    at = np.searchsorted(a, np.arange(len(weights) + 1))
+    order = np.argsort(classes, kind="stable")
+    first = np.searchsorted(classes[order], np.arange(len(weights) + 1))
+    live = {int(c): order[first[c] : first[c + 1]] for c in np.unique(classes)}
+    dropped = np.zeros(len(weights), bool)
+    kept = []
+    for i in range(len(weights)):
+        if dropped[i]:
+            continue
+        keeper = i
+        for c, sim in zip(b[at[classes[i]] : at[classes[i] + 1]].tolist(), cosine[at[classes[i]] : at[classes[i] + 1]].tolist(), strict=True):
+            own = live[c]
+            if sim < min(same, cross) or not len(own):
+                continue
+            alike = (sources[own] == sources[i]) & (sources[i] >= 0)
+            hit = own[(own > i) & (sim >= np.where(alike, same, cross))]
+            if len(hit):
+                dropped[hit] = True
+                live[c] = own[(own > i) & ~dropped[own]]
+                heavier = hit[weights[hit] > weights[i]]
+                if len(heavier):
+                    keeper = max(keeper, int(heavier[-1]))
+        kept.append(keeper)
+    return kept
+
+
+def semantic_dedup(articles: DataFrame, weights: DataFrame, same: float = 0.82, cross: float = 0.98) -> DataFrame:
+    """J13/D08 over (id, source_name, embedding): all articles against all; the bar depends on whether the sources agree.
+
+    Rows of equal vectors are one class: similarities are sought between classes, and the rule is replayed on their rows.
+    """
+    rows = articles.join(weights.select(F.col("name").alias("source_name"), "weight"), "source_name", "left").select("id", "source_name", F.coalesce("weight", F.lit(0.5)).alias("weight"), "embedding")
+    rows = materialise(rows)
+    classes = materialise(rows.where("embedding IS NOT NULL").groupBy("embedding").agg(F.min("id").alias("class")))
+    least = min(same, cross)
+    itself = classes.select(F.col("class").alias("a"), F.col("class").alias("b"), dot(F.col("embedding"), F.col("embedding")).alias("cosine")).where(F.col("cosine") >= least)
+    pairs = materialise(vector_pairs(classes, "class", "embedding", least))
+    component = connected_components(classes.select(F.col("class").alias("id")), pairs.select("a", "b")).withColumnRenamed("id", "class")
+    component = materialise(component)
+    named = rows.join(classes, "embedding", "left").select("id", "source_name", "weight", "class")
+    members = named.join(component, "class").select("component", "class", "id", "weight", "source_name", F.lit(None).cast("bigint").alias("b"), F.lit(None).cast("double").alias("cosine"))
+    found = pairs.union(itself).join(component.withColumnRenamed("class", "a"), "a")
+    links = found.select("component", F.col("a").alias("class"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("double").alias("weight"), F.lit(None).cast("string").alias("source_name"), "b", "cosine")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, met = pdf[pdf["b"].isna()].sort_values("id"), pdf[pdf["b"].notna()]
+        names = np.unique(own["class"].to_numpy(np.int64))
+        place = lambda x: np.searchsorted(names, x.to_numpy(np.int64))
+        a, b, cosine = place(met["class"]), place(met["b"]), met["cosine"].to_numpy()
+        other = a != b
+        both = np.concatenate([a, b[other]]), np.concatenate([b, a[other]]), np.concatenate([cosine, cosine[other]])
+        kept = anchored(own["weight"].to_numpy(), pd.factorize(own["source_name"])[0], place(own["class"]), both, same, cross)
+        return pd.DataFrame({"id": own["id"].to_numpy(np.int64)[kept]})
+
+    return named.where("class IS NULL").select("id").union(members.unionByName(links).groupBy("component").applyInPandas(run, "id bigint"))

@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.functions.text import char_ngrams, jaccard
+from tidewire.runtime import materialise, workers_see_package
+
+#: Vectors of a block that are multiplied with another block, and how many rows of it at once.
+BLOCK_ROWS = 4096
+BLOCK_SLICE = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -33,6 +41,46 @@ def centroids(rows: DataFrame, group: str, vector: str) -> DataFrame:
     return mean.withColumn("n", norm(F.col("mean"))).where("n > 0").select(group, F.transform("mean", lambda x: x / F.col("n")).alias("centroid"))
 
 
+def vector_pairs(rows: DataFrame, key: str, vector: str, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, cosine) of all pairs a < b of unit vectors whose dot product is at least `least` > 0, by blocks against blocks.
+
+    Every block meets every other once. Matrix products only choose; cosines are summed as `dot` does. Keys are bigint, one row each.
+    """
+    workers_see_package(rows.sparkSession)
+    held = materialise(rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<double>").alias("v")))
+    blocks = max(1, -(-held.count() // block_rows))
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        data = np.stack(pdf["v"].to_numpy())
+        return pd.DataFrame({"i": [pdf["i"].iloc[0]], "d": [data.shape[1]], "k": [pdf["k"].to_numpy(np.int64).tobytes()], "v": [data.tobytes()]})
+
+    dealt = held.withColumn("i", F.pmod(F.xxhash64("k"), F.lit(blocks))).withColumn("d", F.size("v")).where("d > 0")
+    table = materialise(dealt.groupBy("i", "d").applyInPandas(packed, "i bigint, d int, k binary, v binary"))
+    #: Around the ring of blocks: each meets itself and the half that follows it; of an even ring the first half meets its opposite.
+    steps = F.explode(F.sequence(F.lit(0), F.when(F.col("i") < blocks - blocks // 2, blocks // 2).otherwise((blocks - 1) // 2)))
+    left = table.withColumn("step", steps).select("i", "d", F.pmod(F.col("i") + F.col("step"), F.lit(blocks)).alias("j"), F.col("k").alias("ki"), F.col("v").alias("vi"))
+    met = left.join(table.select(F.col("i").alias("j"), "d", F.col("k").alias("kj"), F.col("v").alias("vj")), ["j", "d"])
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ki, kj = np.frombuffer(r["ki"], np.int64), np.frombuffer(r["kj"], np.int64)
+                vi, vj = np.frombuffer(r["vi"]).reshape(len(ki), -1), np.frombuffer(r["vj"]).reshape(len(kj), -1)
+                for at in range(0, len(ki), BLOCK_SLICE):
+                    x, y = np.nonzero(vi[at : at + BLOCK_SLICE] @ vj.T >= least - 1e-9)
+                    x += at
+                    fit = ki[x] < kj[y] if r["i"] == r["j"] else ki[x] != kj[y]
+                    x, y = x[fit], y[fit]
+                    cosine = np.zeros(len(x))
+                    for c in range(vi.shape[1]):
+                        cosine += vi[x, c] * vj[y, c]
+                    fit = cosine >= least
+                    a, b = ki[x[fit]], kj[y[fit]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(cosine[fit])], ["a", "b", "cosine"])
+
+    return met.repartition(min(blocks * (blocks + 1) // 2, 1000), "i", "j").mapInArrow(multiplied, "a bigint, b bigint, cosine double")
+
+
 def lcs_length(a: str, b: str) -> int:
     """Length of the longest common subsequence by bit-parallel rows."""
     masks: dict[str, int] = {}

@@ -138,11 +138,8 @@ def d07(s, d):
 
 @query("d08_semantic_dedup")
 def d08(s, d):
-    v = _vector_articles(s, d)
-    e = C.event_edges(v, least=0.30)
-    names = v.select("id", "source_name")
-    met = e.join(names.select(F.col("id").alias("a"), F.col("source_name").alias("sa")), "a").join(names.select(F.col("id").alias("b"), F.col("source_name").alias("sb")), "b")
-    return D.semantic_dedup(names, met.withColumn("same_source", F.col("sa") == F.col("sb")), V.doc_sources(s, d), 0.35, 0.40)
+    v = _vector_articles(s, d).select("id", "source_name", "embedding")
+    return D.semantic_dedup(v, V.doc_sources(s, d), 0.35, 0.40)
 
 
 @query("d06_token_set_ratio")
