@@ -186,3 +186,39 @@ def test_semantic_dedup_of_equal_vectors(spark):
     want = {rows[k][0] for k in D.keep_anchored(list(range(40)), [weight.get(s, 0.5) for _, s, _ in rows], similar)}
     got = D.semantic_dedup(spark.createDataFrame(rows, "id bigint, source_name string, embedding array<double>"), spark.createDataFrame(list(weight.items()), "name string, weight double"), 0.58, 0.95)
     assert {r.id for r in got.collect()} == want
+
+
+def displayed(rows, least):
+    """D23 over all pairs as the reference has it: URLs of the suppressed pass to the preferred."""
+    urls, gone = [{r[2]} - {None} for r in rows], set()
+    for i, x in enumerate(rows):
+        for j in range(i + 1, len(rows)):
+            if i in gone:
+                break
+            y = rows[j]
+            close = x[4] is not None and y[4] is not None and sum(a * b for a, b in zip(x[4], y[4], strict=True)) >= least
+            if j in gone or not (urls[i] & urls[j] or (x[3] is not None and x[3] == y[3]) or close):
+                continue
+            lost, kept = (i, j) if y[1] > x[1] else (j, i)
+            gone.add(lost)
+            urls[kept] |= urls[lost]
+    return {r[0] for k, r in enumerate(rows) if k not in gone}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_display_dedup_equals_the_rule_over_all_pairs(spark, seed):
+    from tidewire.operators import perspectives as E
+
+    rnd = random.Random(seed)
+    schema = "id bigint, weight double, url string, title string, vector array<double>"
+    chain = [(1, 0.0, "u1", "same", None), (2, 5.0, "u2", "same", None), (3, 3.0, "u3", "same", None)]
+    assert {r.id for r in E.display_dedup(spark.createDataFrame(chain, schema)).collect()} == {2} == displayed(chain, 0.73)
+
+    def vector():
+        x = np.array([rnd.gauss(0, 1) for _ in range(5)])
+        return (x / np.linalg.norm(x)).tolist()
+
+    shared = [vector() for _ in range(3)]
+    rows = [(i, float(i % 7), rnd.choice([None, f"u{rnd.randrange(60)}"]), rnd.choice([None, None, f"t{rnd.randrange(40)}"]), rnd.choice([None, vector(), rnd.choice(shared)])) for i in range(150)]
+    got = [r.id for r in E.display_dedup(spark.createDataFrame(rows, schema)).collect()]
+    assert len(got) == len(set(got)) and set(got) == displayed(rows, 0.73)

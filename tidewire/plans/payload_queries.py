@@ -70,13 +70,9 @@ def d27(s, d):
 
 @query("d23_display_dedup")
 def d23(s, d):
-    rows = V.table(s, d, "pages").select(F.col("page_id").alias("id"), (F.col("page_id") % 7).cast("double").alias("weight"), "url")
-    first = rows.groupBy("url").agg(F.min("id").alias("a"))
-    same = rows.join(first, "url").where("id <> a").select("a", F.col("id").alias("b"))
-    titled = V.table(s, d, "pages").select(F.col("page_id").alias("id"), title(F.col("html")).alias("title")).where("title <> ''")
-    lead = titled.groupBy("title").agg(F.min("id").alias("a"))
-    near = titled.join(lead, "title").where("id <> a").select("a", F.col("id").alias("b"))
-    return E.display_dedup(rows.select("id", "weight"), same, near)
+    vectors = V.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    rows = V.table(s, d, "pages").select(F.col("page_id").alias("id"), (F.col("page_id") % 7).cast("double").alias("weight"), "url", F.nullif(title(F.col("html")), F.lit("")).alias("title"))
+    return E.display_dedup(rows.join(vectors, "id", "left"))
 
 
 @query("j21_url_overlap", "WITH g AS (SELECT l_orderkey AS id, list(DISTINCT l_suppkey) AS s FROM lineitem GROUP BY 1) SELECT a.id, list_has_any(a.s, b.s) AS overlap FROM g a JOIN g b ON b.id = a.id + 1")
