@@ -333,3 +333,15 @@ def test_template_needs_no_article_element():
     pages = [f"<body><div id='menu'>Menu</div><div id='content'><p>Story {n} text</p></div><div>Same line</div></body>" for n in range(6)]
     template = web_text.deduce(pages)
     assert web_text.blocks(pages[3], template) == ["Story 3 text"]
+
+
+@pytest.mark.parametrize("page", [
+    "<body class='has-sidebar'><article><h1>Head</h1><p>Story</p></article><aside>x</aside></body>",
+    "<body><div class='with-comments'><article><h1 class='entry-header'>Head</h1><p class='notice-period'>Story</p><div class='comments'>x</div></article></div></body>",
+    "<body><form action='/'><main><h1>Head</h1><p>Story</p></main></form></body>",
+    "<html class='no-cookies'><body><div class='share'><h1>Head</h1><p>Story</p></div></body></html>",
+    "<body><article><h1>Head</h1><p>Story</p></article><div class='related'><article>x</article></div></body>",
+])
+def test_marks_around_an_article_do_not_drop_it(page):
+    for template in (None, web_text.deduce([page] * 3)):
+        assert web_text.blocks(page, template) == ["Head", "Story"]

@@ -36,6 +36,9 @@ INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img
 BOILERPLATE = frozenset("nav header footer aside form button menu dialog head fieldset label input option video audio figure".split())
 BOILERPLATE_WORDS = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login masthead menu modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted promotion recommend recommended related replies respond share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split())
 MAIN = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose articles are not the page's own; a form or label may stand around a whole page.
+APART = frozenset("nav header footer aside button menu dialog head video audio figure".split())
 #: An element that opens closes the ones of these names that stand open in the same parent.
 CLOSES = {"p": ("p",), "li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 
@@ -105,7 +108,14 @@ def is_boilerplate(element: tuple[str, str], inside_main: bool = False) -> bool:
         return not (inside_main and name in ("header", "figure", "label"))
     if not marks:
         return False
-    return "hidden-element" in marks or bool(BOILERPLATE_WORDS & set(_WORD.findall(marks)))
+    if inside_main and (name in HEADINGS or name == "p"):
+        return "hidden-element" in marks
+    return name not in ("html", "body") and ("hidden-element" in marks or bool(BOILERPLATE_WORDS & set(_WORD.findall(marks))))
+
+
+def sets_apart(element: tuple[str, str]) -> bool:
+    """Whether articles in the element are not the page's own: by its name only, as marks of an article's ancestors may describe the whole page."""
+    return element[0] in APART or "hidden-element" in element[1]
 
 
 def roles_of(page: str) -> list[str]:
@@ -136,7 +146,8 @@ def deduce(pages: list[str]) -> dict:
     #: Classes nest: the one that occurs once encloses the others; each slot follows a role of its class.
     template = sorted({role for _, order in valid for role in order if role[0] == "o"})
     elements = [role[1:] for role in template]
-    main = [e for e in elements if e.rsplit("/", 1)[-1].split(".")[0] in MAIN and not any(is_boilerplate(_element(x)) for x in e.split("/")[:-1])]
+    main = [e for e in elements if e.rsplit("/", 1)[-1].split(".")[0] in MAIN and not any(sets_apart(_element(x)) for x in e.split("/")[:-1])]
+    main = [e for e in main if not any(is_boilerplate(_element(x)) for x in e.split("/"))] or main
     return {"elements": elements, "main": main, "constant": [] if main else _constant(pages)}
 
 
@@ -175,25 +186,34 @@ def _constant(pages: list[str]) -> list[str]:
 
 def blocks(page: str, template: dict | None) -> list[str]:
     """The page's main blocks in order: references decoded, white space single."""
-    main = None
-    if template and template["main"]:
-        main = set(template["main"])
-    found, kept_any = _collect(page, main)
-    if not kept_any:  # the template doesn't fit this page
-        found, kept_any = _collect(page, set())
-    if not kept_any:
-        found, _ = _collect(page, None)
+    events = list(parse(page))
+    #: Articles under no marked element come first; where there is none, those under marked ones are the page's.
+    mains = {path for kind, path, _ in events if kind == "open" and path[-1][0] in MAIN and not any(sets_apart(e) for e in path[:-1])}
+    mains = {path for path in mains if not any(is_boilerplate(e) for e in path)} or mains
+    around = {path[:k] for path in mains for k in range(1, len(path) + 1)}
+    fitting = {path for path in mains if template and _role(path) in set(template["main"])}
+    found: list[str] = []
+    for chosen in (fitting, mains, None):
+        if chosen is None or chosen:
+            found = _collect(events, chosen, around)
+        if found:
+            break
+    else:
+        found = _collect(events, None, around, False)
     if template and template["constant"]:
         constant = set(template["constant"])
         found = [b for b in found if b not in constant]
     return found
 
 
-def _collect(page: str, main: set[str] | None) -> tuple[list[str], bool]:
-    """Text blocks under the main elements: those in `main`, or any article or main element if it is empty; None: the whole body."""
+def _role(path: tuple) -> str:
+    return "/".join(f"{n}.{m}" if m else n for n, m in path)
+
+
+def _collect(events: list[tuple], main: set[tuple] | None, around: set[tuple], less: bool = True) -> list[str]:
+    """Text blocks under the main elements, or of the whole body (None), less boilerplate elements that are not around an article."""
     out: list[str] = []
     parts: list[str] = []
-    met = False
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(parts)).split())
@@ -202,18 +222,13 @@ def _collect(page: str, main: set[str] | None) -> tuple[list[str], bool]:
         parts.clear()
 
     chosen: dict[tuple, bool] = {}
-    for kind, path, text in parse(page):
+    for kind, path, text in events:
         if kind in ("open", "close"):
             if path[-1][0] not in INLINE:
                 flush()
             if kind == "open" and path not in chosen:
-                above = chosen.get(path[:-1], main is None)
-                name = path[-1]
-                if main is not None and not above and name[0] in MAIN and not any(is_boilerplate(e) for e in path):
-                    role = "/".join(f"{n}.{m}" if m else n for n, m in path)
-                    above = not main or role in main
-                chosen[path] = above and not is_boilerplate(name, main is not None)
-            met = met or chosen.get(path, False)
+                above = chosen.get(path[:-1], main is None) or (main is not None and path in main)
+                chosen[path] = above and (path in around or not less or not is_boilerplate(path[-1], main is not None))
         elif kind == "text":
             if chosen.get(path, main is None and not path):
                 parts.append(text)
@@ -222,7 +237,7 @@ def _collect(page: str, main: set[str] | None) -> tuple[list[str], bool]:
         else:
             parts.append(" ")
     flush()
-    return out, met
+    return out
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> DataFrame:
