@@ -345,3 +345,32 @@ def test_template_needs_no_article_element():
 def test_marks_around_an_article_do_not_drop_it(page):
     for template in (None, web_text.deduce([page] * 3)):
         assert web_text.blocks(page, template) == ["Head", "Story"]
+
+
+def test_templates_count_all_pages_of_a_host(spark):
+    """Boilerplate in five of six pages of a host goes from all of them, content that only some share stays: whichever pages a sample would hold."""
+    rnd = random.Random(14)
+    pages = {}
+    for i in range(240):
+        notice = "Same notice everywhere" if i % 6 else "Other"
+        common = "Often said" if rnd.random() < 0.77 else f"Said {i}"
+        pages[i] = f"<body><div>{notice}</div><div><p>Story {i}</p><p>{common}</p></div></body>"
+    pages |= {1000 + i: f"<body><div><article class='{'lead' if i % 9 < 5 else 'card'}'>Own {i}</article></div><p>x</p></body>" for i in range(90)}
+    rows = spark.createDataFrame([(i, f"https://h{i // 1000}.example/{i}", p) for i, p in pages.items()], "page_id bigint, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in web_text.extract(rows).collect()}
+    for first in (0, 1000):
+        own = {i: p for i, p in pages.items() if i // 1000 == first // 1000}
+        template = web_text.deduce(list(own.values()))
+        assert template["constant"] == ([] if first else ["Same notice everywhere"])
+        assert template["main"] == (["body/div/article.lead"] if first else [])
+        assert {i: got[i] for i in own} == {i: "\n\n".join(web_text.blocks(p, template)) for i, p in own.items()}
+
+
+def test_template_classes_need_one_order(spark):
+    """The article's class is not valid where its roles stand in another order on pages beyond any sample."""
+    pages = [f"<body><article>A {i}</article><section>B</section></body>" for i in range(60)]
+    for odd in ([], ["<body><section>B</section><article>A</article></body>"]):
+        rows = spark.createDataFrame([(i, "https://h.example/", p) for i, p in enumerate(pages + odd)], "id bigint, url string, html string").withColumn("host", F.lit("h.example"))
+        got = web_text.templates(rows).first()
+        want = web_text.deduce(pages + odd)
+        assert (got.main, got.constant) == (want["main"], want["constant"]) and bool(got.main) == (not odd)

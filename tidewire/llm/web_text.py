@@ -1,6 +1,6 @@
 """Main text of web pages by template deduction from equivalence classes of tokens.
 
-Pages become token sequences; a token's role is its tag (with class and id) and path. Over a bounded sample of a host's
+Pages become token sequences; a token's role is its tag (with class and id) and path. Over all of a host's
 pages each role has an occurrence vector (how often it stands in each page). Roles of equal vectors form an equivalence
 class; a class is valid if its roles stand in one order in every page and its repetitions don't interleave. Valid
 classes nest by span into the host's template, whose gaps are the slots. A slot is main if it lies under an article (or
@@ -13,21 +13,22 @@ by the same rules with their own elements as the template. Null html gives an em
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.runtime import materialise, small_enough, workers_see_package
 
-#: Pages per host that a template is deduced from at most, and hosts whose templates may be broadcast.
-SAMPLE_PAGES = 24
+#: Hosts whose templates may be broadcast.
 BROADCAST_HOSTS = 5_000
+#: A block is constant if more than this share of a host's pages has it, where the host has so many pages.
+CONSTANT_SHARE, CONSTANT_PAGES = 0.8, 4
 
 # HTML element names by their part in a page, and words that name boilerplate in class and id.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -146,11 +147,18 @@ def deduce(pages: list[str]) -> dict:
     #: Classes nest: the one that occurs once encloses the others; each slot follows a role of its class.
     template = sorted({role for _, order in valid for role in order if role[0] == "o"})
     elements = [role[1:] for role in template]
-    main = [e for e in elements if e.rsplit("/", 1)[-1].split(".")[0] in MAIN and not any(sets_apart(_element(x)) for x in e.split("/")[:-1])]
-    main = [e for e in main if not any(is_boilerplate(_element(x)) for x in e.split("/"))] or main
+    main = _unmarked([e for e in elements if _may_be_main(e)])
     return {"elements": elements, "main": main, "constant": [] if main else _constant(pages)}
 
 
+def _may_be_main(role: str) -> bool:
+    return role.rsplit("/", 1)[-1].split(".")[0] in MAIN and not any(sets_apart(_element(x)) for x in role.split("/")[:-1])
+
+
+def _unmarked(roles: list[str]) -> list[str]:
+    return [e for e in roles if not any(is_boilerplate(_element(x)) for x in e.split("/"))] or roles
+
+
 def _element(text: str) -> tuple[str, str]:
     name, _, marks = text.partition(".")
     return name, marks
@@ -172,16 +180,14 @@ def _order(sequences: list[list[str]], roles: set[str]) -> list[str] | None:
 
 
 def _constant(pages: list[str]) -> list[str]:
-    """Blocks that most pages share word by word, of hosts with enough pages that differ elsewhere."""
-    if len(pages) < 4:
+    """Blocks that most pages share word by word, of hosts with enough pages."""
+    if len(pages) < CONSTANT_PAGES:
         return []
     seen: dict[str, int] = {}
-    texts = [set(blocks(p, None)) for p in pages]
-    for own in texts:
-        for b in own:
+    for p in pages:
+        for b in set(blocks(p, None)):
             seen[b] = seen.get(b, 0) + 1
-    common = {b for b, n in seen.items() if n > 0.8 * len(pages)}
-    return sorted(common) if all(own - common for own in texts) else []
+    return sorted(b for b, n in seen.items() if n > CONSTANT_SHARE * len(pages))
 
 
 def blocks(page: str, template: dict | None) -> list[str]:
@@ -202,7 +208,7 @@ def blocks(page: str, template: dict | None) -> list[str]:
         found = _collect(events, None, around, False)
     if template and template["constant"]:
         constant = set(template["constant"])
-        found = [b for b in found if b not in constant]
+        found = [b for b in found if b not in constant] or found  # a page of constant blocks alone keeps them
     return found
 
 
@@ -240,25 +246,106 @@ def _collect(events: list[tuple], main: set[tuple] | None, around: set[tuple], l
     return out
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> DataFrame:
+def _fingerprint(page: int, count: int) -> tuple[int, int]:
+    """Two summands of 31 bits: roles that occur equally often in every page, and hardly any others, have equal sums."""
+    low = hashlib.blake2b(b"%d %d" % (page, count), digest_size=8).digest()
+    return int.from_bytes(low[:4], "big") >> 1, int.from_bytes(low[4:], "big") >> 1
+
+
+def _role_sums(rows: DataFrame) -> DataFrame:
+    """Per host and role: in how many of all its pages it stands, and the sums that name its occurrence vector; role '' is every page's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[tuple, list[int]] = {}
+            for host, page, html in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
+                counts: dict[str, int] = {"": 1}
+                for role in roles_of(html):
+                    counts[role] = counts.get(role, 0) + 1
+                marks = {n: _fingerprint(page, n) for n in set(counts.values())}
+                for role, n in counts.items():
+                    own = sums.setdefault((host, role), [0, 0, 0])
+                    own[0] += 1
+                    own[1] += marks[n][0]
+                    own[2] += marks[n][1]
+            columns = [pa.array([k[c] for k in sums], pa.string()) for c in (0, 1)] + [pa.array([v[c] for v in sums.values()], pa.int64()) for c in (0, 1, 2)]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "role", "n", "f", "g"])
+
+    parts = rows.select("host", F.xxhash64("id", "url", "html").alias("page"), "html").mapInArrow(run, "host string, role string, n bigint, f bigint, g bigint")
+    return parts.groupBy("host", "role").agg(*(F.sum(c).alias(c) for c in ("n", "f", "g")))
+
+
+def _orders(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """(host, class) of the classes (held: host, classes as JSON lists of roles) whose roles stand in one order in every repetition of every page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read: dict[str, list[set]] = {}
+        for batch in batches:
+            met: set[tuple] = set()
+            for host, html, classes in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "classes")), strict=True):
+                if classes not in read:
+                    read[classes] = [set(c) for c in json.loads(classes)]
+                sequence = roles_of(html)
+                for k, roles in enumerate(read[classes]):
+                    if not roles.isdisjoint(sequence):
+                        order = _order([sequence], roles)
+                        met.add((host, k, hashlib.blake2b("\n".join(order).encode(), digest_size=16).hexdigest() if order else ""))
+            columns = list(zip(*met, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string())], ["host", "class", "order"])
+
+    found = _with_side(rows, held).select("host", "html", "classes").mapInArrow(run, "host string, class int, order string")
+    return found.groupBy("host", "class").agg(F.min("order").alias("low"), F.max("order").alias("high")).where("low = high AND low <> ''").select("host", "class")
+
+
+def _with_side(rows: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
+    return rows.join(F.broadcast(side) if small_enough(side, BROADCAST_HOSTS) else side, "host", how)
+
+
+def _block_counts(rows: DataFrame) -> DataFrame:
+    """Per host and block of the whole body: in how many of all its pages it stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: dict[tuple, int] = {}
+            for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                for b in set(blocks(html, None)):
+                    counts[host, b] = counts.get((host, b), 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([k[c] for k in counts], pa.string()) for c in (0, 1)] + [pa.array(list(counts.values()), pa.int64())], ["host", "block", "n"])
+
+    return rows.select("host", "html").mapInArrow(run, "host string, block string, n bigint").groupBy("host", "block").agg(F.sum("n").alias("n"))
+
+
+def templates(rows: DataFrame) -> DataFrame:
+    """(host, template) as `deduce` finds it in all pages of the host: sums over pages, no host's pages in one place."""
+    rows = rows.where("host <> ''")
+    sums = materialise(_role_sums(rows))
+    pages = materialise(sums.where("role = ''").select("host", F.col("n").alias("pages")))
+    frequent = _with_side(sums.where("role <> ''"), pages).where(2 * F.col("n") > F.col("pages"))
+    classes = frequent.groupBy("host", "n", "f", "g").agg(F.sort_array(F.collect_list("role")).alias("roles"))
+    main_like = F.udf(lambda roles: [r[1:] for r in roles if r[0] == "o" and _may_be_main(r[1:])], "array<string>")
+    #: Only classes that hold an article or main element decide on the template.
+    classes = classes.withColumn("main", main_like("roles")).where(F.size("main") > 0)
+    held = materialise(classes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("roles", "main"))).alias("c")))
+    valid = materialise(_orders(rows, held.select("host", F.to_json(F.col("c.roles")).alias("classes"))))
+    main = held.select("host", F.posexplode("c").alias("class", "c")).join(valid, ["host", "class"]).select("host", F.explode("c.main").alias("main"))
+    main = materialise(main.groupBy("host").agg(F.sort_array(F.collect_set("main")).alias("main")))
+    #: Hosts without one: what most of all their pages share.
+    bare = materialise(pages.where(F.col("pages") >= CONSTANT_PAGES).join(main, "host", "left_anti"))
+    constant = _with_side(_block_counts(_with_side(rows, bare)), bare).where(F.col("n") > CONSTANT_SHARE * F.col("pages"))
+    constant = materialise(constant.groupBy("host").agg(F.sort_array(F.collect_list("block")).alias("constant")))
+    named = pages.select("host").join(main, "host", "left").join(constant, "host", "left")
+    none = F.array().cast("array<string>")
+    return named.select("host", F.coalesce("main", none).alias("main"), F.coalesce("constant", none).alias("constant"))
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: id, url, text (main blocks joined by blank lines)."""
-    spark = pages.sparkSession
-    workers_see_package(spark)
+    workers_see_package(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    few = Window.partitionBy("host").orderBy(F.xxhash64("id", "url"), F.col("id").asc_nulls_last(), "url")
-    chosen = rows.where("host <> ''").select("id", "url", "host").withColumn("r", F.row_number().over(few)).where(F.col("r") <= sample_pages)
-    chosen = materialise(chosen.select("id", "host").where("id IS NOT NULL").distinct())
-    side = F.broadcast(chosen) if small_enough(chosen) else chosen
-    sampled = rows.select("id", "host", "html").join(side, ["id", "host"], "left_semi")
-
-    def deduced(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values("id").head(2 * sample_pages)["html"].tolist()
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "template": [json.dumps(deduce(own))]})
-
-    templates = materialise(sampled.groupBy("host").applyInPandas(deduced, "host string, template string"))
-    templates = F.broadcast(templates) if small_enough(templates, BROADCAST_HOSTS) else templates
-    met = rows.join(templates, "host", "left")
+    unmarked = F.udf(lambda main: _unmarked(main), "array<string>")
+    found = templates(rows).select("host", F.to_json(F.struct(unmarked("main").alias("main"), "constant")).alias("template"))
+    met = _with_side(rows, materialise(found), "left")
     key, url = (rows.schema[c].dataType.simpleString() for c in ("id", "url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
