@@ -374,3 +374,14 @@ def test_template_classes_need_one_order(spark):
         got = web_text.templates(rows).first()
         want = web_text.deduce(pages + odd)
         assert (got.main, got.constant) == (want["main"], want["constant"]) and bool(got.main) == (not odd)
+
+
+def test_crowded_bucket_loses_no_pair(spark):
+    """Pairs whose only common band is one that many unlike texts share."""
+    rnd = random.Random(15)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(40)]
+    texts += [texts[k] + " more" for k in (5, 17, 33, 39)]
+    nodes = spark.createDataFrame([(i, [1, 100 + i, 200 + i]) for i in range(len(texts))], "id bigint, bands array<bigint>")
+    idf = spark.sparkContext.broadcast(np.ones(near_dedup.SKETCH, np.float32))
+    edges = near_dedup.links(nodes, spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"), idf)
+    assert {tuple(sorted((r.a, r.b))) for r in edges.collect()} == {(5, 40), (17, 41), (33, 42), (39, 43)}

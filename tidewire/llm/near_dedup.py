@@ -11,8 +11,7 @@ by exact weighted Jaccard similarity of the whole texts. Members that reach the
 centre form the bucket's next round. By the triangle inequality of the Jaccard distance only members near the edge of a
 centre's ball can be similar to one outside it: such pairs, where the links don't connect them yet, are compared too. So
 no class loses a link between bucket mates, without pairing a group with itself. Classes are the connected components.
-Buckets that keep unlinked members after the first round are split by a second common band first: a pair of similarity
-0.8 has one with probability 0.9976 (0.9999 at 0.85).
+Each round takes twice the centres of the one before, so that a bucket of unlike members is settled in few rounds.
 
 Texts without words are classes of their own, as are rows with a null id (class null). Rows repeated under one id
 have one class per text. An empty table gives an empty result.
@@ -34,7 +33,7 @@ from tidewire.runtime import checked, materialise, workers_see_package
 WORDS = 5
 THRESHOLD = 0.8
 ROWS, BANDS = 4, 16
-#: Members of a bucket that a round compares with all its others.
+#: Members of a bucket that the first round compares with all its others; each later round takes twice as many.
 CENTRES = 8
 #: Counters of the document-frequency sketch (fixed size: 4 MB), and how much more a unique shingle weighs.
 SKETCH = 1 << 20
@@ -226,8 +225,9 @@ def links(nodes: DataFrame, texts: DataFrame, idf, threshold: float = THRESHOLD)
     first = Window.partitionBy("bucket").orderBy(F.desc("weight"), "id")
     reach = 2 * threshold - 1  # members farther from a centre than twice the bar have no mate in its ball
     near_by: list[DataFrame] = []
+    count = CENTRES
     while True:
-        ranked = members.withColumn("r", F.row_number().over(first)).where(F.col("r") <= CENTRES)
+        ranked = members.withColumn("r", F.row_number().over(first)).where(F.col("r") <= count)
         centres = checked(materialise(ranked.select("bucket", F.col("id").alias("centre"), F.col("weight").alias("centre_weight"))))
         behind = (F.col("weight") < F.col("centre_weight")) | ((F.col("weight") == F.col("centre_weight")) & (F.col("id") > F.col("centre")))
         met = materialise(members.join(centres, "bucket").where(behind).select("bucket", "id", "weight", "centre"))
@@ -238,8 +238,9 @@ def links(nodes: DataFrame, texts: DataFrame, idf, threshold: float = THRESHOLD)
         judged = met.join(checked(told.select(F.col("a").alias("id"), F.col("b").alias("centre"), "similarity")), ["id", "centre"])
         #: Not linked to any centre, and no centre itself (all centres of the bucket come before it).
         left = judged.groupBy("bucket", "id").agg(F.max("similarity").alias("best"), F.max("weight").alias("weight"), F.count("*").alias("n"))
-        rest = left.where((F.col("best") < threshold) & (F.col("n") == CENTRES)).select("bucket", "id", "weight")
-        members = materialise(rest if len(near_by) > 1 else _refined(rest, nodes))
+        rest = left.where((F.col("best") < threshold) & (F.col("n") == count)).select("bucket", "id", "weight")
+        members = materialise(rest)
+        count *= 2
         if members.isEmpty():
             break
     if not near_by:
@@ -262,16 +263,6 @@ def links(nodes: DataFrame, texts: DataFrame, idf, threshold: float = THRESHOLD)
     return materialise(edges.union(compared(pairs, texts, idf).where(F.col("similarity") >= threshold).select("a", "b")))
 
 
-def _refined(rest: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The members of crowded buckets by pairs of their bands: passages that many unlike texts share fill single buckets."""
-    rest = materialise(rest)
-    bands = nodes.join(checked(materialise(rest.select("id").distinct()), 200_000), "id", "left_semi").select("id", F.explode("bands").alias("second"))
-    met = rest.join(bands, "id").where("bucket <> second")
-    paired = met.select(F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second")).alias("bucket"), "id", "weight").distinct()
-    crowded = materialise(paired.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
-    return paired.join(checked(crowded), "bucket")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(id, class) of the nodes with edges."""
     return connected_components(edges.select(F.col("a").alias("id")).union(edges.select("b")), edges).withColumnRenamed("component", "class")
