@@ -1,11 +1,14 @@
 """Main text of web pages by template deduction from equivalence classes of tokens.
 
-Pages become token sequences; a token's role is its tag (with class and id) and path. Over all of a host's
-pages each role has an occurrence vector (how often it stands in each page). Roles of equal vectors form an equivalence
-class; a class is valid if its roles stand in one order in every page and its repetitions don't interleave. Valid
-classes nest by span into the host's template, whose gaps are the slots. A slot is main if it lies under an article (or
-main) element of the template, or, in templates without one, under no boilerplate element and with text that differs
-between the pages. Extraction keeps the text of a page's main slots, less boilerplate elements inside them.
+Pages become token sequences; a token's role is its tag (with class and id) and path. Over all of a host's pages each
+role has an occurrence vector (how often it stands in each page). Roles of equal vectors form an equivalence class; a
+class is valid if its roles stand in one order in every page and its repetitions don't interleave. The article and main
+elements of valid classes that stand in most pages are the host's template. Extraction keeps the text under them, less
+elements that their tag, class or id names as boilerplate. Hosts without such an element lose the blocks that most of
+their pages share.
+
+Not built: words have no occurrence vectors, valid classes are not nested by their spans, and no slots are formed; tag
+and class rules stand in for them.
 
 Every page is parsed whole. Pages of hosts with one page, and pages that their host's template does not fit, are read
 by the same rules with their own elements as the template. Null html gives an empty text. Rows repeat as they come.
@@ -129,7 +132,7 @@ def roles_of(page: str) -> list[str]:
 
 
 def deduce(pages: list[str]) -> dict:
-    """The template of same-host pages: its nested valid classes, and which of its elements hold main slots."""
+    """The template of same-host pages: the elements of its valid classes, the main ones, and the constant blocks."""
     sequences = [roles_of(p) for p in pages]
     vectors: dict[str, list[int]] = {}
     for k, sequence in enumerate(sequences):
@@ -144,7 +147,6 @@ def deduce(pages: list[str]) -> dict:
         order = _order(sequences, set(roles))
         if order:
             valid.append((vector, order))
-    #: Classes nest: the one that occurs once encloses the others; each slot follows a role of its class.
     template = sorted({role for _, order in valid for role in order if role[0] == "o"})
     elements = [role[1:] for role in template]
     main = _unmarked([e for e in elements if _may_be_main(e)])
