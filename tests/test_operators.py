@@ -222,3 +222,31 @@ def test_display_dedup_equals_the_rule_over_all_pairs(spark, seed):
     rows = [(i, float(i % 7), rnd.choice([None, f"u{rnd.randrange(60)}"]), rnd.choice([None, None, f"t{rnd.randrange(40)}"]), rnd.choice([None, vector(), rnd.choice(shared)])) for i in range(150)]
     got = [r.id for r in E.display_dedup(spark.createDataFrame(rows, schema)).collect()]
     assert len(got) == len(set(got)) and set(got) == displayed(rows, 0.73)
+
+
+def unit(cosine):
+    return [cosine, (1 - cosine * cosine) ** 0.5]
+
+
+def test_event_edges_below_the_strong_bar_need_like_titles(spark):
+    data = [(1, "Markets rally on rates", unit(1.0)), (2, "Something else", unit(0.8)), (3, "Markets rally on rate cut", unit(0.8)), (4, "Unlike words", unit(0.9)), (5, None, unit(-0.5))]
+    rows = spark.createDataFrame(data, "id bigint, title string, embedding array<double>").withColumn("published_at", F.lit("2024-01-01").cast("timestamp"))
+    grams = lambda t: {c[i : i + 3] for c in ["".join((t or "").lower().split())] for i in range(len(c) - 2)}
+    want = set()
+    for i, t, x in data:
+        for j, u, y in data:
+            cosine, a, b = x[0] * y[0] + x[1] * y[1], grams(t), grams(u)
+            if i < j and cosine >= 0.72 and (cosine >= 0.86 or (a and b and len(a & b) / len(a | b) >= 0.12)):
+                want.add((i, j))
+    assert (1, 2) not in want and (1, 3) in want
+    assert {(r.a, r.b) for r in C.event_edges(rows).collect()} == want
+
+
+def test_validate_cluster_by_titles(spark):
+    like, far = unit(1.0), unit(-0.9)
+    data = [(1, 1, like, "Markets rally"), (1, 2, like, "Markets rally on"), (1, 3, far, "Quite another"), (1, 4, like, "Markets rally now"),
+            (2, 1, like, "Markets rally"), (2, 2, like, "Markets rally on"), (2, 3, far, "Markets rally too"), (2, 4, like, "Markets"),
+            (3, 1, like, "Abcdef"), (3, 2, unit(0.3), "Uvwxyz"), (4, 1, like, "Abcdef"), (4, 2, unit(0.3), "Abcdeg"), (5, 1, like, "Abcdef"), (6, 1, like, "Abcdef"), (6, 2, unit(0.55), "Uvwxyz")]
+    rows = spark.createDataFrame(data, "c bigint, id bigint, v array<double>, title string")
+    got = {(r.c, r.id) for r in C.validate_cluster(rows, "c", "id", "v", 0.58, "title").where("outlier").collect()}
+    assert got == {(1, 3), (3, 1), (3, 2)}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.functions.text import char_ngrams, jaccard
 from tidewire.operators.similarity import dot
 
 
@@ -20,12 +21,19 @@ def band_join(left: DataFrame, right: DataFrame, time: str, hours: int) -> DataF
     return a.join(b, "_b").where(F.abs(F.unix_timestamp("_ta") - F.unix_timestamp("_tb")) <= seconds).drop("_b")
 
 
-def event_edges(articles: DataFrame, vector: str = "embedding", hours: int = 48, least: float = 0.72) -> DataFrame:
-    """(a, b, cosine) of real articles near in time and similar; ids a < b."""
-    left = articles.select(F.col("id").alias("a"), F.col(vector).alias("va"), "published_at")
-    right = articles.select(F.col("id").alias("b"), F.col(vector).alias("vb"), "published_at")
+def event_edges(articles: DataFrame, vector: str = "embedding", hours: int = 48, least: float = 0.72, strong: float = 0.86, overlap: float = 0.12) -> DataFrame:
+    """(a, b, cosine) of real articles near in time and similar; ids a < b.
+
+    Pairs under `strong` also need titles of n-gram overlap `overlap` (none without a title column); strong = least leaves titles out.
+    """
+    title = F.col("title") if "title" in articles.columns else F.lit(None).cast("string")
+    left = articles.select(F.col("id").alias("a"), F.col(vector).alias("va"), title.alias("ta"), "published_at")
+    right = articles.select(F.col("id").alias("b"), F.col(vector).alias("vb"), title.alias("tb"), "published_at")
     met = band_join(left, right, "published_at", hours).where("a < b")
-    return met.select("a", "b", dot(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") >= least)
+    near = met.select("a", "b", "ta", "tb", dot(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") >= least)
+    if strong > least:
+        near = near.where((F.col("cosine") >= strong) | (jaccard(char_ngrams(F.col("ta")), char_ngrams(F.col("tb"))) >= overlap))
+    return near.select("a", "b", "cosine")
 
 
 def one_per_source(articles: DataFrame, component: DataFrame, edges: DataFrame) -> DataFrame:
@@ -43,10 +51,22 @@ def cluster_order(members: DataFrame, regions: DataFrame) -> DataFrame:
     return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("regions"), F.desc("sources"), F.desc("articles"), "component")))
 
 
-def validate_cluster(rows: DataFrame, group: str, key: str, vector: str, least: float) -> DataFrame:
-    """Members whose mean cosine to the others is below `least`, from the group's vector sum: no pairs are made."""
+def validate_cluster(rows: DataFrame, group: str, key: str, vector: str, least: float, title: str | None = None, overlap: float = 0.05, pair: float = 0.50, pair_overlap: float = 0.03) -> DataFrame:
+    """Members whose mean cosine to the others is below `least`, from the group's vector sum: no pairs are made for it.
+
+    With `title`, an outlier's mean title overlap is also below `overlap`, and two members part below `pair` and `pair_overlap`;
+    titles are compared only for members that their cosine leaves open. Without it the cosine decides alone.
+    """
     flat = rows.select(group, key, F.posexplode(vector).alias("i", "x"))
     total = flat.groupBy(group, "i").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count("*").alias("n"))
     own = flat.join(total, [group, "i"]).groupBy(group, key).agg(F.sum(F.col("x") * F.col("s")).alias("xs"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.max("n").alias("n"))
     mean = (F.col("xs") - F.col("xx")) / F.nullif(F.col("n") - 1, F.lit(0))
-    return own.select(group, key, F.round(mean, 4).alias("mean_cosine"), F.coalesce(mean < least, F.lit(False)).alias("outlier"))
+    if title is None:
+        return own.select(group, key, F.round(mean, 4).alias("mean_cosine"), F.coalesce(mean < least, F.lit(False)).alias("outlier"))
+    judged = own.select(group, key, "n", mean.alias("mean"), F.coalesce(mean < F.when(F.col("n") == 2, pair).otherwise(least), F.lit(False)).alias("open"))
+    grams = rows.select(group, key, char_ngrams(F.col(title)).alias("g"))
+    others = grams.select(group, F.col(key).alias("_other"), F.col("g").alias("_g"))
+    met = judged.where("open").select(group, key).join(grams, [group, key]).join(others, group).where(F.col(key) != F.col("_other"))
+    titles = met.groupBy(group, key).agg(F.avg(jaccard(F.col("g"), F.col("_g"))).alias("o"))
+    unlike = F.col("o") < F.when(F.col("n") == 2, pair_overlap).otherwise(overlap)
+    return judged.join(titles, [group, key], "left").select(group, key, F.round("mean", 4).alias("mean_cosine"), F.coalesce(F.col("open") & unlike, F.lit(False)).alias("outlier"))

@@ -100,12 +100,12 @@ def _vector_articles(s, d):
 
 @query("j11_event_edges", f"WITH {_VA}, {_EDGE} SELECT a, b FROM ed")
 def j11(s, d):
-    return C.event_edges(_vector_articles(s, d), least=0.40).select("a", "b")
+    return C.event_edges(_vector_articles(s, d), least=0.40, strong=0.40).select("a", "b")
 
 
 @query("d11_components", f"WITH RECURSIVE {_VA}, {_EDGE}, u AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed), r AS (SELECT a AS id, a AS c FROM u UNION SELECT u.a, r.c FROM r JOIN u ON u.b = r.id WHERE r.c < u.a) SELECT id, min(c) AS component FROM r GROUP BY 1")
 def d11(s, d):
-    e = C.event_edges(_vector_articles(s, d), least=0.40).select("a", "b")
+    e = C.event_edges(_vector_articles(s, d), least=0.40, strong=0.40).select("a", "b")
     return G.connected_components(e.select(F.col("a").alias("id")).union(e.select("b")), e)
 
 
@@ -113,7 +113,7 @@ def d11(s, d):
  g AS (SELECT a AS id, count(*) AS degree FROM u GROUP BY 1), o AS (SELECT k.component, va.id, va.source_name, g.degree, row_number() OVER (PARTITION BY k.component, va.source_name ORDER BY g.degree DESC, va.size DESC, va.published_at DESC, va.id) AS n FROM va JOIN k ON k.id = va.id JOIN g ON g.id = va.id) SELECT component, id, source_name, degree FROM o WHERE n = 1""")
 def w04(s, d):
     v = _vector_articles(s, d)
-    e = C.event_edges(v, least=0.40).select("a", "b")
+    e = C.event_edges(v, least=0.40, strong=0.40).select("a", "b")
     k = G.connected_components(e.select(F.col("a").alias("id")).union(e.select("b")), e)
     return C.one_per_source(v, k, e)
 
