@@ -250,3 +250,17 @@ def test_validate_cluster_by_titles(spark):
     rows = spark.createDataFrame(data, "c bigint, id bigint, v array<double>, title string")
     got = {(r.c, r.id) for r in C.validate_cluster(rows, "c", "id", "v", 0.58, "title").where("outlier").collect()}
     assert got == {(1, 3), (3, 1), (3, 2)}
+
+
+def test_token_set_query_reads_whole_texts(spark):
+    from tidewire.plans import text_queries as Q
+    from tidewire.sources import views as V
+
+    sf = "/root/testdata/sf0.001"
+    text = {r["doc_id"]: r["text"] for r in V.table(spark, sf, "documents").select("doc_id", "text").collect()}
+    before, want = {}, {}
+    for r in V.articles(spark, sf).select("id", "source_name").orderBy("id").collect():
+        want[r.id] = round(Y.token_set_ratio(text[r.id], text.get(before.get(r.source_name))), 4)
+        before[r.source_name] = r.id
+    got = {r.id: r.score for r in Q.QUERIES["d06_token_set_ratio"](spark, sf).collect()}
+    assert got == pytest.approx(want, abs=1e-3)

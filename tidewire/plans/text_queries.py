@@ -144,9 +144,9 @@ def d08(s, d):
 
 @query("d06_token_set_ratio")
 def d06(s, d):
-    a = V.articles(s, d).select("source_name", "id", "title")
+    a = V.articles(s, d).select("source_name", "id", "content")
     w = Window.partitionBy("source_name").orderBy("id")
-    return a.withColumn("before", F.lag("title").over(w)).select("id", F.round(Y.token_set_udf("title", "before"), 4).alias("score"))
+    return a.withColumn("before", F.lag("content").over(w)).select("id", F.round(Y.token_set_udf("content", "before"), 4).alias("score"))
 
 
 @query("j14_match_history", """WITH v AS (SELECT vec_id, embedding, DATE '2024-01-01' + CAST(vec_id % 10 AS INTEGER) AS day FROM embeddings),
