@@ -114,10 +114,25 @@ def shared_passage():
     return texts + [texts[k] + " more" for k in (3, 30, 60)]
 
 
-@pytest.mark.parametrize("fixture", [near_copies, shared_passage])
-def test_near_dedup_against_all_pairs(spark, fixture):
+def one_large_group():
+    """Many copies of one text with few to many changed words: similarities of all sizes around the threshold."""
+    rnd = random.Random(21)
+    vocabulary = [f"u{i}" for i in range(500)]
+    base = [rnd.choice(vocabulary) for _ in range(150)]
+    texts = []
+    for _ in range(160):
+        own = list(base)
+        for _ in range(rnd.randint(0, 12)):
+            own[rnd.randrange(len(own))] = rnd.choice(vocabulary)
+        texts.append(" ".join(own))
+    return texts
+
+
+@pytest.mark.parametrize("fixture", [near_copies, shared_passage, one_large_group])
+@pytest.mark.parametrize("most", [10, 768])
+def test_near_dedup_against_all_pairs(spark, fixture, most):
     rows = list(enumerate(fixture()))
-    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id bigint, text string"), most_members=most).collect()}
     owner, value, _ = near_dedup.shingles(*buffers_of([t for _, t in rows]))
     frequency = np.bincount((value % np.uint64(near_dedup.SKETCH)).astype(int), minlength=near_dedup.SKETCH)
     idf = near_dedup.idf_table(frequency, len(rows))
@@ -377,11 +392,28 @@ def test_template_classes_need_one_order(spark):
 
 
 def test_crowded_bucket_loses_no_pair(spark):
-    """Pairs whose only common band is one that many unlike texts share."""
+    """Pairs whose only common band is one that many unlike texts share, dealt over several cells."""
     rnd = random.Random(15)
     texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(40)]
     texts += [texts[k] + " more" for k in (5, 17, 33, 39)]
-    nodes = spark.createDataFrame([(i, [1, 100 + i, 200 + i]) for i in range(len(texts))], "id bigint, bands array<bigint>")
+    bare = np.random.default_rng(3).integers(0, 65536, (len(texts), 64), dtype=np.uint16)
+    bare[:, :4] = 9  # the one band of all
+    for k, other in ((5, 40), (17, 41), (33, 42), (39, 43)):
+        bare[other, 4::4] = bare[k, 4::4]
+        bare[other, 5::4] = bare[k, 5::4]
+        bare[other, 6::4] = bare[k, 6::4]
+    nodes = spark.createDataFrame([(i, i, i, 60, row.tobytes()) for i, row in enumerate(bare)], "node bigint, id bigint, h bigint, words bigint, sample binary")
     idf = spark.sparkContext.broadcast(np.ones(near_dedup.SKETCH, np.float32))
-    edges = near_dedup.links(nodes, spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"), idf)
-    assert {tuple(sorted((r.a, r.b))) for r in edges.collect()} == {(5, 40), (17, 41), (33, 42), (39, 43)}
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id bigint, h bigint, text string")
+    for most in (8, 1000):
+        edges = near_dedup.links(nodes, docs, idf, most_members=most)
+        assert {tuple(sorted((r.a, r.b))) for r in edges.collect()} == {(5, 40), (17, 41), (33, 42), (39, 43)}
+
+
+def test_near_dedup_tells_texts_of_one_id_apart(spark):
+    x = " ".join(f"a{k}" for k in range(60))
+    y = " ".join(f"b{k}" for k in range(60))
+    rows = [(3, x), (7, x + " end"), (7, "quite another text of its own words"), (9, y), (9, y)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(near_dedup.one_of_each(docs).collect()) == sorted(r for k, r in enumerate(rows) if k not in (1, 4))
+    assert sorted(r.class_id for r in near_dedup.classes(docs).collect()) == [3, 3, 7, 9, 9]
