@@ -231,10 +231,12 @@ def test_byte_bpe_equals_tiktoken(spark):
     texts = ["".join(rnd.choice(alphabet) for _ in range(n)) for n in (0, 1, 50, 400, 900, 2500)] + ["b" * 3000, " " * 900, None, "x " * 700]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r for r in byte_bpe.encode(docs, path, pattern, chunk_chars=200, overlap_chars=40).collect()}
+    short = {r.doc_id: r for r in byte_bpe.digests(docs, path, pattern, chunk_chars=200, overlap_chars=40).collect()}
     for i, t in enumerate(texts):
         want = np.array(coder.encode_ordinary(t or ""), "<u4").tobytes()
         assert bytes(got[i].ids) == want and bytes(got[i].decoded) == (t or "").encode()
         assert byte_bpe.stitched(t or "", path, pattern, 200, 40).tobytes() == want
+        assert (short[i].n_tokens, short[i].ids_sha256, short[i].decoded_sha256) == (len(want) // 4, hashlib.sha256(want).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
 
 
 def test_byte_bpe_odd(odd, none):
