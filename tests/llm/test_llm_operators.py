@@ -193,10 +193,10 @@ def brute_repeats(rows, width=repeats.WIDTH):
     return out
 
 
-@pytest.mark.parametrize("hot", [2_000, 15])
-def test_repeats_against_all_windows(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT_ROWS", hot)
-    monkeypatch.setattr(repeats, "GROUP_CONTEXTS", 4_000 if hot > 100 else 5)
+@pytest.mark.parametrize("most", [4_000, 5])
+def test_repeats_against_all_windows(spark, monkeypatch, most):
+    monkeypatch.setattr(repeats, "GROUP_CONTEXTS", most)
+    monkeypatch.setattr(repeats, "FLUSH", most)
     rnd = random.Random(5)
     shared = ["".join(rnd.choice("abcdefgh é") for _ in range(rnd.randint(80, 400))) for _ in range(12)]
     rows = [(i, "".join(rnd.choice(shared)[rnd.randint(0, 30) :] if rnd.random() < 0.6 else "".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 120))) for _ in range(rnd.randint(0, 6)))) for i in range(80)]
@@ -205,6 +205,17 @@ def test_repeats_against_all_windows(spark, monkeypatch, hot):
     assert got == brute_repeats(rows)
 
 
+def test_pieces_of_long_texts_have_the_same_windows():
+    data = np.random.default_rng(2).integers(97, 100, 5000).astype(np.uint8)
+    at = np.array([0, 3000, 3050, 5000])
+
+    def windows(found):
+        return {(d, w, a) for d, f, e, a in zip(*(found[k].tolist() for k in ("doc", "first", "last", "anchor")), strict=True) for w in range(f, e + 1)}
+
+    whole, pieces = (windows(repeats.long_anchors(data, at, most)) for most in (10_000, 700))
+    assert whole == pieces and len(whole) == 3000 - 99 + 1950 - 99
+
+
 def test_maximal_repeat_groups_hold_all_occurrences():
     body = bytes(range(65, 91)) * 1
     contexts = [b"1" + body + b"x", b"2" + body + b"y", b"3" + body + b"y"]

@@ -80,3 +80,12 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     """64-bit hashes of data[start:end] (equal spans hash alike wherever they stand); the length is mixed in."""
     down = powers(len(prefix), INVERSE, "down")
     return mix64((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+
+def sliding_hash(prefix: np.ndarray, width: int) -> np.ndarray:
+    """span_hash() of every span of `width` bytes."""
+    n = len(prefix) - width
+    out = prefix[width:] - prefix[:n]
+    out *= powers(len(prefix), INVERSE, "down")[:n]
+    out += np.uint64(width * 0xA24BAED4963EE407 & (1 << 64) - 1)
+    return mix64(out)

@@ -5,19 +5,20 @@ are the bytes of all but the first occurrence of the maximal repeats of WIDTH by
 
 Finding candidates. Every window of WIDTH bytes is owned by its minimiser, the GRAM-byte string of least hash in it
 (leftmost of equals): equal windows have equal owners at equal places. The consecutive windows that one owner owns are a
-block, named by the owner's hash (anchor) and the hash of the block's bytes. A task keeps the first of its equal blocks
-and settles the others at once; the rest are dealt by anchor. Of blocks equal in both hashes all but the first are
-repeats throughout. Anchors that two different blocks share are the places where repeats begin and end: only for these
-are bytes fetched.
+block, named by the owner's hash (anchor) and the hash of the block's bytes. One pass over the texts makes the blocks; a
+task keeps the first of its equal blocks and settles the others at once, the rest are dealt by anchor, and of blocks
+equal in both hashes all but the first are repeats throughout. Anchors that two different blocks share are the places
+where repeats begin and end: only for these are bytes fetched.
 
 Settling them. The blocks of an anchor become contexts; their suffixes that start a window are sorted, the common-prefix
 array is scanned with a stack into its interval tree, and each interval of at least WIDTH bytes whose suffixes differ in
 the byte before (or start a block) is a maximal repeat, put out as a group with all its occurrences. All but a group's
-first occurrence are removed. Anchors of very many different blocks (found by a sketch of fixed size that covers all
-rows) are not gathered: their windows are grouped by hash instead, which gives the same bytes.
+first occurrence are removed. The suffixes of an anchor with more than GROUP_CONTEXTS different blocks are not gathered:
+they are dealt by their first WIDTH bytes (a hash), of whose occurrences all but the first go, which gives the same bytes.
 
 Null texts are empty. Documents are taken in order of id, null last; rows repeated under one id are ordered by their text
-digest, and equal ones are told apart. Hashes of blocks and windows have 128 bits.
+digest, and equal ones are told apart. Texts of any length are read whole. An empty table gives an empty result; extra
+columns are ignored, whatever their names. Hashes of blocks and windows have 128 bits.
 """
 
 from __future__ import annotations
@@ -34,47 +35,65 @@ from tidewire.runtime import checked, materialise, workers_see_package
 
 WIDTH = 100
 GRAM = 24
-#: Counters of the sketch of anchors, and the mean multiple beyond which a counter's anchors are hot.
-SKETCH = 1 << 17
-HOT_ROWS = 2_000
-HOT_MULTIPLE = 8
 #: Contexts of an anchor that are put into one suffix array at most; beyond that its windows are grouped by hash.
 GROUP_CONTEXTS = 4_000
-SLICE = 1_000_000
+#: Bytes of text that are worked on at once: small enough for the arrays to stay in the processor's cache.
+SLICE = 100_000
+#: Bytes of text that are read in one piece at most.
+LONG = 1 << 22
 #: Blocks that a task holds before it settles the equal ones.
 FLUSH = 400_000
 
 
 def anchors(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
-    """Blocks of the concatenated texts: doc, first and last window start, owner's place, anchor and block hashes."""
-    grams_in = WIDTH - GRAM + 1
+    """Blocks of the concatenated texts (under 16 MB): doc, first and last window start, anchor and block hashes."""
     n = len(data)
-    empty = {k: np.zeros(0, np.uint64 if k in ("anchor", "block") else np.int64) for k in ("doc", "first", "last", "owner", "anchor", "block")}
+    empty = {k: np.zeros(0, np.uint64 if k in ("anchor", "block") else np.int64) for k in ("doc", "first", "last", "anchor", "block")}
     if n < WIDTH:
         return empty
     prefix = buffers.prefix_hash(data)
-    grams = n - GRAM + 1
-    where = np.arange(grams)
-    hashed = buffers.span_hash(prefix, where, where + GRAM)
-    #: The least hash of each run of grams_in grams, the leftmost of equals: place in the low bits of the compared value.
-    block = ((grams + grams_in - 1) // grams_in) * grams_in
-    ranked = np.full(block, np.iinfo(np.uint64).max, np.uint64)
-    ranked[:grams] = (hashed >> np.uint64(24) << np.uint64(24)) | (where % (1 << 24)).astype(np.uint64)
-    grid = ranked.reshape(-1, grams_in)
-    ahead = np.minimum.accumulate(grid, 1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
-    windows = n - WIDTH + 1
-    least = np.minimum(behind[:windows], ahead[grams_in - 1 : grams_in - 1 + windows])
-    owner = np.arange(windows) + ((least & np.uint64((1 << 24) - 1)).astype(np.int64) - np.arange(windows)) % (1 << 24)
-    doc = np.searchsorted(at, np.arange(0, windows), side="right") - 1
-    inside = at[doc + 1] - WIDTH >= np.arange(windows)
-    change = np.flatnonzero(inside & np.append(True, (owner[1:] != owner[:-1]) | ~inside[:-1] | (doc[1:] != doc[:-1])))
+    hashed = buffers.sliding_hash(prefix, GRAM)
+    place = np.uint64((1 << 24) - 1)
+    #: The least hash of each run of WIDTH - GRAM + 1 grams, the leftmost of equals: place in the low bits of the compared value.
+    least = (hashed & ~place) | np.arange(len(hashed), dtype=np.uint64)
+    have, wanted = 1, WIDTH - GRAM + 1
+    while have < wanted:
+        step = min(have, wanted - have)
+        least = np.minimum(least[:-step], least[step:])
+        have += step
+    owner = (least & place).view(np.int64)
+    inside = np.zeros(len(owner) + 1, np.int8)
+    held = np.flatnonzero(np.diff(at) >= WIDTH)
+    starts, stops = at[held], at[held + 1] - WIDTH + 1
+    np.add.at(inside, starts, 1)
+    np.add.at(inside, stops, -1)
+    inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+    fresh = np.empty(len(owner) + 1, bool)
+    np.not_equal(owner[1:], owner[:-1], out=fresh[1:-1])
+    fresh[0] = fresh[-1] = True
+    fresh[starts] = True
+    fresh[stops[stops < len(owner)]] = True
+    change = np.flatnonzero(fresh[:-1] & inside)
     if not len(change):
         return empty
-    ends = np.flatnonzero(inside & np.append((owner[1:] != owner[:-1]) | ~inside[1:] | (doc[1:] != doc[:-1]), True))
+    ends = np.flatnonzero(fresh[1:] & inside)
     own = owner[change]
     content = buffers.span_hash(prefix, change, ends + WIDTH) ^ ((own - change).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return {"doc": doc[change], "first": change - at[doc[change]], "last": ends - at[doc[change]], "owner": own - at[doc[change]], "anchor": hashed[own], "block": content}
+    doc = np.searchsorted(at, change, side="right") - 1
+    return {"doc": doc, "first": change - at[doc], "last": ends - at[doc], "anchor": hashed[own], "block": content}
+
+
+def long_anchors(data: np.ndarray, at: np.ndarray, most: int = LONG) -> dict[str, np.ndarray]:
+    """anchors() of texts of any length: long ones in overlapping pieces, at whose seams a block is cut in two."""
+    if len(data) <= most:
+        return anchors(data, at)
+    out = []
+    for doc, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        for start in range(a, max(b - WIDTH + 1, a + 1), most):
+            piece = data[start : min(start + most + WIDTH - 1, b)]
+            found = anchors(piece, np.array([0, len(piece)]))
+            out.append(found | {"doc": found["doc"] + doc, "first": found["first"] + start - a, "last": found["last"] + start - a})
+    return {k: np.concatenate([o[k] for o in out]) for k in out[0]}
 
 
 def spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -161,121 +180,82 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialise(ordered.select(F.monotonically_increasing_id().alias("uid"), "id", "text"))
 
 
-BLOCK_SCHEMA = "kind int, anchor bigint, block bigint, uid bigint, first int, last int, own int"
+BLOCK_SCHEMA = "kind int, anchor bigint, block bigint, uid bigint, first int, last int"
+_BLOCK = ("anchor", "block", "uid", "first", "last")
 
 
-def _first_of_equal(*keys: np.ndarray) -> np.ndarray:
-    """Mask of the rows that are the first, in the given order, of those equal in all keys but the last."""
-    order = np.lexsort((keys[-1], *keys[:-1]))
-    differ = np.zeros(len(order), bool)
-    differ[:1] = True
-    for k in keys[:-1]:
-        differ[1:] |= k[order][1:] != k[order][:-1]
-    out = np.zeros(len(order), bool)
-    out[order[differ]] = True
-    return out
+def blocks(texts: DataFrame) -> DataFrame:
+    """One pass over (uid, text). kind 0: a run of window starts that stand earlier too; 1: a block, the first of those equal that a task met."""
 
-
-def removals(keyed: DataFrame) -> DataFrame:
-    """(uid, first, last): runs of window starts that stand earlier too, of (uid, text)."""
-    spark = keyed.sparkSession
-    texts = keyed.select("uid", "text")
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Anchors of the blocks that a task would deal out: equal blocks count once."""
-        sketch, held, waiting = np.zeros(SKETCH, np.int64), [], 0
-
-        def flush() -> None:
-            anchor, block = (np.concatenate(x) for x in zip(*held, strict=True))
-            once = anchor[_first_of_equal(block, anchor, np.arange(len(anchor)))]
-            np.add(sketch, np.bincount((once % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), out=sketch)
-            held.clear()
-
-        for batch in batches:
-            for part in buffers.slices(batch, "text", SLICE):
-                b = anchors(*buffers.utf8(part.column("text")))
-                held.append((b["anchor"], b["block"]))
-                waiting += len(b["anchor"])
-            if waiting > FLUSH:
-                flush()
-                waiting = 0
-        if held:
-            flush()
-        used = np.flatnonzero(sketch)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sketch[used])], ["slot", "n"])
-
-    sketch = np.zeros(SKETCH, np.int64)
-    got = texts.select("text").mapInArrow(counted, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    sketch[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    hot = spark.sparkContext.broadcast(sketch > max(HOT_ROWS, HOT_MULTIPLE * sketch.mean()))
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """kind 0: a settled run; 1: a block to be dealt by anchor; 2: a window of a hot anchor (block: its hash)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         waiting = 0
         for batch in batches:
             for part in buffers.slices(batch, "text", SLICE):
                 data, at = buffers.utf8(part.column("text"))
                 uid = part.column("uid").to_numpy()
-                b = anchors(data, at)
-                is_hot = hot.value[(b["anchor"] % np.uint64(SKETCH)).astype(np.int64)]
-                held.append((b["anchor"], b["block"], uid[b["doc"]], b["first"], b["last"], b["owner"], is_hot))
+                b = long_anchors(data, at)
+                held.append((b["anchor"], b["block"], uid[b["doc"]], b["first"].astype(np.int32), b["last"].astype(np.int32)))
                 waiting += len(b["doc"])
-                lead = np.zeros(len(is_hot), bool)
-                warm = np.flatnonzero(is_hot)
-                if len(warm):
-                    #: Equal blocks of the slice are settled whole; only the first of them is cut into windows.
-                    order = warm[np.lexsort((b["first"][warm], uid[b["doc"][warm]]))]
-                    lead[order] = _first_of_equal(b["block"][order], b["anchor"][order], np.arange(len(order)))
-                    again = order[~lead[order]]
-                    yield from _runs_out(uid[b["doc"][again]], b["first"][again], b["last"][again])
-                    warm = np.flatnonzero(lead)
-                    base = at[b["doc"][warm]]
-                    size = b["last"][warm] - b["first"][warm] + 1
-                    which = np.repeat(warm, size)
-                    place = np.repeat(b["first"][warm], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    begin = place + np.repeat(base, size)
-                    window = buffers.span_hash(buffers.prefix_hash(data), begin, begin + WIDTH)
-                    anchor, owner_uid = b["anchor"][which], uid[b["doc"][which]]
-                    order = np.lexsort((place, owner_uid))
-                    mask = np.zeros(len(order), bool)
-                    mask[order] = _first_of_equal(window[order], anchor[order], np.arange(len(order)))
-                    yield from _rows(2, anchor[mask], window[mask], owner_uid[mask], place[mask], place[mask], place[mask])
-                    yield from _runs_out(owner_uid[~mask], place[~mask], place[~mask])
             if waiting > FLUSH:
                 yield from _settled(held)
                 held, waiting = [], 0
         yield from _settled(held)
 
-    passed = texts.mapInArrow(blocks, BLOCK_SCHEMA)
-    local = materialise(passed.where("kind <> 1"))
+    return texts.mapInArrow(run, BLOCK_SCHEMA)
+
+
+def met(dealt: DataFrame) -> DataFrame:
+    """Of blocks() sorted by anchor and block: the runs, blocks that have an equal one before as runs (0), first blocks of anchors with several (1)."""
 
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of the blocks of a partition, sorted by anchor: runs of equal blocks after the first (0), first blocks of shared anchors (1)."""
-        rest = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None  # anchor and block of the row before, and that anchor's only block so far
         for batch in batches:
-            table = [batch.column(c).to_numpy() for c in ("anchor", "block", "uid", "first", "last", "own")]
-            if rest is not None:
-                table = [np.concatenate([r, t]) for r, t in zip(rest, table, strict=True)]
-            whole = table[0] != table[0][-1] if len(table[0]) else np.zeros(0, bool)
-            yield from _shared([t[whole] for t in table])
-            rest = [t[~whole] for t in table]
-        if rest is not None:
-            yield from _shared(rest)
-
-    dealt = passed.where("kind = 1").select("anchor", "block", "uid", "first", "last", "own").repartition("anchor").sortWithinPartitions("anchor", "block", "uid", "first")
-    second = materialise(dealt.mapInArrow(met, BLOCK_SCHEMA))
-    windows = local.where("kind = 2")
-    later = _later(windows)
+            kind = batch.column("kind").to_numpy()
+            table = [batch.column(c).to_numpy() for c in _BLOCK]
+            runs = kind == 0
+            yield from _rows(0, *(t[runs] for t in table))
+            table = [t[~runs] for t in table]
+            if not len(table[0]):
+                continue
+            anchor, block = table[:2]
+            again = np.append(False, (anchor[1:] == anchor[:-1]) & (block[1:] == block[:-1]))
+            if before is not None:
+                again[0] = (anchor[0], block[0]) == before[0]
+            yield from _runs_out(*(t[again] for t in table[2:]))
+            lead = [t[~again] for t in table]
+            only = before[1] if before is not None else None
+            open_anchor = before is not None and only is None and before[0][0]  # its first blocks are out already
+            if only is not None:
+                lead = [np.append(o, t) for o, t in zip(only, lead, strict=True)]
+            if len(lead[0]):
+                alike = lead[0][1:] == lead[0][:-1]
+                several = np.append(alike, False) | np.append(False, alike)
+                if open_anchor is not False:
+                    several |= lead[0] == open_anchor
+                yield from _rows(1, *(t[several] for t in lead))
+                only = None if several[-1] else tuple(t[-1] for t in lead)
+            before = (anchor[-1], block[-1]), only
+
+    return dealt.mapInArrow(run, BLOCK_SCHEMA)
+
+
+def removals(keyed: DataFrame) -> DataFrame:
+    """(uid, first, last): runs of window starts that stand earlier too, of (uid, text)."""
+    texts = keyed.select("uid", "text")
+    found = blocks(texts).repartition(F.when(F.col("kind") == 0, F.xxhash64("uid", "first")).otherwise(F.col("anchor")))
+    second = materialise(met(found.sortWithinPartitions("anchor", "block", "uid", "first")))
     requests = second.where("kind = 1")
     wanted = requests.groupBy("uid").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("asked"))
     fetched, _ = _meeting(texts, materialise(wanted))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uid, text, asked in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
-                raw = text.encode()
-                yield pa.RecordBatch.from_arrays([pa.array([a["anchor"] for a in asked], pa.int64()), pa.array([uid] * len(asked), pa.int64()), pa.array([a["first"] for a in asked], pa.int32()), pa.array([a["last"] for a in asked], pa.int32()), pa.array([raw[a["first"] : a["last"] + WIDTH] for a in asked], pa.binary())], ["anchor", "uid", "first", "last", "bytes"])
+            for uid, text, asked in zip(batch.column("uid").to_pylist(), batch.column("text"), batch.column("asked"), strict=True):
+                raw, asked = text.as_py().encode(), asked.values
+                anchor, first, last = (asked.field(c) for c in ("anchor", "first", "last"))
+                cut = [raw[a : b + WIDTH] for a, b in zip(first.to_pylist(), last.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([anchor, pa.array(np.full(len(cut), uid)), first, last, pa.array(cut, pa.binary())], ["anchor", "uid", "first", "last", "bytes"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_anchor, rows = None, []
@@ -293,25 +273,24 @@ def removals(keyed: DataFrame) -> DataFrame:
         """The windows of contexts."""
         for batch in batches:
             for anchor, uid, first, last, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "uid", "first", "last", "bytes")), strict=True):
-                prefix, at = buffers.prefix_hash(np.frombuffer(raw, np.uint8)), np.arange(last - first + 1)
-                yield from _rows(2, np.full(len(at), anchor), buffers.span_hash(prefix, at, at + WIDTH), np.full(len(at), uid), at + first, at + first, at + first)
+                hashed, at = buffers.sliding_hash(buffers.prefix_hash(np.frombuffer(raw, np.uint8)), WIDTH), np.arange(first, last + 1)
+                yield from _rows(2, np.full(len(at), anchor), hashed, np.full(len(at), uid), at, at)
 
     asked = fetched.select("uid", "text", "asked").mapInArrow(contexts, "anchor bigint, uid bigint, first int, last int, bytes binary")
+    whole = second.where("kind = 0").select("uid", "first", "last")
     crowded = materialise(requests.groupBy("anchor").count().where(F.col("count") > GROUP_CONTEXTS).select("anchor"))
     if not crowded.isEmpty():
-        later = later.union(_later(asked.join(checked(crowded), "anchor", "left_semi").mapInArrow(exploded, BLOCK_SCHEMA)))
+        whole = whole.union(_later(materialise(asked.join(checked(crowded), "anchor", "left_semi").mapInArrow(exploded, BLOCK_SCHEMA))))
         asked = asked.join(checked(crowded), "anchor", "left_anti")
     ordered = asked.repartition("anchor").sortWithinPartitions("anchor", "uid", "first")
-    partly = ordered.mapInArrow(repeated, "uid bigint, first int, last int")
-    whole = local.where("kind = 0").select("uid", "first", "last").union(second.where("kind = 0").select("uid", "first", "last"))
-    return whole.union(later).union(partly)
+    return whole.union(ordered.mapInArrow(repeated, "uid bigint, first int, last int"))
 
 
 def _later(windows: DataFrame) -> DataFrame:
     """Windows that stand earlier too, grouped by their hash."""
     earliest = windows.groupBy("anchor", "block").agg(F.min(F.struct("uid", "first")).alias("best"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = windows.join(checked(materialise(earliest)), ["anchor", "block"])
-    return met.where((F.col("uid") != F.col("best.uid")) | (F.col("first") != F.col("best.first"))).select("uid", "first", F.col("first").alias("last"))
+    again = windows.join(checked(materialise(earliest)), ["anchor", "block"])
+    return again.where((F.col("uid") != F.col("best.uid")) | (F.col("first") != F.col("best.first"))).select("uid", "first", F.col("first").alias("last"))
 
 
 def _meeting(texts: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -333,40 +312,30 @@ def _joined_runs(uid: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[
 def _runs_out(uid: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[pa.RecordBatch]:
     uid, first, last = _joined_runs(uid, first, last)
     nothing = np.zeros(len(uid), np.int64)
-    yield from _rows(0, nothing, nothing, uid, first, last, first)
+    yield from _rows(0, nothing, nothing, uid, first, last)
 
 
-def _rows(kind, anchor, block, uid, first, last, own) -> Iterator[pa.RecordBatch]:
+def _rows(kind: int, anchor, block, uid, first, last) -> Iterator[pa.RecordBatch]:
     if len(anchor):
-        kinds = np.broadcast_to(np.asarray(kind, np.int32), len(anchor))
-        cast = lambda x, t: pa.array(np.asarray(x).astype(t))
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(kinds)), pa.array(np.asarray(anchor).view(np.int64)), pa.array(np.asarray(block).view(np.int64)), cast(uid, np.int64), cast(first, np.int32), cast(last, np.int32), cast(own, np.int32)], ["kind", "anchor", "block", "uid", "first", "last", "own"])
+        columns = [np.full(len(anchor), kind, np.int32), np.asarray(anchor).view(np.int64), np.asarray(block).view(np.int64), np.asarray(uid).astype(np.int64), np.asarray(first).astype(np.int32), np.asarray(last).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", *_BLOCK])
 
 
 def _settled(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """First of the equal blocks of what a task has read: to be dealt (unless hot); the others: settled."""
+    """First of the equal blocks of what a task has read: to be dealt; the others: settled."""
     if not held:
         return
-    anchor, block, uid, first, last, own, is_hot = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.lexsort((first, uid))
-    lead = np.zeros(len(order), bool)
-    lead[order] = _first_of_equal(block[order], anchor[order], np.arange(len(order)))
-    repeat = ~lead & ~is_hot
+    anchor, block, uid, first, last = (np.concatenate(x) for x in zip(*held, strict=True))
+    #: Blocks come in order of their documents, as a rule; the two hashes as one keep equal blocks together.
+    if (uid[1:] < uid[:-1]).any():
+        order = np.lexsort((first, uid))
+        anchor, block, uid, first, last = (x[order] for x in (anchor, block, uid, first, last))
+    order = np.argsort(block ^ (anchor << np.uint64(1)), kind="stable")
+    a, b = anchor[order], block[order]
+    repeat = np.zeros(len(order), bool)
+    repeat[order[1:]] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
     yield from _runs_out(uid[repeat], first[repeat], last[repeat])
-    lead &= ~is_hot
-    yield from _rows(1, anchor[lead], block[lead], uid[lead], first[lead], last[lead], own[lead])
-
-
-def _shared(table: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    anchor, block, uid, first, last, own = table
-    if not len(anchor):
-        return
-    again = np.append(False, (anchor[1:] == anchor[:-1]) & (block[1:] == block[:-1]))
-    yield from _runs_out(uid[again], first[again], last[again])
-    anchor, block, uid, first, last, own = (t[~again] for t in (anchor, block, uid, first, last, own))
-    alike = anchor[1:] == anchor[:-1]
-    several = np.append(alike, False) | np.append(False, alike)
-    yield from _rows(1, *(t[several] for t in (anchor, block, uid, first, last, own)))
+    yield from _rows(1, *(x[~repeat] for x in (anchor, block, uid, first, last)))
 
 
 def _group_removals(rows: list[tuple]) -> list[tuple[int, int, int]]:
