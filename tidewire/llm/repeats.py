@@ -132,11 +132,12 @@ def maximal_repeats(contexts: list[bytes], windows: list[int], width: int = WIDT
         return
     order = order[paired]
     group = np.cumsum(~np.append(False, same))[paired]
-    for low, high in zip(*_runs(group), strict=True):
-        rows = order[low:high]
-        before = np.where(start[rows] > 0, text[owner[rows], np.maximum(start[rows] - 1, 0)].astype(int), -1 - owner[rows])
-        if len(np.unique(before)) < 2:
-            continue  # the suffixes one byte to the left form the longer repeat
+    ahead = np.where(start[order] > 0, text[owner[order], np.maximum(start[order] - 1, 0)].astype(int), -1 - owner[order])
+    low, high = _runs(group)
+    #: Where all suffixes follow one byte, those one byte to the left form the longer repeat.
+    diverse = np.minimum.reduceat(ahead, low) != np.maximum.reduceat(ahead, low)
+    for a, b in zip(low[diverse].tolist(), high[diverse].tolist(), strict=True):
+        rows, before = order[a:b], ahead[a:b]
         tails = sorted(range(len(rows)), key=lambda j: contexts[owner[rows[j]]][start[rows[j]] :])
         rows, before = rows[tails], before[tails]
         suffix = [contexts[owner[r]][start[r] :] for r in rows]
