@@ -59,6 +59,23 @@ def test_mixing_takes_targets(spark):
     assert dict(zip(got.doc_id, got.taken)) == dict(zip(again.doc_id, again.taken))
 
 
+def test_mixing_draws_longer_documents_likelier(spark):
+    """Expected copies grow with the binary digits of a document's words, up to twice for the longest."""
+    sizes = [1, 3, 10, 40, 100, 500]
+    rows = [(i, " ".join("w" for _ in range(sizes[i % 6])), f"s{(i // 6) % 3}") for i in range(5400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    _, cut, _ = mixing.plan_mix(docs)
+    plan = {(r.source, r.bits): r.whole + r.p for r in cut.collect()}
+    got = mixing.taken(docs).toPandas()
+    got["source"] = got.doc_id.map({i: s for i, _, s in rows})
+    for (source, size), own in got.groupby(["source", "size"]):
+        want = plan[source, int(size).bit_length()]
+        assert abs((own.taken / size).mean() - want) < 0.12
+    for source in ("s0", "s1", "s2"):
+        expected = [plan[source, n.bit_length()] for n in sizes]
+        assert expected == sorted(expected) and (source == "s0" or expected[0] < expected[-1])  # the first source is at its limit
+
+
 def test_mixing_odd(odd, none):
     got = mixing.taken(odd)
     assert got.count() == 12 and got.where("doc_id = 2").first()["taken"] == 0

@@ -53,17 +53,27 @@ ORACLE_SQL = {
           FROM weighed WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         targets AS (
           SELECT source, source_size, CASE WHEN level >= cap / weight THEN cap ELSE weight * (SELECT arg_min(level, (cap / weight, source)) FROM levels WHERE level < cap / weight) END AS target FROM levels),
+        classes AS (
+          SELECT t.source, t.source_size, t.target, c.bits, c.words FROM targets t
+          JOIN (SELECT source, CAST(length(bin(size)) AS BIGINT) AS bits, sum(size) AS words FROM sized WHERE size > 0 GROUP BY 1, 2) c ON t.source IS NOT DISTINCT FROM c.source),
+        filled AS (
+          SELECT *, (target - 2.0::DOUBLE * coalesce(sum(words) OVER before, 0)) / (sum(words * bits) OVER (PARTITION BY source) - coalesce(sum(words * bits) OVER before, 0)) AS level
+          FROM classes WINDOW before AS (PARTITION BY source ORDER BY bits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        expected AS (
+          SELECT *, CASE WHEN level * bits >= 2.0::DOUBLE THEN 2.0::DOUBLE ELSE bits * max(CASE WHEN level * bits < 2.0::DOUBLE THEN {'b': bits, 'l': level} END) OVER (PARTITION BY source).l END AS copies FROM filled),
         plan AS (
-          SELECT source, source_size, target, floor(target / source_size) AS whole, target - floor(target / source_size) * source_size AS rest FROM targets),
+          SELECT source, bits, target, floor(copies) AS whole, copies - floor(copies) AS p, target - sum(floor(copies) * words) OVER (PARTITION BY source) AS rest FROM expected),
         ranks AS (
-          SELECT d.doc_id, d.size, p.*, p.rest / p.source_size AS p,
+          SELECT d.doc_id, d.source, d.size, p.whole, p.p, p.rest,
             (('0x' || substr(sha256(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', size, ':17')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
-          FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
+          FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source AND d.size > 0 AND CAST(length(bin(d.size)) AS BIGINT) = p.bits),
         summed AS (
-          SELECT *, sum(size) OVER (PARTITION BY source ORDER BY (u / (1 - u)) / (p / (1 - p)), doc_id NULLS LAST, size) AS upto FROM ranks)
-        SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
-          CAST(CASE WHEN size = 0 THEN 0 ELSE size * (whole + CASE WHEN p > 0 AND upto - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) END AS BIGINT) AS taken
-        FROM summed""",
+          SELECT *, sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END NULLS LAST, doc_id NULLS LAST, size) AS upto FROM ranks),
+        chosen AS (
+          SELECT doc_id, source, size, CAST(size * (whole + CASE WHEN p > 0 AND upto - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM summed
+          UNION ALL SELECT doc_id, source, size, CAST(0 AS BIGINT) FROM sized WHERE size = 0)
+        SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, taken
+        FROM chosen c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source""",
     "op3_lsm_exact_dedup": """
         WITH d AS (
           SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256 FROM documents)
