@@ -105,7 +105,26 @@ def test_exact_dedup_odd(odd, none):
     assert {r.doc_id for r in got.where("group_size = 3").collect() if r.keep_id in (2, 3, 7)} == {2, 3, 7}
     assert exact_dedup.classes(none).count() == 0
     kept = exact_dedup.distinct_rows(odd)
-    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {4, None, 5, 7, 8, 9, 10}
+    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 4, 5, 7, 8, 9, 10]
+    assert exact_dedup.distinct_rows(none).count() == 0
+
+
+def test_exact_dedup_keeps_one_row_of_each_text(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (2, "ab"), (3, "c "), (None, "d"), (None, "d"), (None, "e"), (4, "")]
+    kept = exact_dedup.distinct_rows(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "d"), (0, "e"), (1, "a b"), (3, "c "), (4, "")]
+
+
+@pytest.mark.parametrize("runs, fanout", [(16, 4), (5, 2), (1, 4)])
+def test_merge_index_levels_hold_each_digest_once(spark, runs, fanout):
+    rows = [(i, i % 7, i, bytes([i % 50])) for i in range(400)]
+    entries = spark.createDataFrame(rows, "id bigint, n bigint, h bigint, digest binary").repartition(4)
+    got = exact_dedup.index(entries, runs, fanout).collect()
+    want = {bytes([d]): min((-(i % 7), i) for i in range(400) if i % 50 == d) for d in range(50)}
+    assert {bytes(r.digest): (r.best.n, r.best.id) for r in got} == want and len(got) == 50 and {r.copies for r in got} == {8}
+    runs_on_disk = exact_dedup.flushed(entries, runs)
+    for part in runs_on_disk.rdd.glom().collect():
+        assert [(r.run, r.digest) for r in part] == sorted((r.run, r.digest) for r in part)
 
 
 def near_copies():
