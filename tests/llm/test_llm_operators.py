@@ -314,6 +314,33 @@ def test_neighbours_recall(spark):
     assert set(got[got.query_id == 0].sort_values("rank").vec_id) == set(range(700, 710))
 
 
+@pytest.mark.parametrize("offset", [0.0, 1e3, 1e5, 1e6])
+def test_neighbours_far_from_the_origin(offset):
+    rnd = np.random.default_rng(6)
+    x = offset + 0.01 * rnd.normal(size=(600, 64))
+    q, ids = x[::50], np.arange(600)
+    got = neighbours.nearest_in_block(ids[::50], q, x, ids, np.ones(600, np.int64), 10)
+    exact = np.sqrt(((q[:, None] - x[None]) ** 2).sum(2))
+    exact[np.arange(12), np.arange(0, 600, 50)] = np.inf
+    want = {(50 * a, int(b)) for a in range(12) for b in np.argsort(exact[a], kind="stable")[:10]}
+    assert set(zip(got[0].tolist(), got[1].tolist(), strict=True)) == want
+
+
+def test_neighbours_of_other_lengths_and_clashing_columns(spark):
+    rows = [(i, [float(i), 1.0], 1, "x", 0.5, 2) for i in range(6)] + [(10 + i, [float(i), 2.0, 3.0], 1, "x", 0.5, 2) for i in range(4)]
+    rows += [(0, [0.0, 1.0], 1, "x", 0.5, 2)]  # a repeated row
+    docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, id int, v string, score double, rank int")
+    got = neighbours.search(docs, F.col("id") % 10 == 0, k=3).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (10, 1, 11), (10, 2, 12), (10, 3, 13)]
+
+
+def test_neighbours_visit_few_parts_of_clusters():
+    rnd = np.random.default_rng(5)
+    x = 4 * rnd.normal(size=(60, 32))[rnd.integers(0, 60, 4000)] + rnd.normal(size=(4000, 32))
+    model = neighbours.fit(x[512:], x[:512], 10, 32)
+    assert model["visits"] <= 8 and model["measured"] >= neighbours.RECALL
+
+
 def test_neighbours_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0])], "vec_id bigint, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id) for r in neighbours.search(few, F.col("id") == 0).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]

@@ -5,15 +5,21 @@ size limit), and a small network learns to tell a vector's part. Every row is in
 query is sent to its most probable parts, as many as a held-out part of the sample needs for the wanted recall, and its
 candidates there are ranked by the exact Euclidean distance in double precision.
 
+The number of parts grows with the square root of the vectors' number, as far as the sample can tell parts apart; the
+number of visits is what recall asks for, so it depends on the data: few where vectors form clusters, half of the parts
+or more where neighbours are hardly nearer than others.
+
 Equal vectors are one candidate with their k + 1 smallest ids (a query can use no more). Parts are searched in blocks
 of bounded size against blocks of queries, dealt over salts, so a part of any size is spread. Vectors that are null,
-zero, or hold null or non-finite components take no part, nor do those of a length other than the most frequent one.
-Rows repeated under one id count once per different vector. With fewer candidates than k all of them are returned.
+zero, or hold null or non-finite components take no part; a vector's neighbours are those of its own length. Rows
+repeated under one id count once per different vector. With fewer candidates than k all of them are returned; ties go by
+smaller id. An empty table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +31,9 @@ from tidewire.runtime import materialise, workers_see_package
 #: Vectors that the partition and its classifier are fitted on at most, and the share of them held out for the routing.
 SAMPLE = 4_096
 HELD_OUT = 512
-PARTS = 32
+#: Sample vectors of a part at least, and the square root of the vectors' number for each part.
+LEAST_OF_PART = 40
+ROOT_OF_PART = 6
 GRAPH_DEGREE = 16
 RECALL = 0.96
 HIDDEN = 128
@@ -40,8 +48,12 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col(vector_col).cast("array<double>")
     rows = rows.select(F.col(id_col).alias("id"), v.alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     rows = rows.where("forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)")
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return rows.where(F.size("v") == (sizes[0]["n"] if sizes else -1)).dropDuplicates(["id", "v"])
+    return rows.dropDuplicates(["id", "v"])
+
+
+def parts_for(vectors: int) -> int:
+    """A power of two near the square root of the number of vectors, over ROOT_OF_PART."""
+    return 1 << max(0, round(np.log2(max(vectors, 1) ** 0.5 / ROOT_OF_PART)))
 
 
 def cut_graph(x: np.ndarray, parts: int, degree: int = GRAPH_DEGREE, slack: float = 1.1, rounds: int = 8) -> np.ndarray:
@@ -115,20 +127,20 @@ def probabilities(x: np.ndarray, model: dict) -> np.ndarray:
     return _softmax(np.maximum(z @ p[0] + p[1], 0) @ p[2] + p[3])
 
 
-def fit(x: np.ndarray, held: np.ndarray, k: int, parts: int = PARTS, recall: float = RECALL) -> dict:
+def fit(x: np.ndarray, held: np.ndarray, k: int, parts: int, recall: float = RECALL) -> dict:
     """Partition, classifier and the number of parts that a query has to visit (measured on the held-out vectors)."""
-    while parts > 1 and len(x) < 40 * parts:
+    while parts > 1 and len(x) < LEAST_OF_PART * parts:
         parts //= 2
     centre, scale = (x.mean(0), x.std() + 1e-12) if len(x) else (0.0, 1.0)
     model = {"centre": centre, "scale": scale, "parts": parts, "visits": parts}
     if parts == 1:
         return model
-    part = cut_graph((x - centre) / scale, parts)
-    model["net"] = learn((x - centre) / scale, part, parts)
+    z, zh = (x - centre) / scale, (held - centre) / scale
+    model["net"] = learn(z, cut_graph(z, parts), parts)
     if not len(held):
         return model
     home = probabilities(x, model).argmax(1)
-    d = (held**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * held @ x.T
+    d = (zh**2).sum(1)[:, None] + (z**2).sum(1)[None] - 2 * zh @ z.T
     near = np.argsort(d, 1, kind="stable")[:, :k]
     order = np.argsort(-probabilities(held, model), 1, kind="stable")
     place = np.argsort(order, 1)  # after how many visits a part is reached
@@ -146,10 +158,15 @@ def _matrix(column: pa.Array, rows: int) -> np.ndarray:
 
 def nearest_in_block(q_ids: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, id, distance): at most k per query, of a block whose row j has counts[j] ids."""
-    d = (q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T
+    #: The screen works on differences from the block's middle; its slack is beyond what rounding can do.
+    middle = x.mean(0)
+    a, b = q - middle, x - middle
+    far = (a**2).sum(1), (b**2).sum(1)
+    d = far[0][:, None] + far[1][None] - 2 * a @ b.T
     if d.shape[1] > k + 1:
-        bound = np.partition(d, k, axis=1)[:, k]
-        i, j = np.nonzero(d <= bound[:, None] + 1e-9 * (1 + np.abs(bound[:, None])))
+        slack = 4 * np.finfo(float).eps * (x.shape[1] + 8) * (far[0] + far[1].max())
+        bound = np.partition(d, k, axis=1)[:, k] + 2 * slack
+        i, j = np.nonzero(d <= bound[:, None])
     else:
         i, j = np.nonzero(np.ones(d.shape, bool))
     exact = np.sqrt(((q[i] - x[j]) ** 2).sum(1))
@@ -165,18 +182,25 @@ def nearest_in_block(q_ids: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.nd
     return q_ids[i[rank < k]], found[rank < k], exact[rank < k]
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", parts: int = PARTS, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", parts: int | None = None, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """Per query (a row where is_query, a condition on `id`, holds): query_id, rank, vec_id, score of its k nearest found."""
-    spark = rows.sparkSession
-    workers_see_package(spark)
+    workers_see_package(rows.sparkSession)
     vectors = materialise(usable(rows, id_col, vector_col))
+    lengths = [r[0] for r in vectors.select(F.size("v")).distinct().collect()] or [0]
+    found = [_searched(vectors.where(F.size("v") == n) if len(lengths) > 1 else vectors, is_query, k, parts, recall, sample) for n in sorted(lengths)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _searched(vectors: DataFrame, is_query: Column, k: int, parts: int | None, recall: float, sample: int) -> DataFrame:
+    """search() of vectors (id, v) of one length."""
+    spark = vectors.sparkSession
     first_ids = Window.partitionBy("v").orderBy("id")
     distinct = vectors.withColumn("r", F.row_number().over(first_ids)).where(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     distinct = materialise(distinct.select("ids", "v"))
     chosen = distinct.orderBy(F.xxhash64("v"), F.element_at("ids", 1)).limit(sample).select("v").toPandas()
     drawn = np.array(chosen["v"].tolist(), float) if len(chosen) else np.zeros((0, 1))
     cut = min(HELD_OUT, len(drawn) // 4)
-    model = fit(drawn[cut:], drawn[:cut], k, parts, recall)
+    model = fit(drawn[cut:], drawn[:cut], k, parts or parts_for(distinct.count()), recall)
     shared = spark.sparkContext.broadcast(model)
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
