@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rejection reasons, most telling first, and coverage kinds, strongest first.
-REASONS = ("entity_mismatch", "stale_result", "background_context", "duplicate_of_existing", "event_mismatch", "identity_unverified", "domain_unreviewed", "thin_content", "no_results")
+REASONS = (
+    "publisher_binding_unverified", "candidate_pending_review", "not_related_country_source", "publisher_target_mismatch", "not_official_source", "event_mismatch",
+    "background_context", "entity_mismatch", "invalid_result_url", "stale_result", "duplicate_of_existing", "thin_result",
+)
 COVERAGE = ("official_direct", "direct_quote", "country_editorial", "secondary_only", "missing")
 
 
@@ -33,12 +36,12 @@ def publication_issues(title: Column, body: Column, url: Column, sources: Column
 
 def rejection_reason(mentions: Column, fresh: Column, background: Column, title_ratio: Column, cosine: Column) -> Column:
     """first reason that applies; null accepts."""
-    return F.when(~mentions, REASONS[0]).when(~fresh, REASONS[1]).when(background, REASONS[2]).when(title_ratio >= 82, REASONS[3]).when(cosine < 0.58, REASONS[4])
+    return F.when(~mentions, "entity_mismatch").when(~fresh, "stale_result").when(background, "background_context").when(title_ratio >= 82, "duplicate_of_existing").when(cosine < 0.58, "event_mismatch")
 
 
 def primary_reason(rows: DataFrame, group: str, reason: str) -> DataFrame:
-    """each group's most telling reason."""
-    return rows.groupBy(group).agg(F.min_by(reason, rank_in(REASONS, F.col(reason))).alias(reason))
+    """each group's most telling reason; of unknown ones the first by name."""
+    return rows.groupBy(group).agg(F.min(F.struct(rank_in(REASONS, F.col(reason)).alias("rank"), F.col(reason).alias("reason"))).alias("r")).select(group, F.col("r.reason").alias(reason))
 
 
 def is_fresh(published: Column, now: Column, hours: int = 72, undated: bool = True) -> Column:

@@ -63,21 +63,29 @@ def ranked_feed(rows: DataFrame, time: str, tie: str, n: int = 20) -> DataFrame:
 
 
 def archive_months(rows: DataFrame, date: str, keep: int = 7) -> DataFrame:
-    """Per month, number of dates and its most recent ones."""
-    days = rows.select(F.col(date).alias("d")).distinct().withColumn("month", F.date_format("d", "yyyy-MM"))
-    ranked = days.withColumn("_r", F.row_number().over(Window.partitionBy("month").orderBy(F.desc("d"))))
-    return ranked.groupBy("month").agg(F.count("*").alias("days"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_r") <= keep, F.col("d"))), False), lambda x: x.cast("string")), ",").alias("recent"))
+    """Per month: number of dates, the dates (newest first), and those among the `keep` newest of all."""
+    days = rows.select(F.col(date).alias("d")).distinct()
+    newest = days.orderBy(F.desc("d")).limit(keep).withColumn("new", F.lit(True))
+    marked = days.join(F.broadcast(newest), "d", "left").groupBy(F.date_format("d", "yyyy-MM").alias("month"))
+    return marked.agg(F.count("*").alias("days"), F.sort_array(F.collect_list("d"), False).alias("dates"), F.sort_array(F.collect_list(F.when(F.col("new"), F.col("d"))), False).alias("recent"))
+
+
+def sitemap(rows: DataFrame, date: str, root: str) -> DataFrame:
+    """(loc, lastmod) of the root page and of each date's page."""
+    days = rows.select(F.col(date).cast("string").alias("lastmod")).distinct()
+    pages = days.select(F.concat(F.lit(root), "lastmod", F.lit("/")).alias("loc"), "lastmod")
+    return pages.unionByName(days.agg(F.lit(root).alias("loc"), F.max("lastmod").alias("lastmod")))
 
 
 def pack(rows: DataFrame, group: str, order: str, text: str, limit: int) -> DataFrame:
-    """Greedy packing of each group's ordered pieces into messages of at most `limit` characters (a longer piece alone).
+    """Greedy packing of each group's ordered pieces into messages of at most `limit` characters (a longer piece alone, after empty ones at most).
 
     A fold over the ordered lengths; groups are digests of bounded length.
     """
     ordered = rows.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.length(text).alias("n")))).alias("pieces"))
     start = "named_struct('size', 0, 'number', 0, 'out', cast(array() as array<int>))"
-    step = f"""(acc, p) -> if(acc.number > 0 AND acc.size + p.n + 1 <= {limit},
-        named_struct('size', acc.size + p.n + 1, 'number', acc.number, 'out', concat(acc.out, array(acc.number))),
+    step = f"""(acc, p) -> if(acc.number > 0 AND (acc.size = 0 OR acc.size + p.n <= {limit}),
+        named_struct('size', acc.size + p.n, 'number', acc.number, 'out', concat(acc.out, array(acc.number))),
         named_struct('size', p.n, 'number', acc.number + 1, 'out', concat(acc.out, array(acc.number + 1))))"""
     folded = ordered.withColumn("message", F.expr(f"aggregate(pieces, {start}, {step}, acc -> acc.out)"))
     zipped = folded.select(group, F.explode(F.arrays_zip("pieces", "message")).alias("z"))

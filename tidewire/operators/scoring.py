@@ -13,6 +13,7 @@ TIER_SCORES = {"mainstream": 0.8, "portal": 0.5, "specialist": 0.65, "unknown":
 GATE_REVIEW = ("private_constrained", "independent_private_low_evidence", "state_influenced_review")
 GATE_SUPPRESS = ("state_controlled_block",)
 GATE_MULTIPLIERS = {"private_constrained": 0.85, "independent_private_low_evidence": 0.7, "state_influenced_review": 0.9}
+MAX_STEP = 0.02
 SUPPRESS_FLOOR, REVIEW_FLOOR, SEVERITY_REVIEW, MIN_GATE_CLUSTER = 0.18, 0.34, 6.0, 3
 
 
@@ -26,11 +27,19 @@ def lookup(values: dict[str, float], key: Column, default: float) -> Column:
 
 
 def signal(members: DataFrame) -> DataFrame:
-    """Per cluster of (cluster_id, source_name, region, tier): signal and flags."""
+    """Per cluster of (cluster_id, source_name, region, tier, searched, official): signal and flags.
+
+    A source that only searched articles bring is none of its own: one organic source at most is flagged. official:
+    the article is an official source's, or not of kind news.
+    """
     tier = lookup(TIER_SCORES, F.coalesce("tier", F.lit("unknown")), TIER_SCORES["unknown"])
-    g = members.groupBy("cluster_id").agg(F.count("*").alias("articles"), F.countDistinct("source_name").alias("sources"), F.countDistinct("region").alias("regions"), F.avg(tier).alias("mean_tier"))
+    g = members.groupBy("cluster_id").agg(
+        F.count("*").alias("articles"), F.countDistinct("source_name").alias("sources"), F.countDistinct(F.when(~F.col("searched"), F.col("source_name"))).alias("organic"),
+        F.countDistinct("region").alias("regions"), F.avg(tier).alias("mean_tier"), F.count_if("official").alias("officials"))
     score = 0.45 * F.least("sources", F.lit(4)) / 4 + 0.30 * F.least("regions", F.lit(3)) / 3 + 0.25 * F.col("mean_tier")
-    flags = F.array_compact(F.array(F.when(F.col("sources") <= 1, "single_source"), F.when((F.col("regions") <= 1) & (F.col("articles") >= 2), "single_region")))
+    flags = F.array_compact(F.array(
+        F.when(F.col("organic") <= 1, "single_source"), F.when((F.col("regions") <= 1) & (F.col("articles") >= 2), "single_region"),
+        F.when(F.col("officials") == F.col("articles"), "official_only").when(F.col("officials") > 0, "official_source_present")))
     return g.select("cluster_id", "articles", "sources", "regions", clamp(score).alias("signal"), flags.alias("flags"))
 
 
@@ -92,14 +101,15 @@ def normalised_regions(regions: Column, limit: int = 3) -> Column:
     return F.slice(F.array_distinct(F.filter(F.transform(regions, lambda r: F.lower(F.trim(r))), lambda r: r != "")), 1, limit)
 
 
-def nudges(training: DataFrame) -> DataFrame:
-    """Per dimension: mean over accepted less mean over rejected, tenths, in -0.05 to 0.05; null if a side is empty."""
+def nudges(training: DataFrame, max_step: float = MAX_STEP) -> DataFrame:
+    """Per dimension: mean over accepted less mean over rejected, in tenths and at most one, times the largest step; null if a side is empty or both are equal."""
     long = training.select("verdict", F.explode(F.create_map(*[x for d in DIMENSIONS for x in (F.lit(d), F.col(d))])).alias("dimension", "value"))
     g = long.groupBy("dimension").agg(F.avg(F.when(F.col("verdict") > 0, F.col("value"))).alias("up"), F.avg(F.when(F.col("verdict") < 0, F.col("value"))).alias("down"), F.count("*").alias("rows"))
-    return g.select("dimension", "rows", clamp((F.col("up") - F.col("down")) / 10, -0.05, 0.05).alias("nudge"))
+    difference = F.col("up") - F.col("down")
+    return g.select("dimension", "rows", F.when(difference != 0, clamp(difference / 10, -1.0, 1.0) * max_step).alias("nudge"))
 
 
-def calibrate(current: DataFrame, nudged: DataFrame, min_rows: int = 5) -> DataFrame:
+def calibrate(current: DataFrame, nudged: DataFrame, min_rows: int = 10) -> DataFrame:
     """New weights of (dimension, weight, seed), within 0.3 to 3 times the seed; zero seeds and thin evidence stay."""
     met = current.join(nudged, "dimension", "left")
     moved = F.greatest(0.3 * F.col("seed"), F.least(3 * F.col("seed"), F.col("weight") + F.col("nudge")))

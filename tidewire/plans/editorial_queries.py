@@ -72,7 +72,7 @@ def f06(s, d):
     return _candidates(s, d).select("event_id", "reason")
 
 
-@query("f07_primary_reason", f"WITH c AS (SELECT user_id, {_REASON} AS reason FROM events) SELECT user_id, arg_min(reason, list_position(['entity_mismatch', 'stale_result', 'background_context', 'duplicate_of_existing', 'event_mismatch'], reason)) AS reason FROM c WHERE reason IS NOT NULL GROUP BY 1")
+@query("f07_primary_reason", f"WITH c AS (SELECT user_id, {_REASON} AS reason FROM events) SELECT user_id, arg_min(reason, list_position(['event_mismatch', 'background_context', 'entity_mismatch', 'stale_result', 'duplicate_of_existing'], reason)) AS reason FROM c WHERE reason IS NOT NULL GROUP BY 1")
 def f07(s, d):
     return E.primary_reason(_candidates(s, d).where("reason IS NOT NULL"), "user_id", "reason")
 

@@ -115,14 +115,15 @@ def a12(s, d):
 
 
 _TIER = "CASE tier WHEN 'mainstream' THEN 0.8::DOUBLE WHEN 'portal' THEN 0.5::DOUBLE WHEN 'specialist' THEN 0.65::DOUBLE ELSE 0.45::DOUBLE END"
-_SIGNAL = f"sig AS (SELECT m.cluster_id, count(*) AS articles, count(DISTINCT s.name) AS sources, count(DISTINCT s.region) AS regions, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.45::DOUBLE * least(count(DISTINCT s.name), 4) / 4 + 0.30::DOUBLE * least(count(DISTINCT s.region), 3) / 3 + 0.25::DOUBLE * avg({_TIER}))) AS signal FROM v_members m JOIN v_sources s ON s.source_id = m.source_id GROUP BY 1)"
+_SIGNAL = f"sig AS (SELECT m.cluster_id, count(*) AS articles, count(DISTINCT s.name) AS sources, count(DISTINCT s.region) AS regions, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.45::DOUBLE * least(count(DISTINCT s.name), 4) / 4 + 0.30::DOUBLE * least(count(DISTINCT s.region), 3) / 3 + 0.25::DOUBLE * avg({_TIER}))) AS signal, count(DISTINCT CASE WHEN (m.cluster_id + m.source_id) % 3 <> 0 THEN s.name END) AS organic, count(*) FILTER (m.source_id % 2 = 0) AS officials FROM v_members m JOIN v_sources s ON s.source_id = m.source_id GROUP BY 1)"
 
 
 def _with_sources(s, d):
-    return V.members(s, d).join(V.sources(s, d).withColumnRenamed("name", "source_name"), "source_id")
+    met = V.members(s, d).join(V.sources(s, d).withColumnRenamed("name", "source_name"), "source_id")
+    return met.withColumn("searched", (F.col("cluster_id") + F.col("source_id")) % 3 == 0).withColumn("official", F.col("source_id") % 2 == 0)
 
 
-@query("a13_signal", f"WITH {_SIGNAL} SELECT cluster_id, articles, sources, regions, round(signal + 1e-9::DOUBLE, 6) AS signal, concat_ws(',', CASE WHEN sources <= 1 THEN 'single_source' END, CASE WHEN regions <= 1 AND articles >= 2 THEN 'single_region' END) AS flags FROM sig")
+@query("a13_signal", f"WITH {_SIGNAL} SELECT cluster_id, articles, sources, regions, round(signal + 1e-9::DOUBLE, 6) AS signal, concat_ws(',', CASE WHEN organic <= 1 THEN 'single_source' END, CASE WHEN regions <= 1 AND articles >= 2 THEN 'single_region' END, CASE WHEN officials = articles THEN 'official_only' WHEN officials > 0 THEN 'official_source_present' END) AS flags FROM sig")
 def a13(s, d):
     return S.signal(_with_sources(s, d)).withColumn("flags", F.concat_ws(",", "flags")).withColumn("signal", rounded("signal", 6))
 
@@ -138,12 +139,12 @@ def _assessed(s, d):
     return met.withColumn("status", S.status(F.col("composite"), F.col("severity"), F.col("flags"), F.lit(True)))
 
 
-@query("c02_assessment", f"WITH {_SIGNAL}, a AS (SELECT e.cluster_id, sig.signal, {_COMPOSITE} AS composite, severity, sources FROM v_evaluations e JOIN sig ON sig.cluster_id = e.cluster_id) SELECT cluster_id, round(composite + 1e-9::DOUBLE, 4) AS composite, CASE WHEN composite < 0.18 THEN 'suppress' WHEN sources <= 1 AND severity >= 6 THEN 'seek_more_evidence' WHEN composite < 0.34 THEN 'needs_review' ELSE 'publishable' END AS status FROM a")
+@query("c02_assessment", f"WITH {_SIGNAL}, a AS (SELECT e.cluster_id, sig.signal, {_COMPOSITE} AS composite, severity, organic, officials = articles AS official_only FROM v_evaluations e JOIN sig ON sig.cluster_id = e.cluster_id) SELECT cluster_id, round(composite + 1e-9::DOUBLE, 4) AS composite, CASE WHEN composite < 0.18 THEN 'suppress' WHEN organic <= 1 AND severity >= 6 THEN 'seek_more_evidence' WHEN official_only THEN 'needs_review' WHEN composite < 0.34 THEN 'needs_review' ELSE 'publishable' END AS status FROM a")
 def c02(s, d):
     return _assessed(s, d).select("cluster_id", rounded("composite", 4).alias("composite"), "status")
 
 
-@query("a20_status_histogram", f"WITH {_SIGNAL}, a AS (SELECT {_COMPOSITE} AS composite, severity, sources FROM v_evaluations e JOIN sig ON sig.cluster_id = e.cluster_id) SELECT CASE WHEN composite < 0.18 THEN 'suppress' WHEN sources <= 1 AND severity >= 6 THEN 'seek_more_evidence' WHEN composite < 0.34 THEN 'needs_review' ELSE 'publishable' END AS status, count(*) AS n FROM a GROUP BY 1")
+@query("a20_status_histogram", f"WITH {_SIGNAL}, a AS (SELECT {_COMPOSITE} AS composite, severity, organic, officials = articles AS official_only FROM v_evaluations e JOIN sig ON sig.cluster_id = e.cluster_id) SELECT CASE WHEN composite < 0.18 THEN 'suppress' WHEN organic <= 1 AND severity >= 6 THEN 'seek_more_evidence' WHEN official_only THEN 'needs_review' WHEN composite < 0.34 THEN 'needs_review' ELSE 'publishable' END AS status, count(*) AS n FROM a GROUP BY 1")
 def a20(s, d):
     return _assessed(s, d).groupBy("status").agg(F.count("*").alias("n"))
 
@@ -187,7 +188,7 @@ def c11(s, d):
 
 _TRAIN = "t AS (SELECT e.*, f.verdict FROM v_feedback f JOIN v_evaluations e ON e.cluster_id = f.cluster_id WHERE e.report_date >= DATE '1998-01-01')"
 _LONG = " UNION ALL ".join(f"SELECT '{x}' AS dimension, verdict, {x} AS value FROM t" for x in V.DIMENSIONS)
-_NUDGE = f"l AS ({_LONG}), nu AS (SELECT dimension, count(*) AS rows, greatest(-0.05::DOUBLE, least(0.05::DOUBLE, (avg(value) FILTER (verdict > 0) - avg(value) FILTER (verdict < 0)) / 10)) AS nudge FROM l GROUP BY 1)"
+_NUDGE = f"l AS ({_LONG}), nu AS (SELECT dimension, count(*) AS rows, greatest(-1::DOUBLE, least(1::DOUBLE, nullif(avg(value) FILTER (verdict > 0) - avg(value) FILTER (verdict < 0), 0) / 10)) * 0.02::DOUBLE AS nudge FROM l GROUP BY 1)"
 
 
 def _training(s, d):
@@ -204,7 +205,7 @@ def a15(s, d):
     return S.nudges(_training(s, d)).withColumn("nudge", F.round("nudge", 6))
 
 
-@query("a16_calibration", f"WITH {_TRAIN}, {_NUDGE}, w AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE, {v}::DOUBLE)" for k, v in S.SEEDS.items()) + ") AS w(dimension, weight, seed)) SELECT w.dimension, weight, round(CASE WHEN seed > 0 AND nudge IS NOT NULL AND rows >= 5 THEN greatest(0.3::DOUBLE * seed, least(3 * seed, weight + nudge)) ELSE weight END, 6) AS new_weight FROM w LEFT JOIN nu ON nu.dimension = w.dimension")
+@query("a16_calibration", f"WITH {_TRAIN}, {_NUDGE}, w AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE, {v}::DOUBLE)" for k, v in S.SEEDS.items()) + ") AS w(dimension, weight, seed)) SELECT w.dimension, weight, round(CASE WHEN seed > 0 AND nudge IS NOT NULL AND rows >= 10 THEN greatest(0.3::DOUBLE * seed, least(3 * seed, weight + nudge)) ELSE weight END, 6) AS new_weight FROM w LEFT JOIN nu ON nu.dimension = w.dimension")
 def a16(s, d):
     current = s.createDataFrame([(k, v, v) for k, v in S.SEEDS.items()], "dimension string, weight double, seed double")
     return S.calibrate(current, S.nudges(_training(s, d)))
@@ -358,9 +359,15 @@ def k03(s, d):
     return M.replace_children(lines, new, "l_orderkey")
 
 
-@query("k07_archive", "WITH x AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS dt FROM orders), r AS (SELECT dt, strftime(dt, '%Y-%m') AS month, row_number() OVER (PARTITION BY strftime(dt, '%Y-%m') ORDER BY dt DESC) AS k FROM x) SELECT month, count(*) AS days, string_agg(CAST(dt AS VARCHAR), ',' ORDER BY dt DESC) FILTER (k <= 7) AS recent FROM r GROUP BY 1")
+@query("k07_archive", "WITH x AS (SELECT DISTINCT report_date AS dt FROM v_clusters), r AS (SELECT dt, row_number() OVER (ORDER BY dt DESC) AS k FROM x) SELECT strftime(dt, '%Y-%m') AS month, count(*) AS days, string_agg(CAST(dt AS VARCHAR), ',' ORDER BY dt DESC) AS dates, coalesce(string_agg(CAST(dt AS VARCHAR), ',' ORDER BY dt DESC) FILTER (k <= 7), '') AS recent FROM r GROUP BY 1")
 def k07(s, d):
-    return M.archive_months(V.clusters(s, d), "report_date")
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return M.archive_months(V.clusters(s, d), "report_date").select("month", "days", joined("dates"), joined("recent"))
+
+
+@query("k07_sitemap", "WITH x AS (SELECT DISTINCT report_date AS dt FROM v_clusters) SELECT 'https://example.org/' || dt || '/' AS loc, CAST(dt AS VARCHAR) AS lastmod FROM x UNION ALL SELECT 'https://example.org/', CAST(max(dt) AS VARCHAR) FROM x")
+def k07c(s, d):
+    return M.sitemap(V.clusters(s, d), "report_date", "https://example.org/")
 
 
 @query("k07_feed", "SELECT o_orderkey AS id FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
@@ -369,7 +376,7 @@ def k07b(s, d):
 
 
 @query("k08_message_packer", """WITH RECURSIVE c AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
- f AS (SELECT conv_id, turn, k, n AS size, 1 AS message FROM c WHERE k = 1 UNION ALL SELECT c.conv_id, c.turn, c.k, CASE WHEN f.size + c.n + 1 <= 400 THEN f.size + c.n + 1 ELSE c.n END, CASE WHEN f.size + c.n + 1 <= 400 THEN f.message ELSE f.message + 1 END FROM f JOIN c ON c.conv_id = f.conv_id AND c.k = f.k + 1)
+ f AS (SELECT conv_id, turn, k, n AS size, 1 AS message FROM c WHERE k = 1 UNION ALL SELECT c.conv_id, c.turn, c.k, CASE WHEN f.size + c.n <= 400 THEN f.size + c.n ELSE c.n END, CASE WHEN f.size + c.n <= 400 OR f.size = 0 THEN f.message ELSE f.message + 1 END FROM f JOIN c ON c.conv_id = f.conv_id AND c.k = f.k + 1)
  SELECT conv_id, turn, CAST(message AS BIGINT) AS message FROM f""")
 def k08(s, d):
     return M.pack(V.table(s, d, "conversations"), "conv_id", "turn", "text", 400)

@@ -50,10 +50,13 @@ def z16(s, d):
     return V.table(s, d, "events").select(F.col("event_id").alias("id"), P.tolerant(answer, "label string")["label"].alias("label"))
 
 
-@query("j23_storyline_roles", "WITH e AS (SELECT l_orderkey AS a, l_suppkey + 1000000 AS b, l_returnflag = 'R' AS same FROM lineitem), n AS (SELECT a AS id, same FROM e UNION ALL SELECT b, same FROM e) SELECT id, CASE WHEN bool_or(same) THEN 'core' ELSE 'spillover' END AS role FROM n GROUP BY 1")
+@query("j23_storyline_roles", """WITH e AS (SELECT o_orderkey AS a, o_orderkey + 4 AS b, o_orderkey % 11 = 0 AS same FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT a AS id, same FROM e UNION ALL SELECT b, same FROM e), c AS (SELECT id, bool_or(same) AS core FROM n GROUP BY 1),
+ m AS (SELECT o_orderkey AS id, o_custkey AS component, coalesce(c.core, false) AS core, o_totalprice AS composite FROM orders LEFT JOIN c ON c.id = o_orderkey), k AS (SELECT component, bool_or(core) AS has, arg_min(id, (-composite, id)) AS best FROM m GROUP BY 1)
+ SELECT m.id, m.component, CASE WHEN core OR (NOT has AND id = best) THEN 'core' ELSE 'spillover' END AS role FROM m JOIN k ON k.component = m.component""")
 def j23(s, d):
-    lines = V.table(s, d, "lineitem")
-    return L.roles(lines.select(F.col("l_orderkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b"), F.when(F.col("l_returnflag") == "R", "same_core").otherwise("context").alias("relation")))
+    o = V.table(s, d, "orders")
+    edges = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 4).alias("b"), F.when(F.col("o_orderkey") % 11 == 0, "same_core_storyline").otherwise("same_direct_spillover_storyline").alias("relation"))
+    return L.roles(edges, o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("component"), F.col("o_totalprice").alias("composite")))
 
 
 @query("z08_reused_keys", "SELECT o_custkey AS component, CASE WHEN count(DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END) = 1 THEN max(CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END) ELSE 'new-' || min(o_orderkey) END AS storyline_key FROM orders GROUP BY 1")

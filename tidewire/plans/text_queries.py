@@ -165,11 +165,36 @@ def j16(s, d):
     return L.pair_candidates(e, "label", 0.25).withColumn("cosine", F.round("cosine", 4))
 
 
-@query("d17_relations", "SELECT b.vec_id AS id, CASE WHEN c >= 0.80 THEN 'same_core' WHEN c >= 0.66 THEN 'spillover' WHEN c >= 0.50 THEN 'context' ELSE 'unrelated' END AS relation FROM (SELECT b.vec_id, 3 * list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS c FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) b")
+_JUDGED = """CASE WHEN c >= 0.80 AND (o >= 0.06 OR h) THEN ['same_core_storyline', least(0.92::DOUBLE, 0.60::DOUBLE + c * 0.28::DOUBLE)::VARCHAR] WHEN c >= 0.66 AND (o >= 0.06 OR h) THEN ['same_direct_spillover_storyline', least(0.85::DOUBLE, 0.5::DOUBLE + c * 0.22::DOUBLE + o * 0.15::DOUBLE)::VARCHAR]
+ WHEN c >= 0.50 AND h AND k THEN ['same_conflict_different_event', '0.55'] ELSE ['not_related', greatest(0.15::DOUBLE, 0.45::DOUBLE - c * 0.2::DOUBLE)::VARCHAR] END"""
+_EDGES = "x AS (SELECT event_id AS id, value / 100.0::DOUBLE AS c, (event_id % 10) / 50.0::DOUBLE AS o, user_id % 2 = 0 AS h, event_id % 3 = 0 AS k FROM events)"
+
+
+def _edge_inputs(s, d):
+    return V.table(s, d, "events").select(F.col("event_id").alias("id"), F.least(F.col("value") / 100, F.lit(1e9)).alias("c"), ((F.col("event_id") % 10) / 50.0).alias("o"), (F.col("user_id") % 2 == 0).alias("h"), (F.col("event_id") % 3 == 0).alias("k"))
+
+
+@query("d17_relations", f"WITH {_EDGES}, j AS (SELECT id, {_JUDGED} AS j FROM x) SELECT id, j[1] AS relation, round(j[2]::DOUBLE, 5) AS confidence FROM j")
 def d17(s, d):
-    e = V.table(s, d, "embeddings")
-    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("id"), F.col("embedding").alias("vb"))
-    return e.join(nxt, "vec_id").select("id", L.relation(3 * Y.dot(F.col("embedding"), F.col("vb")), F.lit(0.0)).alias("relation"))
+    e = _edge_inputs(s, d).withColumn("j", L.relation(F.col("c"), F.col("o"), F.col("h"), F.col("k")))
+    return e.select("id", "j.relation", F.round("j.confidence", 5).alias("confidence"))
+
+
+@query("d18_accepted_edges", f"WITH {_EDGES} SELECT id, CASE WHEN id % 2 = 0 THEN 'same_conflict_different_event' WHEN id % 5 = 0 THEN 'not_related' ELSE 'same_core_storyline' END AS relation, round(c, 6) AS confidence FROM x WHERE c >= 0.5 AND (k OR id % 2 <> 0) AND (id % 2 = 0 OR id % 5 <> 0)")
+def d18(s, d):
+    said = F.when(F.col("id") % 2 == 0, "same_conflict_different_event").when(F.col("id") % 5 == 0, "not_related").otherwise("same_core_storyline")
+    e = _edge_inputs(s, d).select("id", said.alias("relation"), F.col("c").alias("confidence"), F.col("k").alias("shared_conflict"))
+    return L.accepted_edges(e).select("id", "relation", F.round("confidence", 6).alias("confidence"))
+
+
+@query("d19_conflicts", """WITH x AS (SELECT o_orderkey AS id, o_orderpriority || ' ' || ['Russia and Ukraine', 'Iran, US talk', 'Gaza: Israel, Hamas', 'Saudi ship', 'Lebanon Israel line', '伊朗与以色列', '俄乌前线'][CAST(o_orderkey % 7 + 1 AS BIGINT)] AS t FROM orders), l AS (SELECT id, lower(t) AS t FROM x)
+ SELECT id, concat_ws(',', CASE WHEN (contains(t, 'russia') AND contains(t, 'ukraine')) OR (contains(t, 'ru') AND contains(t, 'ua')) OR (contains(t, '俄罗斯') AND contains(t, '乌克兰')) OR (contains(t, '俄军') AND contains(t, '乌军')) OR contains(t, '俄乌') THEN 'russia_ukraine' END,
+ CASE WHEN (contains(t, 'iran') AND (contains(t, 'us') OR contains(t, 'israel'))) OR (contains(t, '伊朗') AND (contains(t, '美国') OR contains(t, '以色列'))) OR contains(t, '美以伊') THEN 'iran_us_israel' END,
+ CASE WHEN (contains(t, 'israel') AND (contains(t, 'palest') OR contains(t, 'gaza') OR contains(t, 'hamas'))) OR (contains(t, '以色列') AND contains(t, '巴勒斯坦')) OR (contains(t, '以军') AND contains(t, '哈马斯')) OR (contains(t, '加沙') AND contains(t, '以色列')) THEN 'israel_palestine' END,
+ CASE WHEN (contains(t, 'saudi') AND contains(t, 'houthi')) OR (contains(t, '沙特') AND contains(t, '胡塞')) THEN 'saudi_houthi' END, CASE WHEN (contains(t, 'israel') AND contains(t, 'lebanon')) OR (contains(t, '以色列') AND contains(t, '黎巴嫩')) THEN 'israel_lebanon' END) AS conflicts FROM l""")
+def d19(s, d):
+    told = V.pick(("Russia and Ukraine", "Iran, US talk", "Gaza: Israel, Hamas", "Saudi ship", "Lebanon Israel line", "伊朗与以色列", "俄乌前线"), F.col("o_orderkey") % 7)
+    return V.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat_ws(",", L.conflicts(F.concat("o_orderpriority", F.lit(" "), told))).alias("conflicts"))
 
 
 @query("d22_lifecycle", "SELECT evaluation_id, CASE WHEN evaluation_id % 3 = 0 THEN 'emerging' WHEN composite >= 0.55 AND (scope >= 3 OR len(subject_regions) >= 2) THEN 'stabilized' ELSE 'developing' END AS state FROM v_evaluations")
