@@ -142,13 +142,6 @@ def near_misses(rows: DataFrame, key: str, hot: DataFrame, least: int = 4) -> Da
     return g.where((F.col("members") >= least) & F.col("core")).join(hot.select(key), key, "left_anti").select(key, "members")
 
 
-def failure_label(reason: Column) -> Column:
-    """A readable label of the first of a comma list; http_NNN by template."""
-    first = F.trim(F.element_at(F.split(reason, ","), 1))
-    code = F.regexp_extract(first, "^http_([0-9]{3})$", 1)
-    return F.when(code != "", F.concat(F.lit("HTTP error "), code)).when(first.isin(*REASONS), F.replace(first, F.lit("_"), F.lit(" "))).otherwise("not available")
-
-
 def fill_sources(perspectives: DataFrame, sources: DataFrame, group: str, fallback: str) -> DataFrame:
     """Each source exactly once: its first perspective, or the fallback text."""
     first = perspectives.groupBy(group, "source_name").agg(F.min_by("text", "pos").alias("text"))

@@ -177,12 +177,6 @@ def r16(s, d):
     return E.near_misses(rows, "storyline", T.hot_families(rows, "storyline", "score"))
 
 
-@query("r04_failure_labels", "SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN l_linenumber = 1 THEN 'HTTP error 404' WHEN l_linenumber = 2 THEN 'stale result' ELSE 'not available' END AS label FROM lineitem WHERE l_linenumber <= 3")
-def r04(s, d):
-    reason = F.when(F.col("l_linenumber") == 1, "http_404,stale_result").when(F.col("l_linenumber") == 2, "stale_result, x").otherwise("other")
-    return V.table(s, d, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), E.failure_label(reason).alias("label"))
-
-
 @query("d28_fill_sources", "WITH s AS (SELECT DISTINCT l_orderkey AS cluster_id, l_suppkey % 5 AS source_name FROM lineitem), p AS (SELECT l_orderkey AS cluster_id, l_suppkey % 5 AS source_name, 't' || min(((l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey)) AS text FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2) SELECT s.cluster_id, s.source_name, coalesce(p.text, 'no view') AS text FROM s LEFT JOIN p ON p.cluster_id = s.cluster_id AND p.source_name = s.source_name")
 def d28(s, d):
     lines = V.table(s, d, "lineitem").select(F.col("l_orderkey").alias("cluster_id"), (F.col("l_suppkey") % 5).alias("source_name"), F.concat(F.lit("t"), line_pos().cast("string")).alias("text"), line_pos().alias("pos"), "l_linestatus")

@@ -88,10 +88,39 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("stage"), F.col("user_id").alias("account"), F.col("value").alias("duration_ms"), F.get_json_object("props", "$.k").cast("bigint").alias("tokens"), F.col("ts").alias("created_at"))
 
 
+# Fixed values of the search view: URLs by publisher, reasons and states of candidates, sentences about a party.
+SEARCH_URLS = ("https://www.state.gov/a/n", "https://x.com/acct", "https://news.example.com/2024/03/05/n", "https://www.youtube.com/@chan", "https://dept.gov.uk/x?url=https%3A%2F%2Freal.example.org%2Fp")
+SEARCH_REASONS = ("current_event_perspective", "background_context", "http_404,stale_result", "official_confirmation", "http_429")
+SEARCH_TEXTS = ("said \"we will act at once\" on Monday.", "has published its annual report.", "was seen near the port.", "did not comment, 称：“不会接受这种安排” 。")
+
+
+def search_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of clusters with what a search run stores about them: provenance, acceptance, freshness, evidence role."""
+    x = table(spark, sf_dir, "lineitem")
+    part, supp, text = F.col("l_partkey"), F.col("l_suppkey"), lambda c: c.cast("string")
+    searched, placeholder = F.col("l_returnflag") != "N", part % 9 == 0
+    url = F.when(placeholder, F.concat(F.lit("placeholder:"), text(part))).otherwise(F.concat(pick(SEARCH_URLS, supp % 5), text(part)))
+    content = F.concat(F.lit("Party P"), text(part % 4), F.lit(" "), pick(SEARCH_TEXTS, part % 4))
+    return x.select(
+        F.col("l_orderkey").alias("cluster_id"), ((F.col("l_linenumber") * 1000000 + part) * 10000 + supp).alias("pos"), F.concat(F.lit("S"), text(supp % 7)).alias("source_name"), url.alias("url"),
+        F.concat(F.lit("Line "), text(part)).alias("title"), content.alias("content"), searched.alias("is_searched"), placeholder.alias("is_placeholder"),
+        F.when(searched, F.when(part % 4 == 0, "rejected").otherwise("accepted")).alias("status"), F.when(searched, pick(SEARCH_REASONS, part % 5)).alias("reason"),
+        F.when(supp % 4 == 0, "fresh").when(supp % 4 == 1, "stale").alias("freshness"), F.when(part % 7 == 0, "direct_event").when(part % 7 == 1, "background").alias("evidence"),
+        F.when(supp % 6 == 0, "official_web").when(supp % 6 == 1, "official_social").otherwise("news").alias("source_kind"), F.when(supp % 6 == 1, F.when(part % 2 == 0, "x").otherwise("youtube")).alias("platform"),
+        pick(("us", "de", "cn", "fr"), supp % 4).alias("region"), F.when(searched, F.when(part % 3 == 0, "tavily_country").otherwise("tavily_official")).alias("provider"))
+
+
 # The same views for DuckDB.
 _LIST = "[" + ", ".join(f"'{x}'" for x in TIERS) + "]"
 _OWN = "[" + ", ".join(f"'{x}'" for x in OWNERSHIPS) + "]"
+_TEXTS = "[" + ", ".join(f"'{x}'" for x in SEARCH_TEXTS) + "]"
+_URLS = "[" + ", ".join(f"'{x}'" for x in SEARCH_URLS) + "]"
+_REASONS = "[" + ", ".join(f"'{x}'" for x in SEARCH_REASONS) + "]"
 SQL = {
+    "v_search": f"""SELECT l_orderkey AS cluster_id, (l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey AS pos, 'S' || l_suppkey % 7 AS source_name, CASE WHEN l_partkey % 9 = 0 THEN 'placeholder:' || l_partkey ELSE {_URLS}[l_suppkey % 5 + 1] || l_partkey END AS url, 'Line ' || l_partkey AS title,
+ 'Party P' || l_partkey % 4 || ' ' || {_TEXTS}[l_partkey % 4 + 1] AS content, l_returnflag <> 'N' AS is_searched, l_partkey % 9 = 0 AS is_placeholder, CASE WHEN l_returnflag = 'N' THEN NULL WHEN l_partkey % 4 = 0 THEN 'rejected' ELSE 'accepted' END AS status, CASE WHEN l_returnflag <> 'N' THEN {_REASONS}[l_partkey % 5 + 1] END AS reason,
+ CASE l_suppkey % 4 WHEN 0 THEN 'fresh' WHEN 1 THEN 'stale' END AS freshness, CASE l_partkey % 7 WHEN 0 THEN 'direct_event' WHEN 1 THEN 'background' END AS evidence, CASE l_suppkey % 6 WHEN 0 THEN 'official_web' WHEN 1 THEN 'official_social' ELSE 'news' END AS source_kind,
+ CASE WHEN l_suppkey % 6 = 1 THEN CASE WHEN l_partkey % 2 = 0 THEN 'x' ELSE 'youtube' END END AS platform, ['us', 'de', 'cn', 'fr'][l_suppkey % 4 + 1] AS region, CASE WHEN l_returnflag <> 'N' THEN CASE WHEN l_partkey % 3 = 0 THEN 'tavily_country' ELSE 'tavily_official' END END AS provider FROM lineitem""",
     "v_sources": f"SELECT s_suppkey AS source_id, s_name AS name, lower(n_name) AS region, round((s_acctbal + 1000) / 11000, 3) AS weight, {_LIST}[s_suppkey % 3 + 1] AS tier, {_OWN}[s_suppkey % 7 + 1] AS ownership FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "v_articles": "SELECT doc_id AS id, substr(text, 1, 80) AS title, text AS content, source AS source_name, CASE WHEN doc_id % 50 = 0 THEN 'placeholder:' || doc_id ELSE 'https://' || source || '.example.com/' || doc_id END AS url, lang, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id * 7 AS BIGINT)) AS published_at FROM documents",
     "v_doc_sources": f"SELECT DISTINCT source AS name, CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) / 20.0::DOUBLE AS weight, 'r' || CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 5 AS region, {_LIST}[CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 3 + 1] AS tier FROM documents",
