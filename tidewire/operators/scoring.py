@@ -120,3 +120,21 @@ def calibrate(current: DataFrame, nudged: DataFrame, min_rows: int = 10) -> Data
 def with_rank(rows: DataFrame) -> DataFrame:
     """Rank by composite per date, ties to the smaller id."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("report_date").orderBy(F.desc("composite"), "evaluation_id")))
+
+
+def live_weights(seeds: DataFrame, calibrated: DataFrame) -> DataFrame:
+    """(dimension, weight): calibrated over seed, normalised to a sum of 1 (one row per dimension)."""
+    met = seeds.join(calibrated, "dimension", "left").select("dimension", F.coalesce("weight", "seed").alias("weight"))
+    total = F.sum("weight").over(Window.partitionBy())
+    return met.withColumn("weight", F.col("weight") / F.when(total == 0, F.lit(1.0)).otherwise(total))
+
+
+def assessed(signals: DataFrame, items: DataFrame, weights_of: dict[str, float]) -> DataFrame:
+    """(id, signal, flags) with the item's dimensions (0 without one): composite, status, and whether an item was there; without it the signal decides alone.
+
+    Calling it again after members changed derives all from the fresh signal, so no penalty adds up.
+    """
+    met = signals.join(items.withColumn("evaluated", F.lit(True)), "id", "left").withColumn("evaluated", F.coalesce("evaluated", F.lit(False)))
+    dims = {d: clamp(F.coalesce(F.col(d), F.lit(0.0)), 0.0, 10.0) for d in DIMENSIONS}
+    value = F.when(F.col("evaluated"), composite(dims, F.col("signal"), weights_of)).otherwise(F.col("signal"))
+    return met.withColumn("composite", value).withColumn("status", status(F.col("composite"), dims["severity"], F.col("flags"), F.col("evaluated")))

@@ -69,3 +69,20 @@ def timeline(events: DataFrame, key: str, order: list, last: int = 5) -> DataFra
     """Each key's last events."""
     w = Window.partitionBy(key).orderBy(*order)
     return events.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= last).drop("_r")
+
+
+def batches(rows: DataFrame, group: list[str], order: list, size: int) -> DataFrame:
+    """Batch number (from 0) of full batches of `size` in order."""
+    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1) / size).cast("bigint"))
+
+
+def summary_families(rows: DataFrame, family: str, position: str, freshness: str, tabs: int = 3, least: int = 2) -> DataFrame:
+    """Families of summaries, stale ones left out: largest first, then by first appearance."""
+    sized = rows.where((F.col(freshness) != "stale") & F.col(family).isNotNull()).groupBy(family).agg(F.count("*").alias("members"), F.min(position).alias("_first"))
+    return sized.where(F.col("members") >= least).orderBy(F.desc("members"), "_first").limit(tabs).drop("_first")
+
+
+def stripped(families: DataFrame, elsewhere: DataFrame, family: str, key: str, least: int = 2) -> DataFrame:
+    """Family members without those that another lane took; families left with fewer than `least` go."""
+    left = families.join(elsewhere.select(key).distinct(), key, "left_anti")
+    return left.join(left.groupBy(family).count().where(F.col("count") >= least).select(family), family, "left_semi")

@@ -149,15 +149,6 @@ def d06(s, d):
     return a.withColumn("before", F.lag("content").over(w)).select("id", F.round(Y.token_set_udf("content", "before"), 4).alias("score"))
 
 
-@query("j14_match_history", """WITH v AS (SELECT vec_id, embedding, DATE '2024-01-01' + CAST(vec_id % 10 AS INTEGER) AS day FROM embeddings),
- m AS (SELECT c.vec_id AS id, h.vec_id AS h_id, h.day AS h_day, list_sum(list_transform(list_zip(c.embedding, h.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS cosine, greatest(0.0::DOUBLE, (5 - (c.day - h.day)) / 5::DOUBLE) * 0.08::DOUBLE AS bonus FROM v c JOIN v h ON h.day < c.day AND h.day >= c.day - 5),
- r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine + bonus DESC, h_day DESC, h_id) AS k FROM m WHERE cosine >= 0.3) SELECT id, h_id, round(cosine, 4) AS cosine, round(cosine + bonus, 4) AS score FROM r WHERE k = 1""")
-def j14(s, d):
-    v = V.table(s, d, "embeddings").select("vec_id", "embedding", F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("vec_id") % 10).cast("int")).alias("day"))
-    current = v.select(F.col("vec_id").alias("id"), "day", F.col("embedding").alias("vector"))
-    return L.match_history(current, v.select(F.col("vec_id").alias("h_id"), F.col("day").alias("h_day"), F.col("embedding").alias("h_vector")), 0.3)
-
-
 @query("j16_pair_candidates", """WITH m AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id),
  r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS k FROM m WHERE cosine >= 0.25) SELECT label, a, b, round(cosine, 4) AS cosine FROM r WHERE k <= 4 ORDER BY r.cosine DESC, a, b LIMIT 24""")
 def j16(s, d):
