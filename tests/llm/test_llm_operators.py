@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import zlib
 
@@ -452,19 +453,58 @@ def test_templates_count_all_pages_of_a_host(spark):
     for first in (0, 1000):
         own = {i: p for i, p in pages.items() if i // 1000 == first // 1000}
         template = web_text.deduce(list(own.values()))
-        assert template["constant"] == ([] if first else ["Same notice everywhere"])
+        fixed = {w.split("\t")[1] for w in template["words"]}
+        assert fixed == ({"x", "Own"} if first else {"Same", "notice", "everywhere", "Story"})
         assert template["main"] == (["body/div/article.lead"] if first else [])
         assert {i: got[i] for i in own} == {i: "\n\n".join(web_text.blocks(p, template)) for i, p in own.items()}
 
 
 def test_template_classes_need_one_order(spark):
-    """The article's class is not valid where its roles stand in another order on pages beyond any sample."""
+    """The article's class is not valid where its tags stand in another order on pages beyond any sample."""
     pages = [f"<body><article>A {i}</article><section>B</section></body>" for i in range(60)]
     for odd in ([], ["<body><section>B</section><article>A</article></body>"]):
         rows = spark.createDataFrame([(i, "https://h.example/", p) for i, p in enumerate(pages + odd)], "id bigint, url string, html string").withColumn("host", F.lit("h.example"))
-        got = web_text.templates(rows).first()
-        want = web_text.deduce(pages + odd)
-        assert (got.main, got.constant) == (want["main"], want["constant"]) and bool(got.main) == (not odd)
+        got = json.loads(web_text.templates(rows).first().template)
+        assert got == web_text.deduce(pages + odd) and bool(got["main"]) == (not odd)
+
+
+def plain_site(i: int) -> str:
+    """A page without any element or class that tells what is what: only the host's other pages do."""
+    story = "".join(f"<div><span>Para {i} {k} of the day</span></div>" for k in range(1 + i % 4))
+    return f"<html><body><div><div>Home News Contact us</div><div>Read by {1000 + i} people</div></div><table><tr><td>Story number {i}</td></tr></table>{story}<div>All rights reserved by us</div></body></html>"
+
+
+def test_template_alone_tells_fixed_from_varying_text(spark):
+    pages = {i: plain_site(i) for i in range(40)}
+    rows = spark.createDataFrame([(i, "https://plain.example/", p) for i, p in pages.items()] + [(99, "https://other.example/", plain_site(7))], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in web_text.extract(rows.repartition(7)).collect()}
+    for i, page in pages.items():
+        want = [f"Read by {1000 + i} people", f"Story number {i}"] + [f"Para {i} {k} of the day" for k in range(1 + i % 4)]
+        assert got[i].split("\n\n") == want
+        assert set(web_text.blocks(page, None)) - set(want) == {"Home News Contact us", "All rights reserved by us"}
+    assert "Home News Contact us" in got[99]  # a host of one page has no template
+
+
+def test_classes_nest_in_the_gaps_of_others():
+    template = web_text.deduce([f"<body><ul>{'<li>Entry</li>' * (2 + i % 3)}</ul><p>{i}</p></body>" for i in range(12)])
+    item = next(c for c in template["classes"] if "obody/ul/li" in c["tags"])
+    outer = next(c for c in template["classes"] if "obody/ul" in c["tags"])
+    assert item["tags"] == ["cbody/ul/li", "obody/ul/li"] and [w.split("\t")[1] for w in item["words"]] == ["Entry"]
+    assert outer["parent"] is None
+    assert item["parent"] == outer["class"] and item["gap"] == 2  # between the list's tags, the class's second and third in page order
+    #: Paragraphs on both sides of a section are in no single gap of the page's frame.
+    loose = web_text.deduce([f"<body>{'<p>E</p>' * (2 + i % 3)}<section></section><p>E</p></body>" for i in range(12)])
+    assert [c["parent"] for c in loose["classes"] if "obody/p" in c["tags"]] == [None]
+
+
+def test_web_text_odd(spark):
+    """Repeated rows, ties, a very long page, clashing columns, nulls."""
+    long = "<body><article>" + "".join(f"<p>Part {k} of it</p>" for k in range(20_000)) + "</article></body>"
+    short = "<body><article><p>Short one</p></article></body>"
+    rows = [(1, "https://h.example/a", short, "x", "y", "z", "t"), (1, "https://h.example/a", short, "x", "y", "z", "t"), (2, None, short, None, None, None, None), (3, "https://h.example/b", long, "x", "y", "z", "t"), (None, "https://h.example/c", None, "x", "y", "z", "t")]
+    docs = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string, id string, template string, text string")
+    got = [(r.page_id, r.text) for r in web_text.extract(docs).collect()]
+    assert sorted((i or 0, t) for i, t in got) == [(0, ""), (1, "Short one"), (1, "Short one"), (2, "Short one"), (3, "\n\n".join(f"Part {k} of it" for k in range(20_000)))]
 
 
 def test_crowded_bucket_loses_no_pair(spark):

@@ -1,17 +1,22 @@
 """Main text of web pages by template deduction from equivalence classes of tokens.
 
-Pages become token sequences; a token's role is its tag (with class and id) and path. Over all of a host's pages each
-role has an occurrence vector (how often it stands in each page). Roles of equal vectors form an equivalence class; a
-class is valid if its roles stand in one order in every page and its repetitions don't interleave. The article and main
-elements of valid classes that stand in most pages are the host's template. Extraction keeps the text under them, less
-elements that their tag, class or id names as boilerplate. Hosts without such an element lose the blocks that most of
-their pages share.
-
-Not built: words have no occurrence vectors, valid classes are not nested by their spans, and no slots are formed; tag
-and class rules stand in for them.
-
-Every page is parsed whole. Pages of hosts with one page, and pages that their host's template does not fit, are read
-by the same rules with their own elements as the template. Null html gives an empty text. Rows repeat as they come.
+Pages become token sequences: tags by their path (names, classes and ids from the root) and words by the path of their
+block. Over all of a host's pages each token has an occurrence vector (how often it stands in each page); tokens of equal
+vectors, in most pages, form an equivalence class. A class is valid if its tags stand in one order in every repetition on
+every page; its words belong to it if they always stand in the same gap between its tags. A class without tags needs
+LEAST_WORDS words in one order. A class whose tokens always stand in one gap of another is nested there. The nested valid
+classes are the host's template: their tokens are fixed, what stands between them are its slots.
+
+Extraction keeps the blocks that hold slot content. A block of template words alone is no content (menus, notices, lines
+that a host repeats), whatever its markup. Of the slots those under the template's article or main element count; elements
+that their tag, class or id names as boilerplate (adverts, comments, sidebars: slots with content of their own) are left
+out. Pages that their host's template does not fit, and hosts of fewer than LEAST_PAGES pages, where words of an article
+can agree by chance, go by the rules for elements alone.
+
+Every page is parsed whole, and every count is over all pages of a host: tokens in most pages of a host are in most pages
+of some task's share of them, so these are the candidates that are counted. Null html gives an empty text, null URLs are
+of no host. Rows repeat as they come and count as pages each; ties need no order. An empty table gives an empty result;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +33,12 @@ from pyspark.sql import functions as F
 
 from tidewire.runtime import materialise, small_enough, workers_see_package
 
-#: Hosts whose templates may be broadcast.
-BROADCAST_HOSTS = 5_000
-#: A block is constant if more than this share of a host's pages has it, where the host has so many pages.
-CONSTANT_SHARE, CONSTANT_PAGES = 0.8, 4
+#: Hosts whose templates may be broadcast, and the bytes of these.
+BROADCAST_HOSTS, BROADCAST_BYTES = 5_000, 16 << 20
+#: Pages of a host from which on its words are tokens of the template, and words of a class without tags at least.
+LEAST_PAGES, LEAST_WORDS = 4, 3
+#: Tokens that a task holds before it names the frequent ones of the pages read so far.
+HELD_TOKENS = 300_000
 
 # HTML element names by their part in a page, and words that name boilerplate in class and id.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -122,35 +129,107 @@ def sets_apart(element: tuple[str, str]) -> bool:
     return element[0] in APART or "hidden-element" in element[1]
 
 
-def roles_of(page: str) -> list[str]:
-    """The page's element tokens in order, each by its role."""
+def tokens_of(page: str) -> list[str]:
+    """The page's tokens in order: 'o' and 'c' with the path of elements that open and close, 'w' with the path and a word."""
     out = []
-    for kind, path, _ in parse(page):
-        if kind in ("open", "close") and path[-1][0] not in INLINE:
-            out.append(kind[0] + "/".join(f"{n}.{m}" if m else n for n, m in path))
+    names: dict[tuple, str] = {}
+
+    def name(path: tuple) -> str:
+        if path not in names:
+            names[path] = "/".join(f"{n}.{m}" if m else n for n, m in path if n not in INLINE)
+        return names[path]
+
+    for kind, path, text in parse(page):
+        if kind == "text":
+            if not text.isspace():
+                out += [f"w{name(path)}\t{word}" for word in entities.unescape(text).split()]
+        elif kind in ("open", "close") and path[-1][0] not in INLINE:
+            out.append(kind[0] + name(path))
     return out
 
 
+def observed(tokens: list[str], classes: list[dict]) -> dict[tuple[int, str], str]:
+    """What a page shows of the host's classes: (class, '') the order of its tags, (class, word) the gap that a word stands in, (class, 'in N') the gap of class N that its tags stand in; '' where it is not one."""
+    tag_of = {t: k for k, c in enumerate(classes) for t in c["tags"]}
+    word_of = {w: k for k, c in enumerate(classes) for w in c["words"]}
+    number = [len(c["tags"]) for c in classes]
+    seen: list[list[str]] = [[] for _ in classes]
+    words: list[list[str]] = [[] for _ in classes]
+    gaps: dict[tuple[int, str], set[int]] = {}
+    for token in tokens:
+        if token[0] == "w":
+            k = word_of.get(token)
+            if k is not None:
+                words[k].append(token)
+                if number[k]:
+                    gaps.setdefault((k, token), set()).add(len(seen[k]) % number[k])
+        else:
+            k = tag_of.get(token)
+            if k is not None:
+                for other, size in enumerate(number):
+                    if other != k and size:
+                        gaps.setdefault((k, f"in {other}"), set()).add(len(seen[other]) % size)
+                seen[k].append(token)
+    out = {key: str(next(iter(at))) if len(at) == 1 else "" for key, at in gaps.items()}
+    for k, c in enumerate(classes):
+        own, kinds = (seen[k], c["tags"]) if number[k] else (words[k], c["words"])
+        if own:
+            order = _order(own, len(kinds))
+            out[k, ""] = hashlib.blake2b("\n".join(order).encode(), digest_size=16).hexdigest() if order else ""
+    return out
+
+
+def _order(own: list[str], size: int) -> list[str] | None:
+    """The common order of a class's tokens in each of their repetitions, or none."""
+    order = own[:size]
+    if len(set(order)) < size or len(own) % size:
+        return None
+    return order if all(own[k : k + size] == order for k in range(0, len(own), size)) else None
+
+
+def assembled(classes: list[dict], agreed: dict[tuple[int, str], str]) -> dict:
+    """The template of classes and what all pages agree on: nested valid classes, their words, and the main elements."""
+    valid = [k for k, c in enumerate(classes) if agreed.get((k, ""))]
+    around = {k: [n for n in valid if n != k and agreed.get((k, f"in {n}"), "0") not in ("", "0")] for k in valid}
+    nested, words = [], set()
+    for k in valid:
+        #: The innermost class around is the one that most others are around of.
+        parent = max(around[k], key=lambda n: (len(around[n]), -n), default=None)
+        own = [w for w in classes[k]["words"] if not classes[k]["tags"] or agreed.get((k, w))]
+        words.update(own)
+        nested.append({"class": k, "tags": classes[k]["tags"], "words": own, "parent": parent, "gap": int(agreed[k, f"in {parent}"]) if parent is not None else None})
+    elements = sorted({t[1:] for n in nested for t in n["tags"] if t[0] == "o"})
+    return {"classes": nested, "words": sorted(words), "main": _unmarked([e for e in elements if _may_be_main(e)])}
+
+
+def class_of(roles: list[str], pages: int) -> dict | None:
+    """A class of tokens of one vector, if it can be valid."""
+    words = sorted(r for r in roles if r[0] == "w") if pages >= LEAST_PAGES else []
+    tags = sorted(r for r in roles if r[0] != "w")
+    return {"tags": tags, "words": words} if tags or len(words) >= LEAST_WORDS else None
+
+
 def deduce(pages: list[str]) -> dict:
-    """The template of same-host pages: the elements of its valid classes, the main ones, and the constant blocks."""
-    sequences = [roles_of(p) for p in pages]
+    """The template of same-host pages, in one process."""
+    sequences = [tokens_of(p) for p in pages]
     vectors: dict[str, list[int]] = {}
     for k, sequence in enumerate(sequences):
         for role in sequence:
             vectors.setdefault(role, [0] * len(pages))[k] += 1
-    classes: dict[tuple, list[str]] = {}
+    groups: dict[tuple, list[str]] = {}
     for role, vector in vectors.items():
         if 2 * sum(v > 0 for v in vector) > len(pages):  # frequent: in most pages
-            classes.setdefault(tuple(vector), []).append(role)
-    valid = []
-    for vector, roles in classes.items():
-        order = _order(sequences, set(roles))
-        if order:
-            valid.append((vector, order))
-    template = sorted({role for _, order in valid for role in order if role[0] == "o"})
-    elements = [role[1:] for role in template]
-    main = _unmarked([e for e in elements if _may_be_main(e)])
-    return {"elements": elements, "main": main, "constant": [] if main else _constant(pages)}
+            groups.setdefault(tuple(vector), []).append(role)
+    classes = ordered_classes([c for c in (class_of(g, len(pages)) for g in groups.values()) if c])
+    agreed: dict[tuple[int, str], str] = {}
+    for sequence in sequences:
+        for key, value in observed(sequence, classes).items():
+            agreed[key] = value if agreed.get(key, value) == value else ""
+    return assembled(classes, agreed)
+
+
+def ordered_classes(classes: list[dict]) -> list[dict]:
+    return sorted(classes, key=lambda c: (c["tags"], c["words"]))
 
 
 def _may_be_main(role: str) -> bool:
@@ -166,32 +245,6 @@ def _element(text: str) -> tuple[str, str]:
     return name, marks
 
 
-def _order(sequences: list[list[str]], roles: set[str]) -> list[str] | None:
-    """The roles' common order in each of their repetitions, or none: then the class is not valid."""
-    order = None
-    for sequence in sequences:
-        own = [r for r in sequence if r in roles]
-        for k in range(0, len(own), len(roles)):
-            if order is None:
-                order = own[: len(roles)]
-                if len(set(order)) < len(roles):
-                    return None
-            if own[k : k + len(roles)] != order:
-                return None
-    return order
-
-
-def _constant(pages: list[str]) -> list[str]:
-    """Blocks that most pages share word by word, of hosts with enough pages."""
-    if len(pages) < CONSTANT_PAGES:
-        return []
-    seen: dict[str, int] = {}
-    for p in pages:
-        for b in set(blocks(p, None)):
-            seen[b] = seen.get(b, 0) + 1
-    return sorted(b for b, n in seen.items() if n > CONSTANT_SHARE * len(pages))
-
-
 def blocks(page: str, template: dict | None) -> list[str]:
     """The page's main blocks in order: references decoded, white space single."""
     events = list(parse(page))
@@ -200,34 +253,33 @@ def blocks(page: str, template: dict | None) -> list[str]:
     mains = {path for path in mains if not any(is_boilerplate(e) for e in path)} or mains
     around = {path[:k] for path in mains for k in range(1, len(path) + 1)}
     fitting = {path for path in mains if template and _role(path) in set(template["main"])}
-    found: list[str] = []
+    fixed = template["words"] if template else ()
+    fixed = fixed if isinstance(fixed, set) else set(fixed)
     for chosen in (fitting, mains, None):
-        if chosen is None or chosen:
-            found = _collect(events, chosen, around)
-        if found:
-            break
-    else:
-        found = _collect(events, None, around, False)
-    if template and template["constant"]:
-        constant = set(template["constant"])
-        found = [b for b in found if b not in constant] or found  # a page of constant blocks alone keeps them
-    return found
+        for words in (fixed, set()) if fixed else (fixed,):  # an article of template words alone keeps them
+            found = _collect(events, chosen, around, words) if chosen is None or chosen else []
+            if found:
+                return found
+    return _collect(events, None, around, set(), False)
 
 
 def _role(path: tuple) -> str:
     return "/".join(f"{n}.{m}" if m else n for n, m in path)
 
 
-def _collect(events: list[tuple], main: set[tuple] | None, around: set[tuple], less: bool = True) -> list[str]:
-    """Text blocks under the main elements, or of the whole body (None), less boilerplate elements that are not around an article."""
+def _collect(events: list[tuple], main: set[tuple] | None, around: set[tuple], fixed: set[str], less: bool = True) -> list[str]:
+    """Text blocks with slot content under the main elements, or of the whole body (None), less boilerplate elements that are not around an article."""
     out: list[str] = []
     parts: list[str] = []
+    slot = not fixed
 
     def flush() -> None:
+        nonlocal slot
         text = " ".join(entities.unescape("".join(parts)).split())
-        if text:
+        if text and slot:
             out.append(text)
         parts.clear()
+        slot = not fixed
 
     chosen: dict[tuple, bool] = {}
     for kind, path, text in events:
@@ -240,6 +292,9 @@ def _collect(events: list[tuple], main: set[tuple] | None, around: set[tuple], l
         elif kind == "text":
             if chosen.get(path, main is None and not path):
                 parts.append(text)
+                if not slot:
+                    role = "w" + "/".join(f"{n}.{m}" if m else n for n, m in path if n not in INLINE) + "\t"
+                    slot = any(role + word not in fixed for word in entities.unescape(text).split())
         elif kind == "gap":
             flush()
         else:
@@ -254,90 +309,119 @@ def _fingerprint(page: int, count: int) -> tuple[int, int]:
     return int.from_bytes(low[:4], "big") >> 1, int.from_bytes(low[4:], "big") >> 1
 
 
-def _role_sums(rows: DataFrame) -> DataFrame:
-    """Per host and role: in how many of all its pages it stands, and the sums that name its occurrence vector; role '' is every page's."""
+def _candidates(rows: DataFrame) -> DataFrame:
+    """(host, role, pages): tokens in most pages of a host that some task has read, and for role '' their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present: dict[str, dict[str, int]] = {}
+        pages: dict[str, int] = {}
+        held = 0
+
+        def named() -> pa.RecordBatch:
+            found = [(h, "", n) for h, n in pages.items()] + [(h, role, 0) for h, roles in present.items() for role, n in roles.items() if 2 * n > pages[h]]
+            columns = list(zip(*found, strict=True)) or [(), (), ()]
+            present.clear()
+            pages.clear()
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["host", "role", "pages"])
+
+        for batch in batches:
+            for host, html in zip(batch.column("host"), batch.column("html"), strict=True):
+                own = present.setdefault(host.as_py(), {})
+                pages[host.as_py()] = pages.get(host.as_py(), 0) + 1
+                before = len(own)
+                for role in set(tokens_of(html.as_py())):
+                    own[role] = own.get(role, 0) + 1
+                held += len(own) - before
+                if held > HELD_TOKENS:
+                    yield named()
+                    held = 0
+        yield named()
+
+    parts = rows.select("host", "html").mapInArrow(run, "host string, role string, pages bigint")
+    return parts.groupBy("host", "role").agg(F.sum("pages").alias("pages"))
+
+
+def _vector_sums(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """Per host and candidate (held: host, roles): in how many of all its pages it stands, and the sums that name its occurrence vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, frozenset] = {}
+        sums: dict[tuple, list[int]] = {}
         for batch in batches:
-            sums: dict[tuple, list[int]] = {}
-            for host, page, html in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
-                counts: dict[str, int] = {"": 1}
-                for role in roles_of(html):
-                    counts[role] = counts.get(role, 0) + 1
-                marks = {n: _fingerprint(page, n) for n in set(counts.values())}
+            for host, page, html, roles in zip(*(batch.column(c) for c in ("host", "page", "html", "roles")), strict=True):
+                host = host.as_py()
+                if host not in known:
+                    known[host] = frozenset(roles.as_py())
+                counts: dict[str, int] = {}
+                for role in tokens_of(html.as_py()):
+                    if role in known[host]:
+                        counts[role] = counts.get(role, 0) + 1
+                marks = {n: _fingerprint(page.as_py(), n) for n in set(counts.values())}
                 for role, n in counts.items():
                     own = sums.setdefault((host, role), [0, 0, 0])
                     own[0] += 1
                     own[1] += marks[n][0]
                     own[2] += marks[n][1]
-            columns = [pa.array([k[c] for k in sums], pa.string()) for c in (0, 1)] + [pa.array([v[c] for v in sums.values()], pa.int64()) for c in (0, 1, 2)]
-            yield pa.RecordBatch.from_arrays(columns, ["host", "role", "n", "f", "g"])
+            if len(sums) > HELD_TOKENS:
+                yield _sums_out(sums)
+                sums = {}
+        yield _sums_out(sums)
 
-    parts = rows.select("host", F.xxhash64("id", "url", "html").alias("page"), "html").mapInArrow(run, "host string, role string, n bigint, f bigint, g bigint")
+    parts = _with_side(rows, held).select("host", F.xxhash64("id", "url", "html").alias("page"), "html", "roles").mapInArrow(run, "host string, role string, n bigint, f bigint, g bigint")
     return parts.groupBy("host", "role").agg(*(F.sum(c).alias(c) for c in ("n", "f", "g")))
 
 
-def _orders(rows: DataFrame, held: DataFrame) -> DataFrame:
-    """(host, class) of the classes (held: host, classes as JSON lists of roles) whose roles stand in one order in every repetition of every page."""
+def _sums_out(sums: dict) -> pa.RecordBatch:
+    columns = [pa.array([k[c] for k in sums], pa.string()) for c in (0, 1)] + [pa.array([v[c] for v in sums.values()], pa.int64()) for c in (0, 1, 2)]
+    return pa.RecordBatch.from_arrays(columns, ["host", "role", "n", "f", "g"])
+
+
+def _agreements(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """(host, class, item, value) that all pages of the host agree on (held: host, classes as JSON)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read: dict[str, list[set]] = {}
+        known: dict[str, list[dict]] = {}
         for batch in batches:
             met: set[tuple] = set()
-            for host, html, classes in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "classes")), strict=True):
-                if classes not in read:
-                    read[classes] = [set(c) for c in json.loads(classes)]
-                sequence = roles_of(html)
-                for k, roles in enumerate(read[classes]):
-                    if not roles.isdisjoint(sequence):
-                        order = _order([sequence], roles)
-                        met.add((host, k, hashlib.blake2b("\n".join(order).encode(), digest_size=16).hexdigest() if order else ""))
-            columns = list(zip(*met, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string())], ["host", "class", "order"])
+            for host, html, classes in zip(*(batch.column(c) for c in ("host", "html", "classes")), strict=True):
+                host = host.as_py()
+                if host not in known:
+                    known[host] = json.loads(classes.as_py())
+                met.update((host, k, item, value) for (k, item), value in observed(tokens_of(html.as_py()), known[host]).items())
+            columns = list(zip(*met, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string())], ["host", "class", "item", "value"])
 
-    found = _with_side(rows, held).select("host", "html", "classes").mapInArrow(run, "host string, class int, order string")
-    return found.groupBy("host", "class").agg(F.min("order").alias("low"), F.max("order").alias("high")).where("low = high AND low <> ''").select("host", "class")
+    found = _with_side(rows, held).select("host", "html", "classes").mapInArrow(run, "host string, class int, item string, value string")
+    return found.groupBy("host", "class", "item").agg(F.min("value").alias("value"), F.max("value").alias("high")).where("value = high AND value <> ''").drop("high")
 
 
 def _with_side(rows: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
-    return rows.join(F.broadcast(side) if small_enough(side, BROADCAST_HOSTS) else side, "host", how)
+    small = small_enough(side, BROADCAST_HOSTS) and (side.agg(F.sum(F.length(F.to_json(F.struct(*side.columns))))).first()[0] or 0) <= BROADCAST_BYTES
+    return rows.join(F.broadcast(side) if small else side, "host", how)
 
 
-def _block_counts(rows: DataFrame) -> DataFrame:
-    """Per host and block of the whole body: in how many of all its pages it stands."""
+def templates(rows: DataFrame) -> DataFrame:
+    """(host, template as JSON) as `deduce` finds it in all pages of the host: sums over pages, no host's pages in one place."""
+    rows = rows.where("host <> ''")
+    candidates = materialise(_candidates(rows))
+    pages = materialise(candidates.where("role = ''").select("host", "pages"))
+    named = materialise(candidates.where("role <> ''").groupBy("host").agg(F.collect_list("role").alias("roles")))
+    sums = _with_side(_vector_sums(rows, named), pages).where(2 * F.col("n") > F.col("pages"))
+    groups = sums.groupBy("host", "n", "f", "g").agg(F.collect_list("role").alias("roles"), F.first("pages").alias("pages"))
+    per_host = groups.groupBy("host").agg(F.collect_list("roles").alias("groups"), F.first("pages").alias("pages"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: dict[tuple, int] = {}
-            for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                for b in set(blocks(html, None)):
-                    counts[host, b] = counts.get((host, b), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[c] for k in counts], pa.string()) for c in (0, 1)] + [pa.array(list(counts.values()), pa.int64())], ["host", "block", "n"])
+    @F.udf("string")
+    def kept(groups: list, n: int) -> str:
+        return json.dumps(ordered_classes([c for c in (class_of(g, n) for g in groups) if c]))
 
-    return rows.select("host", "html").mapInArrow(run, "host string, block string, n bigint").groupBy("host", "block").agg(F.sum("n").alias("n"))
+    held = materialise(per_host.select("host", kept("groups", "pages").alias("classes")))
+    agreed = _agreements(rows, held).groupBy("host").agg(F.collect_list(F.struct("class", "item", "value")).alias("agreed"))
 
+    @F.udf("string")
+    def template(classes: str, agreed: list | None) -> str:
+        return json.dumps(assembled(json.loads(classes), {(a["class"], a["item"]): a["value"] for a in agreed or ()}))
 
-def templates(rows: DataFrame) -> DataFrame:
-    """(host, template) as `deduce` finds it in all pages of the host: sums over pages, no host's pages in one place."""
-    rows = rows.where("host <> ''")
-    sums = materialise(_role_sums(rows))
-    pages = materialise(sums.where("role = ''").select("host", F.col("n").alias("pages")))
-    frequent = _with_side(sums.where("role <> ''"), pages).where(2 * F.col("n") > F.col("pages"))
-    classes = frequent.groupBy("host", "n", "f", "g").agg(F.sort_array(F.collect_list("role")).alias("roles"))
-    main_like = F.udf(lambda roles: [r[1:] for r in roles if r[0] == "o" and _may_be_main(r[1:])], "array<string>")
-    #: Only classes that hold an article or main element decide on the template.
-    classes = classes.withColumn("main", main_like("roles")).where(F.size("main") > 0)
-    held = materialise(classes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("roles", "main"))).alias("c")))
-    valid = materialise(_orders(rows, held.select("host", F.to_json(F.col("c.roles")).alias("classes"))))
-    main = held.select("host", F.posexplode("c").alias("class", "c")).join(valid, ["host", "class"]).select("host", F.explode("c.main").alias("main"))
-    main = materialise(main.groupBy("host").agg(F.sort_array(F.collect_set("main")).alias("main")))
-    #: Hosts without one: what most of all their pages share.
-    bare = materialise(pages.where(F.col("pages") >= CONSTANT_PAGES).join(main, "host", "left_anti"))
-    constant = _with_side(_block_counts(_with_side(rows, bare)), bare).where(F.col("n") > CONSTANT_SHARE * F.col("pages"))
-    constant = materialise(constant.groupBy("host").agg(F.sort_array(F.collect_list("block")).alias("constant")))
-    named = pages.select("host").join(main, "host", "left").join(constant, "host", "left")
-    none = F.array().cast("array<string>")
-    return named.select("host", F.coalesce("main", none).alias("main"), F.coalesce("constant", none).alias("constant"))
+    return held.join(agreed, "host", "left").select("host", template("classes", "agreed").alias("template"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -345,21 +429,21 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     workers_see_package(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    unmarked = F.udf(lambda main: _unmarked(main), "array<string>")
-    found = templates(rows).select("host", F.to_json(F.struct(unmarked("main").alias("main"), "constant")).alias("template"))
-    met = _with_side(rows, materialise(found), "left")
+    met = _with_side(rows, materialise(templates(rows)), "left")
     key, url = (rows.schema[c].dataType.simpleString() for c in ("id", "url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read: dict[str, dict] = {}
         for batch in batches:
             texts = []
-            for page, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True):
-                if template is not None and template not in read:
-                    read[template] = json.loads(template)
-                texts.append("\n\n".join(blocks(page, read.get(template))))
+            for page, host, template in zip(batch.column("html"), batch.column("host"), batch.column("template"), strict=True):
+                host = host.as_py()
+                if host not in read and template.is_valid:
+                    read[host] = json.loads(template.as_py())
+                    read[host]["words"] = set(read[host]["words"])
+                texts.append("\n\n".join(blocks(page.as_py(), read.get(host))))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
 
-    return met.select("id", "url", "html", "template").mapInArrow(run, f"id {key}, url {url}, text string").withColumnsRenamed({"id": id_col, "url": url_col})
+    return met.select("id", "url", "host", "html", "template").mapInArrow(run, f"id {key}, url {url}, text string").withColumnsRenamed({"id": id_col, "url": url_col})
 
 
