@@ -21,19 +21,6 @@ def rank_in(values: Sequence[str], key: Column) -> Column:
     return F.when(F.coalesce(place, F.lit(0)) == 0, F.lit(len(values))).otherwise(place - 1).cast("int")
 
 
-def publication_issues(title: Column, body: Column, url: Column, sources: Column, status: Column, approved: Column, most: int = 600) -> Column:
-    """codes of what keeps a summary from publication; only an explicit approval lifts the status rule."""
-    return F.array_compact(F.array(
-        F.when(F.length(F.trim(F.coalesce(title, F.lit("")))) == 0, "missing_headline"),
-        F.when(F.length(F.coalesce(body, F.lit(""))) < 20, "body_too_short"),
-        F.when(F.length(body) > most, "body_too_long"),
-        F.when(F.contains(body, F.lit("**")), "markdown_leak"),
-        F.when(~F.coalesce(F.lower(url).rlike("^https?://"), F.lit(False)), "no_real_article"),
-        F.when(sources < 1, "no_source"),
-        F.when((status != "publishable") & ~approved, "status_not_publishable"),
-    ))
-
-
 def rejection_reason(mentions: Column, fresh: Column, background: Column, title_ratio: Column, cosine: Column) -> Column:
     """first reason that applies; null accepts."""
     return F.when(~mentions, "entity_mismatch").when(~fresh, "stale_result").when(background, "background_context").when(title_ratio >= 82, "duplicate_of_existing").when(cosine < 0.58, "event_mismatch")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as X
-from tidewire.operators import analytics as A
 from tidewire.operators import editorial as E
 from tidewire.operators import maintenance as M
 from tidewire.operators import scoring as S
@@ -33,31 +32,6 @@ def line_pos():
     return (F.col("l_linenumber") * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
 
 
-_ISSUES = """list_filter([CASE WHEN length(trim(coalesce(title, ''))) = 0 THEN 'missing_headline' END, CASE WHEN length(coalesce(content, '')) < 20 THEN 'body_too_short' END, CASE WHEN length(content) > 600 THEN 'body_too_long' END,
- CASE WHEN contains(content, '**') THEN 'markdown_leak' END, CASE WHEN NOT regexp_matches(lower(url), '^https?://') THEN 'no_real_article' END, CASE WHEN id % 11 = 0 THEN 'no_source' END, CASE WHEN id % 5 = 0 AND id % 10 <> 0 THEN 'status_not_publishable' END], lambda x: x IS NOT NULL)"""
-
-
-def _issues(s, d):
-    a = V.articles(s, d)
-    status = F.when(F.col("id") % 5 == 0, "needs_review").otherwise("publishable")
-    return a.select("id", E.publication_issues(F.col("title"), F.col("content"), F.col("url"), F.when(F.col("id") % 11 == 0, 0).otherwise(1), status, F.col("id") % 10 == 0).alias("issues"))
-
-
-@query("f04_publication_issues", f"SELECT id, array_to_string({_ISSUES}, ',') AS issues FROM v_articles")
-def f04(s, d):
-    return _issues(s, d).select("id", F.array_join("issues", ",").alias("issues"))
-
-
-@query("a09_issue_histogram", f"SELECT issue AS flag, count(*) AS n FROM (SELECT unnest({_ISSUES}) AS issue FROM v_articles) GROUP BY 1")
-def a09b(s, d):
-    return A.flag_histogram(_issues(s, d), "issues")
-
-
-@query("z19_publication_safe", f"SELECT count(*) FILTER (len({_ISSUES}) = 0) AS safe, count(*) AS n FROM v_articles")
-def z19(s, d):
-    return _issues(s, d).agg(F.count_if(F.size("issues") == 0).alias("safe"), F.count("*").alias("n"))
-
-
 _REASON = "CASE WHEN event_id % 7 = 0 THEN 'entity_mismatch' WHEN ts < TIMESTAMP '2024-01-10 00:00:00' THEN 'stale_result' WHEN event_id % 5 = 0 THEN 'background_context' WHEN value >= 82 THEN 'duplicate_of_existing' WHEN value / 100 < 0.58 THEN 'event_mismatch' END"
 
 
