@@ -25,7 +25,8 @@ import hashlib
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -129,22 +130,44 @@ def sets_apart(element: tuple[str, str]) -> bool:
     return element[0] in APART or "hidden-element" in element[1]
 
 
-def tokens_of(page: str) -> list[str]:
-    """The page's tokens in order: 'o' and 'c' with the path of elements that open and close, 'w' with the path and a word."""
-    out = []
+def segments(page: str, wanted: dict[str, set] | None = None) -> Iterator[tuple[str, list[str] | None]]:
+    """The page's tokens in order: ('o' or 'c' with the path, None) of elements that open and close, ('w' with the path, words) of texts; of words only the wanted ones of their path."""
     names: dict[tuple, str] = {}
-
-    def name(path: tuple) -> str:
-        if path not in names:
-            names[path] = "/".join(f"{n}.{m}" if m else n for n, m in path if n not in INLINE)
-        return names[path]
-
     for kind, path, text in parse(page):
         if kind == "text":
-            if not text.isspace():
-                out += [f"w{name(path)}\t{word}" for word in entities.unescape(text).split()]
-        elif kind in ("open", "close") and path[-1][0] not in INLINE:
-            out.append(kind[0] + name(path))
+            if text.isspace():
+                continue
+        elif kind not in ("open", "close") or path[-1][0] in INLINE:
+            continue
+        name = names.get(path)
+        if name is None:
+            name = names[path] = "/".join(f"{n}.{m}" if m else n for n, m in path if n not in INLINE)
+        if kind != "text":
+            yield kind[0] + name, None
+        elif wanted is None:
+            yield "w" + name, entities.unescape(text).split()
+        elif known := wanted.get("w" + name):
+            yield "w" + name, [w for w in entities.unescape(text).split() if w in known]
+
+
+def tokens_of(page: str, wanted: dict[str, set] | None = None) -> list[str]:
+    """segments() as single tokens: a word's is its path, a tab and the word."""
+    out = []
+    for role, words in segments(page, wanted):
+        if words is None:
+            out.append(role)
+        else:
+            out += [f"{role}\t{w}" for w in words]
+    return out
+
+
+def by_path(tokens: Iterable[str]) -> dict[str, set]:
+    """The words among the tokens, by their path."""
+    out: dict[str, set] = {}
+    for token in tokens:
+        if token[0] == "w":
+            role, _, word = token.partition("\t")
+            out.setdefault(role, set()).add(word)
     return out
 
 
@@ -313,25 +336,31 @@ def _candidates(rows: DataFrame) -> DataFrame:
     """(host, role, pages): tokens in most pages of a host that some task has read, and for role '' their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        present: dict[str, dict[str, int]] = {}
-        pages: dict[str, int] = {}
+        #: Pages in which a token stands, by host and path; a tag is the word '' of its path.
+        present: dict[str, dict[str, Counter]] = {}
+        pages: Counter = Counter()
         held = 0
 
         def named() -> pa.RecordBatch:
-            found = [(h, "", n) for h, n in pages.items()] + [(h, role, 0) for h, roles in present.items() for role, n in roles.items() if 2 * n > pages[h]]
+            found = [(h, "", n) for h, n in pages.items()]
+            found += [(h, f"{role}\t{word}" if word else role, 0) for h, roles in present.items() for role, words in roles.items() for word, n in words.items() if 2 * n > pages[h]]
             columns = list(zip(*found, strict=True)) or [(), (), ()]
             present.clear()
             pages.clear()
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["host", "role", "pages"])
 
         for batch in batches:
-            for host, html in zip(batch.column("host"), batch.column("html"), strict=True):
-                own = present.setdefault(host.as_py(), {})
-                pages[host.as_py()] = pages.get(host.as_py(), 0) + 1
-                before = len(own)
-                for role in set(tokens_of(html.as_py())):
-                    own[role] = own.get(role, 0) + 1
-                held += len(own) - before
+            for host, html in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
+                own = present.setdefault(host, {})
+                pages[host] += 1
+                here: dict[str, set] = {}
+                for role, words in segments(html.as_py()):
+                    here.setdefault(role, set()).update(("",) if words is None else words)
+                for role, words in here.items():
+                    known = own.setdefault(role, Counter())
+                    before = len(known)
+                    known.update(words)
+                    held += len(known) - before
                 if held > HELD_TOKENS:
                     yield named()
                     held = 0
@@ -345,17 +374,15 @@ def _vector_sums(rows: DataFrame, held: DataFrame) -> DataFrame:
     """Per host and candidate (held: host, roles): in how many of all its pages it stands, and the sums that name its occurrence vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, frozenset] = {}
+        known: dict[str, tuple[frozenset, dict]] = {}
         sums: dict[tuple, list[int]] = {}
         for batch in batches:
             for host, page, html, roles in zip(*(batch.column(c) for c in ("host", "page", "html", "roles")), strict=True):
                 host = host.as_py()
                 if host not in known:
-                    known[host] = frozenset(roles.as_py())
-                counts: dict[str, int] = {}
-                for role in tokens_of(html.as_py()):
-                    if role in known[host]:
-                        counts[role] = counts.get(role, 0) + 1
+                    known[host] = frozenset(roles.as_py()), by_path(roles.as_py())
+                counts = Counter(tokens_of(html.as_py(), known[host][1]))
+                counts = {role: n for role, n in counts.items() if role in known[host][0]}
                 marks = {n: _fingerprint(page.as_py(), n) for n in set(counts.values())}
                 for role, n in counts.items():
                     own = sums.setdefault((host, role), [0, 0, 0])
@@ -380,14 +407,16 @@ def _agreements(rows: DataFrame, held: DataFrame) -> DataFrame:
     """(host, class, item, value) that all pages of the host agree on (held: host, classes as JSON)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[dict]] = {}
+        known: dict[str, tuple[list[dict], dict]] = {}
         for batch in batches:
             met: set[tuple] = set()
             for host, html, classes in zip(*(batch.column(c) for c in ("host", "html", "classes")), strict=True):
                 host = host.as_py()
                 if host not in known:
-                    known[host] = json.loads(classes.as_py())
-                met.update((host, k, item, value) for (k, item), value in observed(tokens_of(html.as_py()), known[host]).items())
+                    read = json.loads(classes.as_py())
+                    known[host] = read, by_path(w for c in read for w in c["words"])
+                shown = observed(tokens_of(html.as_py(), known[host][1]), known[host][0])
+                met.update((host, k, item, value) for (k, item), value in shown.items())
             columns = list(zip(*met, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string())], ["host", "class", "item", "value"])
 
