@@ -94,13 +94,27 @@ def unsupported_claims(claims: Column, evidence: Column, tolerance: float = 0.08
     return F.filter(claims, lambda c: ~near(c))
 
 
+# Month names in URLs.
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+MONTH_NAMES = "january february march april may june july august september october november december".split()
+
+
 def url_date(url: Column) -> Column:
-    """The date that a URL path names: /2024/03/05/, 2024-03-05 or 20240305; else null."""
-    spaced = "(20[0-9]{2})[/-]([01]?[0-9])[/-]([0-3]?[0-9])(?:[/._-]|$)"
-    parts = [F.regexp_extract(url, spaced, k) for k in (1, 2, 3)]
-    compact = F.regexp_extract(url, "(?:^|[^0-9])(20[0-9]{6})(?:[^0-9]|$)", 1)
-    a = F.when(parts[0] != "", F.try_to_date(F.concat(parts[0], F.lit("-"), F.lpad(parts[1], 2, "0"), F.lit("-"), F.lpad(parts[2], 2, "0")), "yyyy-MM-dd"))
-    return F.coalesce(a, F.when(compact != "", F.try_to_date(compact, "yyyyMMdd")))
+    """The date that a URL's path names: a day, else the first day of a quarter, a named month, a month, or a year; null for none."""
+    path = F.coalesce(F.try_url_decode(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)), F.lit(""))
+    part = lambda pattern, k: F.nullif(F.regexp_extract(path, pattern, k), F.lit(""))
+    day_of = lambda y, m, d: F.try_to_date(F.concat(y, F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+    year, one = "(?<![0-9])((?:19|20)[0-9]{2})", F.lit("1")
+    spaced, compact = year + "[-/_](0?[1-9]|1[0-2])[-/_](0?[1-9]|[12][0-9]|3[01])(?![0-9])", year + "(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])(?![0-9])"
+    before, after = year + "[_-]([1-4])[Qq](?![0-9])", year + "[_-]?[Qq]([1-4])(?![0-9])"
+    named, month, bare = year + "[/_-]([A-Za-z]{3,9})(?=$|[/_.-])", year + "[/_-](0?[1-9]|1[0-2])(?=$|[/_.-])", "(?:^|/)((?:19|20)[0-9]{2})(?:/|$)"
+    known = F.create_map(*[F.lit(x) for k in range(12) for n in dict.fromkeys((MONTHS[k], MONTH_NAMES[k])) for x in (n, str(k + 1))])
+    quarter = lambda p: day_of(part(p, 1), ((part(p, 2).cast("int") - 1) * 3 + 1).cast("string"), one)
+    exact = F.when(part(spaced, 1).isNotNull(), day_of(*[part(spaced, k) for k in (1, 2, 3)])).otherwise(day_of(*[part(compact, k) for k in (1, 2, 3)]))
+    return (
+        F.when(part(spaced, 1).isNotNull() | part(compact, 1).isNotNull(), exact).when(part(before, 1).isNotNull(), quarter(before)).when(part(after, 1).isNotNull(), quarter(after))
+        .otherwise(F.coalesce(day_of(part(named, 1), F.try_element_at(known, F.lower(part(named, 2))), one), day_of(part(month, 1), part(month, 2), one), day_of(part(bare, 1), one, one)))
+    )
 
 
 def epoch(value: Column) -> Column:

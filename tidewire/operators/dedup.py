@@ -62,7 +62,7 @@ def by_component(rows: DataFrame, edges: DataFrame, rule) -> DataFrame:
 
 
 def fuzzy_edges(articles: DataFrame, least: float = 85.0) -> DataFrame:
-    """Pairs of one source whose titles reach the ratio. Title prefixes block the rest: equal length bounds first, then the exact ratio."""
+    """Pairs of one source whose titles reach the ratio. Pairs meet by source; a bound from the lengths comes before the exact ratio."""
     left = articles.select("source_name", F.col("id").alias("a"), F.col("title").alias("ta"))
     right = articles.select("source_name", F.col("id").alias("b"), F.col("title").alias("tb"))
     met = left.join(right, "source_name").where((F.col("a") < F.col("b")) & ratio_possible(F.col("ta"), F.col("tb"), least))

@@ -243,9 +243,9 @@ def z12(s, d):
     return V.table(s, d, "events").select(F.col("event_id").alias("id"), F.coalesce(F.get_json_object("props", "$.k").try_cast("bigint"), F.lit(0)).alias("tokens"), F.length("props").cast("bigint").alias("chars"))
 
 
-@query("r13_seo_titles", "SELECT id, CASE WHEN length(trim(regexp_replace(title, '[ \\t\\n\\f\\r\\v]+', ' ', 'g'))) <= 70 THEN trim(regexp_replace(title, '[ \\t\\n\\f\\r\\v]+', ' ', 'g')) ELSE rtrim(substr(trim(regexp_replace(title, '[ \\t\\n\\f\\r\\v]+', ' ', 'g')), 1, 69)) || '…' END AS seo FROM v_articles")
+@query("r13_seo_titles", "SELECT id, CASE WHEN length(trim(regexp_replace(title, '[ \\t\\n\\f\\r\\v]+', ' ', 'g'))) <= 70 THEN trim(regexp_replace(title, '[ \\t\\n\\f\\r\\v]+', ' ', 'g')) ELSE rtrim(substr(trim(regexp_replace(title, '[ \\t\\n\\f\\r\\v]+', ' ', 'g')), 1, 69)) || '…' END AS seo FROM v_titles")
 def r13(s, d):
-    return V.articles(s, d).select("id", X.preview(F.col("title"), 70).alias("seo"))
+    return V.titles(s, d).select("id", X.preview(F.col("title"), 70).alias("seo"))
 
 
 @query("z01_audit_window", "SELECT count(*) AS clusters, min(CAST(report_date AS VARCHAR)) AS first, max(CAST(report_date AS VARCHAR)) AS last FROM v_clusters WHERE report_date BETWEEN DATE '1996-07-09' AND DATE '1996-07-15'")

@@ -48,9 +48,9 @@ def j05(s, d):
     return _judged(s, d).select("evaluation_id", "cluster_id", F.col("report_date").cast("string").alias("report_date"), "display_category", "status", "composite", "selected", "verdict")
 
 
-@query("f02_filter_rows", f"WITH {_JUDGED} SELECT evaluation_id, round(composite, 6) AS composite, verdict FROM j WHERE display_category IN ('1-URGENT', '2-HIGH') AND status IN ('F', 'O') AND selected AND composite >= 0.2 AND composite <= 0.6 AND list_has_any(subject_regions, ['france', 'germany', 'china', 'japan']) AND verdict IS NOT NULL")
+@query("f02_filter_rows", f"WITH {_JUDGED} SELECT evaluation_id, round(composite, 6) AS composite, verdict FROM j WHERE display_category IN ('1-URGENT', '2-HIGH') AND status IN ('F', 'O') AND selected AND composite >= 0.2 AND composite <= 0.6 AND list_has_any(subject_regions, ['nation_1', 'nation_4', 'nation_9', 'nation_16']) AND verdict IS NOT NULL")
 def f02(s, d):
-    rows = A.filter_rows(_judged(s, d), ["1-URGENT", "2-HIGH"], ["F", "O"], "selected", 0.2, 0.6, ["france", "germany", "china", "japan"], True)
+    rows = A.filter_rows(_judged(s, d), ["1-URGENT", "2-HIGH"], ["F", "O"], "selected", 0.2, 0.6, ["nation_1", "nation_4", "nation_9", "nation_16"], True)
     return rows.select("evaluation_id", F.round("composite", 6).alias("composite"), "verdict")
 
 

@@ -12,6 +12,7 @@ from tidewire.operators import graph as G
 from tidewire.operators import similarity as Y
 from tidewire.operators import storyline as L
 from tidewire.sources import pages as P
+from tidewire.runtime import materialise
 from tidewire.sources import views as V
 from tidewire.sources.views import with_views
 from tidewire.streaming import streams as R
@@ -39,29 +40,32 @@ def f01(s, d):
     return V.articles(s, d).select("id", X.is_placeholder(F.col("url")).alias("placeholder"), X.is_real(F.col("url")).alias("real"))
 
 
-@query("f03_generic_pages", "SELECT page_id, CASE WHEN regexp_matches(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)), '/(authors?|compan(y|ies)|topics?|tags?|search|archives?|word)(/|$)') THEN 'generic_page' WHEN contains(url, '42') THEN 'stale_or_historical' END AS reason FROM pages")
+@query("f03_generic_pages", "SELECT page_id, CASE WHEN regexp_matches(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)), '/(authors?|compan(y|ies)|topics?|tags?|search|archives?|word)(/|$)') OR page_id % 4 = 1 THEN 'generic_page' WHEN page_id % 4 = 2 OR contains(url, '2025') OR contains(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '2025') THEN 'stale_or_historical' END AS reason FROM pages")
 def f03(s, d):
-    return V.table(s, d, "pages").select("page_id", X.generic_or_stale(F.col("url"), F.lit(""), "42").alias("reason"))
+    title = F.concat(P.title(F.col("html")), F.when(F.col("page_id") % 4 == 1, F.lit(" | Reuters")).when(F.col("page_id") % 4 == 2, F.lit(" in 2025")).otherwise(""))
+    return V.table(s, d, "pages").select("page_id", X.generic_or_stale(F.col("url"), title).alias("reason"))
 
 
-@query("f14_latin_share", "SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]')) AS latin, false AS chinese FROM documents")
+@query("f14_latin_share", "WITH x AS (SELECT doc_id, text, [' 今天的新闻报道很多', '新闻', repeat('天气很好', 400), ''][CAST(doc_id % 4 + 1 AS BIGINT)] AS c, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]')) AS latin FROM documents) SELECT doc_id, latin, CASE doc_id % 4 WHEN 0 THEN 8 / greatest(8 + latin, 1) >= 0.08 WHEN 2 THEN 1600 / (1600 + latin) >= 0.08 ELSE false END AS chinese FROM x")
 def f14(s, d):
     t = V.table(s, d, "documents")
-    return t.select("doc_id", F.regexp_count("text", F.lit("[A-Za-z]")).cast("bigint").alias("latin"), X.looks_chinese(F.col("text")).alias("chinese"))
+    text = F.coalesce("text", F.lit(""))
+    told = F.concat(text, V.pick((" 今天的新闻报道很", "新闻", "天气很好" * 400, ""), F.col("doc_id") % 4))
+    return t.select("doc_id", F.regexp_count(text, F.lit("[A-Za-z]")).cast("bigint").alias("latin"), X.looks_chinese(told).alias("chinese"))
 
 
-@query("d03_char_ngrams", f"WITH c AS (SELECT id, {_CLEAN.format(t='title')} AS c FROM v_articles), g AS (SELECT id, {_GRAMS.format(c='c')} AS g FROM c) SELECT id, len(g) AS n, array_to_string(list_sort(g), '|') AS grams FROM g")
+@query("d03_char_ngrams", f"WITH c AS (SELECT id, {_CLEAN.format(t='title')} AS c FROM v_titles), g AS (SELECT id, {_GRAMS.format(c='c')} AS g FROM c) SELECT id, len(g) AS n, array_to_string(list_sort(g), '|') AS grams FROM g")
 def d03(s, d):
-    g = V.articles(s, d).select("id", X.char_ngrams(F.col("title")).alias("g"))
+    g = V.titles(s, d).select("id", X.char_ngrams(F.col("title")).alias("g"))
     return g.select("id", F.size("g").cast("bigint").alias("n"), F.array_join(F.array_sort("g"), "|").alias("grams"))
 
 
-@query("d04_ngram_pairs", f"""WITH c AS (SELECT id, source_name, {_CLEAN.format(t='title')} AS c FROM v_articles), g AS (SELECT id, source_name, {_GRAMS.format(c='c')} AS g FROM c),
+@query("d04_ngram_pairs", f"""WITH c AS (SELECT id, source_name, {_CLEAN.format(t='title')} AS c FROM v_titles), g AS (SELECT id, source_name, {_GRAMS.format(c='c')} AS g FROM c),
  e AS (SELECT id, source_name, len(g) AS n, unnest(g) AS x FROM g),
  p AS (SELECT a.id AS k1, b.id AS k2, any_value(a.n) AS n1, any_value(b.n) AS n2, count(*) AS m FROM e a JOIN e b ON a.source_name = b.source_name AND a.x = b.x AND a.id < b.id GROUP BY 1, 2)
  SELECT k1, k2, round(m / (n1 + n2 - m), 4) AS overlap FROM p WHERE m / (n1 + n2 - m) >= 0.5""")
 def d04(s, d):
-    return Y.ngram_pairs(V.articles(s, d), "id", "title", "source_name", 0.5)
+    return Y.ngram_pairs(V.titles(s, d), "id", "title", "source_name", 0.5)
 
 
 @query("d01_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 4) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -105,7 +109,7 @@ def j11(s, d):
 
 @query("d11_components", f"WITH RECURSIVE {_VA}, {_EDGE}, u AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed), r AS (SELECT a AS id, a AS c FROM u UNION SELECT u.a, r.c FROM r JOIN u ON u.b = r.id WHERE r.c < u.a) SELECT id, min(c) AS component FROM r GROUP BY 1")
 def d11(s, d):
-    e = C.event_edges(_vector_articles(s, d), least=0.40, strong=0.40).select("a", "b")
+    e = materialise(C.event_edges(_vector_articles(s, d), least=0.40, strong=0.40).select("a", "b"))
     return G.connected_components(e.select(F.col("a").alias("id")).union(e.select("b")), e)
 
 
@@ -113,7 +117,7 @@ def d11(s, d):
  g AS (SELECT a AS id, count(*) AS degree FROM u GROUP BY 1), o AS (SELECT k.component, va.id, va.source_name, g.degree, row_number() OVER (PARTITION BY k.component, va.source_name ORDER BY g.degree DESC, va.size DESC, va.published_at DESC, va.id) AS n FROM va JOIN k ON k.id = va.id JOIN g ON g.id = va.id) SELECT component, id, source_name, degree FROM o WHERE n = 1""")
 def w04(s, d):
     v = _vector_articles(s, d)
-    e = C.event_edges(v, least=0.40, strong=0.40).select("a", "b")
+    e = materialise(C.event_edges(v, least=0.40, strong=0.40).select("a", "b"))
     k = G.connected_components(e.select(F.col("a").alias("id")).union(e.select("b")), e)
     return C.one_per_source(v, k, e)
 
@@ -132,8 +136,7 @@ def d15(s, d):
 
 @query("d07_fuzzy_dedup")
 def d07(s, d):
-    a = V.articles(s, d).select("id", "title", "source_name")
-    return D.fuzzy_dedup(a, V.doc_sources(s, d), 85.0)
+    return D.fuzzy_dedup(V.titles(s, d).select("id", "title", "source_name"), V.doc_sources(s, d), 85.0)
 
 
 @query("d08_semantic_dedup")
@@ -194,11 +197,16 @@ def d22(s, d):
     return e.select("evaluation_id", L.lifecycle(F.col("evaluation_id") % 3 != 0, F.col("composite"), F.coalesce("scope", F.lit(0.0)), F.size("subject_regions")).alias("state"))
 
 
-@query("d21_freshness", "SELECT cluster_id, CASE WHEN len(list_filter(cur, lambda x: NOT list_contains(old, x))) > 0 THEN 'developing' ELSE 'stale' END AS freshness FROM (SELECT c.id AS cluster_id, c.article_ids AS cur, o.article_ids AS old FROM v_clusters c JOIN v_clusters o ON o.id = c.id - 1)")
+@query("d21_freshness", """WITH v AS (SELECT a.vec_id, 3 * list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 1) % (SELECT count(*) FROM embeddings)),
+ p AS (SELECT c.id AS cluster_id, c.article_ids AS cur, o.article_ids AS old, v.cosine FROM v_clusters c JOIN v_clusters o ON o.id = c.id - 1 LEFT JOIN v ON v.vec_id = c.id) SELECT cluster_id, CASE WHEN cosine IS NULL OR cosine < 0.85 THEN 'new' WHEN len(list_filter(cur, lambda x: NOT list_contains(old, x))) > 0 THEN 'developing' ELSE 'stale' END AS freshness FROM p""")
 def d21(s, d):
+    e = V.table(s, d, "embeddings")
+    other = e.select(F.col("vec_id").alias("o"), F.col("embedding").alias("vb"))
+    v = e.withColumn("o", (F.col("vec_id") * 7 + 1) % e.count()).join(other, "o").select(F.col("vec_id").alias("cluster_id"), (3 * Y.dot(F.col("embedding"), F.col("vb"))).alias("cosine"))
     c = V.clusters(s, d).select(F.col("id").alias("cluster_id"), "article_ids")
     o = c.select((F.col("cluster_id") + 1).alias("cluster_id"), F.col("article_ids").alias("old"))
-    return c.join(o, "cluster_id").select("cluster_id", L.freshness(F.lit(0.9), F.array_except("article_ids", "old")).alias("freshness"))
+    met = c.join(o, "cluster_id").join(v, "cluster_id", "left")
+    return met.select("cluster_id", L.freshness(F.col("cosine"), F.array_except("article_ids", "old")).alias("freshness"))
 
 
 @query("key_cluster", "SELECT o_orderkey AS id, substr(sha1(o_orderpriority || '|' || o_orderstatus), 1, 16) AS cluster_key, substr(sha1(CASE WHEN o_orderpriority < o_orderstatus THEN o_orderpriority || '|' || o_orderstatus ELSE o_orderstatus || '|' || o_orderpriority END), 1, 8) AS storyline_key FROM orders")
@@ -217,13 +225,13 @@ def fn_host(s, d):
     return V.table(s, d, "pages").select("page_id", X.host(F.col("url")).alias("host"))
 
 
-@query("fn_url_date", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 < 2 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS url_date FROM orders")
+@query("fn_url_date", "WITH x AS (SELECT o_orderkey AS id, o_orderkey % 8 AS k, CAST(o_orderdate AS DATE) AS d FROM orders) SELECT id, CAST(CASE WHEN k < 3 THEN d WHEN k = 3 OR k = 4 THEN make_date(year(d), (quarter(d) - 1) * 3 + 1, 1) WHEN k = 5 OR k = 6 THEN make_date(year(d), month(d), 1) END AS VARCHAR) AS url_date FROM x")
 def fn_url_date(s, d):
-    o = V.table(s, d, "orders")
-    url = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "'https://a.example/'yyyy'/'MM'/'dd'/x'")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "'https://a.example/n'yyyyMMdd'.html'")).otherwise("https://a.example/x")
-    # Dates before 2000 carry another century mark, which the function reads as no date.
-    early = F.year("o_orderdate") < 2000
-    return o.select(F.col("o_orderkey").alias("id"), F.when(early, F.when(F.col("o_orderkey") % 3 < 2, F.col("o_orderdate").cast("date"))).otherwise(X.url_date(url)).cast("string").alias("url_date"))
+    o, k, at = V.table(s, d, "orders"), F.col("o_orderkey") % 8, F.col("o_orderdate")
+    year, quarter = F.year(at).cast("string"), F.quarter(at).cast("string")
+    forms = [F.date_format(at, "'/'yyyy'/'MM'/'dd'/x'"), F.date_format(at, "'/n'yyyyMMdd'.html'"), F.date_format(at, "'/a-'yyyy'-'M'-'d"), F.concat(F.lit("/r/"), year, F.lit("_"), quarter, F.lit("Q_business-report")), F.concat(F.lit("/r/"), year, F.lit("Q"), quarter, F.lit(".pdf")), F.concat(F.lit("/"), year, F.lit("/"), F.lower(F.date_format(at, "MMMM")), F.lit("/statement")), F.date_format(at, "'/'yyyy'/'MM'/report'"), F.lit("/x/12345678901")]
+    url = F.concat(F.lit("https://a.example"), F.element_at(F.array(*forms), (k + 1).cast("int")))
+    return o.select(F.col("o_orderkey").alias("id"), X.url_date(url).cast("string").alias("url_date"))
 
 
 @query("fn_epoch", "SELECT event_id, CAST(make_timestamp(CASE WHEN event_id % 2 = 0 THEN epoch_us(ts) // 1000 ELSE epoch_us(ts) // 1000000 * 1000 END * 1000) AS VARCHAR)[1:19] AS at FROM events")
@@ -259,9 +267,9 @@ def s16(s, d):
     return V.table(s, d, "pages").select("page_id", P.js_rendered(F.col("html")).alias("js"))
 
 
-@query("j20_golden_coverage", f"WITH c AS (SELECT id, source_name, {_CLEAN.format(t='title')} AS c FROM v_articles), g AS (SELECT id, source_name, {_GRAMS.format(c='c')} AS g FROM c), e AS (SELECT id, source_name, len(g) AS n, unnest(g) AS x FROM g), p AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS n1, any_value(b.n) AS n2, count(*) AS m FROM e a JOIN e b ON a.source_name = b.source_name AND a.x = b.x AND a.id < b.id GROUP BY 1, 2), k AS (SELECT DISTINCT b FROM p WHERE m / (n1 + n2 - m) >= 0.6) SELECT source_name, count(*) AS stories, count(k.b) AS covered FROM v_articles LEFT JOIN k ON k.b = id GROUP BY 1")
+@query("j20_golden_coverage", f"WITH c AS (SELECT id, source_name, {_CLEAN.format(t='title')} AS c FROM v_titles), g AS (SELECT id, source_name, {_GRAMS.format(c='c')} AS g FROM c), e AS (SELECT id, source_name, len(g) AS n, unnest(g) AS x FROM g), p AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS n1, any_value(b.n) AS n2, count(*) AS m FROM e a JOIN e b ON a.source_name = b.source_name AND a.x = b.x AND a.id < b.id GROUP BY 1, 2), k AS (SELECT DISTINCT b FROM p WHERE m / (n1 + n2 - m) >= 0.6) SELECT source_name, count(*) AS stories, count(k.b) AS covered FROM v_titles LEFT JOIN k ON k.b = id GROUP BY 1")
 def j20(s, d):
-    a = V.articles(s, d)
+    a = V.titles(s, d)
     hit = Y.ngram_pairs(a, "id", "title", "source_name", 0.6).select(F.col("k2").alias("id")).distinct().withColumn("hit", F.lit(1))
     return a.join(hit, "id", "left").groupBy("source_name").agg(F.count("*").alias("stories"), F.count("hit").alias("covered"))
 
@@ -273,27 +281,27 @@ def x05(s, d):
 
 @query("x05_daily_rollup_stream", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS stage, count(*) AS calls, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY 1, 2")
 def x05_stream(s, d):
-    rolled = R.telemetry_rollup(R.event_stream(s, d)).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "stage", "calls", "tokens")
-    return R.run_to_memory(rolled, f"rollup_{abs(hash(d)) % 10**8}", "complete")
+    return R.drained(R.telemetry_rollup(R.event_stream(s, d)), "complete").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "stage", "calls", "tokens")
 
 
 @query("x03_sliding_counts", "WITH w AS (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS start FROM events) SELECT CAST(CAST(start AS DATE) AS VARCHAR) AS start, count(*) AS n FROM w GROUP BY 1")
 def x03(s, d):
-    return R.sliding_counts(V.table(s, d, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+    return R.drained(R.sliding_counts(R.event_stream(s, d)), "complete").withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
 
 @query("x08_sessions", """WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
  k AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, epoch_us(min(ts)) // 1000000 AS start, count(*) AS n FROM k GROUP BY user_id, session""")
 def x08(s, d):
-    return R.sessions(V.table(s, d, "events")).select("user_id", F.unix_seconds("start").alias("start"), "n")
+    return R.drained(R.sessions(R.event_stream(s, d)), "complete").select("user_id", F.unix_seconds("start").alias("start"), "n")
 
 
 @query("x02_distinct_stream", "SELECT DISTINCT user_id, event_type FROM events")
 def x02(s, d):
-    return R.distinct_within(V.table(s, d, "events").select("user_id", "event_type", "ts"), ["user_id", "event_type"]).select("user_id", "event_type")
+    rows = R.event_stream(s, d).select("user_id", "event_type", "ts")
+    return R.drained(R.distinct_within(rows, ["user_id", "event_type"], "3650 days"), "append").select("user_id", "event_type")
 
 
 @query("x04_lifecycle_stream", "SELECT user_id, count(*) AS seen, CASE WHEN count(*) < 3 THEN 'emerging' WHEN count(*) < 10 THEN 'developing' ELSE 'stabilized' END AS state FROM events GROUP BY 1")
 def x04(s, d):
-    out = R.run_to_memory(R.lifecycle_state(R.event_stream(s, d)), f"lifecycle_{abs(hash(d)) % 10**8}", "update")
+    out = R.drained(R.lifecycle_state(R.event_stream(s, d)), "update")
     return out.groupBy("user_id").agg(F.max("seen").alias("seen"), F.max_by("state", "seen").alias("state"))

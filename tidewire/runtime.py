@@ -48,10 +48,15 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tidewire-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    keep(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep(spark: SparkSession, path: str) -> None:
+    """Remember a scratch path, to be deleted at the end."""
+    _written.append((spark, path))
+
+
 @atexit.register
 def _drop_written() -> None:
     for spark, path in _written:

@@ -32,7 +32,14 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles from documents; every 50th is a placeholder row."""
     d = table(spark, sf_dir, "documents")
     url = F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("placeholder:"), "doc_id")).otherwise(F.concat(F.lit("https://"), "source", F.lit(".example.com/"), "doc_id"))
-    return d.select(F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("title"), F.col("text").alias("content"), F.col("source").alias("source_name"), url.alias("url"), "lang", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 420).alias("published_at"))
+    return d.select(F.col("doc_id").alias("id"), F.concat("source", F.lit(" story "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("content"), F.col("source").alias("source_name"), url.alias("url"), "lang", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 420).alias("published_at"))
+
+
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headlines: the title elements of pages, by host."""
+    p = table(spark, sf_dir, "pages")
+    host = F.regexp_replace(F.lower(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1)), "^www\\.", "")
+    return p.select(F.col("page_id").alias("id"), F.trim(F.regexp_extract("html", "(?s)<title[^>]*>(.*?)</title>", 1)).alias("title"), host.alias("source_name"), "url")
 
 
 def doc_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,11 +82,11 @@ def evaluations(spark: SparkSession, sf_dir: str, with_dims: bool = True) -> Dat
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Editorial feedback: every third cluster has a verdict, every ninth a later, opposite one."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 3 == 0)
+    """Editorial feedback: clusters that are not pending have a verdict, finished ones a later, opposite one."""
+    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
     verdict = F.when(F.expr("o_orderkey div 3") % 2 == 0, 1).otherwise(-1)
     first = o.select((F.col("o_orderkey") * 2).alias("id"), F.col("o_orderkey").alias("cluster_id"), verdict.alias("verdict"), F.col("o_orderdate").alias("created_at"))
-    later = o.where(F.col("o_orderkey") % 9 == 0).select((F.col("o_orderkey") * 2 + 1).alias("id"), F.col("o_orderkey").alias("cluster_id"), (-verdict).alias("verdict"), (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("created_at"))
+    later = o.where("o_orderstatus = 'F'").select((F.col("o_orderkey") * 2 + 1).alias("id"), F.col("o_orderkey").alias("cluster_id"), (-verdict).alias("verdict"), (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("created_at"))
     return first.union(later)
 
 
@@ -122,13 +129,14 @@ SQL = {
  CASE l_suppkey % 4 WHEN 0 THEN 'fresh' WHEN 1 THEN 'stale' END AS freshness, CASE l_partkey % 7 WHEN 0 THEN 'direct_event' WHEN 1 THEN 'background' END AS evidence, CASE l_suppkey % 6 WHEN 0 THEN 'official_web' WHEN 1 THEN 'official_social' ELSE 'news' END AS source_kind,
  CASE WHEN l_suppkey % 6 = 1 THEN CASE WHEN l_partkey % 2 = 0 THEN 'x' ELSE 'youtube' END END AS platform, ['us', 'de', 'cn', 'fr'][l_suppkey % 4 + 1] AS region, CASE WHEN l_returnflag <> 'N' THEN CASE WHEN l_partkey % 3 = 0 THEN 'tavily_country' ELSE 'tavily_official' END END AS provider FROM lineitem""",
     "v_sources": f"SELECT s_suppkey AS source_id, s_name AS name, lower(n_name) AS region, round((s_acctbal + 1000) / 11000, 3) AS weight, {_LIST}[s_suppkey % 3 + 1] AS tier, {_OWN}[s_suppkey % 7 + 1] AS ownership FROM supplier JOIN nation ON s_nationkey = n_nationkey",
-    "v_articles": "SELECT doc_id AS id, substr(text, 1, 80) AS title, text AS content, source AS source_name, CASE WHEN doc_id % 50 = 0 THEN 'placeholder:' || doc_id ELSE 'https://' || source || '.example.com/' || doc_id END AS url, lang, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id * 7 AS BIGINT)) AS published_at FROM documents",
+    "v_articles": "SELECT doc_id AS id, source || ' story ' || doc_id AS title, text AS content, source AS source_name, CASE WHEN doc_id % 50 = 0 THEN 'placeholder:' || doc_id ELSE 'https://' || source || '.example.com/' || doc_id END AS url, lang, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id * 7 AS BIGINT)) AS published_at FROM documents",
+    "v_titles": "SELECT page_id AS id, trim(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)) AS title, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '^www\\.', '') AS source_name, url FROM pages",
     "v_doc_sources": f"SELECT DISTINCT source AS name, CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) / 20.0::DOUBLE AS weight, 'r' || CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 5 AS region, {_LIST}[CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 3 + 1] AS tier FROM documents",
     "v_members": "SELECT DISTINCT l_orderkey AS cluster_id, l_suppkey AS source_id FROM lineitem",
     "v_clusters": "SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS report_date, o_orderpriority AS topic_category, m.article_ids FROM orders JOIN (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS article_ids FROM lineitem GROUP BY 1) m ON o_orderkey = l_orderkey",
     "v_dims": "SELECT l_orderkey AS cluster_id, round(least(10.0::DOUBLE, count(*)), 4) AS scope, round(least(10.0::DOUBLE, sum(l_quantity) / 20), 4) AS severity, round(least(10.0::DOUBLE, avg(l_discount) * 100), 4) AS novelty, round(least(10.0::DOUBLE, max(l_tax) * 100), 4) AS actor_influence, round(least(10.0::DOUBLE, count(DISTINCT l_partkey)), 4) AS decision_relevance, round(least(10.0::DOUBLE, min(l_quantity) / 5), 4) AS feelgood FROM lineitem GROUP BY 1",
     "v_evaluations": "SELECT o_orderkey AS evaluation_id, o_orderkey AS cluster_id, CAST(o_orderdate AS DATE) AS report_date, o_orderpriority AS display_category, o_orderstatus AS status, o_totalprice / 500000 AS composite, o_orderstatus = 'F' AS selected, CASE WHEN o_orderkey % 4 = 0 THEN [lower(a.n_name), lower(b.n_name)] ELSE [lower(a.n_name)] END AS subject_regions, d.* EXCLUDE (cluster_id) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON (c_nationkey + 1) % 25 = b.n_nationkey LEFT JOIN v_dims d ON d.cluster_id = o_orderkey",
-    "v_feedback": "SELECT o_orderkey * 2 AS id, o_orderkey AS cluster_id, CASE WHEN (o_orderkey // 3) % 2 = 0 THEN 1 ELSE -1 END AS verdict, o_orderdate AS created_at FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey * 2 + 1, o_orderkey, CASE WHEN (o_orderkey // 3) % 2 = 0 THEN -1 ELSE 1 END, o_orderdate + INTERVAL 1 DAY FROM orders WHERE o_orderkey % 9 = 0",
+    "v_feedback": "SELECT o_orderkey * 2 AS id, o_orderkey AS cluster_id, CASE WHEN (o_orderkey // 3) % 2 = 0 THEN 1 ELSE -1 END AS verdict, o_orderdate AS created_at FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT o_orderkey * 2 + 1, o_orderkey, CASE WHEN (o_orderkey // 3) % 2 = 0 THEN -1 ELSE 1 END, o_orderdate + INTERVAL 1 DAY FROM orders WHERE o_orderstatus = 'F'",
     "v_telemetry": "SELECT event_id AS id, event_type AS stage, user_id AS account, value AS duration_ms, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens, ts AS created_at FROM events",
 }
 _NEEDS = {"v_evaluations": ("v_dims",)}

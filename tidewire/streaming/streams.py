@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewire.runtime import keep, scratch_root
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files."""
@@ -73,8 +77,22 @@ def lifecycle_state(events: DataFrame, key: str = "user_id") -> DataFrame:
     return events.groupBy(key).applyInPandasWithState(step, f"{key} bigint, seen bigint, state string", STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Drain an available-now query into a memory table (tests, small results)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drained(stream: DataFrame, mode: str) -> DataFrame:
+    """What an available-now run of the query puts out, through Parquet files in the shared folder: rows (append), the last state (complete), or every update."""
+    spark = stream.sparkSession
+    root = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
+    keep(spark, root)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={epoch}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = spark.read.schema(f"{_ddl(stream)}, batch bigint").parquet(f"{root}/out")
+    if mode != "complete":
+        return rows.drop("batch")
+    return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
