@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.operators.graph import connected_components
-from tidewire.operators.similarity import dot, ratio_possible, ratio_udf, vector_pairs
+from tidewire.operators.similarity import dot, ratio_possible, ratio_udf, token_set_udf, vector_pairs
 from tidewire.runtime import materialise
 
 
@@ -133,3 +133,40 @@ def semantic_dedup(articles: DataFrame, weights: DataFrame, same: float = 0.82,
         return pd.DataFrame({"id": own["id"].to_numpy(np.int64)[kept]})
 
     return named.where("class IS NULL").select("id").union(members.unionByName(links).groupBy("component").applyInPandas(run, "id bigint"))
+
+
+def keep_newest(alike: set[tuple[int, int]], n: int) -> list[int]:
+    """For each row, newest first, the representative it folds into: the first kept row that it resembles, or itself."""
+    kept: list[int] = []
+    out = []
+    for i in range(n):
+        met = next((k for k in kept if (k, i) in alike), i)
+        out.append(met)
+        if met == i:
+            kept.append(i)
+    return out
+
+
+def compacted_updates(articles: DataFrame, cosine_least: float = 0.92, title_least: float = 90.0) -> DataFrame:
+    """Of (id, source_name, title, embedding, published_at): each row's representative: the newest kept row of its source with close vector and title.
+
+    Close vectors come from exact blocks, titles are compared for these pairs only, and the rule is replayed per component.
+    """
+    rows = materialise(articles.select("id", "source_name", "title", "published_at", "embedding"))
+    close = vector_pairs(rows.where("embedding IS NOT NULL"), "id", "embedding", cosine_least)
+    side = lambda x: rows.select(F.col("id").alias(x), F.col("source_name").alias(f"s{x}"), F.col("title").alias(f"t{x}"))
+    met = close.join(side("a"), "a").join(side("b"), "b").where("sa = sb").where(token_set_udf("ta", "tb") >= title_least)
+    edges = materialise(met.select("a", "b"))
+    component = connected_components(rows.select("id"), edges)
+    members = rows.join(component, "id").select("component", "id", F.unix_micros("published_at").alias("at"), F.lit(None).cast("bigint").alias("b"))
+    links = edges.join(component.withColumnRenamed("id", "a"), "a").select("component", F.col("a").alias("id"), F.lit(None).cast("bigint").alias("at"), "b")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, pairs = pdf[pdf["b"].isna()], pdf[pdf["b"].notna()]
+        own = own.sort_values(["at", "id"], ascending=[False, True], kind="stable")
+        ids = own["id"].to_numpy("int64")
+        place = {v: k for k, v in enumerate(ids.tolist())}
+        alike = {tuple(sorted((place[a], place[int(b)]))) for a, b in zip(pairs["id"], pairs["b"], strict=True)}
+        return pd.DataFrame({"id": ids, "representative": ids[keep_newest(alike, len(ids))]})
+
+    return members.unionByName(links).groupBy("component").applyInPandas(run, "id bigint, representative bigint")

@@ -85,12 +85,6 @@ def placeholders(targets: DataFrame, satisfied: DataFrame, keys: list[str]) -> D
     return targets.join(satisfied.select(*keys).distinct(), keys, "left_anti").withColumn("url", F.concat(F.lit("placeholder:"), F.concat_ws("-", *keys)))
 
 
-def within_budget(rows: DataFrame, group: list[str], cost: str, order: list, budget: int, reserve: int) -> DataFrame:
-    """A run's requests in order while the spent cost leaves the reserve."""
-    spent = F.sum(cost).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("run", spent <= budget - reserve)
-
-
 def consume_urls(claims: DataFrame, urls: DataFrame, group: list[str]) -> DataFrame:
     """The k-th mention of a source takes its k-th URL; a single URL serves all; beyond that it is ambiguous and has none."""
     k = Window.partitionBy(*group)
@@ -123,12 +117,6 @@ def numbered_digest(rows: DataFrame, group: str, category: str, order: list) ->
     return rows.withColumn("number", F.row_number().over(w)).withColumn("header", ~F.lag(category).over(w).eqNullSafe(F.col(category)))
 
 
-def near_misses(rows: DataFrame, key: str, hot: DataFrame, least: int = 4) -> DataFrame:
-    """Storylines of at least `least` members with a core that are not hot."""
-    g = rows.groupBy(key).agg(F.count("*").alias("members"), F.max(F.col("role") == "core").alias("core"))
-    return g.where((F.col("members") >= least) & F.col("core")).join(hot.select(key), key, "left_anti").select(key, "members")
-
-
 def fill_sources(perspectives: DataFrame, sources: DataFrame, group: str, fallback: str) -> DataFrame:
     """Each source exactly once: its first perspective, or the fallback text."""
     first = perspectives.groupBy(group, "source_name").agg(F.min_by("text", "pos").alias("text"))

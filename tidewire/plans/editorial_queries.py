@@ -104,12 +104,6 @@ def v12(s, d):
     return E.placeholders(c.select("user_id", "event_type").distinct(), c.where("reason IS NULL"), ["user_id", "event_type"])
 
 
-@query("v14_search_budget", "SELECT event_id, sum(1 + event_id % 3) OVER (PARTITION BY user_id ORDER BY event_id) <= 8 AS run FROM events")
-def v14(s, d):
-    rows = V.table(s, d, "events").select("event_id", "user_id", (1 + F.col("event_id") % 3).alias("cost"))
-    return E.within_budget(rows, ["user_id"], "cost", ["event_id"], 10, 2).select("event_id", "run")
-
-
 @query("j19_existing_urls", "SELECT p.page_id, count(q.page_id) AS earlier FROM pages p LEFT JOIN pages q ON q.url = p.url AND q.page_id < p.page_id GROUP BY 1")
 def j19(s, d):
     from pyspark.sql import Window
@@ -145,12 +139,6 @@ def r14(s, d):
     return E.numbered_digest(t, "report_date", "display_category", ["display_category", F.desc("composite"), "evaluation_id"]).select("evaluation_id", "number", "header")
 
 
-@query("r16_near_misses", "WITH g AS (SELECT o_custkey AS storyline, count(*) AS members, bool_or(o_orderstatus = 'F') AS core FROM orders GROUP BY 1), h AS (SELECT storyline FROM g WHERE members >= 2 ORDER BY members DESC, storyline LIMIT 3) SELECT storyline, members FROM g WHERE members >= 4 AND core AND storyline NOT IN (SELECT storyline FROM h)")
-def r16(s, d):
-    rows = V.table(s, d, "orders").select(F.col("o_custkey").alias("storyline"), F.when(F.col("o_orderstatus") == "F", "core").otherwise("spillover").alias("role"), F.lit(0.0).alias("score"))
-    return E.near_misses(rows, "storyline", T.hot_families(rows, "storyline", "score"))
-
-
 @query("d28_fill_sources", "WITH s AS (SELECT DISTINCT l_orderkey AS cluster_id, l_suppkey % 5 AS source_name FROM lineitem), p AS (SELECT l_orderkey AS cluster_id, l_suppkey % 5 AS source_name, 't' || min(((l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey)) AS text FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2) SELECT s.cluster_id, s.source_name, coalesce(p.text, 'no view') AS text FROM s LEFT JOIN p ON p.cluster_id = s.cluster_id AND p.source_name = s.source_name")
 def d28(s, d):
     lines = V.table(s, d, "lineitem").select(F.col("l_orderkey").alias("cluster_id"), (F.col("l_suppkey") % 5).alias("source_name"), F.concat(F.lit("t"), line_pos().cast("string")).alias("text"), line_pos().alias("pos"), "l_linestatus")
