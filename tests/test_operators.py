@@ -128,15 +128,102 @@ def test_equivalent_perspectives_group_in_order():
 
 
 def test_editorial_rules(spark):
+    from tidewire.operators import assembly as B
     from tidewire.operators import editorial as E
 
     row = spark.range(1).select(
-        E.host_suffixes(F.lit("a.b.c")).alias("s"), E.failure_label(F.lit("http_503,x")).alias("f"),
-        E.publication_issues(F.lit("t"), F.lit("**b**"), F.lit("placeholder:1"), F.lit(0), F.lit("needs_review"), F.lit(False)).alias("i"),
+        E.host_suffixes(F.lit("a.b.c")).alias("s"), B.failure_label(F.lit("http_503,x")).alias("f"), B.failure_label(F.lit(None).cast("string"), 0).alias("z"),
         E.rejection_reason(F.lit(True), F.lit(True), F.lit(False), F.lit(90.0), F.lit(0.1)).alias("r"))
-    got = row.first()
-    assert got.s == ["a.b.c", "b.c", "c"] and got.f == "HTTP error 503" and got.r == "duplicate_of_existing"
-    assert got.i == ["body_too_short", "markdown_leak", "no_real_article", "no_source", "status_not_publishable"]
+    assert tuple(row.first()) == (["a.b.c", "b.c", "c"], "Search service error (HTTP 503)", "未知原因", "duplicate_of_existing")
+
+
+@pytest.mark.parametrize(("a", "b", "want"), [
+    ("", "", False), ("媒体报道", "聚焦", False), ("The tariff hurts exporters", "The tariff hurts exporters!", True), ("ＡＢＣ factory strike", "abc factory strike", True),
+    ("该来源强调关税影响出口企业", "关税影响出口企业", True), ("Exports fell sharply", "The king visited Spain", False),
+])
+def test_equivalent_perspectives(a, b, want):
+    from tidewire.operators import perspectives as P
+
+    assert P.equivalent(a, b) is want
+
+
+def test_compaction_equals_the_rule_on_all_rows(spark):
+    rnd = np.random.default_rng(4)
+    base = rnd.normal(size=(6, 8))
+    rows = []
+    for i in range(60):
+        v = base[i % 6] + 0.25 * rnd.normal(size=8)
+        v /= np.linalg.norm(v)
+        rows.append((i, f"s{i % 2}", f"Storm hits coast {i % 6} {'again' if i % 4 else 'and harbour today'}", [float(x) for x in v], int(rnd.integers(0, 30))))
+    docs = spark.createDataFrame(rows, "id bigint, source_name string, title string, embedding array<double>, at bigint").withColumn("published_at", F.timestamp_seconds("at"))
+    got = {r.id: r.representative for r in D.compacted_updates(docs, 0.9, 85.0).collect()}
+    kept, want = [], {}
+    for r in sorted(rows, key=lambda r: (-r[4], r[0])):
+        met = next((k for k in kept if k[1] == r[1] and np.dot(k[3], r[3]) >= 0.9 and Y.token_set_ratio(k[2], r[2]) >= 85.0), None)
+        want[r[0]] = met[0] if met else r[0]
+        if met is None:
+            kept.append(r)
+    assert got == want and any(k != v for k, v in want.items())
+
+
+def test_families_keep_their_history(spark):
+    from tidewire.operators import history as H
+
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    rows = [(1, "k", a, None, False), (2, "k", a, None, False), (3, "k", a, None, False), (4, "k", b, 0.9, False), (5, "k", b, None, False), (6, "c", a, None, True), (7, "c", b, None, False), (8, "one", a, None, False), (9, "s", a, 0.7, False), (10, "s", b, None, False)]
+    docs = spark.createDataFrame(rows, "id bigint, key string, vector array<double>, history_score double, conflict boolean")
+    assert {r.id for r in H.split_families(docs).collect() if r.keeps} == {4, 5, 6, 7, 8}
+
+
+def test_golden_coverage(spark):
+    from tidewire.operators import storyline as L
+
+    golden = [(1, "Storm hits the coast"), (1, "King visits Spain"), (1, ""), (2, "Exports fall"), (2, "Exports fall")]
+    fresh = [(1, "The coast storm hits"), (2, "Exports fall in May"), (1, "Exports fall")]
+    schema = "day int, headline string"
+    got = L.golden_coverage(spark.createDataFrame(golden, schema), spark.createDataFrame(fresh, schema)).collect()
+    want = {}
+    for day, g in golden:
+        if g:
+            n, c = want.get(day, (0, 0))
+            want[day] = n + 1, c + any(Y.token_set_ratio(g, f) >= 60 for e, f in fresh if e == day)
+    assert {r.day: (r.stories, r.covered) for r in got} == want
+
+
+def test_store_opens_and_replaces(spark, tmp_path):
+    from tidewire.operators import catalogue as K
+
+    store = K.open_store(spark, f"file://{tmp_path}/store")
+    assert len(store) == 16 and store["articles"].count() == 0
+    rows = spark.createDataFrame([(1, 2, 1, "cli", "note", None)], K.TABLES["editorial_feedback"])
+    K.replace_table(rows, f"file://{tmp_path}/store/editorial_feedback")
+    K.replace_table(rows.union(rows), f"file://{tmp_path}/store/editorial_feedback")
+    assert K.open_store(spark, f"file://{tmp_path}/store")["editorial_feedback"].count() == 2
+    assert sorted(p.name for p in (tmp_path / "store").iterdir()) == sorted(K.TABLES)
+
+
+def test_unknown_codes_fail(spark):
+    from tidewire.operators import catalogue as K
+    from tidewire.sources import feeds as I
+
+    reviews = spark.createDataFrame([(1, "pending_review", "r")], "id bigint, decision string, reason string")
+    with pytest.raises(Exception, match="Unsupported search review decision: maybe"):
+        K.decided(reviews, spark.createDataFrame([(1, "maybe", "x")], "id bigint, decision string, reason string")).collect()
+    with pytest.raises(Exception, match="Unknown certification code: zz"):
+        I.certifications(spark.createDataFrame([("s", "zz")], "source_name string, code string"), spark.createDataFrame([("jti", "J")], "code string, label string")).collect()
+
+
+def test_report_files(spark, tmp_path):
+    from tidewire.sources import feeds as I
+
+    for day, data in (("2024-01-01", '{"total_cluster_count": 3}'), ("2024-01-02", '{"total_cluster_count": 0}'), ("2024-01-03", "broken"), ("other", "{}")):
+        (tmp_path / day).mkdir()
+        (tmp_path / day / "index.html").write_text("<html/>")
+        (tmp_path / day / "data.json").write_text(data)
+    (tmp_path / "2024-01-04").mkdir()
+    (tmp_path / "2024-01-04" / "data.json").write_text("{}")
+    files = I.report_files(spark, f"file://{tmp_path}")
+    assert sorted(r.day for r in I.report_dates(files).collect()) == ["2024-01-01", "2024-01-03"]
 
 
 def test_foreach_batch_sink_keeps_keys_unique(spark, tmp_path):
