@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.runtime import materialise, small_enough, workers_see_package
+from tidewire.runtime import checked, materialise, small_enough, workers_see_package
 
 #: Hosts whose templates may be broadcast, and the bytes of these.
 BROADCAST_HOSTS, BROADCAST_BYTES = 5_000, 16 << 20
 #: Pages of a host from which on its words are tokens of the template, and words of a class without tags at least.
 LEAST_PAGES, LEAST_WORDS = 4, 3
-#: Tokens that a task holds before it names the frequent ones of the pages read so far.
+#: Words of waiting pages (or sums) that a task holds before it settles them.
 HELD_TOKENS = 300_000
 
 # HTML element names by their part in a page, and words that name boilerplate in class and id.
@@ -332,35 +332,63 @@ def _fingerprint(page: int, count: int) -> tuple[int, int]:
     return int.from_bytes(low[:4], "big") >> 1, int.from_bytes(low[4:], "big") >> 1
 
 
+def majority(group: list[dict[str, set]]) -> dict[str, set]:
+    """The words by path that stand in most of the group's pages."""
+    out: dict[str, set] = {}
+    for role in set().union(*group):
+        own = [page[role] for page in group if role in page]
+        if 2 * len(own) <= len(group):
+            continue
+        if len(group) == 4 and len(own) == 4:
+            a, b, c, d = own
+            found = (a & b & (c | d)) | (c & d & (a | b))
+        else:
+            found = {w for w, n in Counter(w for words in own for w in words).items() if 2 * n > len(group)}
+        if found:
+            out[role] = found
+    return out
+
+
 def _candidates(rows: DataFrame) -> DataFrame:
-    """(host, role, pages): tokens in most pages of a host that some task has read, and for role '' their number."""
+    """(host, role, pages): tokens in most pages of some group of a host's pages, and for role '' the number of pages.
+
+    A task deals each host's pages into groups of four (the last one up to seven): a token in most pages of the host is in
+    most of some group.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        #: Pages in which a token stands, by host and path; a tag is the word '' of its path.
-        present: dict[str, dict[str, Counter]] = {}
+        waiting: dict[str, list[dict[str, set]]] = {}
+        found: dict[str, dict[str, set]] = {}
         pages: Counter = Counter()
         held = 0
 
+        def settle(host: str, group: list) -> None:
+            own = found.setdefault(host, {})
+            for role, words in majority(group).items():
+                own.setdefault(role, set()).update(words)
+
         def named() -> pa.RecordBatch:
-            found = [(h, "", n) for h, n in pages.items()]
-            found += [(h, f"{role}\t{word}" if word else role, 0) for h, roles in present.items() for role, words in roles.items() for word, n in words.items() if 2 * n > pages[h]]
-            columns = list(zip(*found, strict=True)) or [(), (), ()]
-            present.clear()
-            pages.clear()
+            for host, group in waiting.items():
+                settle(host, group)
+            out = [(h, "", n) for h, n in pages.items()] + [(h, f"{role}\t{word}" if word else role, 0) for h, roles in found.items() for role, words in roles.items() for word in words]
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            for d in (waiting, found, pages):
+                d.clear()
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["host", "role", "pages"])
 
         for batch in batches:
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
-                own = present.setdefault(host, {})
-                pages[host] += 1
                 here: dict[str, set] = {}
                 for role, words in segments(html.as_py()):
                     here.setdefault(role, set()).update(("",) if words is None else words)
-                for role, words in here.items():
-                    known = own.setdefault(role, Counter())
-                    before = len(known)
-                    known.update(words)
-                    held += len(known) - before
+                pages[host] += 1
+                group = waiting.setdefault(host, [])
+                group.append(here)
+                held += sum(map(len, here.values()))
+                if len(group) == 8:
+                    settle(host, group[:4])
+                    held -= sum(len(w) for page in group[:4] for w in page.values())
+                    del group[:4]
                 if held > HELD_TOKENS:
                     yield named()
                     held = 0
@@ -370,17 +398,29 @@ def _candidates(rows: DataFrame) -> DataFrame:
     return parts.groupBy("host", "role").agg(F.sum("pages").alias("pages"))
 
 
+def _sided(rows: DataFrame, side: DataFrame, column: str):
+    """rows, and a function (batch, row) -> the side's value for the row's host: by a broadcast where the side is small, else by a join."""
+    small = small_enough(side, BROADCAST_HOSTS) and (side.agg(F.sum(F.length(F.to_json(F.struct(column))))).first()[0] or 0) <= BROADCAST_BYTES
+    if not small:
+        joined = rows.join(side.select("host", column), "host", "left")
+        return joined, joined.columns, lambda batch, row: batch.column(batch.schema.get_field_index(column))[row].as_py()
+    shared = rows.sparkSession.sparkContext.broadcast({r["host"]: r[column] for r in side.select("host", column).collect()})
+    return rows, rows.columns, lambda batch, row: shared.value.get(batch.column(batch.schema.get_field_index("host"))[row].as_py())
+
+
 def _vector_sums(rows: DataFrame, held: DataFrame) -> DataFrame:
     """Per host and candidate (held: host, roles): in how many of all its pages it stands, and the sums that name its occurrence vector."""
+    met, columns, side = _sided(rows.select("host", F.xxhash64("id", "url", "html").alias("page"), "html"), held, "roles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[frozenset, dict]] = {}
         sums: dict[tuple, list[int]] = {}
         for batch in batches:
-            for host, page, html, roles in zip(*(batch.column(c) for c in ("host", "page", "html", "roles")), strict=True):
+            for row, (host, page, html) in enumerate(zip(*(batch.column(c) for c in ("host", "page", "html")), strict=True)):
                 host = host.as_py()
                 if host not in known:
-                    known[host] = frozenset(roles.as_py()), by_path(roles.as_py())
+                    roles = side(batch, row) or ()
+                    known[host] = frozenset(roles), by_path(roles)
                 counts = Counter(tokens_of(html.as_py(), known[host][1]))
                 counts = {role: n for role, n in counts.items() if role in known[host][0]}
                 marks = {n: _fingerprint(page.as_py(), n) for n in set(counts.values())}
@@ -394,7 +434,7 @@ def _vector_sums(rows: DataFrame, held: DataFrame) -> DataFrame:
                 sums = {}
         yield _sums_out(sums)
 
-    parts = _with_side(rows, held).select("host", F.xxhash64("id", "url", "html").alias("page"), "html", "roles").mapInArrow(run, "host string, role string, n bigint, f bigint, g bigint")
+    parts = met.select(*columns).mapInArrow(run, "host string, role string, n bigint, f bigint, g bigint")
     return parts.groupBy("host", "role").agg(*(F.sum(c).alias(c) for c in ("n", "f", "g")))
 
 
@@ -405,37 +445,33 @@ def _sums_out(sums: dict) -> pa.RecordBatch:
 
 def _agreements(rows: DataFrame, held: DataFrame) -> DataFrame:
     """(host, class, item, value) that all pages of the host agree on (held: host, classes as JSON)."""
+    sided, columns, side = _sided(rows.select("host", "html"), held, "classes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[list[dict], dict]] = {}
         for batch in batches:
             met: set[tuple] = set()
-            for host, html, classes in zip(*(batch.column(c) for c in ("host", "html", "classes")), strict=True):
+            for row, (host, html) in enumerate(zip(*(batch.column(c) for c in ("host", "html")), strict=True)):
                 host = host.as_py()
                 if host not in known:
-                    read = json.loads(classes.as_py())
+                    read = json.loads(side(batch, row) or "[]")
                     known[host] = read, by_path(w for c in read for w in c["words"])
                 shown = observed(tokens_of(html.as_py(), known[host][1]), known[host][0])
                 met.update((host, k, item, value) for (k, item), value in shown.items())
-            columns = list(zip(*met, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string())], ["host", "class", "item", "value"])
+            columns_out = list(zip(*met, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns_out[0], pa.string()), pa.array(columns_out[1], pa.int32()), pa.array(columns_out[2], pa.string()), pa.array(columns_out[3], pa.string())], ["host", "class", "item", "value"])
 
-    found = _with_side(rows, held).select("host", "html", "classes").mapInArrow(run, "host string, class int, item string, value string")
+    found = sided.select(*columns).mapInArrow(run, "host string, class int, item string, value string")
     return found.groupBy("host", "class", "item").agg(F.min("value").alias("value"), F.max("value").alias("high")).where("value = high AND value <> ''").drop("high")
 
 
-def _with_side(rows: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
-    small = small_enough(side, BROADCAST_HOSTS) and (side.agg(F.sum(F.length(F.to_json(F.struct(*side.columns))))).first()[0] or 0) <= BROADCAST_BYTES
-    return rows.join(F.broadcast(side) if small else side, "host", how)
-
-
 def templates(rows: DataFrame) -> DataFrame:
     """(host, template as JSON) as `deduce` finds it in all pages of the host: sums over pages, no host's pages in one place."""
     rows = rows.where("host <> ''")
     candidates = materialise(_candidates(rows))
-    pages = materialise(candidates.where("role = ''").select("host", "pages"))
+    pages = candidates.where("role = ''").select("host", "pages")
     named = materialise(candidates.where("role <> ''").groupBy("host").agg(F.collect_list("role").alias("roles")))
-    sums = _with_side(_vector_sums(rows, named), pages).where(2 * F.col("n") > F.col("pages"))
+    sums = _vector_sums(rows, named).join(checked(materialise(pages)), "host").where(2 * F.col("n") > F.col("pages"))
     groups = sums.groupBy("host", "n", "f", "g").agg(F.collect_list("role").alias("roles"), F.first("pages").alias("pages"))
     per_host = groups.groupBy("host").agg(F.collect_list("roles").alias("groups"), F.first("pages").alias("pages"))
 
@@ -458,21 +494,23 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     workers_see_package(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    met = _with_side(rows, materialise(templates(rows)), "left")
+    met, columns, side = _sided(rows, materialise(templates(rows)), "template")
     key, url = (rows.schema[c].dataType.simpleString() for c in ("id", "url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read: dict[str, dict] = {}
+        read: dict[str, dict | None] = {}
         for batch in batches:
             texts = []
-            for page, host, template in zip(batch.column("html"), batch.column("host"), batch.column("template"), strict=True):
+            for row, (page, host) in enumerate(zip(batch.column("html"), batch.column("host"), strict=True)):
                 host = host.as_py()
-                if host not in read and template.is_valid:
-                    read[host] = json.loads(template.as_py())
-                    read[host]["words"] = set(read[host]["words"])
-                texts.append("\n\n".join(blocks(page.as_py(), read.get(host))))
+                if host not in read:
+                    template = side(batch, row)
+                    read[host] = json.loads(template) if template else None
+                    if template:
+                        read[host]["words"] = set(read[host]["words"])
+                texts.append("\n\n".join(blocks(page.as_py(), read[host])))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
 
-    return met.select("id", "url", "host", "html", "template").mapInArrow(run, f"id {key}, url {url}, text string").withColumnsRenamed({"id": id_col, "url": url_col})
+    return met.select(*columns).mapInArrow(run, f"id {key}, url {url}, text string").withColumnsRenamed({"id": id_col, "url": url_col})
 
 
