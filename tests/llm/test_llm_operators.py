@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import os
 import random
 import zlib
 
@@ -406,6 +407,47 @@ def test_quality(spark, odd, none, labels):
     assert quality.train(docs, known.where("quality = 1"), F.lit(True)) == {"only": 1.0}
 
 
+def test_offending_places_hold_in_any_script(spark):
+    """Places count code points of the text itself, and wide stops end sentences."""
+    rows = [(i, "river stone。" + ("blurgh cloud！" if i % 3 == 0 else "green cloud！") + "paper window", int(i % 3 == 0)) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id bigint, quality int, toxic int"), F.lit(True))
+    odd = spark.createDataFrame([(1, "İİİ river. Blurgh CLOUD！ paper")], "doc_id bigint, text string")
+    spans = toxicity.scored(odd, model).first().offending
+    assert ["İİİ river. Blurgh CLOUD！ paper"[x.start : x.start + x.length].strip() for x in spans] == ["Blurgh CLOUD！"]
+
+
+@pytest.mark.parametrize("name", sorted(n for n in registry.QUERIES))
+def test_registered_queries_run_whole_tables(spark, name):
+    """Each opN query over the smallest tables: the rows that its contract asks for."""
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("driver tables are not here")
+    got = registry.QUERIES[name](spark, sf).toPandas()
+    if name.startswith("op2_"):
+        vectors = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+        x = np.stack(vectors.embedding).astype(float)
+        hits = total = 0
+        for q in np.flatnonzero(vectors.vec_id % 100 == 0):
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            d[q] = np.inf
+            hits += len(set(got[got.query_id == vectors.vec_id[q]].vec_id) & set(vectors.vec_id[np.lexsort((vectors.vec_id, d))[:10]]))
+            total += 10
+        assert hits / total >= 0.9 and len(got) == total
+        return
+    table, key = ("pages", "page_id") if name.startswith("op7_") else ("documents", "doc_id")
+    assert sorted(got[key]) == sorted(r[0] for r in spark.read.parquet(f"{sf}/{table}.parquet").select(key).collect())
+    if "score" in got:
+        assert got.score.between(0, 1).all()
+    if name.startswith("op6_"):
+        rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+        want = brute_repeats(rows)
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.itertuples()} == want
+    if name.startswith("op10_"):
+        texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+        assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in got.itertuples())
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body>
 <header><a href="/">Home</a></header><nav><ul><li>Menu</li></ul></nav><div class="ad">Buy {n}</div>
 <article><h1>Title {n}</h1><p>First &amp; <b>bold {n}<br>next<p>Second&nbsp;part {n}</p><div class="comments">Nice {n}!</div></article>

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from tidewire.llm import mixing
 from tidewire.runtime import materialise
@@ -34,3 +36,57 @@ def test_stages(spark, tmp_path):
     assert frames[4].count() == sum(t // size[i] for i, t in taken.items())
     assert frames[5].count() == frames[4].count()
     assert len(corpus_pipeline.STAGES) == 5
+
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id bigint, size string, `row` string, h string, digest string, copies string, score string"
+
+
+def odd_docs(spark):
+    """Null ids and texts, blank, repeated and very long rows, one id with two texts, clashing columns."""
+    long = " ".join(f"w{k % 700}" for k in range(9_000))
+    texts = [(1, "one two three four five six seven"), (1, "one two three four five six seven"), (1, "a text of its own words"), (2, None), (None, "no id"), (None, "no id"), (3, ""), (4, long), (5, long + " end"), (6, " \n"), (7, "é" * 200)]
+    return spark.createDataFrame([(i, t, None if i == 2 else "en", None if i in (3, None) else f"s{(i or 0) % 2}", None, 7, "s", "r", "h", "d", "c", "x") for i, t in texts], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """A folder with odd documents and labels, one with empty tables."""
+    out = []
+    for name, docs in (("odd", odd_docs(spark)), ("none", spark.createDataFrame([], SCHEMA))):
+        root = tmp_path_factory.mktemp(name)
+        docs.write.mode("overwrite").parquet(f"{root}/documents.parquet")
+        labels = [(i, int(i % 2 == 0), 0) for i in range(1, 8)] if name == "odd" else []
+        spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.mode("overwrite").parquet(f"{root}/labels.parquet")
+        out.append(str(root))
+    return out
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_each_stage_takes_odd_rows(spark, tables, number):
+    name, stage = corpus_pipeline.STAGES[number]
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
+    got = materialise(stage(spark, docs, tables[0]))
+    kept = [(r.doc_id, r.text) for r in got.collect()] if number < 4 else None
+    if number < 4:
+        assert got.columns == docs.columns
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    long = max((t or "" for _, t in rows), key=len)
+    if name == "exact dedup":
+        assert sorted((i or 0, t) for i, t in kept) == sorted([(1, rows_text(rows, 1, "one")), (1, "a text of its own words"), (0, "no id"), (4, long[:-4]), (5, long), (6, " \n"), (7, "é" * 200)])
+    elif name == "near-duplicates":
+        assert sorted(i or 0 for i, _ in kept) == [0, 0, 1, 1, 2, 3, 4, 6, 7]
+    elif name == "source mix":
+        assert set(kept) <= {r for r in rows if (r[1] or "").split()}
+    elif number == 4:
+        assert got.count() == len(rows) and {r.doc_id for r in got.where("n_tokens = 0").collect()} == {2, 3}
+    none = spark.read.parquet(f"{tables[1]}/documents.parquet")
+    assert stage(spark, none, tables[1]).count() == 0
+
+
+def rows_text(rows, i, start):
+    return next(t for k, t in rows if k == i and t.startswith(start))
+
+
+def test_run_takes_odd_and_empty_tables(spark, tables):
+    assert corpus_pipeline.run(spark, tables[0]).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert corpus_pipeline.run(spark, tables[1]).count() == 0

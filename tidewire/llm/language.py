@@ -6,7 +6,9 @@ language's sample is clustered into CENTROIDS centroids (spherical k-means); the
 language. Texts farther from it than nearly all of that centroid's own members are marked rejected.
 
 Fits use at most SAMPLE rows per language, those of the smallest id hashes. Texts that are null or have no letter are
-`und` with score 0. With no learning rows everything is `und`.
+`und` with score 0. With no learning rows everything is `und`. Whole texts are read, whatever their length; rows repeated
+under one id each get a row, and of equally near centroids the language that sorts first wins. An empty table gives an
+empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

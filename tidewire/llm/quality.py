@@ -7,7 +7,9 @@ Shrinkage is chosen on a split of the sample; a one-dimensional logistic fit map
 best cut of the sample lies at `threshold`.
 
 The fit uses at most SAMPLE labelled rows per class. Null texts count as empty; every row, repeated ones too, gets a
-score. With no labelled rows of one class the score is that of the class that there is (1.0 or 0.0).
+score, and equal texts get equal ones, so ties need no order. Texts of any length are read whole. With no labelled rows of
+one class the score is that of the class that there is (1.0 or 0.0). An empty table gives an empty result; accepted()
+keeps extra columns, whatever their names.
 """
 
 from __future__ import annotations

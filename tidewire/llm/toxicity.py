@@ -5,8 +5,10 @@ Only documents carry labels, so the weights are trained through the noisy-or; th
 document's cut are the offending ones, with their places in the text.
 
 The fit uses at most SAMPLE labelled rows of each class; its vocabulary is the VOCABULARY word hashes that tell the
-classes apart best. Every sentence of every whole text is scored. Null texts count as empty and score the prior of a
-document without sentences. With no labelled rows of one class the score is constant (that class's).
+classes apart best. Every sentence of every whole text is scored, whatever its length. Null texts count as empty and
+score the prior of a document without sentences. With no labelled rows of one class the score is constant (that class's).
+Rows repeated under one id each get a score, and equal texts get equal ones, so ties need no order. An empty table gives
+an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ _ENDS[[ord(c) for c in ".!?\n"]] = True
 def features_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of lower-case text, for each word and each of its longer beginnings: document, sentence (counted through the batch), hash bucket."""
     inside = _IN_WORD[data]
+    for k in range(3):
+        inside[_wide_ends(data) - k] = False
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
     starts = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate([[False], inside[:-1]])))
@@ -55,9 +59,20 @@ def features_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return doc[order], sentence[order], (bucket[order] % np.uint64(BUCKETS)).astype(np.int64)
 
 
+def _wide_ends(data: np.ndarray) -> np.ndarray:
+    """Last bytes of the sentence ends beyond ASCII: 。 ！ ？ …"""
+    last = np.flatnonzero((data == 0x82) | (data == 0x81) | (data == 0x9F) | (data == 0xA6))
+    last = last[last >= 2]
+    three = (data[last - 2].astype(np.int64) << 16) | (data[last - 1].astype(np.int64) << 8) | data[last]
+    return last[(three == 0xE38082) | (three == 0xEFBC81) | (three == 0xEFBC9F) | (three == 0xE280A6)]
+
+
 def _breaks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Where a sentence ends or another text begins."""
-    breaks = _ENDS[data]
+    """Where a sentence begins: behind an end mark, and with another text."""
+    marks = _ENDS[data]
+    marks[_wide_ends(data)] = True
+    breaks = np.zeros(len(data), bool)
+    breaks[1:] = marks[:-1]
     inner = at[1:-1]
     breaks[inner[inner < len(data)]] = True
     return breaks
@@ -194,8 +209,9 @@ def train(docs: DataFrame, labels: DataFrame, fits: Column, id_col: str = "doc_i
 
 
 def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, score, offending (array of {start, length, probability}; places in code points of the lower-case text)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    """Per row: id, score, offending (array of {start, length, probability}; places in code points of the text)."""
+    #: Lower case keeps every place: the one letter that becomes two is replaced first.
+    rows = docs.select(F.col(id_col).alias("id"), F.lower(F.translate(F.coalesce(F.col(text_col), F.lit("")), "İ", "i")).alias("text"))
     key = rows.schema["id"].dataType.simpleString()
     span = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("probability", pa.float64())])
 
