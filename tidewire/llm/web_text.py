@@ -27,6 +27,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +40,9 @@ BROADCAST_HOSTS, BROADCAST_BYTES = 5_000, 16 << 20
 #: Pages of a host from which on its words are tokens of the template, and words of a class without tags at least.
 LEAST_PAGES, LEAST_WORDS = 4, 3
 #: Words of waiting pages (or sums) that a task holds before it settles them.
-HELD_TOKENS = 300_000
+HELD_TOKENS = 400_000
+#: Pages of one host that a task compares at once for candidates.
+GROUP = 16
 
 # HTML element names by their part in a page, and words that name boilerplate in class and id.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -339,11 +342,7 @@ def majority(group: list[dict[str, set]]) -> dict[str, set]:
         own = [page[role] for page in group if role in page]
         if 2 * len(own) <= len(group):
             continue
-        if len(group) == 4 and len(own) == 4:
-            a, b, c, d = own
-            found = (a & b & (c | d)) | (c & d & (a | b))
-        else:
-            found = {w for w, n in Counter(w for words in own for w in words).items() if 2 * n > len(group)}
+        found = {w for w, n in Counter(chain.from_iterable(own)).items() if 2 * n > len(group)}
         if found:
             out[role] = found
     return out
@@ -352,8 +351,8 @@ def majority(group: list[dict[str, set]]) -> dict[str, set]:
 def _candidates(rows: DataFrame) -> DataFrame:
     """(host, role, pages): tokens in most pages of some group of a host's pages, and for role '' the number of pages.
 
-    A task deals each host's pages into groups of four (the last one up to seven): a token in most pages of the host is in
-    most of some group.
+    A task deals each host's pages into groups of GROUP (the last one under twice that): a token in most pages of the host
+    is in most of some group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,10 +384,10 @@ def _candidates(rows: DataFrame) -> DataFrame:
                 group = waiting.setdefault(host, [])
                 group.append(here)
                 held += sum(map(len, here.values()))
-                if len(group) == 8:
-                    settle(host, group[:4])
-                    held -= sum(len(w) for page in group[:4] for w in page.values())
-                    del group[:4]
+                if len(group) == 2 * GROUP:
+                    settle(host, group[:GROUP])
+                    held -= sum(len(w) for page in group[:GROUP] for w in page.values())
+                    del group[:GROUP]
                 if held > HELD_TOKENS:
                     yield named()
                     held = 0
