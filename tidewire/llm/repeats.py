@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import buffers
-from tidewire.runtime import checked, materialise, workers_see_package
+from tidewire.runtime import checked, materialise, small_enough, workers_see_package
 
 WIDTH = 100
 GRAM = 24
@@ -39,6 +39,8 @@ GRAM = 24
 GROUP_CONTEXTS = 4_000
 #: Bytes of text that are worked on at once: small enough for the arrays to stay in the processor's cache.
 SLICE = 100_000
+#: Entries of all documents' lists that are broadcast at most (16 bytes each).
+LISTED = 1_000_000
 #: Bytes of text that are read in one piece at most.
 LONG = 1 << 22
 #: Blocks that a task holds before it settles the equal ones.
@@ -183,10 +185,29 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 BLOCK_SCHEMA = "kind int, anchor bigint, block bigint, uid bigint, first int, last int"
 _BLOCK = ("anchor", "block", "uid", "first", "last")
+#: Blocks and runs on their way to their anchors: at holds the first window start and, in its low byte, the block's span
+#: (under WIDTH) or RUN, where block holds the run's last window start.
+PACKED_SCHEMA = "anchor bigint, block bigint, uid bigint, at bigint"
+RUN = 255
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kind, anchor, block, uid, first, last = (batch.column(c).to_numpy().astype(np.int64) for c in range(6))
+        run = kind == 0
+        at = first << 8 | np.where(run, RUN, last - first)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (anchor, np.where(run, last, block), uid, at)], ["anchor", "block", "uid", "at"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(whether a row is a run, anchor, block, uid, first and last)."""
+    anchor, block, uid, at = (batch.column(c).to_numpy() for c in range(4))
+    run, first = (at & 255) == RUN, (at >> 8).astype(np.int32)
+    return run, [anchor, block, uid, first, np.where(run, block, first + (at & 255)).astype(np.int32)]
 
 
 def blocks(texts: DataFrame) -> DataFrame:
-    """One pass over (uid, text). kind 0: a run of window starts that stand earlier too; 1: a block, the first of those equal that a task met."""
+    """One pass over (uid, text), as packed rows: runs of window starts that stand earlier too, and blocks, the first of those equal that a task met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -199,11 +220,11 @@ def blocks(texts: DataFrame) -> DataFrame:
                 held.append((b["anchor"], b["block"], uid[b["doc"]], b["first"].astype(np.int32), b["last"].astype(np.int32)))
                 waiting += len(b["doc"])
             if waiting > FLUSH:
-                yield from _settled(held)
+                yield from _packed(_settled(held))
                 held, waiting = [], 0
-        yield from _settled(held)
+        yield from _packed(_settled(held))
 
-    return texts.mapInArrow(run, BLOCK_SCHEMA)
+    return texts.mapInArrow(run, PACKED_SCHEMA)
 
 
 def met(dealt: DataFrame) -> DataFrame:
@@ -212,9 +233,7 @@ def met(dealt: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # anchor and block of the row before, and that anchor's only block so far
         for batch in batches:
-            kind = batch.column("kind").to_numpy()
-            table = [batch.column(c).to_numpy() for c in _BLOCK]
-            runs = kind == 0
+            runs, table = _unpacked(batch)
             yield from _rows(0, *(t[runs] for t in table))
             table = [t[~runs] for t in table]
             if not len(table[0]):
@@ -244,11 +263,11 @@ def met(dealt: DataFrame) -> DataFrame:
 def removals(keyed: DataFrame) -> DataFrame:
     """(uid, first, last): runs of window starts that stand earlier too, of (uid, text)."""
     texts = keyed.select("uid", "text")
-    found = blocks(texts).repartition(F.when(F.col("kind") == 0, F.xxhash64("uid", "first")).otherwise(F.col("anchor")))
-    second = materialise(met(found.sortWithinPartitions("anchor", "block", "uid", "first")))
+    found = blocks(texts).repartition(F.when(F.expr(f"at & 255 = {RUN}"), F.xxhash64("uid", "at")).otherwise(F.col("anchor")))
+    second = materialise(met(found.sortWithinPartitions("anchor", "block", "uid", "at")))
     requests = second.where("kind = 1")
     wanted = requests.groupBy("uid").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("asked"))
-    fetched, _ = _meeting(texts, materialise(wanted))
+    fetched, _ = _meeting(texts, materialise(wanted), "asked")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,8 +313,11 @@ def _later(windows: DataFrame) -> DataFrame:
     return again.where((F.col("uid") != F.col("best.uid")) | (F.col("first") != F.col("best.first"))).select("uid", "first", F.col("first").alias("last"))
 
 
-def _meeting(texts: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts with their list, texts without one). Only texts that have a list are shuffled, where their ids can be broadcast."""
+def _meeting(texts: DataFrame, lists: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(texts with their list, texts without one). Lists of few entries in all go to the texts; else only texts that have a list are shuffled, where their ids can be broadcast."""
+    if (lists.agg(F.sum(F.size(column))).first()[0] or 0) <= LISTED and small_enough(lists, LISTED):
+        lists = F.broadcast(lists)
+        return texts.join(lists, "uid"), texts.join(F.broadcast(lists.select("uid")), "uid", "left_anti")
     ids = checked(lists.select("uid"), 200_000)
     return texts.join(ids, "uid", "left_semi").join(lists, "uid"), texts.join(ids, "uid", "left_anti")
 
@@ -372,7 +394,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     per_doc = runs.groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("runs")).mapInArrow(merged, "uid bigint, removed array<struct<first:int,end:int>>")
     per_doc = materialise(per_doc)
-    touched, untouched = _meeting(keyed, per_doc)
+    touched, untouched = _meeting(keyed, per_doc, "removed")
     rows = touched.select("id", "text", "removed").unionByName(untouched.select("id", "text", F.lit(None).cast(per_doc.schema["removed"].dataType).alias("removed")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
