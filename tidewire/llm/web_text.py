@@ -63,58 +63,65 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s
 _WORD = re.compile(r"[a-z]+")
 
 
-def parse(page: str) -> Iterator[tuple[str, tuple, str]]:
-    """(kind, path, text): 'open' and 'close' of elements, and 'text' between; path is a tuple of (name, marks) from the root."""
-    stack: list[tuple[str, str]] = []
+def parse(page: str) -> Iterator[tuple[str, tuple, str, str]]:
+    """(kind, path, role, text): 'open' and 'close' of elements, and 'text' between; path is a tuple of (name, marks) from the root, role names its block elements."""
+    names: list[str] = []
+    paths: list[tuple] = [()]
+    roles: list[str] = [""]
+
+    def closed(upto: int) -> Iterator[tuple[str, tuple, str, str]]:
+        while len(names) > upto:
+            yield "close", paths[-1], roles[-1], ""
+            names.pop()
+            paths.pop()
+            roles.pop()
+
     at = 0
     for token in _TOKEN.finditer(page):
-        if token.start() > at:
-            yield "text", tuple(stack), page[at : token.start()]
-        at = token.end()
-        name = (token[3] or "").lower()
-        if not name:
-            if token[1] and token[1].lower() not in ("title",):
-                yield "gap", tuple(stack), ""
+        start, end = token.span()
+        if start > at:
+            yield "text", paths[-1], roles[-1], page[at:start]
+        at = end
+        raw, slash, name, rest = token.groups()
+        if name is None:
+            if raw and raw.lower() != "title":
+                yield "gap", paths[-1], roles[-1], ""
             continue
-        if token[2]:
-            if any(n == name for n, _ in stack):
-                while stack:
-                    closed = tuple(stack)
-                    top = stack.pop()[0]
-                    yield "close", closed, ""
-                    if top == name:
-                        break
+        name = name.lower()
+        if slash:
+            if name in names:
+                yield from closed(len(names) - 1 - names[::-1].index(name))
             elif name == "p":
-                yield "gap", tuple(stack), ""
+                yield "gap", paths[-1], roles[-1], ""
             continue
-        if name not in INLINE and any(n == "p" for n, _ in stack):
+        if name not in INLINE and "p" in names:
             # A block begins: an open paragraph, with the inline elements left open in it, ends.
-            depth = max(k for k, (n, _) in enumerate(stack) if n == "p")
-            if all(n in INLINE for n, _ in stack[depth + 1 :]):
-                while len(stack) > depth:
-                    yield "close", tuple(stack), ""
-                    stack.pop()
+            depth = len(names) - 1 - names[::-1].index("p")
+            if all(n in INLINE for n in names[depth + 1 :]):
+                yield from closed(depth)
         if name in CLOSES:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in CLOSES[name]:
-                    while len(stack) > depth:
-                        yield "close", tuple(stack), ""
-                        stack.pop()
-                elif stack[depth][0] not in INLINE:
+            for depth in range(len(names) - 1, -1, -1):
+                if names[depth] in CLOSES[name]:
+                    yield from closed(depth)
+                elif names[depth] not in INLINE:
                     break
-        marks = " ".join(" ".join(x for x in m if x) for m in _NAMES.findall(token[4])).lower()
-        if _HIDDEN.search(token[4]):
-            marks += " hidden-element"
-        if name in VOID or token[4].endswith("/"):
-            yield ("space" if name in INLINE else "gap"), tuple(stack), ""
+        marks = ""
+        if rest:
+            marks = " ".join(" ".join(x for x in m if x) for m in _NAMES.findall(rest)).lower()
+            if _HIDDEN.search(rest):
+                marks += " hidden-element"
+            marks = marks.strip()
+        if name in VOID or rest.endswith("/"):
+            yield ("space" if name in INLINE else "gap"), paths[-1], roles[-1], ""
             continue
-        stack.append((name, marks.strip()))
-        yield "open", tuple(stack), ""
+        names.append(name)
+        paths.append((*paths[-1], (name, marks)))
+        label = f"{name}.{marks}" if marks else name
+        roles.append(roles[-1] if name in INLINE else f"{roles[-1]}/{label}" if roles[-1] else label)
+        yield "open", paths[-1], roles[-1], ""
     if at < len(page):
-        yield "text", tuple(stack), page[at:]
-    while stack:
-        yield "close", tuple(stack), ""
-        stack.pop()
+        yield "text", paths[-1], roles[-1], page[at:]
+    yield from closed(0)
 
 
 def is_boilerplate(element: tuple[str, str], inside_main: bool = False) -> bool:
@@ -135,22 +142,19 @@ def sets_apart(element: tuple[str, str]) -> bool:
 
 def segments(page: str, wanted: dict[str, set] | None = None) -> Iterator[tuple[str, list[str] | None]]:
     """The page's tokens in order: ('o' or 'c' with the path, None) of elements that open and close, ('w' with the path, words) of texts; of words only the wanted ones of their path."""
-    names: dict[tuple, str] = {}
-    for kind, path, text in parse(page):
+    for kind, path, role, text in parse(page):
         if kind == "text":
             if text.isspace():
                 continue
-        elif kind not in ("open", "close") or path[-1][0] in INLINE:
-            continue
-        name = names.get(path)
-        if name is None:
-            name = names[path] = "/".join(f"{n}.{m}" if m else n for n, m in path if n not in INLINE)
-        if kind != "text":
-            yield kind[0] + name, None
-        elif wanted is None:
-            yield "w" + name, entities.unescape(text).split()
-        elif known := wanted.get("w" + name):
-            yield "w" + name, [w for w in entities.unescape(text).split() if w in known]
+            if wanted is None:
+                yield "w" + role, (entities.unescape(text) if "&" in text else text).split()
+            elif known := wanted.get("w" + role):
+                yield "w" + role, [w for w in (entities.unescape(text) if "&" in text else text).split() if w in known]
+        elif kind == "open":
+            if path[-1][0] not in INLINE:
+                yield "o" + role, None
+        elif kind == "close" and path[-1][0] not in INLINE:
+            yield "c" + role, None
 
 
 def tokens_of(page: str, wanted: dict[str, set] | None = None) -> list[str]:
@@ -275,7 +279,7 @@ def blocks(page: str, template: dict | None) -> list[str]:
     """The page's main blocks in order: references decoded, white space single."""
     events = list(parse(page))
     #: Articles under no marked element come first; where there is none, those under marked ones are the page's.
-    mains = {path for kind, path, _ in events if kind == "open" and path[-1][0] in MAIN and not any(sets_apart(e) for e in path[:-1])}
+    mains = {path for kind, path, _, _ in events if kind == "open" and path[-1][0] in MAIN and not any(sets_apart(e) for e in path[:-1])}
     mains = {path for path in mains if not any(is_boilerplate(e) for e in path)} or mains
     around = {path[:k] for path in mains for k in range(1, len(path) + 1)}
     fitting = {path for path in mains if template and _role(path) in set(template["main"])}
@@ -308,7 +312,7 @@ def _collect(events: list[tuple], main: set[tuple] | None, around: set[tuple], f
         slot = not fixed
 
     chosen: dict[tuple, bool] = {}
-    for kind, path, text in events:
+    for kind, path, role, text in events:
         if kind in ("open", "close"):
             if path[-1][0] not in INLINE:
                 flush()
@@ -319,8 +323,7 @@ def _collect(events: list[tuple], main: set[tuple] | None, around: set[tuple], f
             if chosen.get(path, main is None and not path):
                 parts.append(text)
                 if not slot:
-                    role = "w" + "/".join(f"{n}.{m}" if m else n for n, m in path if n not in INLINE) + "\t"
-                    slot = any(role + word not in fixed for word in entities.unescape(text).split())
+                    slot = any(f"w{role}\t{word}" not in fixed for word in entities.unescape(text).split())
         elif kind == "gap":
             flush()
         else:
