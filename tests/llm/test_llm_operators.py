@@ -235,6 +235,7 @@ def brute_repeats(rows, width=repeats.WIDTH):
 def test_repeats_against_all_windows(spark, monkeypatch, most):
     monkeypatch.setattr(repeats, "GROUP_CONTEXTS", most)
     monkeypatch.setattr(repeats, "FLUSH", most)
+    monkeypatch.setattr(repeats, "HELD", most)
     rnd = random.Random(5)
     shared = ["".join(rnd.choice("abcdefgh é") for _ in range(rnd.randint(80, 400))) for _ in range(12)]
     rows = [(i, "".join(rnd.choice(shared)[rnd.randint(0, 30) :] if rnd.random() < 0.6 else "".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 120))) for _ in range(rnd.randint(0, 6)))) for i in range(80)]

@@ -7,8 +7,9 @@ Finding candidates. Every window of WIDTH bytes is owned by its minimiser, the G
 (leftmost of equals): equal windows have equal owners at equal places. The consecutive windows that one owner owns are a
 block, named by the owner's hash (anchor) and the hash of the block's bytes. One pass over the texts makes the blocks; a
 task keeps the first of its equal blocks and settles the others at once, the rest are dealt by anchor, and of blocks
-equal in both hashes all but the first are repeats throughout. Anchors that two different blocks share are the places
-where repeats begin and end: only for these are bytes fetched.
+equal in both hashes all but the first are repeats throughout. Where two different blocks share an anchor, repeats begin
+or end; these can share a window only if they agree in the SIDE bytes before or behind the owner, which marks of 12 bits
+tell: only for such blocks are bytes fetched.
 
 Settling them. The blocks of an anchor become contexts; their suffixes that start a window are sorted, the common-prefix
 array is scanned with a stack into its interval tree, and each interval of at least WIDTH bytes whose suffixes differ in
@@ -31,16 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import buffers
-from tidewire.runtime import checked, materialise, small_enough, workers_see_package
+from tidewire.runtime import checked, materialise, workers_see_package
 
 WIDTH = 100
 GRAM = 24
+#: A window reaches so many bytes beyond its owner on one side at least.
+SIDE = (WIDTH - GRAM) // 2
 #: Contexts of an anchor that are put into one suffix array at most; beyond that its windows are grouped by hash.
 GROUP_CONTEXTS = 4_000
 #: Bytes of text that are worked on at once: small enough for the arrays to stay in the processor's cache.
 SLICE = 100_000
-#: Entries of all documents' lists that are broadcast at most (16 bytes each).
-LISTED = 1_000_000
 #: Bytes of text that are read in one piece at most.
 LONG = 1 << 22
 #: Blocks that a task holds before it settles the equal ones.
@@ -48,9 +49,9 @@ FLUSH = 400_000
 
 
 def anchors(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
-    """Blocks of the concatenated texts (under 16 MB): doc, first and last window start, anchor and block hashes."""
+    """Blocks of the concatenated texts (under 16 MB): doc, first and last window start, anchor and block hashes, and marks of the owner with SIDE bytes on either side (0 where the block ends before)."""
     n = len(data)
-    empty = {k: np.zeros(0, np.uint64 if k in ("anchor", "block") else np.int64) for k in ("doc", "first", "last", "anchor", "block")}
+    empty = {k: np.zeros(0, np.uint64 if k in ("anchor", "block") else np.int64) for k in ("doc", "first", "last", "anchor", "block", "left", "right")}
     if n < WIDTH:
         return empty
     prefix = buffers.prefix_hash(data)
@@ -82,7 +83,9 @@ def anchors(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     own = owner[change]
     content = buffers.span_hash(prefix, change, ends + WIDTH) ^ ((own - change).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     doc = np.searchsorted(at, change, side="right") - 1
-    return {"doc": doc, "first": change - at[doc], "last": ends - at[doc], "anchor": hashed[own], "block": content}
+    mark = lambda a, b, whole: np.where(whole, (buffers.span_hash(prefix, np.where(whole, a, 0), np.where(whole, b, 0)) % np.uint64(4095)).astype(np.int64) + 1, 0)
+    left, right = mark(own - SIDE, own + GRAM, own - SIDE >= change), mark(own, own + GRAM + SIDE, own + GRAM + SIDE <= ends + WIDTH)
+    return {"doc": doc, "first": change - at[doc], "last": ends - at[doc], "anchor": hashed[own], "block": content, "left": left, "right": right}
 
 
 def long_anchors(data: np.ndarray, at: np.ndarray, most: int = LONG) -> dict[str, np.ndarray]:
@@ -185,25 +188,27 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 BLOCK_SCHEMA = "kind int, anchor bigint, block bigint, uid bigint, first int, last int"
 _BLOCK = ("anchor", "block", "uid", "first", "last")
-#: Blocks and runs on their way to their anchors: at holds the first window start and, in its low byte, the block's span
-#: (under WIDTH) or RUN, where block holds the run's last window start.
+#: Blocks and runs on their way to their anchors: at holds the first window start, both marks, and in its low byte the
+#: block's span (under WIDTH) or RUN, where block holds the run's last window start.
 PACKED_SCHEMA = "anchor bigint, block bigint, uid bigint, at bigint"
 RUN = 255
+#: Blocks of one anchor that are held for the comparison of their marks at most; more are all looked at.
+HELD = 100_000
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kind, anchor, block, uid, first, last = (batch.column(c).to_numpy().astype(np.int64) for c in range(6))
-        run = kind == 0
-        at = first << 8 | np.where(run, RUN, last - first)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (anchor, np.where(run, last, block), uid, at)], ["anchor", "block", "uid", "at"])
+def _packed(anchor, block, uid, first, last, marks) -> Iterator[pa.RecordBatch]:
+    """marks None: runs."""
+    if len(uid):
+        at = first.astype(np.int64) << 32 | (RUN if marks is None else marks << 8 | (last - first))
+        columns = [np.zeros(len(uid), np.int64) if anchor is None else anchor.view(np.int64), last.astype(np.int64) if block is None else block.view(np.int64), uid.astype(np.int64), at]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "block", "uid", "at"])
 
 
 def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(whether a row is a run, anchor, block, uid, first and last)."""
+    """(whether a row is a run, anchor, block, uid, first, last and marks)."""
     anchor, block, uid, at = (batch.column(c).to_numpy() for c in range(4))
-    run, first = (at & 255) == RUN, (at >> 8).astype(np.int32)
-    return run, [anchor, block, uid, first, np.where(run, block, first + (at & 255)).astype(np.int32)]
+    run, first = (at & 255) == RUN, (at >> 32).astype(np.int32)
+    return run, [anchor, block, uid, first, np.where(run, block, first + (at & 255)).astype(np.int32), at >> 8 & 0xFFFFFF]
 
 
 def blocks(texts: DataFrame) -> DataFrame:
@@ -217,49 +222,65 @@ def blocks(texts: DataFrame) -> DataFrame:
                 data, at = buffers.utf8(part.column("text"))
                 uid = part.column("uid").to_numpy()
                 b = long_anchors(data, at)
-                held.append((b["anchor"], b["block"], uid[b["doc"]], b["first"].astype(np.int32), b["last"].astype(np.int32)))
+                held.append((b["anchor"], b["block"], uid[b["doc"]], b["first"].astype(np.int32), b["last"].astype(np.int32), b["left"] << 12 | b["right"]))
                 waiting += len(b["doc"])
             if waiting > FLUSH:
-                yield from _packed(_settled(held))
+                yield from _settled(held)
                 held, waiting = [], 0
-        yield from _packed(_settled(held))
+        yield from _settled(held)
 
     return texts.mapInArrow(run, PACKED_SCHEMA)
 
 
 def met(dealt: DataFrame) -> DataFrame:
-    """Of blocks() sorted by anchor and block: the runs, blocks that have an equal one before as runs (0), first blocks of anchors with several (1)."""
+    """Of blocks() sorted by anchor and block: the runs, blocks that have an equal one before as runs (0), first blocks that can share a window with another one of their anchor (1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # anchor and block of the row before, and that anchor's only block so far
+        before = None  # anchor and block of the row before
+        rest = [np.zeros(0, np.int64)] * 6  # first blocks of that anchor
+        crowded = None  # an anchor whose first blocks go out as they come
         for batch in batches:
             runs, table = _unpacked(batch)
-            yield from _rows(0, *(t[runs] for t in table))
+            yield from _rows(0, *(t[runs] for t in table[:5]))
             table = [t[~runs] for t in table]
             if not len(table[0]):
                 continue
             anchor, block = table[:2]
             again = np.append(False, (anchor[1:] == anchor[:-1]) & (block[1:] == block[:-1]))
-            if before is not None:
-                again[0] = (anchor[0], block[0]) == before[0]
-            yield from _runs_out(*(t[again] for t in table[2:]))
-            lead = [t[~again] for t in table]
-            only = before[1] if before is not None else None
-            open_anchor = before is not None and only is None and before[0][0]  # its first blocks are out already
-            if only is not None:
-                lead = [np.append(o, t) for o, t in zip(only, lead, strict=True)]
-            if len(lead[0]):
-                alike = lead[0][1:] == lead[0][:-1]
-                several = np.append(alike, False) | np.append(False, alike)
-                if open_anchor is not False:
-                    several |= lead[0] == open_anchor
-                yield from _rows(1, *(t[several] for t in lead))
-                only = None if several[-1] else tuple(t[-1] for t in lead)
-            before = (anchor[-1], block[-1]), only
+            again[0] = before == (anchor[0], block[0])
+            before = anchor[-1], block[-1]
+            yield from _runs_out(*(t[again] for t in table[2:5]))
+            lead = [np.append(r, t[~again]) for r, t in zip(rest, table, strict=True)]
+            if crowded is not None:
+                more = lead[0] == crowded
+                yield from _rows(1, *(t[more] for t in lead[:5]))
+                lead = [t[~more] for t in lead]
+            last = lead[0] == anchor[-1]
+            yield from _alike([t[~last] for t in lead])
+            rest = [t[last] for t in lead]
+            if len(rest[0]) > HELD:
+                yield from _rows(1, *rest[:5])
+                crowded, rest = anchor[-1], [t[:0] for t in rest]
+        yield from _alike(rest)
 
     return dealt.mapInArrow(run, BLOCK_SCHEMA)
 
 
+def _alike(lead: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Of the first blocks of whole anchors those that share a mark, left or right, with another one of their anchor: others share no window."""
+    anchor, marks = lead[0], lead[5]
+    wanted = np.zeros(len(anchor), bool)
+    for mark in (marks >> 12, marks & 0xFFF):
+        there = np.flatnonzero(mark > 0)
+        if not len(there):
+            continue
+        key = buffers.mix64(anchor[there].view(np.uint64) + mark[there].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        wanted[there[order[np.append(same, False) | np.append(False, same)]]] = True
+    yield from _rows(1, *(t[wanted] for t in lead[:5]))
+
+
 def removals(keyed: DataFrame) -> DataFrame:
     """(uid, first, last): runs of window starts that stand earlier too, of (uid, text)."""
     texts = keyed.select("uid", "text")
@@ -267,7 +288,7 @@ def removals(keyed: DataFrame) -> DataFrame:
     second = materialise(met(found.sortWithinPartitions("anchor", "block", "uid", "at")))
     requests = second.where("kind = 1")
     wanted = requests.groupBy("uid").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("asked"))
-    fetched, _ = _meeting(texts, materialise(wanted), "asked")
+    fetched, _ = _meeting(texts, materialise(wanted))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,11 +334,8 @@ def _later(windows: DataFrame) -> DataFrame:
     return again.where((F.col("uid") != F.col("best.uid")) | (F.col("first") != F.col("best.first"))).select("uid", "first", F.col("first").alias("last"))
 
 
-def _meeting(texts: DataFrame, lists: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """(texts with their list, texts without one). Lists of few entries in all go to the texts; else only texts that have a list are shuffled, where their ids can be broadcast."""
-    if (lists.agg(F.sum(F.size(column))).first()[0] or 0) <= LISTED and small_enough(lists, LISTED):
-        lists = F.broadcast(lists)
-        return texts.join(lists, "uid"), texts.join(F.broadcast(lists.select("uid")), "uid", "left_anti")
+def _meeting(texts: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts with their list, texts without one). Only texts that have a list are shuffled, where their ids can be broadcast."""
     ids = checked(lists.select("uid"), 200_000)
     return texts.join(ids, "uid", "left_semi").join(lists, "uid"), texts.join(ids, "uid", "left_anti")
 
@@ -345,20 +363,20 @@ def _rows(kind: int, anchor, block, uid, first, last) -> Iterator[pa.RecordBatch
 
 
 def _settled(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """First of the equal blocks of what a task has read: to be dealt; the others: settled."""
+    """First of the equal blocks of what a task has read: to be dealt; the others: settled. Packed rows."""
     if not held:
         return
-    anchor, block, uid, first, last = (np.concatenate(x) for x in zip(*held, strict=True))
+    anchor, block, uid, first, last, marks = (np.concatenate(x) for x in zip(*held, strict=True))
     #: Blocks come in order of their documents, as a rule; the two hashes as one keep equal blocks together.
     if (uid[1:] < uid[:-1]).any():
         order = np.lexsort((first, uid))
-        anchor, block, uid, first, last = (x[order] for x in (anchor, block, uid, first, last))
+        anchor, block, uid, first, last, marks = (x[order] for x in (anchor, block, uid, first, last, marks))
     order = np.argsort(block ^ (anchor << np.uint64(1)), kind="stable")
     a, b = anchor[order], block[order]
     repeat = np.zeros(len(order), bool)
     repeat[order[1:]] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    yield from _runs_out(uid[repeat], first[repeat], last[repeat])
-    yield from _rows(1, *(x[~repeat] for x in (anchor, block, uid, first, last)))
+    yield from _packed(None, None, *_joined_runs(uid[repeat], first[repeat], last[repeat]), None)
+    yield from _packed(*(x[~repeat] for x in (anchor, block, uid, first, last, marks)))
 
 
 def _group_removals(rows: list[tuple]) -> list[tuple[int, int, int]]:
@@ -394,7 +412,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     per_doc = runs.groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("runs")).mapInArrow(merged, "uid bigint, removed array<struct<first:int,end:int>>")
     per_doc = materialise(per_doc)
-    touched, untouched = _meeting(keyed, per_doc, "removed")
+    touched, untouched = _meeting(keyed, per_doc)
     rows = touched.select("id", "text", "removed").unionByName(untouched.select("id", "text", F.lit(None).cast(per_doc.schema["removed"].dataType).alias("removed")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
