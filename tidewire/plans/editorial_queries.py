@@ -104,14 +104,6 @@ def v12(s, d):
     return E.placeholders(c.select("user_id", "event_type").distinct(), c.where("reason IS NULL"), ["user_id", "event_type"])
 
 
-@query("j19_existing_urls", "SELECT p.page_id, count(q.page_id) AS earlier FROM pages p LEFT JOIN pages q ON q.url = p.url AND q.page_id < p.page_id GROUP BY 1")
-def j19(s, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("url").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
-    return V.table(s, d, "pages").select("page_id", F.count("*").over(w).alias("earlier"))
-
-
 @query("r02_consume_urls", """WITH c AS (SELECT l_orderkey AS cluster_id, l_suppkey % 3 AS source, ((l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey) AS pos, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY ((l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey)) AS k FROM lineitem),
  u AS (SELECT l_orderkey AS cluster_id, l_suppkey % 3 AS source, 'u' || l_partkey AS url, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY ((l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey)) AS k, count(*) OVER (PARTITION BY l_orderkey, l_suppkey % 3) AS n FROM lineitem WHERE l_linenumber <= 4),
  o AS (SELECT cluster_id, source, url FROM u WHERE n = 1) SELECT c.cluster_id, c.source, c.pos, coalesce(o.url, u.url) AS url, o.url IS NULL AND u.url IS NULL AS ambiguous FROM c LEFT JOIN u ON u.cluster_id = c.cluster_id AND u.source = c.source AND u.k = c.k LEFT JOIN o ON o.cluster_id = c.cluster_id AND o.source = c.source""")
@@ -150,23 +142,12 @@ def d29(s, d):
     return E.claimed_once(V.table(s, d, "lineitem").select(F.col("l_orderkey").alias("entry"), F.col("l_suppkey").alias("article_id")))
 
 
-@query("d30_label_rejoin", "SELECT a.o_orderkey AS id, count(*) AS attached FROM orders a JOIN lineitem b ON lower(trim(a.o_orderpriority)) = lower('1-Urgent') AND b.l_orderkey = a.o_orderkey GROUP BY 1")
-def d30(s, d):
-    o = V.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.lower(F.trim("o_orderpriority")).alias("label")).where("label = '1-urgent'")
-    return o.join(V.table(s, d, "lineitem").select(F.col("l_orderkey").alias("id")), "id").groupBy("id").agg(F.count("*").alias("attached"))
-
-
 @query("z13_source_health", "SELECT event_type AS source_name, CASE max(CASE WHEN value >= 5 AND event_id % 4 > 0 THEN 3 WHEN value >= 5 THEN 2 ELSE 1 END) WHEN 3 THEN 'ok' WHEN 2 THEN 'empty' ELSE 'error' END AS state, CAST(sum(event_id % 4) AS BIGINT) AS items FROM events GROUP BY 1")
 def z13(s, d):
     rows = V.table(s, d, "events").select(F.col("event_type").alias("source_name"), (F.col("value") >= 5).alias("ok"), (F.col("event_id") % 4).alias("items"), F.col("value").alias("ms"))
     return E.health(rows).select("source_name", "state", "items")
 
 
-@query("s09_pending_reviews", "SELECT event_id AS id FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 100")
-def s09(s, d):
-    return V.table(s, d, "events").where("event_type = 'click'").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select(F.col("event_id").alias("id"))
-
-
 @query("s23_report_json", "SELECT id, len(article_ids) AS members, topic_category AS topic FROM v_clusters")
 def s23(s, d):
     c = V.clusters(s, d)
@@ -187,14 +168,6 @@ def c03(s, d):
     return V.evaluations(s, d, False).select("evaluation_id", F.array_join(S.normalised_regions(raw), ",").alias("regions"))
 
 
-@query("m05_upsert_storylines", "SELECT c_custkey AS storyline, coalesce(CASE WHEN c_custkey % 2 = 0 THEN 'new-' || c_mktsegment END, c_name) AS name FROM customer")
-def m05(s, d):
-    c = V.table(s, d, "customer")
-    old = c.select(F.col("c_custkey").alias("storyline"), F.col("c_name").alias("name"))
-    new = c.select(F.col("c_custkey").alias("storyline"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("new-"), "c_mktsegment")).alias("fresh"))
-    return old.join(new, "storyline").select("storyline", F.coalesce("fresh", "name").alias("name"))
-
-
 @query("m07_append_version", "SELECT c_custkey AS version, c_name AS content FROM customer UNION ALL SELECT (SELECT max(c_custkey) FROM customer) + 1, 'memo'")
 def m07b(s, d):
     rows = V.table(s, d, "customer").select(F.col("c_custkey").alias("version"), F.col("c_name").alias("content"))
@@ -219,13 +192,6 @@ def w03(s, d):
     return T.per_group(lines, ["cluster_id", "source"], [F.desc("l_shipdate"), "line"], 1).select("cluster_id", "source", "line")
 
 
-@query("z03_training_text", "SELECT l_orderkey AS id, string_agg(l_returnflag || ':' || l_linenumber, '; ' ORDER BY l_linenumber, l_returnflag) AS memo FROM lineitem GROUP BY 1")
-def z03(s, d):
-    lines = V.table(s, d, "lineitem")
-    pieces = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag")))
-    return lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_join(F.transform(pieces, lambda p: F.concat(p["l_returnflag"], F.lit(":"), p["l_linenumber"].cast("string"))), "; ").alias("memo"))
-
-
 @query("z12_token_usage", "SELECT event_id AS id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS tokens, length(props) AS chars FROM events")
 def z12(s, d):
     return V.table(s, d, "events").select(F.col("event_id").alias("id"), F.coalesce(F.get_json_object("props", "$.k").try_cast("bigint"), F.lit(0)).alias("tokens"), F.length("props").cast("bigint").alias("chars"))

@@ -109,11 +109,6 @@ def a11(s, d):
     return A.marker_leaks(V.table(s, d, "documents"), "text")
 
 
-@query("a12_state_histogram", "SELECT status, count(*) AS n FROM v_evaluations GROUP BY 1")
-def a12(s, d):
-    return V.evaluations(s, d, False).groupBy("status").agg(F.count("*").alias("n"))
-
-
 _TIER = "CASE tier WHEN 'mainstream' THEN 0.8::DOUBLE WHEN 'portal' THEN 0.5::DOUBLE WHEN 'specialist' THEN 0.65::DOUBLE ELSE 0.45::DOUBLE END"
 _SIGNAL = f"sig AS (SELECT m.cluster_id, count(*) AS articles, count(DISTINCT s.name) AS sources, count(DISTINCT s.region) AS regions, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.45::DOUBLE * least(count(DISTINCT s.name), 4) / 4 + 0.30::DOUBLE * least(count(DISTINCT s.region), 3) / 3 + 0.25::DOUBLE * avg({_TIER}))) AS signal, count(DISTINCT CASE WHEN (m.cluster_id + m.source_id) % 3 <> 0 THEN s.name END) AS organic, count(*) FILTER (m.source_id % 2 = 0) AS officials FROM v_members m JOIN v_sources s ON s.source_id = m.source_id GROUP BY 1)"
 
@@ -262,9 +257,9 @@ def w05(s, d):
     return T.per_group(real, ["source_name"], [F.desc("published_at"), "id"], 15).select("id", "source_name")
 
 
-@query("w06_chunks", "SELECT evaluation_id, CAST(floor((row_number() OVER (PARTITION BY display_category ORDER BY report_date, evaluation_id) - 1) / ceil(count(*) OVER (PARTITION BY display_category) / ceil(count(*) OVER (PARTITION BY display_category) / 60.0::DOUBLE))) AS BIGINT) AS chunk FROM v_evaluations")
+@query("w06_chunks", "SELECT evaluation_id, CAST(floor((row_number() OVER (PARTITION BY display_category ORDER BY report_date DESC, evaluation_id) - 1) / ceil(count(*) OVER (PARTITION BY display_category) / ceil(count(*) OVER (PARTITION BY display_category) / 60.0::DOUBLE))) AS BIGINT) AS chunk FROM v_evaluations")
 def w06(s, d):
-    return T.chunks(V.evaluations(s, d, False), ["display_category"], ["report_date", "evaluation_id"], 60).select("evaluation_id", "chunk")
+    return T.chunks(V.evaluations(s, d, False), ["display_category"], [F.desc("report_date"), "evaluation_id"], 60).select("evaluation_id", "chunk")
 
 
 @query("w08_timeline", "SELECT o_custkey AS storyline, o_orderkey AS cluster_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 5")
