@@ -72,6 +72,22 @@ def test_event_edges_respect_time(spark):
     assert {(r.a, r.b) for r in C.event_edges(rows).collect()} == {(1, 2), (2, 3)}
 
 
+@pytest.mark.parametrize("size", [7, 4096])
+def test_bucketed_pairs_equal_all_pairs(spark, size):
+    rnd = np.random.default_rng(8)
+    x = rnd.normal(size=(90, 4))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    at = rnd.integers(0, 500, 90)
+    rows = spark.createDataFrame([(i, [float(c) for c in v], int(t), int(i % 3)) for i, (v, t) in enumerate(zip(x, at, strict=True))] + [(99, None, 5, 1), (98, [1.0, 0.0, 0.0, 0.0], None, None)], "id bigint, v array<double>, t bigint, g bigint")
+    near = {(a, b) for b in range(90) for a in range(b) if x[a] @ x[b] >= 0.3}
+    timed = Y.bucketed_pairs(rows, "id", "v", F.floor(F.col("t") / 60), 0.3, F.col("t"), 60, block_rows=size)
+    got = [(r.a, r.b) for r in timed.collect()]
+    assert sorted(got) == sorted((a, b) for a, b in near if abs(at[a] - at[b]) <= 60)
+    grouped = Y.bucketed_pairs(rows, "id", "v", F.col("g"), 0.3, block_rows=size)
+    assert sorted((r.a, r.b) for r in grouped.collect()) == sorted((a, b) for a, b in near if a % 3 == b % 3)
+    assert sorted((r.a, r.b) for r in Y.vector_pairs(rows.where("id < 90"), "id", "v", 0.3, block_rows=size).collect()) == sorted(near)
+
+
 def test_matrices(spark):
     rows = spark.createDataFrame([(10, True, ["il"], "World", 8.0), (11, True, ["cn"], "World", 4.0), (12, False, ["us"], "World", 0.0)], "cluster_id bigint, selected boolean, subject_regions array<string>, display_category string, scope double")
     members = spark.createDataFrame([(10, "us"), (11, "us"), (11, "cn"), (11, "cn")], "cluster_id bigint, origin_region string")

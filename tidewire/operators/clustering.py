@@ -6,34 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import char_ngrams, jaccard
-from tidewire.operators.similarity import dot
-
-
-def band_join(left: DataFrame, right: DataFrame, time: str, hours: int) -> DataFrame:
-    """Pairs whose times differ by at most `hours`, by joining each bucket with itself and the next, not all rows.
-
-    Both sides carry `time`; the right side's columns must be named differently but for it. Ties in time pair both ways.
-    """
-    seconds = hours * 3600
-    bucket = lambda t: F.floor(F.unix_timestamp(t) / seconds)
-    a = left.withColumn("_b", F.explode(F.array(bucket(F.col(time)) - 1, bucket(F.col(time)), bucket(F.col(time)) + 1))).withColumnRenamed(time, "_ta")
-    b = right.withColumn("_b", bucket(F.col(time))).withColumnRenamed(time, "_tb")
-    return a.join(b, "_b").where(F.abs(F.unix_timestamp("_ta") - F.unix_timestamp("_tb")) <= seconds).drop("_b")
+from tidewire.operators.similarity import bucketed_pairs, dot
 
 
 def event_edges(articles: DataFrame, vector: str = "embedding", hours: int = 48, least: float = 0.72, strong: float = 0.86, overlap: float = 0.12) -> DataFrame:
-    """(a, b, cosine) of real articles near in time and similar; ids a < b.
+    """(a, b, cosine) of real articles at most `hours` apart and similar; ids a < b.
 
-    Pairs under `strong` also need titles of n-gram overlap `overlap` (none without a title column); strong = least leaves titles out.
+    Time buckets meet themselves and the next one, in blocks. Pairs under `strong` also need titles of n-gram overlap
+    `overlap` (none without a title column); strong = least leaves titles out.
     """
+    seconds = F.unix_timestamp("published_at")
+    near = bucketed_pairs(articles, "id", vector, F.floor(seconds / (hours * 3600)), least, seconds, hours * 3600)
+    if strong <= least:
+        return near
     title = F.col("title") if "title" in articles.columns else F.lit(None).cast("string")
-    left = articles.select(F.col("id").alias("a"), F.col(vector).alias("va"), title.alias("ta"), "published_at")
-    right = articles.select(F.col("id").alias("b"), F.col(vector).alias("vb"), title.alias("tb"), "published_at")
-    met = band_join(left, right, "published_at", hours).where("a < b")
-    near = met.select("a", "b", "ta", "tb", dot(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") >= least)
-    if strong > least:
-        near = near.where((F.col("cosine") >= strong) | (jaccard(char_ngrams(F.col("ta")), char_ngrams(F.col("tb"))) >= overlap))
-    return near.select("a", "b", "cosine")
+    named = lambda key, name: articles.select(F.col("id").alias(key), title.alias(name))
+    met = near.join(named("a", "ta"), "a").join(named("b", "tb"), "b")
+    return met.where((F.col("cosine") >= strong) | (jaccard(char_ngrams(F.col("ta")), char_ngrams(F.col("tb"))) >= overlap)).select("a", "b", "cosine")
 
 
 def one_per_source(articles: DataFrame, component: DataFrame, edges: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.functions.text import char_ngrams, jaccard
-from tidewire.runtime import materialise, workers_see_package
+from tidewire.runtime import checked, materialise, workers_see_package
 
 #: Vectors of a block that are multiplied with another block, and how many rows of it at once.
 BLOCK_ROWS = 4096
@@ -46,30 +46,61 @@ def vector_pairs(rows: DataFrame, key: str, vector: str, least: float, block_row
 
     Every block meets every other once. Matrix products only choose; cosines are summed as `dot` does. Keys are bigint, one row each.
     """
-    workers_see_package(rows.sparkSession)
-    held = materialise(rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<double>").alias("v")))
+    held = materialise(rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<double>").alias("v"), F.lit(0).cast("bigint").alias("t")))
     blocks = max(1, -(-held.count() // block_rows))
+    table = _blocks(held.withColumn("g", F.lit(0).cast("bigint")).withColumn("blocks", F.lit(blocks)))
+    #: Around the ring of blocks: each meets itself and the half that follows it; of an even ring the first half meets its opposite.
+    steps = F.explode(F.sequence(F.lit(0), F.when(F.col("i") < blocks - blocks // 2, blocks // 2).otherwise((blocks - 1) // 2)))
+    left = table.withColumn("step", steps).select("d", "i", F.pmod(F.col("i") + F.col("step"), F.lit(blocks)).alias("j"), *[F.col(c).alias(f"{c}i") for c in "gktv"])
+    met = left.join(table.select(F.col("i").alias("j"), "d", *[F.col(c).alias(f"{c}j") for c in "gktv"]), ["j", "d"])
+    return _multiplied(met.repartition(min(blocks * (blocks + 1) // 2, 1000), "i", "j"), least, None)
+
+
+def bucketed_pairs(rows: DataFrame, key: str, vector: str, bucket: Column, least: float, time: Column | None = None, within: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, cosine) of the pairs a < b of one bucket (a bigint) whose dot product is at least `least`, by blocks against blocks.
+
+    With a time (bigint), rows of neighbouring buckets meet too, and pairs are at most `within` apart. A bucket of any size
+    is dealt into blocks. Rows without bucket, vector or time take no part.
+    """
+    t = F.lit(0) if time is None else time
+    held = rows.select(bucket.cast("bigint").alias("g"), F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<double>").alias("v"), t.cast("bigint").alias("t"))
+    held = materialise(held.where("g IS NOT NULL AND v IS NOT NULL AND t IS NOT NULL"))
+    sizes = materialise(held.groupBy("g").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")))
+    table = _blocks(held.join(checked(sizes), "g"))
+    targets = F.array("g") if time is None else F.array("g", F.col("g") + 1)
+    left = table.withColumn("target", F.explode(targets)).select("d", "i", "target", *[F.col(c).alias(f"{c}i") for c in "gktv"])
+    right = table.select(F.col("g").alias("target"), "d", F.col("i").alias("j"), *[F.col(c).alias(f"{c}j") for c in "gktv"])
+    met = left.join(right, ["target", "d"]).where("gi <> gj OR i <= j")
+    return _multiplied(met.repartition("gi", "i", "j"), least, within if time is not None else None)
+
+
+def _blocks(dealt: DataFrame) -> DataFrame:
+    """Of (g, k, t, v, blocks): a row for each block of a bucket, keys, times and vectors packed."""
+    workers_see_package(dealt.sparkSession)
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         data = np.stack(pdf["v"].to_numpy())
-        return pd.DataFrame({"i": [pdf["i"].iloc[0]], "d": [data.shape[1]], "k": [pdf["k"].to_numpy(np.int64).tobytes()], "v": [data.tobytes()]})
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "i": [pdf["i"].iloc[0]], "d": [data.shape[1]], "k": [pdf["k"].to_numpy(np.int64).tobytes()], "t": [pdf["t"].to_numpy(np.int64).tobytes()], "v": [data.tobytes()]})
 
-    dealt = held.withColumn("i", F.pmod(F.xxhash64("k"), F.lit(blocks))).withColumn("d", F.size("v")).where("d > 0")
-    table = materialise(dealt.groupBy("i", "d").applyInPandas(packed, "i bigint, d int, k binary, v binary"))
-    #: Around the ring of blocks: each meets itself and the half that follows it; of an even ring the first half meets its opposite.
-    steps = F.explode(F.sequence(F.lit(0), F.when(F.col("i") < blocks - blocks // 2, blocks // 2).otherwise((blocks - 1) // 2)))
-    left = table.withColumn("step", steps).select("i", "d", F.pmod(F.col("i") + F.col("step"), F.lit(blocks)).alias("j"), F.col("k").alias("ki"), F.col("v").alias("vi"))
-    met = left.join(table.select(F.col("i").alias("j"), "d", F.col("k").alias("kj"), F.col("v").alias("vj")), ["j", "d"])
+    rows = dealt.withColumn("i", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("bigint")).withColumn("d", F.size("v")).where("d > 0").drop("blocks")
+    return materialise(rows.groupBy("g", "i", "d").applyInPandas(packed, "g bigint, i bigint, d int, k binary, t binary, v binary"))
+
+
+def _multiplied(met: DataFrame, least: float, within: int | None) -> DataFrame:
+    """(a, b, cosine) of the block pairs (gi, i, ki, ti, vi, gj, j, kj, tj, vj)."""
 
     def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 ki, kj = np.frombuffer(r["ki"], np.int64), np.frombuffer(r["kj"], np.int64)
+                ti, tj = np.frombuffer(r["ti"], np.int64), np.frombuffer(r["tj"], np.int64)
                 vi, vj = np.frombuffer(r["vi"]).reshape(len(ki), -1), np.frombuffer(r["vj"]).reshape(len(kj), -1)
                 for at in range(0, len(ki), BLOCK_SLICE):
                     x, y = np.nonzero(vi[at : at + BLOCK_SLICE] @ vj.T >= least - 1e-9)
                     x += at
-                    fit = ki[x] < kj[y] if r["i"] == r["j"] else ki[x] != kj[y]
+                    fit = ki[x] < kj[y] if (r["gi"], r["i"]) == (r["gj"], r["j"]) else ki[x] != kj[y]
+                    if within is not None:
+                        fit &= np.abs(ti[x] - tj[y]) <= within
                     x, y = x[fit], y[fit]
                     cosine = np.zeros(len(x))
                     for c in range(vi.shape[1]):
@@ -78,7 +109,7 @@ def vector_pairs(rows: DataFrame, key: str, vector: str, least: float, block_row
                     a, b = ki[x[fit]], kj[y[fit]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(cosine[fit])], ["a", "b", "cosine"])
 
-    return met.repartition(min(blocks * (blocks + 1) // 2, 1000), "i", "j").mapInArrow(multiplied, "a bigint, b bigint, cosine double")
+    return met.mapInArrow(multiplied, "a bigint, b bigint, cosine double")
 
 
 def lcs_length(a: str, b: str) -> int:

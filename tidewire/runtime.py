@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 
 #: Bytes of an Arrow batch for Python workers at most (whole rows), so that long texts don't fill an executor.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
 
 _written: list[tuple[object, str]] = []
 
