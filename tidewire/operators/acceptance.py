@@ -157,3 +157,36 @@ def coverage(targets: DataFrame, articles: DataFrame) -> DataFrame:
     names = F.array(*[F.lit(x) for x in ("official_direct", "direct_quote", "verified_related_country_editorial", "secondary_only", "missing")])
     g = met.groupBy("cluster_id", "label", "region", "role").agg(F.min(kind).alias("k"))
     return g.select("cluster_id", "label", "region", "role", F.element_at(names, F.col("k")).alias("coverage"), F.when(F.col("role") == "country", F.col("k") == 3).otherwise(F.col("k") <= 3).alias("satisfied"))
+
+
+def registry_reason(stage: Column, verdict: Column, bound_region: Column, names: Column, url: Column, label: Column, region: Column) -> Column:
+    """Why a reviewed binding (verdict, region, names; null verdict: none) rules a candidate out; null if it doesn't, or leaves it to the verifier."""
+    named = F.exists(F.coalesce(names, F.array().cast("array<string>")), lambda n: (identity_text(n) != "") & (identity_text(n) == identity_text(label)))
+    elsewhere = (F.coalesce(bound_region, F.lit("")) != "") & (bound_region != region)
+    official = F.when(verdict == "official_social", "publisher_binding_unverified").when(verdict != "official_web", "not_official_source").when(~named & ~governmental(url), "publisher_binding_unverified")
+    country = F.when((verdict != "country_editorial") | (F.coalesce(bound_region, F.lit("")) == ""), "not_related_country_source")
+    return F.when(verdict.isNull(), None).when(elsewhere, "not_related_country_source").when(stage == "official", official).otherwise(country)
+
+
+def accept_results(candidates: DataFrame, group: list[str], order: list, most: int) -> DataFrame:
+    """Decision and reason of each candidate of a target's search, in order, until `most` are accepted (later ones: unread).
+
+    Columns: stage, role, region, label, url (canonical, empty if none), thin, existing and satisfies (the cluster has the URL;
+    it serves the target), ladder (F06's reason), verdict, bound_region, names (the domain's binding), identity (as
+    coerced_identity gives it), bound_account. Unverified publishers and new local ones wait for review.
+    """
+    c, official = F.col, F.col("stage") == "official"
+    registry = registry_reason(c("stage"), c("verdict"), c("bound_region"), c("names"), c("url"), c("label"), c("region"))
+    bound = c("verdict").isNotNull() & (~official | F.exists(F.coalesce("names", F.array().cast("array<string>")), lambda n: identity_text(n) == identity_text(c("label"))))
+    said = F.when(official & c("bound_account"), "official_social").when(bound, c("verdict")).otherwise(c("identity.source_type"))
+    identity = F.struct(said.alias("source_type"), c("identity.relationship").alias("relationship"), c("identity.publisher_entity").alias("publisher_entity"), F.when(bound, c("region")).otherwise(c("identity.publisher_region")).alias("publisher_region"), c("identity.confidence").alias("confidence"))
+    voice = official_reason(identity, c("url"), c("label"), c("region"), bound, c("bound_account"))
+    country = F.when(said != "country_editorial", "not_related_country_source").when((identity["publisher_region"] != "") & (identity["publisher_region"] != c("region")), "not_related_country_source").when(c("verdict").isNull(), "candidate_pending_review")
+    reason = (
+        F.when(c("url") == "", "invalid_result_url").when(c("thin") & ~official, "thin_result").when(c("existing"), F.when(c("satisfies"), "coverage_satisfied").otherwise("duplicate_of_existing"))
+        .when(c("ladder").isNotNull(), c("ladder")).when(registry.isNotNull(), registry).when(official & (c("role") == "country"), "country_target_official_forbidden").otherwise(F.when(official, voice).otherwise(country))
+    )
+    judged = candidates.withColumn("reason", reason)
+    before = F.coalesce(F.sum(c("reason").isNull().cast("int")).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    decision = F.when(before >= most, "unread").when(c("reason").isNull(), "accepted").when(c("reason").isin("publisher_binding_unverified", "candidate_pending_review"), "pending_review").otherwise("rejected")
+    return judged.withColumn("decision", decision)

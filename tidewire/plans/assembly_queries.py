@@ -219,3 +219,33 @@ def v03b(s, d):
     articles = v.select("cluster_id", "title", "content", "region", F.col("is_placeholder").alias("placeholder"), (F.col("source_kind") != "news").alias("official"), F.col("is_searched").alias("searched"), "status", "provider", (F.col("source_name") != "S5").alias("configured"))
     targets = v.select("cluster_id", F.concat(F.lit("P"), (F.col("pos") % 4).cast("string")).alias("label"), F.lit("us").alias("region"), F.when(F.col("pos") % 2 == 0, "country").otherwise("ministry").alias("role")).distinct()
     return C.coverage(targets, articles).drop("region")
+
+
+_CHAIN = """k AS (SELECT *, pos % 2 = 0 AS official, CASE pos % 5 WHEN 0 THEN 'official_web' WHEN 1 THEN 'country_editorial' END AS verdict, CASE WHEN pos % 5 = 0 THEN region WHEN pos % 5 = 1 THEN CASE WHEN pos % 3 = 0 THEN 'xx' ELSE region END END AS bound_region, pos % 5 = 0 AND pos % 3 > 0 AS named, url LIKE 'https://www.state.gov%' OR url LIKE 'https://dept.gov.uk%' AS gov,
+ pos % 11 = 0 AND (url LIKE 'https://x.com%' OR url LIKE 'https://www.youtube%') AS account, ['official_web', 'country_editorial', 'reject'][CAST(pos % 3 + 1 AS BIGINT)] AS said0, pos % 7 > 0 AS same, CASE WHEN pos % 13 = 0 THEN 'zz' ELSE '' END AS pub FROM v_search),
+ b AS (SELECT *, CASE WHEN official THEN named ELSE verdict IS NOT NULL END AS bound FROM k), s AS (SELECT *, CASE WHEN official AND account THEN 'official_social' WHEN bound THEN verdict ELSE said0 END AS said, CASE WHEN bound THEN region ELSE pub END AS pub2 FROM b),
+ j AS (SELECT cluster_id, pos, CASE WHEN is_placeholder THEN 'invalid_result_url' WHEN pos % 9 = 1 AND NOT official THEN 'thin_result' WHEN pos % 17 = 0 THEN CASE WHEN pos % 4 = 0 THEN 'coverage_satisfied' ELSE 'duplicate_of_existing' END WHEN pos % 19 = 0 THEN 'stale_result'
+ WHEN verdict IS NOT NULL AND bound_region <> region THEN 'not_related_country_source' WHEN official AND verdict = 'country_editorial' THEN 'not_official_source' WHEN official AND verdict = 'official_web' AND NOT named AND NOT gov THEN 'publisher_binding_unverified' WHEN NOT official AND verdict = 'official_web' THEN 'not_related_country_source'
+ WHEN official AND pos % 6 = 0 THEN 'country_target_official_forbidden' WHEN official THEN CASE WHEN said = 'official_social' AND account THEN NULL WHEN said NOT IN ('official_web', 'official_social') THEN 'not_official_source' WHEN bound THEN NULL WHEN NOT same OR (pub2 <> '' AND pub2 <> region) THEN 'publisher_target_mismatch' WHEN said = 'official_web' AND gov THEN NULL ELSE 'publisher_binding_unverified' END
+ WHEN said <> 'country_editorial' THEN 'not_related_country_source' WHEN pub2 <> '' AND pub2 <> region THEN 'not_related_country_source' WHEN verdict IS NULL THEN 'candidate_pending_review' END AS reason FROM s),
+ w AS (SELECT *, coalesce(sum(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY cluster_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS got FROM j)"""
+
+
+@query("v07_acceptance_chain", f"WITH {_CHAIN} SELECT cluster_id, pos, reason, CASE WHEN got >= 1 THEN 'unread' WHEN reason IS NULL THEN 'accepted' WHEN reason IN ('publisher_binding_unverified', 'candidate_pending_review') THEN 'pending_review' ELSE 'rejected' END AS decision FROM w")
+def v07(s, d):
+    v, p = V.search_articles(s, d), F.col("pos")
+    verdict = F.when(p % 5 == 0, "official_web").when(p % 5 == 1, "country_editorial")
+    identity = C.coerced_identity(V.pick(("official_web", "country_editorial", "reject"), p % 3), F.when(p % 7 > 0, "same_entity").otherwise("unrelated"), F.lit("Agency"), F.when(p % 13 == 0, "zz").otherwise(""), F.lit(""), F.lit("0.9"))
+    rows = v.select("cluster_id", "pos", F.when(p % 2 == 0, "official").otherwise("country").alias("stage"), F.when(p % 6 == 0, "country").otherwise("ministry").alias("role"), "region", F.lit("agency").alias("label"),
+        F.when(F.col("is_placeholder"), "").otherwise(F.col("url")).alias("url"), (p % 9 == 1).alias("thin"), (p % 17 == 0).alias("existing"), (p % 4 == 0).alias("satisfies"), F.when(p % 19 == 0, "stale_result").alias("ladder"), verdict.alias("verdict"),
+        F.when(p % 5 == 0, F.col("region")).when(p % 5 == 1, F.when(p % 3 == 0, "xx").otherwise(F.col("region"))).alias("bound_region"), F.when((p % 5 == 0) & (p % 3 > 0), F.array(F.lit("The"), F.lit("AGENCY"))).alias("names"), identity.alias("identity"),
+        ((p % 11 == 0) & C.social_account(F.col("url")).isNotNull()).alias("bound_account"))
+    return C.accept_results(rows, ["cluster_id"], ["pos"], 1).select("cluster_id", "pos", "reason", "decision")
+
+
+@query("x01_age_cutoff", "SELECT event_id AS id FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 72 HOUR")
+def x01(s, d):
+    from tidewire.streaming import streams as R
+
+    fresh = R.young(R.event_stream(s, d), F.lit("2024-01-20 00:00:00").cast("timestamp"), 72)
+    return R.drained(fresh.select(F.col("event_id").alias("id")), "append")

@@ -96,3 +96,24 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
 
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def young(events: DataFrame, now, hours: int) -> DataFrame:
+    """Rows not older than the mode's age, which is also the stream's lateness bound."""
+    late = events.withWatermark("ts", f"{hours} hours") if events.isStreaming else events
+    return late.where(F.col("ts") >= now - F.make_dt_interval(hours=F.lit(hours)))
+
+
+def retried(send, attempts: int = 3, pause: float = 300.0, sleep=None) -> int:
+    """Calls `send` until it doesn't raise, `attempts` times at most, a pause between; returns the number of calls."""
+    import time
+
+    for k in range(1, attempts + 1):
+        try:
+            send()
+            return k
+        except Exception:
+            if k == attempts:
+                raise
+            (sleep or time.sleep)(pause)
+    return 0
