@@ -367,3 +367,39 @@ def test_token_set_query_reads_whole_texts(spark):
         before[r.source_name] = r.id
     got = {r.id: r.score for r in Q.QUERIES["d06_token_set_ratio"](spark, sf).collect()}
     assert got == pytest.approx(want, abs=1e-3)
+
+
+def test_labels_of_one_report_differ(spark):
+    from tidewire.operators import labels as B
+
+    families = spark.createDataFrame([(1, 1, 10, "关税战", None, "关税战"), (1, 2, 11, "专题：关税战", None, "钢铁 关税"), (1, 3, 12, "关税战", None, "关税战"), (1, 4, 13, "关税战", None, "钢铁关税"), (2, 1, 14, "关税战", None, None)], "report int, place int, family bigint, name string, name_en string, storyline_name string")
+    members = spark.createDataFrame([(10, 1, None, "头条甲"), (11, 1, None, "头条乙"), (12, 1, "小题", "头条丙"), (13, 1, None, "关税战"), (14, 1, None, "头条戊")], "family bigint, pos int, short_name string, headline string")
+    got = {r.family: r.label for r in B.repaired(families, members).collect()}
+    assert got == {10: "关税战", 11: "钢铁关税", 12: "小题", 13: "关税战：关税战", 14: "关税战"}
+
+
+def test_configuration(spark, tmp_path):
+    from tidewire.sources import config as C
+
+    (tmp_path / "c.json").write_text('{"sources": [{"name": "A", "name_en": "A", "url": "u", "weight": 2}, {"name": "B", "name_en": "B", "url": "v", "enabled": false}]}')
+    rows = C.sources(spark, C.read(str(tmp_path / "c.json"))).collect()
+    assert [(r.name, r.weight, r.tier, r.ownership) for r in rows] == [("A", 2.0, "tech", "state_influenced_review")]
+    assert C.read(str(tmp_path / "missing.json"), {}) == {}
+    assert C.keywords("lost\n# AI & LLM\nmodel\n chip \n\nlost too\n# Space\n") == {"AI & LLM": ["model", "chip"], "Space": []}
+    merged = C.merged_bindings({"source_verdicts": {"a.example": {"verdict": "x"}, "b.example": {"verdict": "y"}}}, {"source_verdicts": {"a.example": {"verdict": "official_web", "region": "us"}}})
+    assert [(r.domain, r.verdict) for r in C.bindings(spark, merged).collect()] == [("a.example", "official_web"), ("b.example", "y")]
+
+
+def test_retries():
+    from tidewire.streaming import streams as R
+
+    calls, pauses = [], []
+
+    def send():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("busy")
+
+    assert R.retried(send, 3, 5.0, pauses.append) == 3 and pauses == [5.0, 5.0]
+    with pytest.raises(OSError):
+        R.retried(lambda: (_ for _ in ()).throw(OSError("down")), 2, 1.0, pauses.append)
