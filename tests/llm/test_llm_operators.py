@@ -262,6 +262,30 @@ def test_maximal_repeat_groups_hold_all_occurrences():
     assert {length: len(places) for length, places in groups.items()} == {26: 3, 27: 2}
 
 
+@pytest.mark.parametrize("seed", range(25))
+def test_maximal_repeat_groups_against_all_substrings(seed):
+    """Every string of a context's windows that is maximal to both sides, with all its places, and nothing else."""
+    rnd = random.Random(seed)
+    width = 4
+    contexts = ["".join(rnd.choice("abc" if seed % 2 else "ab") for _ in range(rnd.randint(width, 24))).encode() for _ in range(rnd.randint(2, 7))]
+    windows = [rnd.randint(1, len(c) - width + 1) for c in contexts]
+    places: dict[bytes, list] = {}
+    for k, c in enumerate(contexts):
+        for start in range(windows[k]):
+            for end in range(start + width, len(c) + 1):
+                places.setdefault(c[start:end], []).append((k, start))
+
+    def maximal(text, at):
+        after = {contexts[k][s + len(text) : s + len(text) + 1] or k for k, s in at}
+        before = {contexts[k][s - 1 : s] if s else (k, "start") for k, s in at}
+        ends = [k for k, s in at if s + len(text) == len(contexts[k])]
+        return len(at) > 1 and len(before) > 1 and (len(after) > 1 or len(ends) == len(at))
+
+    want = {(len(t), tuple(sorted(at))) for t, at in places.items() if maximal(t, at)}
+    got = {(length, tuple(sorted(at))) for length, at in repeats.maximal_repeats(contexts, windows, width)}
+    assert got == want
+
+
 def test_repeats_odd(odd, none):
     got = {(r.doc_id, r.n_bytes): r for r in repeats.digests(odd).collect()}
     size = len(odd_rows()[6][1].encode())
