@@ -140,3 +140,12 @@ def e01(s, d):
 def z15(s, d):
     kept = R.retention({"orders": (V.table(s, d, "orders"), "o_orderdate"), "events": (V.table(s, d, "events"), "ts")}, F.lit("1998-08-01 00:00:00").cast("timestamp"), 400)
     return kept["orders"].select(F.lit("orders").alias("t"), F.col("o_orderkey").alias("id")).union(kept["events"].select(F.lit("events").alias("t"), "event_id"))
+
+
+@query("x06_stage_totals", "WITH x AS (SELECT CAST(ts AS DATE) AS day, event_type AS stage, value < 5 AS failed, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id % 3 = 0 AS hit FROM events) SELECT CAST(day AS VARCHAR) AS day, stage, count(*) AS calls, count(*) FILTER (failed) AS failures, CAST(coalesce(sum(k), 0) AS BIGINT) AS prompt, CAST(coalesce(sum(k) FILTER (hit), 0) AS BIGINT) AS cached, CAST(coalesce(sum(k % 7), 0) AS BIGINT) AS completion, CASE WHEN sum(k) > 0 THEN round(coalesce(sum(k) FILTER (hit), 0) / sum(k), 4) ELSE 0.0::DOUBLE END AS cache_share FROM x GROUP BY 1, 2")
+def x06(s, d):
+    from tidewire.streaming import streams as M
+
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    calls = M.event_stream(s, d).select("ts", F.col("event_type").alias("stage"), F.when(F.col("value") < 5, "error").otherwise("ok").alias("status"), k.alias("prompt"), F.when(F.col("event_id") % 3 == 0, k).alias("cached"), (k % 7).alias("completion"))
+    return M.drained(M.stage_totals(calls), "complete").withColumn("day", F.date_format("day", "yyyy-MM-dd"))

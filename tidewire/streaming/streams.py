@@ -117,3 +117,13 @@ def retried(send, attempts: int = 3, pause: float = 300.0, sleep=None) -> int:
                 raise
             (sleep or time.sleep)(pause)
     return 0
+
+
+def stage_totals(calls: DataFrame, window: str = "1 day", lateness: str = "8 hours") -> DataFrame:
+    """Per stage and day of (ts, stage, status, prompt, cached, completion): calls, failures, tokens by kind, and the share of prompt tokens from the cache."""
+    late = calls.withWatermark("ts", lateness) if calls.isStreaming else calls
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    g = late.groupBy(F.window("ts", window), "stage").agg(
+        F.count("*").alias("calls"), F.count_if(F.col("status") != "ok").alias("failures"), total("prompt").alias("prompt"), total("cached").alias("cached"), total("completion").alias("completion"))
+    share = F.when(F.col("prompt") > 0, F.round(F.col("cached") / F.col("prompt"), 4)).otherwise(F.lit(0.0))
+    return g.select(F.col("window.start").alias("day"), "stage", "calls", "failures", "prompt", "cached", "completion", share.alias("cache_share"))
