@@ -473,6 +473,29 @@ def test_registered_queries_run_whole_tables(spark, name):
         assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in got.itertuples())
 
 
+def area_under_curve(score, y):
+    order = np.argsort(np.concatenate([score[y == 1], score[y == 0]]), kind="stable")
+    rank = np.empty(len(order))
+    rank[order] = np.arange(1, len(order) + 1)
+    ones = int((y == 1).sum())
+    return (rank[:ones].sum() - ones * (ones + 1) / 2) / (ones * (len(y) - ones))
+
+
+@pytest.mark.parametrize(("name", "label", "least"), [("op4_centroid_language", "lang", 0.97), ("op5_noisy_or_toxicity", "toxic", 0.93), ("op8_quadratic_quality", "quality", 0.97)])
+def test_held_out_rows_of_the_driver_tables(spark, name, label, least):
+    """Accuracy of languages and area under the curve of scores, on rows that the model did not learn from."""
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("driver tables are not here")
+    got = registry.QUERIES[name](spark, sf).where("held_out")
+    known = spark.read.parquet(f"{sf}/{'documents' if label == 'lang' else 'labels'}.parquet").select("doc_id", label)
+    met = got.join(known.where(f"{label} IS NOT NULL"), "doc_id").toPandas()
+    if label == "lang":
+        assert (met[met.lang_pred != "und"].lang_pred == met[met.lang_pred != "und"].lang).mean() >= least
+    else:
+        assert area_under_curve(met.score.to_numpy(), met[label].to_numpy()) >= least
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body>
 <header><a href="/">Home</a></header><nav><ul><li>Menu</li></ul></nav><div class="ad">Buy {n}</div>
 <article><h1>Title {n}</h1><p>First &amp; <b>bold {n}<br>next<p>Second&nbsp;part {n}</p><div class="comments">Nice {n}!</div></article>
