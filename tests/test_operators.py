@@ -67,6 +67,25 @@ def test_coherent_split_keeps_like_together():
     assert sorted(map(sorted, parts)) == [[0, 2, 4], [1, 3]]
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_coherent_split_equals_the_rule(seed):
+    rnd = np.random.default_rng(seed)
+    x = rnd.normal(size=(4, 5))[rnd.integers(0, 4, 25)] + 0.5 * rnd.normal(size=(25, 5))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rest, want = list(range(25)), []
+    while rest:
+        group = [max(rest, key=lambda i: (round(float(x[i] @ x[rest].sum(0)), 12), -i))]
+        while len(group) < len(rest):
+            mean = lambda g: np.mean([x[a] @ x[b] for k, a in enumerate(g) for b in g[:k]])
+            best = max((i for i in rest if i not in group), key=lambda i: (round(float(mean([*group, i])), 12), -i))
+            if mean([*group, best]) < 0.4:
+                break
+            group.append(best)
+        want.append(group)
+        rest = [i for i in rest if i not in group]
+    assert G.split_coherently(x, 0.4) == want
+
+
 def test_event_edges_respect_time(spark):
     rows = spark.createDataFrame([(1, "2024-01-01 00:00:00", [1.0, 0.0]), (2, "2024-01-02 23:00:00", [0.97, 0.03]), (3, "2024-01-04 00:00:01", [1.0, 0.0])], "id bigint, t string, embedding array<double>").withColumn("published_at", F.col("t").cast("timestamp"))
     assert {(r.a, r.b) for r in C.event_edges(rows).collect()} == {(1, 2), (2, 3)}
