@@ -65,8 +65,8 @@ def uniform(seed: int = SEED) -> Column:
 
 
 def bits(size: Column) -> Column:
-    """Binary digits of a number of words."""
-    return F.length(F.bin(size))
+    """Binary digits of a number of words; 0 for none."""
+    return F.when(size > 0, F.length(F.bin(size))).otherwise(F.lit(0))
 
 
 def plan_of(sizes: DataFrame, targets: DataFrame, max_copies: float = MAX_COPIES) -> DataFrame:
@@ -133,13 +133,15 @@ def _joined(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
     return left.join(right, F.col("source").eqNullSafe(F.col("_right")), "inner" if how == "right_bits" else how).drop("_right")
 
 
-def copies(rows: DataFrame, cut: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
-    """rows of (source, id, size, ...) with source_size, target and copies, the number of times the mix takes the row whole."""
-    met = ranked(rows.where("size > 0"), checked(cut), seed)
+def copies(rows: DataFrame, cut: DataFrame, targets: DataFrame | None, seed: int = SEED) -> DataFrame:
+    """rows of (source, id, size, ...) with source_size, target and copies, the number of times the mix takes the row whole; rows without words only with the targets."""
+    met = ranked(rows, checked(cut), seed)  # no plan is for rows without words
     within = (F.col("sub") < F.col("edge_sub")) | ((F.col("sub") == F.col("edge_sub")) & F.coalesce(row_key() <= F.col("last"), F.lit(False)))
     one_more = (F.col("p") > 0) & ((F.col("bin") < F.col("edge_bin")) | ((F.col("bin") == F.col("edge_bin")) & within))
     number = F.col("whole") + F.coalesce(one_more, F.lit(False)).cast("bigint")
     met = met.withColumn("copies", number.cast("bigint")).drop("whole", "rest", "p", "q", "bin", "sub", "edge_bin", "edge_sub", "last")
+    if targets is None:
+        return met
     none = _joined(rows.where("size <= 0"), checked(targets)).withColumn("copies", F.lit(0).cast("bigint"))
     return met.unionByName(none)
 
@@ -165,7 +167,7 @@ def taken(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: docs' columns, each row as many times as the mix takes it. The text moves nowhere: a row's source and size decide."""
-    _, cut, targets = plan_mix(docs, id_col, text_col, source_col, **options)
+    _, cut, _ = plan_mix(docs, id_col, text_col, source_col, **options)
     held = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    out = copies(held, cut, targets, options.get("seed", SEED)).where("copies > 0")
+    out = copies(held, cut, None, options.get("seed", SEED)).where("copies > 0")
     return out.select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
