@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import byte_bpe, exact_dedup, language, mixing, near_dedup, neighbours, quality, repeats, sampling, toxicity, web_text
+from tidewire.llm import byte_bpe, exact_dedup, importance, language, mixing, near_dedup, neighbours, quality, repeats, sampling, toxicity, web_text
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,3 +134,39 @@ def op7_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op2_learned_partitions": op2_learned_partitions, "op7_template_text": op7_template_text}
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resampled(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES["op13_importance_resampling"] = op13_importance_resampling
+
+ORACLE_SQL["op13_importance_resampling"] = """
+        WITH lowered AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+        asked AS (
+          SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM benchmark),
+        numbered AS (SELECT doc_id, words, row_number() OVER () AS r FROM lowered),
+        occurring AS (SELECT r, unnest(words) AS word FROM numbered),
+        shifts AS (
+          SELECT list(list_reduce(list_concat([v], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY v) AS crc FROM range(256) t(v)),
+        bucketed AS (
+          SELECT word, xor(list_reduce(list_concat([4294967295], list_transform(range(0, octet_length(encode(word))), lambda k: ('0x' || substr(hex(encode(word)), 2 * k + 1, 2))::BIGINT)),
+            lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+          FROM (SELECT word FROM occurring UNION SELECT word FROM asked), shifts),
+        s AS (SELECT bucket, count(*) AS s FROM occurring JOIN bucketed USING (word) GROUP BY 1),
+        t AS (SELECT bucket, count(*) AS t FROM asked JOIN bucketed USING (word) GROUP BY 1),
+        gains AS (
+          SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM occurring) + 10000)::DOUBLE
+            / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM asked) + 10000)::DOUBLE))) AS BIGINT) AS gain
+          FROM s FULL JOIN t USING (bucket)),
+        weighed AS (SELECT r, CAST(sum(gain) AS BIGINT) AS weight FROM occurring JOIN bucketed USING (word) JOIN gains USING (bucket) GROUP BY 1),
+        scored AS (
+          SELECT doc_id, len(words) AS n_features, coalesce(weight, 0) AS weight,
+            coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+          FROM numbered LEFT JOIN weighed USING (r)),
+        placed AS (
+          SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored)
+        SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM placed"""
