@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import byte_bpe, exact_dedup, importance, language, mixing, near_dedup, neighbours, quality, repeats, sampling, toxicity, web_text
+from tidewire.llm import alignment, byte_bpe, exact_dedup, importance, language, mixing, near_dedup, neighbours, quality, repeats, sampling, toxicity, web_text
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,3 +170,13 @@ ORACLE_SQL["op13_importance_resampling"] = """
         placed AS (
           SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored)
         SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM placed"""
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.digests(_documents(spark, sf_dir), a, b, tokenizer_pattern())
+
+
+QUERIES["op12_token_alignment"] = op12_token_alignment
