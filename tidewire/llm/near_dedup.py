@@ -53,7 +53,8 @@ FEW = 24
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_PLACE = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 | 1 for k in range(1, 17)], np.uint64)
+#: Powers, so that words that change places change the sum.
+_PLACE = np.array([pow(buffers.BASE, k, 1 << 64) for k in range(1, 17)], np.uint64)
 _HASH = np.uint64((1 << 48) - 1)
 
 
