@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import alignment, byte_bpe, exact_dedup, importance, language, mixing, near_dedup, neighbours, quality, repeats, sampling, toxicity, web_text
+from tidewire.llm import alignment, byte_bpe, exact_dedup, importance, language, mixing, near_dedup, neighbours, quality, repeats, sampling, set_join, toxicity, web_text
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,6 +172,13 @@ ORACLE_SQL["op13_importance_resampling"] = """
         SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM placed"""
 
 
+def op11_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.joined(_documents(spark, sf_dir))
+
+
+QUERIES["op11_set_join"] = op11_set_join
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
