@@ -13,6 +13,7 @@ from tidewire.operators import analytics as A
 from tidewire.operators import clustering as C
 from tidewire.operators import dedup as D
 from tidewire.operators import graph as G
+from tidewire.operators import rounds
 from tidewire.operators import scoring as S
 from tidewire.operators import selection as T
 from tidewire.operators import similarity as Y
@@ -38,15 +39,32 @@ def test_token_set_ratio():
     assert Y.token_set_ratio("", "a") == 0.0
 
 
-@pytest.mark.parametrize("rule", [D.keep_fuzzy, D.keep_anchored])
-def test_rules_per_component_equal_the_whole(spark, rule):
-    rnd = random.Random(3)
-    n = 60
-    weights = [rnd.choice([0.2, 0.5, 0.9]) for _ in range(n)]
-    similar = {(i, j) for i in range(n) for j in range(i + 1, n) if rnd.random() < 0.02}
+@pytest.mark.parametrize("seed", range(4))
+def test_displacing_in_rounds_equals_the_rule(spark, seed):
+    rnd = random.Random(seed)
+    n = 70
+    weights = [rnd.choice([0.2, 0.5, 0.9] if seed % 2 else [0.5]) for _ in range(n)]
+    similar = {(i, j) for i in range(n) for j in range(i + 1, n) if rnd.random() < (0.03 if seed < 2 else 0.3)}
     rows = spark.createDataFrame([(i, w) for i, w in enumerate(weights)], "id bigint, weight double")
     edges = spark.createDataFrame(sorted(similar), "a bigint, b bigint")
-    assert {r.id for r in D.by_component(rows, edges, rule).collect()} == set(rule(list(range(n)), weights, similar))
+    for finish in (0, 1000):
+        assert sorted(r.id for r in D.survivors(rows, edges, finish).collect()) == sorted(D.keep_fuzzy(list(range(n)), weights, similar))
+
+
+@pytest.mark.parametrize("finish", [0, 25, 10_000])
+def test_first_come_over_keys_equals_the_rule(spark, finish):
+    rnd = random.Random(finish)
+    speaks = sorted({(rnd.randrange(40), i) for i in range(120) for _ in range(rnd.choice([0, 1, 1, 2]))})
+    listens = sorted({(rnd.randrange(40), i) for i in range(120) for _ in range(rnd.choice([0, 1, 2, 3]))})
+    taken, want = set(), set()
+    for i in range(120):
+        if taken & {k for k, who in listens if who == i}:
+            want.add(i)
+        else:
+            taken |= {k for k, who in speaks if who == i}
+    kind = "key bigint, id bigint"
+    got = [r.id for r in rounds.first_come(spark.createDataFrame(speaks, kind), spark.createDataFrame(listens, kind), finish).collect()]
+    assert sorted(got) == sorted(want)
 
 
 def test_fuzzy_dedup_needs_one_source(spark):
@@ -188,17 +206,18 @@ def test_compaction_equals_the_rule_on_all_rows(spark):
     rows = []
     for i in range(60):
         v = base[i % 6] + 0.25 * rnd.normal(size=8)
-        v /= np.linalg.norm(v)
-        rows.append((i, f"s{i % 2}", f"Storm hits coast {i % 6} {'again' if i % 4 else 'and harbour today'}", [float(x) for x in v], int(rnd.integers(0, 30))))
-    docs = spark.createDataFrame(rows, "id bigint, source_name string, title string, embedding array<double>, at bigint").withColumn("published_at", F.timestamp_seconds("at"))
-    got = {r.id: r.representative for r in D.compacted_updates(docs, 0.9, 85.0).collect()}
+        rows.append((i, f"s{i % 2}", f"Storm hits coast {i % 6} {'again' if i % 4 else 'and harbour today'}", [float(x) for x in v], int(rnd.integers(0, 30)), i % 10 != 3))
+    docs = spark.createDataFrame(rows, "id bigint, source_name string, title string, embedding array<double>, at bigint, real boolean").withColumn("published_at", F.timestamp_seconds("at"))
+    cosine = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
     kept, want = [], {}
     for r in sorted(rows, key=lambda r: (-r[4], r[0])):
-        met = next((k for k in kept if k[1] == r[1] and np.dot(k[3], r[3]) >= 0.9 and Y.token_set_ratio(k[2], r[2]) >= 85.0), None)
+        met = r[5] and next((k for k in kept if k[1] == r[1] and cosine(k[3], r[3]) >= 0.9 and Y.token_set_ratio(k[2], r[2]) >= 85.0), None)
         want[r[0]] = met[0] if met else r[0]
         if met is None:
             kept.append(r)
-    assert got == want and any(k != v for k, v in want.items())
+    for finish in (0, 1000):
+        assert {r.id: r.representative for r in D.compacted_updates(docs, 0.9, 85.0, finish).collect()} == want
+    assert any(k != v for k, v in want.items())
 
 
 def test_families_keep_their_history(spark):
@@ -286,7 +305,7 @@ def test_semantic_dedup_query_has_no_time_band(spark):
     from tidewire.sources import views as V
 
     sf = "/root/testdata/sf0.1"
-    rows = Q._vector_articles(spark, sf).select("id", "source_name", "embedding").orderBy("id").collect()
+    rows = Q._vector_articles(spark, sf).where("id < 3000").select("id", "source_name", "embedding").orderBy("id").collect()
     weight = {r["name"]: r["weight"] for r in V.doc_sources(spark, sf).collect()}
     v = np.array([r.embedding for r in rows])
     cosine = v @ v.T
@@ -295,8 +314,10 @@ def test_semantic_dedup_query_has_no_time_band(spark):
     pairs = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(similar, 1)))}
     assert any(j - i > 411 for i, j in pairs)
     want = {rows[k].id for k in D.keep_anchored(list(range(len(rows))), [weight.get(s, 0.5) for s in source], pairs)}
-    got = [r.id for r in Q.QUERIES["d08_semantic_dedup"](spark, sf).collect()]
-    assert len(got) == len(want) and set(got) == want
+    some = spark.createDataFrame([tuple(r) for r in rows], "id bigint, source_name string, embedding array<float>")
+    for finish in (0, 200_000):
+        got = [r.id for r in D.semantic_dedup(some, V.doc_sources(spark, sf), 0.35, 0.40, finish).collect()]
+        assert len(got) == len(want) and set(got) == want
 
 
 def test_semantic_dedup_of_equal_vectors(spark):
@@ -306,8 +327,9 @@ def test_semantic_dedup_of_equal_vectors(spark):
     weight = {"a": 0.2, "b": 0.9}
     similar = {(i, j) for i, s, x in rows for j, t, y in rows if i < j and x[0] * y[0] + x[1] * y[1] >= (0.58 if s == t and s is not None else 0.95)}
     want = {rows[k][0] for k in D.keep_anchored(list(range(40)), [weight.get(s, 0.5) for _, s, _ in rows], similar)}
-    got = D.semantic_dedup(spark.createDataFrame(rows, "id bigint, source_name string, embedding array<double>"), spark.createDataFrame(list(weight.items()), "name string, weight double"), 0.58, 0.95)
-    assert {r.id for r in got.collect()} == want
+    for finish in (0, 1000):
+        got = D.semantic_dedup(spark.createDataFrame(rows, "id bigint, source_name string, embedding array<double>"), spark.createDataFrame(list(weight.items()), "name string, weight double"), 0.58, 0.95, finish)
+        assert sorted(r.id for r in got.collect()) == sorted(want)
 
 
 def displayed(rows, least):

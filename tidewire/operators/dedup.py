@@ -1,15 +1,13 @@
-"""Order-dependent dedup rules: edges in parallel, then the sequential rule inside each connected component."""
+"""Order-dependent dedup rules: edges in parallel, then the sequential rule in parallel rounds."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.operators.graph import connected_components
-from tidewire.operators.similarity import dot, ratio_possible, ratio_udf, token_set_udf, vector_pairs
-from tidewire.runtime import materialise
+from tidewire.operators.rounds import FINISH_ROWS, displacing, first_come, numbered
+from tidewire.operators.similarity import bucketed_pairs, cosine, dot, ratio_possible, ratio_udf, token_set_udf, unit, vector_pairs
+from tidewire.runtime import checked, materialise
 
 
 def keep_fuzzy(positions: list[int], weights: list[float], similar: set[tuple[int, int]]) -> list[int]:
@@ -42,23 +40,18 @@ def keep_anchored(positions: list[int], weights: list[float], similar: set[tuple
     return kept
 
 
-def by_component(rows: DataFrame, edges: DataFrame, rule) -> DataFrame:
-    """Survivors of (id, weight) under edges (a, b) with a < b: isolated rows as they are, others by `rule` per component."""
-    touched = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    alone = rows.join(touched, "id", "left_anti").select("id")
-    component = connected_components(touched, edges)
-    members = rows.join(component, "id").select("component", "id", "weight", F.lit(None).cast("bigint").alias("b"))
-    links = edges.join(component.withColumnRenamed("id", "a"), "a").select("component", F.col("a").alias("id"), F.lit(None).cast("double").alias("weight"), "b")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["b"].isna()].sort_values("id")
-        ids = own["id"].tolist()
-        place = {v: k for k, v in enumerate(ids)}
-        pairs = pdf[pdf["b"].notna()]
-        similar = {(place[a], place[int(b)]) for a, b in zip(pairs["id"], pairs["b"], strict=True)}
-        return pd.DataFrame({"id": [ids[k] for k in rule(ids, own["weight"].tolist(), similar)]})
+def survivors(rows: DataFrame, edges: DataFrame, finish_rows: int = FINISH_ROWS) -> DataFrame:
+    """D07's survivors (id) of (id, weight) under edges (a, b) with a < b: isolated rows as they are, others by the rule in rounds.
 
-    return alone.union(members.unionByName(links).groupBy("component").applyInPandas(run, "id bigint"))
+    Where no later row is heavier than an earlier similar one (titles of one source), the first kept one decides alone.
+    """
+    weight = lambda x: rows.select(F.col("id").alias(x), F.col("weight").alias(f"w{x}"))
+    met = materialise(edges.join(weight("a"), "a").join(weight("b"), "b"))
+    if met.where("wb > wa").isEmpty():
+        gone = first_come(met.select(F.col("a").alias("key"), F.col("a").alias("id")).distinct(), met.select(F.col("a").alias("key"), F.col("b").alias("id")).distinct(), finish_rows)
+    else:
+        gone = displacing(met).where("NOT kept").select("id")
+    return rows.join(checked(materialise(gone)), "id", "left_anti").select("id")
 
 
 def fuzzy_edges(articles: DataFrame, least: float = 85.0) -> DataFrame:
@@ -72,42 +65,16 @@ def fuzzy_edges(articles: DataFrame, least: float = 85.0) -> DataFrame:
 def fuzzy_dedup(articles: DataFrame, weights: DataFrame, least: float = 85.0) -> DataFrame:
     """D07 over (id, title, source_name) with source weights (name, weight; 0.5 where unknown)."""
     rows = articles.join(weights.select(F.col("name").alias("source_name"), "weight"), "source_name", "left").select("id", F.coalesce("weight", F.lit(0.5)).alias("weight"))
-    return by_component(rows, fuzzy_edges(articles, least), keep_fuzzy)
-
-
-def anchored(weights: np.ndarray, sources: np.ndarray, classes: np.ndarray, links: tuple[np.ndarray, np.ndarray, np.ndarray], same: float, cross: float) -> list[int]:
-    """`keep_anchored` where rows of one class have one vector: links (class, class, cosine) hold both directions and each class itself."""
-    a, b, cosine = (x[order] for order in [np.argsort(links[0], kind="stable")] for x in links)
-    at = np.searchsorted(a, np.arange(len(weights) + 1))
-    order = np.argsort(classes, kind="stable")
-    first = np.searchsorted(classes[order], np.arange(len(weights) + 1))
-    live = {int(c): order[first[c] : first[c + 1]] for c in np.unique(classes)}
-    dropped = np.zeros(len(weights), bool)
-    kept = []
-    for i in range(len(weights)):
-        if dropped[i]:
-            continue
-        keeper = i
-        for c, sim in zip(b[at[classes[i]] : at[classes[i] + 1]].tolist(), cosine[at[classes[i]] : at[classes[i] + 1]].tolist(), strict=True):
-            own = live[c]
-            if sim < min(same, cross) or not len(own):
-                continue
-            alike = (sources[own] == sources[i]) & (sources[i] >= 0)
-            hit = own[(own > i) & (sim >= np.where(alike, same, cross))]
-            if len(hit):
-                dropped[hit] = True
-                live[c] = own[(own > i) & ~dropped[own]]
-                heavier = hit[weights[hit] > weights[i]]
-                if len(heavier):
-                    keeper = max(keeper, int(heavier[-1]))
-        kept.append(keeper)
-    return kept
+    return survivors(rows, fuzzy_edges(articles, least))
 
 
-def semantic_dedup(articles: DataFrame, weights: DataFrame, same: float = 0.82, cross: float = 0.98) -> DataFrame:
+def semantic_dedup(articles: DataFrame, weights: DataFrame, same: float = 0.82, cross: float = 0.98, finish_rows: int = FINISH_ROWS) -> DataFrame:
     """J13/D08 over (id, source_name, embedding): all articles against all; the bar depends on whether the sources agree.
 
-    Rows of equal vectors are one class: similarities are sought between classes, and the rule is replayed on their rows.
+    Anchors are what a first-come rule keeps. Rows of equal vectors are one class, and those of one class and source (a
+    cell) are alike to all others, so only a cell's first row can be an anchor. Cells speak for their class, and for their
+    class in their source; they listen to the classes that are close to theirs. Each anchor then gives way to the last
+    heavier row that it drops. Rows without vector stay.
     """
     rows = articles.join(weights.select(F.col("name").alias("source_name"), "weight"), "source_name", "left").select("id", "source_name", F.coalesce("weight", F.lit(0.5)).alias("weight"), "embedding")
     rows = materialise(rows)
@@ -115,24 +82,32 @@ def semantic_dedup(articles: DataFrame, weights: DataFrame, same: float = 0.82,
     least = min(same, cross)
     itself = classes.select(F.col("class").alias("a"), F.col("class").alias("b"), dot(F.col("embedding"), F.col("embedding")).alias("cosine")).where(F.col("cosine") >= least)
     pairs = materialise(vector_pairs(classes, "class", "embedding", least))
-    component = connected_components(classes.select(F.col("class").alias("id")), pairs.select("a", "b")).withColumnRenamed("id", "class")
-    component = materialise(component)
-    named = rows.join(classes, "embedding", "left").select("id", "source_name", "weight", "class")
-    members = named.join(component, "class").select("component", "class", "id", "weight", "source_name", F.lit(None).cast("bigint").alias("b"), F.lit(None).cast("double").alias("cosine"))
-    found = pairs.union(itself).join(component.withColumnRenamed("class", "a"), "a")
-    links = found.select("component", F.col("a").alias("class"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("double").alias("weight"), F.lit(None).cast("string").alias("source_name"), "b", "cosine")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, met = pdf[pdf["b"].isna()].sort_values("id"), pdf[pdf["b"].notna()]
-        names = np.unique(own["class"].to_numpy(np.int64))
-        place = lambda x: np.searchsorted(names, x.to_numpy(np.int64))
-        a, b, cosine = place(met["class"]), place(met["b"]), met["cosine"].to_numpy()
-        other = a != b
-        both = np.concatenate([a, b[other]]), np.concatenate([b, a[other]]), np.concatenate([cosine, cosine[other]])
-        kept = anchored(own["weight"].to_numpy(), pd.factorize(own["source_name"])[0], place(own["class"]), both, same, cross)
-        return pd.DataFrame({"id": own["id"].to_numpy(np.int64)[kept]})
-
-    return named.where("class IS NULL").select("id").union(members.unionByName(links).groupBy("component").applyInPandas(run, "id bigint"))
+    near = materialise(pairs.select("a", "b", "cosine").union(pairs.select("b", "a", "cosine")).union(itself))
+    own = itself.select(F.col("a").alias("class"), F.col("cosine").alias("own"))
+    named = rows.join(classes, "embedding").join(own, "class", "left").select("class", "id", "source_name", "weight", F.coalesce("own", F.lit(-2.0)).alias("own"))
+    #: Rows whose own product is under a bar (no unit vectors) are cells of their own where the bar would part them.
+    together = F.col("own") >= F.when(F.col("source_name").isNull(), cross).otherwise(least if same <= cross else max(same, cross))
+    lone = F.when(~together, F.col("id"))
+    named = materialise(named.select("class", "id", "source_name", "weight", lone.alias("lone")))
+    cells = materialise(named.groupBy("class", "source_name", "lone").agg(F.min("id").alias("cell")))
+    any_key, own_key = F.xxhash64(F.lit(0), "class"), F.xxhash64(F.lit(1), "class", "source_name")
+    of_source = cells.where("source_name IS NOT NULL")
+    speaks = cells.select(any_key.alias("key"), F.col("cell").alias("id")).union(of_source.select(own_key.alias("key"), F.col("cell").alias("id")))
+    heard = cells.withColumnRenamed("class", "b").join(near.withColumnRenamed("a", "class"), "b")
+    across = heard.where(F.col("cosine") >= cross).select(any_key.alias("key"), F.col("cell").alias("id"))
+    inside = heard.where((F.col("cosine") >= same) & F.col("source_name").isNotNull()).select(own_key.alias("key"), F.col("cell").alias("id"))
+    speaks, listens = materialise(speaks.distinct()), materialise(across.union(inside).distinct())
+    gone = materialise(first_come(speaks, listens, finish_rows))
+    anchors = materialise(cells.select(F.col("cell").alias("id")).join(checked(gone), "id", "left_anti"))
+    loud = speaks.join(checked(anchors), "id", "left_semi").groupBy("key").agg(F.min("id").alias("anchor"))
+    #: A dropped cell goes to the least anchor that it hears, an anchor's cell to itself.
+    taken = listens.join(checked(gone), "id", "left_semi").join(loud, "key").groupBy("id").agg(F.min("anchor").alias("anchor"))
+    taken = materialise(taken.union(anchors.select("id", F.col("id").alias("anchor"))))
+    owner = cells.join(taken.withColumnRenamed("id", "cell"), "cell").select(F.col("class").alias("_c"), F.col("source_name").alias("_s"), F.col("lone").alias("_l"), "anchor")
+    met = named.join(owner, (F.col("class") == F.col("_c")) & F.col("source_name").eqNullSafe(F.col("_s")) & F.col("lone").eqNullSafe(F.col("_l"))).select("id", "weight", "anchor")
+    of_anchor = rows.select(F.col("id").alias("anchor"), F.col("weight").alias("least"))
+    heavier = met.join(of_anchor, "anchor").groupBy("anchor").agg(F.max(F.when(F.col("weight") > F.col("least"), F.col("id"))).alias("heavier"))
+    return rows.where("embedding IS NULL").select("id").union(heavier.select(F.coalesce("heavier", "anchor").alias("id")))
 
 
 def keep_newest(alike: set[tuple[int, int]], n: int) -> list[int]:
@@ -147,26 +122,27 @@ def keep_newest(alike: set[tuple[int, int]], n: int) -> list[int]:
     return out
 
 
-def compacted_updates(articles: DataFrame, cosine_least: float = 0.92, title_least: float = 90.0) -> DataFrame:
-    """Of (id, source_name, title, embedding, published_at): each row's representative: the newest kept row of its source with close vector and title.
+def compacted_updates(articles: DataFrame, cosine_least: float = 0.92, title_least: float = 90.0, finish_rows: int = FINISH_ROWS) -> DataFrame:
+    """Of (id, source_name, title, embedding, published_at, real): each row's representative: the newest kept row of its source with close vector and title.
 
-    Close vectors come from exact blocks, titles are compared for these pairs only, and the rule is replayed per component.
+    Close vectors come from exact blocks of each source, titles are compared for these pairs only, and the first-come rule
+    runs in rounds over places in the order of time. Rows that are no real articles (`real` false; placeholders) represent
+    themselves alone, as do rows without vector.
     """
-    rows = materialise(articles.select("id", "source_name", "title", "published_at", "embedding"))
-    close = vector_pairs(rows.where("embedding IS NOT NULL"), "id", "embedding", cosine_least)
-    side = lambda x: rows.select(F.col("id").alias(x), F.col("source_name").alias(f"s{x}"), F.col("title").alias(f"t{x}"))
-    met = close.join(side("a"), "a").join(side("b"), "b").where("sa = sb").where(token_set_udf("ta", "tb") >= title_least)
-    edges = materialise(met.select("a", "b"))
-    component = connected_components(rows.select("id"), edges)
-    members = rows.join(component, "id").select("component", "id", F.unix_micros("published_at").alias("at"), F.lit(None).cast("bigint").alias("b"))
-    links = edges.join(component.withColumnRenamed("id", "a"), "a").select("component", F.col("a").alias("id"), F.lit(None).cast("bigint").alias("at"), "b")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, pairs = pdf[pdf["b"].isna()], pdf[pdf["b"].notna()]
-        own = own.sort_values(["at", "id"], ascending=[False, True], kind="stable")
-        ids = own["id"].to_numpy("int64")
-        place = {v: k for k, v in enumerate(ids.tolist())}
-        alike = {tuple(sorted((place[a], place[int(b)]))) for a, b in zip(pairs["id"], pairs["b"], strict=True)}
-        return pd.DataFrame({"id": ids, "representative": ids[keep_newest(alike, len(ids))]})
-
-    return members.unionByName(links).groupBy("component").applyInPandas(run, "id bigint, representative bigint")
+    columns = ["id", "source_name", "title", "published_at", "embedding"]
+    real = F.coalesce(F.col("real"), F.lit(True)) if "real" in articles.columns else F.lit(True)
+    rows = materialise(articles.select(*columns, real.alias("real"), unit(F.col("embedding")).alias("unit")))
+    close = bucketed_pairs(rows.where("real AND unit IS NOT NULL"), "id", "unit", F.xxhash64("source_name"), cosine_least - 1e-9)
+    side = lambda x: rows.select(F.col("id").alias(x), F.col("source_name").alias(f"s{x}"), F.col("title").alias(f"t{x}"), F.col("embedding").alias(f"e{x}"))
+    met = close.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(F.col("sa").eqNullSafe(F.col("sb")) & (cosine(F.col("ea"), F.col("eb")) >= cosine_least))
+    edges = materialise(met.where(token_set_udf("ta", "tb") >= title_least).select("a", "b"))
+    touched = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    placed = numbered(rows.join(checked(materialise(touched)), "id", "left_semi").select("id", F.unix_micros("published_at").alias("at")), F.desc_nulls_last("at"), F.asc("id"))
+    place = lambda x: placed.select(F.col("id").alias(x), F.col("place").alias(f"p{x}"))
+    ordered = edges.join(place("a"), "a").join(place("b"), "b").select(F.least("pa", "pb").alias("key"), F.greatest("pa", "pb").alias("id"))
+    ordered = materialise(ordered)
+    gone = materialise(first_come(ordered.select("key", F.col("key").alias("id")).distinct(), ordered, finish_rows))
+    kept = placed.select(F.col("place").alias("key"), F.col("id").alias("representative")).join(gone.withColumnRenamed("id", "key"), "key", "left_anti")
+    first = ordered.join(gone, "id", "left_semi").join(kept, "key").groupBy("id").agg(F.min(F.struct("key", "representative")).alias("f"))
+    folded = placed.join(first.withColumnRenamed("id", "place"), "place").select("id", "f.representative")
+    return rows.select("id").join(folded, "id", "left").select("id", F.coalesce("representative", "id").alias("representative"))

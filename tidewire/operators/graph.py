@@ -29,23 +29,29 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def split_coherently(vectors: np.ndarray, least: float) -> list[list[int]]:
-    """The medoid, then greedily the member that keeps the mean pairwise cosine highest while at least `least`; the rest again. Quadratic in all."""
-    rest, out = np.arange(len(vectors)), []
+    """The medoid, then greedily the member that keeps the mean pairwise cosine highest while at least `least`; the rest again.
+
+    A member's sum of cosines with a group is its product with the sum of the group's vectors, so no matrix of pairs is
+    held: memory is linear in the members.
+    """
+    size = np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = np.divide(vectors, size, out=np.zeros_like(vectors, dtype=float), where=size > 0)
+    rest, out = np.arange(len(unit)), []
     while len(rest):
-        sims = vectors[rest] @ vectors[rest].T
-        group = [int(np.argmax(sims.sum(1)))]
+        own = unit[rest]
+        group = [int(np.argmax(own @ own.sum(0) - (own * own).sum(1)))]
         inside = np.zeros(len(rest), bool)
         inside[group] = True
-        gain, total = sims[:, group[0]].copy(), 0.0
+        gain, total = own @ own[group[0]], 0.0
         while len(group) < len(rest):
             best = int(np.argmax(np.where(inside, -np.inf, gain)))
-            size = len(group) + 1
-            if (total + gain[best]) / (size * (size - 1) / 2) < least:
+            count = len(group) + 1
+            if (total + gain[best]) / (count * (count - 1) / 2) < least:
                 break
             total += gain[best]
             group.append(best)
             inside[best] = True
-            gain += sims[:, best]
+            gain += own @ own[best]
         out.append(rest[group].tolist())
         rest = rest[~inside]
     return out

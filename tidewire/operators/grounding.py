@@ -22,6 +22,12 @@ PLACEHOLDER = "(?i)有关数字|\\bcertain\\s+number\\b"
 LEADING = f"(?i)^{_FRAGMENT}"
 ORPHAN = f"(?i)^{_FRAGMENT}\\s*$"
 REMNANT = "(?i)(?:超|超过|约|近|达|至少|至多|致|导致|造成)\\s*(?:例|病例|人|名|死亡|受伤|%|％|[，,。.!！？?])|\\b(?:kills?|killed|dead|deaths?|injured?)\\s*[,.;:]"
+#: A claim: a number with sign, a range, scale and unit; and what stands near a single digit that is one.
+CLAIM = f"((?:[$€£¥￥]\\s*)?{_NUMBER}(?:\\s*[-–—:比]\\s*{_NUMBER})?(?:\\s*(?:千|천|万|만|亿|억|兆|조)(?:\\s*{_NUMBER})?)?(?:\\s*(?:%|％|万亿美元|亿美元|亿元|万元|美元|欧元|人民币|票|项|例|病例|人|名|家|国|枚|架|艘|倍|岁|年|月|日|건|명))?)"
+CONTEXT = "(?iU)[$€£¥￥%％]|万亿美元|亿美元|亿元|万元|美元|欧元|人民币|票|项|例|病例|人|名|家|国|枚|架|艘|倍|岁|年|月|日|건|명|死亡|死者|遇难|伤亡|受伤|伤者|确诊|病例|\\b(?:dead|death(?:s)?|died|kill(?:ed|s)?|casualt(?:y|ies)|injur(?:ed|y|ies)|people|persons|cases|patients|votes?|years?|months?|days?|percent|points?|items?|ships?|aircraft)\\b"
+CORRUPTED = "(?i)有关数字|certain number"
+BARE = "(?i)^\\s*[0-9,]+(?:\\.[0-9]+)?\\s*(?:[%％]|万人|万|人|死者|dead|injured)?\\s*[。.!?]?$"
+BEFORE, BEHIND = 12, 24
 BLOCKED = ("needs_review", "seek_more_evidence", "suppress")
 
 
@@ -63,11 +69,36 @@ def grounded(claim: Column, evidence: Column, evidence_money: Column | None = No
     return same | near | bare
 
 
+def matches(text: Column, pattern: str) -> Column:
+    """(start, value) of each match of a pattern whose matches begin with the first digit or sign that is left: start from 1, value as it stands.
+
+    The pattern is one group. A match is where its text next occurs behind the one before, as an earlier occurrence would
+    have been matched itself.
+    """
+    found = F.regexp_extract_all(text, F.lit(pattern), 1)
+    start = F.struct(F.lit(1).alias("from"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
+
+    def placed(seen: Column, value: Column) -> Column:
+        at = F.call_function("locate", value, text, seen["from"])
+        return F.struct((at + F.length(value)).cast("int").alias("from"), F.array_append(seen["out"], F.struct(at.cast("int").alias("start"), value.alias("value"))).alias("out"))
+
+    return F.aggregate(found, start, placed)["out"]
+
+
 def claims(text: Column) -> Column:
-    """Numeric claims: numbers with sign, scale and unit, each once, of two digits or with a unit."""
-    pattern = f"((?:[$€£¥￥]\\s*)?{_NUMBER}(?:\\s*(?:千|천|万|만|亿|억|兆|조)(?:{_NUMBER})?)?(?:\\s*(?:{_UNITS}))?)"
-    found = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 1), lambda c: F.trim(c)))
-    return F.filter(found, lambda c: (F.length(F.regexp_replace(c, "[^0-9]", "")) >= 2) | c.rlike(f"[$€£¥￥]|{_UNITS}"))
+    """Numeric claims, each once: numbers of two digits, ranges, and single digits with a unit or with a word of counting near them.
+
+    Near is what stands up to 12 characters before and 24 behind.
+    """
+    text = F.coalesce(text, F.lit(""))
+
+    def counts(m: Column) -> Column:
+        first = F.greatest(m["start"] - BEFORE, F.lit(1))
+        window = F.substring(text, first, m["start"] - first + F.length(m["value"]) + BEHIND)
+        several = F.length(F.regexp_replace(m["value"], "[^0-9]", "")) >= 2
+        return several | m["value"].rlike("[-–—:比]") | window.rlike(CONTEXT)
+
+    return F.array_distinct(F.transform(F.filter(matches(text, CLAIM), counts), lambda m: F.trim(m["value"])))
 
 
 def unsupported(text: Column, evidence: Column) -> Column:
@@ -116,8 +147,7 @@ def publication_issues(articles: Column, status: Column, flags: Column, summary:
 def publication_rejection(issues: Column, flags: Column, status: Column, summary: Column, summary_en: Column) -> Column:
     """why a summary is not published: its issues, else a blocked status, else visibly corrupted text; null publishes."""
     free = ~F.array_contains(flags, "human_approved")
-    bare = f"(?i)^\\s*[0-9,]+(?:\\.[0-9]+)?\\s*(?:[%％]|万人|万|人|死者|dead|injured)?\\s*[。.!?]?$"
-    corrupted = lambda t: F.coalesce(t, F.lit("")).rlike("(?i)有关数字|certain number") | (F.coalesce(t, F.lit("")).rlike(bare))
+    corrupted = lambda t: F.coalesce(t, F.lit("")).rlike(CORRUPTED) | F.coalesce(t, F.lit("")).rlike(BARE)
     return (
         F.when(F.size(issues) > 0, F.array_join(issues, ";")).when(free & status.isin(*BLOCKED), F.concat(F.lit("quality_status="), status))
         .when(free & F.array_contains(flags, "unsupported_numeric_claim"), "unsupported_numeric_claim").when(corrupted(summary) | corrupted(summary_en), "malformed_summary")

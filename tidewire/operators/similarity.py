@@ -29,6 +29,12 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def unit(a: Column) -> Column:
+    """The vector at length 1; null for null and zero vectors."""
+    n = norm(a)
+    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """True cosine; 0 for lengths that differ and for zero vectors."""
     return F.when((F.size(a) == F.size(b)) & (norm(a) > 0) & (norm(b) > 0), dot(a, b) / (norm(a) * norm(b))).otherwise(F.lit(0.0))
@@ -86,6 +92,124 @@ def _blocks(dealt: DataFrame) -> DataFrame:
     return materialise(rows.groupBy("g", "i", "d").applyInPandas(packed, "g bigint, i bigint, d int, k binary, t binary, v binary"))
 
 
+def best_matches(queries: DataFrame, base: DataFrame, least: float, shared_least: float | None = None, bonus: tuple[float, int] = (0.0, 1), block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(k, h, cosine, score): each query's best row of its bucket by cosine and recency; ties to the first row.
+
+    Both sides have g (bucket), k (bigint, one row each), v (unit vector), t (day number, may be null) and c (names). Rows
+    whose names are not empty need a common one, and then `shared_least` instead of `least`. bonus is (most, days): what a
+    row of the query's day or later gains, falling to nothing in so many days. Blocks of queries meet blocks of the base;
+    a task keeps the best row of each query, and only these are put out and compared again: never the pairs.
+    """
+    most, days = bonus
+    bar = least if shared_least is None else shared_least
+
+    def held(side: DataFrame) -> DataFrame:
+        rows = side.where("v IS NOT NULL AND g IS NOT NULL").select(F.col("g").cast("bigint").alias("g"), F.col("k").cast("bigint").alias("k"), F.col("v").cast("array<double>").alias("v"), F.col("t").cast("bigint").alias("t"), F.coalesce("c", F.array().cast("array<string>")).alias("c"))
+        return materialise(rows)
+
+    asking, known = held(queries), held(base)
+    #: Small buckets share blocks of about block_rows rows, large ones are dealt into several.
+    heaps = max(1, -(-max(asking.count(), known.count()) // block_rows))
+    met = _named_blocks(asking, "i", heaps, block_rows).join(_named_blocks(known, "j", heaps, block_rows), ["heap", "d"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[float, int, float]] = {}
+        block = None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if block != (r["heap"], r["i"]):
+                    if best:
+                        yield _best_rows(best)
+                    block, best = (r["heap"], r["i"]), {}
+                _keep_best(best, r, least, bar, most, days)
+        if best:
+            yield _best_rows(best)
+
+    dealt = met.repartition("heap", "i", "j").sortWithinPartitions("heap", "i")
+    found = dealt.mapInArrow(run, "k bigint, score double, h bigint, cosine double")
+    return found.groupBy("k").agg(F.max(F.struct("score", (-F.col("h")).alias("h"), "cosine")).alias("b")).select("k", (-F.col("b.h")).alias("h"), "b.cosine", "b.score")
+
+
+def _named_blocks(rows: DataFrame, number: str, heaps: int, block_rows: int) -> DataFrame:
+    """Blocks of rows sorted by bucket, packed: a heap of small buckets is one block, a large bucket goes on in more of them."""
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("g", kind="stable")
+        day = pdf["t"].astype("Int64").fillna(NO_DAY).to_numpy(np.int64)
+        numbers = {f"{c}{number}": [x.tobytes()] for c, x in (("g", pdf["g"].to_numpy(np.int64)), ("k", pdf["k"].to_numpy(np.int64)), ("t", day), ("v", np.stack(pdf["v"].to_numpy())))}
+        return pd.DataFrame({"heap": [pdf["heap"].iloc[0]], number: [pdf["i"].iloc[0]], "d": [pdf["d"].iloc[0]], **numbers, f"c{number}": [[list(c) for c in pdf["c"]]]})
+
+    sizes = materialise(rows.groupBy("g").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).where("blocks > 1"))
+    dealt = rows.join(checked(sizes), "g", "left").withColumn("i", F.pmod(F.xxhash64("k"), F.coalesce("blocks", F.lit(1))).cast("bigint"))
+    dealt = dealt.withColumn("heap", F.pmod(F.xxhash64("g"), F.lit(heaps)).cast("bigint")).withColumn("d", F.size("v")).where("d > 0").drop("blocks")
+    return materialise(dealt.groupBy("heap", "i", "d").applyInPandas(packed, f"heap bigint, {number} bigint, d int, g{number} binary, k{number} binary, t{number} binary, v{number} binary, c{number} array<array<string>>"))
+
+
+#: Stands for an unknown day inside blocks.
+NO_DAY = -(1 << 40)
+
+
+def _keep_best(best: dict[int, tuple[float, int, float]], r: dict, least: float, bar: float, most: float, days: int) -> None:
+    """Compare a block of queries with a block of the base, bucket by bucket, and keep each query's best (score, -key, cosine)."""
+    own = [{c: np.frombuffer(r[f"{c}{n}"], float if c == "v" else np.int64) for c in "gktv"} | {"c": r[f"c{n}"]} for n in "ij"]
+    for side in own:
+        side["v"] = side["v"].reshape(len(side["k"]), -1)
+    for g in np.intersect1d(own[0]["g"], own[1]["g"]).tolist():
+        parts = []
+        for side in own:
+            a, b = np.searchsorted(side["g"], [g, g + 1]).tolist()
+            parts += [side["k"][a:b], side["t"][a:b], side["v"][a:b], side["c"][a:b]]
+        _compare(best, *parts, least, bar, most, days)
+
+
+def _compare(best: dict[int, tuple[float, int, float]], ki, ti, vi, ci, kj, tj, vj, cj, least: float, bar: float, most: float, days: int) -> None:
+    names = {n: x for x, n in enumerate(sorted({n for c in cj for n in c}))}
+    marks = []
+    for side in (ci, cj):
+        m = np.zeros((len(side), len(names)))
+        for x, own in enumerate(side):
+            for n in own:
+                if n in names:
+                    m[x, names[n]] = 1
+        marks.append(m)
+    named = marks[1].any(1)
+    for at in range(0, len(ki), BLOCK_SLICE):
+        near = vi[at : at + BLOCK_SLICE] @ vj.T
+        bars = np.full(near.shape, least)
+        if len(names):
+            shared = marks[0][at : at + BLOCK_SLICE] @ marks[1].T > 0
+            bars = np.where(named[None] & ~shared, np.inf, np.where(shared, bar, least))
+        gain = np.zeros(near.shape)
+        if most:
+            old = np.maximum(ti[at : at + BLOCK_SLICE, None] - tj[None], 0)
+            unknown = (ti[at : at + BLOCK_SLICE, None] == NO_DAY) | (tj[None] == NO_DAY)
+            gain = np.where(unknown, 0.0, np.maximum(0.0, (days - old) / days) * most)
+        score = np.where(near >= bars - 1e-9, near + gain, -np.inf)
+        top = score.max(1) if score.shape[1] else np.full(len(score), -np.inf)
+        #: Products only choose: those within rounding of the best are summed in order, as dot() does; if none reaches its bar, the next are.
+        open_rows = np.flatnonzero(top > -np.inf)
+        while len(open_rows):
+            x, y = np.nonzero(score[open_rows] >= top[open_rows, None] - 2e-9)
+            x = open_rows[x]
+            cosine = np.zeros(len(x))
+            for c in range(vi.shape[1]):
+                cosine += vi[at + x, c] * vj[y, c]
+            good = cosine >= bars[x, y]
+            for q, h, cos, plus in zip(ki[at + x[good]].tolist(), kj[y[good]].tolist(), cosine[good].tolist(), gain[x[good], y[good]].tolist(), strict=True):
+                new = (cos + plus, -h, cos)
+                if q not in best or new > best[q]:
+                    best[q] = new
+            score[x, y] = -np.inf
+            missed = np.setdiff1d(open_rows, x[good])
+            top[missed] = score[missed].max(1)
+            open_rows = missed[top[missed] > -np.inf]
+
+
+def _best_rows(best: dict[int, tuple[float, int, float]]) -> pa.RecordBatch:
+    score, h, cosine = zip(*best.values(), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array(score), pa.array([-x for x in h], pa.int64()), pa.array(cosine)], ["k", "score", "h", "cosine"])
+
+
 def _multiplied(met: DataFrame, least: float, within: int | None) -> DataFrame:
     """(a, b, cosine) of the block pairs (gi, i, ki, ti, vi, gj, j, kj, tj, vj)."""
 

@@ -158,8 +158,8 @@ def e03(s, d):
 
 @query("d09_compacted_updates")
 def d09(s, d):
-    e = V.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    t = V.titles(s, d).join(e, "id").withColumn("published_at", F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 60))
+    e = V.table(s, d, "embeddings").select("vec_id", "embedding")
+    t = V.titles(s, d).withColumn("vec_id", F.col("id") % e.count()).join(e, "vec_id").withColumn("real", F.col("id") % 25 != 0).withColumn("published_at", F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 60))
     return compacted_updates(t, 0.2, 30.0)
 
 

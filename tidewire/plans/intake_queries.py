@@ -27,17 +27,27 @@ def _text(c):
     return F.col(c).cast("string")
 
 
-@query("s12_feed_items", """WITH e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events) SELECT user_id AS feed, CAST(pos AS BIGINT) AS pos, 'https://f.example/' || event_id AS url, 'Item & ' || event_id AS title, CAST(CASE WHEN event_id % 5 = 0 THEN TIMESTAMP '2024-01-20 00:00:00' ELSE date_trunc('second', ts) END AS VARCHAR)[1:19] AS published, CASE WHEN event_id % 3 = 0 THEN 400 ELSE 160 END AS size
- FROM e WHERE event_id % 7 <> 0 AND (event_id % 5 = 0 OR date_trunc('second', ts) >= TIMESTAMP '2024-01-10 00:00:00') AND (event_id % 3 = 0 OR event_id % 2 = 0)""")
+@query("s12_feed_items", """WITH e AS (SELECT user_id, event_id, date_trunc('second', ts) AS sent, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events) SELECT user_id AS feed, CAST(pos AS BIGINT) AS pos, 'https://f.example/' || event_id AS url, 'Item & ' || event_id AS title, CAST(CASE WHEN event_id % 5 = 0 THEN TIMESTAMP '2024-01-20 00:00:00' ELSE sent END AS VARCHAR)[1:19] AS published, CASE WHEN event_id % 3 = 0 THEN 400 ELSE 160 END AS size
+ FROM e WHERE event_id % 7 <> 0 AND (event_id % 5 = 0 OR sent >= TIMESTAMP '2024-01-10 00:00:00') AND (event_id % 3 = 0 OR event_id % 2 = 0)""")
 def s12(s, d):
+    """Users with an even id have RSS feeds, the others Atom; dates in four zones and forms, none where 5 divides the id."""
     e = V.table(s, d, "events")
-    i = _text("event_id")
-    date = F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("<pubDate>"), F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate>"))).otherwise("")
-    link = F.when(F.col("event_id") % 7 == 0, "").otherwise(F.concat(F.lit("<link>https://f.example/"), i, F.lit("</link>")))
-    body = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("<description><![CDATA[<p>"), F.repeat(F.lit("x"), 400), F.lit("</p>]]></description>"))).otherwise("<description>short</description>")
-    item = F.concat(F.lit("<item><title>Item &amp; "), i, F.lit("</title>"), link, date, body, F.lit("</item>"))
+    i, k = _text("event_id"), F.col("event_id")
+    at = lambda hours, form: F.date_format(F.col("ts") + F.make_dt_interval(hours=F.lit(hours)), form)
+    mail, iso = "EEE, dd MMM yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss"
+    dated = k % 5 != 0
+    rss_date = F.when(dated, F.concat(F.lit("<pubDate>"), F.when(k % 4 == 0, F.concat(at(0, mail), F.lit(" GMT"))).when(k % 4 == 1, F.concat(at(8, mail), F.lit(" +0800"))).when(k % 4 == 2, F.concat(at(-5, "dd MMM yy HH:mm:ss"), F.lit(" EST"))).otherwise(F.concat(at(0, mail), F.lit(" +0000"))), F.lit("</pubDate>"))).otherwise("")
+    atom_date = F.when(dated, F.concat(F.lit("<updated>"), F.when(k % 2 == 0, F.concat(at(8, iso), F.lit("+08:00"))).otherwise(F.concat(at(0, iso), F.lit("Z"))), F.lit("</updated>"))).otherwise("")
+    url = F.concat(F.lit("https://f.example/"), i)
+    linked = k % 7 != 0
+    rss_link, atom_link = F.when(linked, F.concat(F.lit("<link>"), url, F.lit("</link>"))).otherwise(""), F.when(linked, F.concat(F.lit('<link rel="self" href="https://f.example/self"/><link rel="alternate" href="'), url, F.lit('"/>'))).otherwise("")
+    long = F.repeat(F.lit("x"), 400)
+    rss_body = F.when(k % 3 == 0, F.concat(F.lit("<description><![CDATA[<p>"), long, F.lit("</p>]]></description>"))).otherwise("<description>short</description>")
+    atom_body = F.when(k % 3 == 0, F.concat(F.lit('<content type="html">&lt;p&gt;'), long, F.lit("&lt;/p&gt;</content>"))).otherwise('<summary type="text">short</summary>')
+    title = F.concat(F.lit("Item &amp; "), i, F.lit("</title>"))
+    item = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("<item><title>"), title, rss_link, rss_date, rss_body, F.lit("</item>"))).otherwise(F.concat(F.lit('<entry><title type="text">'), title, atom_link, atom_date, atom_body, F.lit("</entry>")))
     feeds = e.groupBy(F.col("user_id").alias("feed")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", item.alias("x")))), lambda x: x["x"]), "").alias("xml"))
-    pages = e.where("event_id % 2 = 0").select(F.concat(F.lit("https://f.example/"), i).alias("url"), F.repeat(F.lit("y"), 160).alias("body"))
+    pages = e.where("event_id % 2 = 0").select(url.alias("url"), F.repeat(F.lit("y"), 160).alias("body"))
     now = F.lit("2024-01-20 00:00:00").cast("timestamp")
     out = I.feed_items(feeds, "xml", now, 240, pages)
     return out.select("feed", F.col("pos").cast("bigint").alias("pos"), "url", "title", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published"), F.length("content").alias("size"))
@@ -173,8 +183,22 @@ def fn_money(s, d):
     return V.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), m["currency"].alias("currency"), m["value"].alias("value"))
 
 
+_TOLD = ("Police say the blast killed {}.", "{} apples lay there", "A {}-{} win for the home side", "{}7 of them left", "Talks took {} 天 and {} weeks", "约{}人受伤，{}号门关闭", "It cost $ {} in all", "Nothing is told here, said {} sources twice and went")
+
+
+@query("fn_claims_in_context", """WITH o AS (SELECT o_orderkey AS id, CAST(o_orderkey % 9 + 1 AS VARCHAR) AS a, CAST(o_custkey % 9 + 1 AS VARCHAR) AS b FROM orders)
+ SELECT id, CASE id % 8 WHEN 0 THEN a WHEN 1 THEN '' WHEN 2 THEN a || '-' || b WHEN 3 THEN a || '7' WHEN 4 THEN '' WHEN 5 THEN CASE WHEN a || '人' = b THEN a ELSE a || '人|' || b END WHEN 6 THEN '$ ' || a ELSE '' END AS claims FROM o""")
+def fn_context(s, d):
+    a, b = (F.col(c) % 9 + 1 for c in ("o_orderkey", "o_custkey"))
+    told = F.format_string
+    text = F.lit("")
+    for n, form in enumerate(_TOLD):
+        text = F.when(F.col("o_orderkey") % 8 == n, told(form.replace("{}", "%d"), *[a, b][: form.count("{}")])).otherwise(text)
+    return V.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.array_join(G.claims(text), "|").alias("claims"))
+
+
 @query("z09_grounded_summaries", f"""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 1 THEN 'No number is given by anyone here.' WHEN o_orderkey % 4 = 3 THEN 'The storm reached the coast. It moved on.' WHEN o_orderkey % 4 = 2 THEN 'The cost is $' || {_K} || ' million in all, they say.' ELSE 'The storm hurt ' || {_K} || ' people on the coast.' END AS summary,
- o_orderkey % 4 = 3 AS needs_review, CASE WHEN o_orderkey % 4 = 1 THEN 'numeric_grounding_rewritten' WHEN o_orderkey % 4 = 3 THEN 'unsupported_numeric_claim' ELSE '' END AS flags, CASE WHEN o_orderkey % 4 = 3 THEN {_K} || ' people' ELSE '' END AS contested FROM orders""")
+ o_orderkey % 4 = 3 AS needs_review, CASE WHEN o_orderkey % 4 = 1 THEN 'numeric_grounding_rewritten' WHEN o_orderkey % 4 = 3 THEN 'unsupported_numeric_claim' ELSE '' END AS flags, CASE WHEN o_orderkey % 4 = 3 THEN CAST({_K} AS VARCHAR) ELSE '' END AS contested FROM orders""")
 def z09(s, d):
     k, n = _k(), F.col("o_orderkey") % 4
     hurt = F.concat(F.lit("The storm hurt "), k, F.lit(" people on the coast."))

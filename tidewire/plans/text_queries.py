@@ -9,6 +9,7 @@ from tidewire.functions import text as X
 from tidewire.operators import clustering as C
 from tidewire.operators import dedup as D
 from tidewire.operators import graph as G
+from tidewire.operators import history as H
 from tidewire.operators import similarity as Y
 from tidewire.operators import storyline as L
 from tidewire.sources import pages as P
@@ -94,12 +95,13 @@ def d13(s, d):
 
 
 _EDGE = "ed AS (SELECT a.id AS a, b.id AS b FROM va a JOIN va b ON a.id < b.id AND abs(epoch(a.published_at) - epoch(b.published_at)) <= 172800 WHERE list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) >= 0.40)"
-_VA = "va AS (SELECT id, source_name, published_at, length(content) AS size, embedding FROM v_articles JOIN embeddings ON vec_id = id WHERE url LIKE 'https://%')"
+_VA = "va AS (SELECT id, source_name, published_at, length(content) AS size, embedding FROM v_articles JOIN embeddings ON vec_id = id % (SELECT count(*) FROM embeddings) WHERE url LIKE 'https://%')"
 
 
 def _vector_articles(s, d):
-    e = V.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return V.articles(s, d).where(X.is_real(F.col("url"))).join(e, "id")
+    """Real articles with their vectors: every article has one, by its number modulo the vectors'."""
+    e = V.table(s, d, "embeddings").select("vec_id", "embedding")
+    return V.articles(s, d).where(X.is_real(F.col("url"))).withColumn("vec_id", F.col("id") % e.count()).join(e, "vec_id").drop("vec_id")
 
 
 @query("j11_event_edges", f"WITH {_VA}, {_EDGE} SELECT a, b FROM ed")
@@ -139,7 +141,11 @@ def d07(s, d):
     return D.fuzzy_dedup(V.titles(s, d).select("id", "title", "source_name"), V.doc_sources(s, d), 85.0)
 
 
-@query("d08_semantic_dedup")
+@query("d08_semantic_dedup", """WITH a AS (SELECT v.id, v.source_name, coalesce(w.weight, 0.5) AS weight, e.embedding::DOUBLE[] AS v FROM v_articles v JOIN embeddings e ON e.vec_id = v.id % (SELECT count(*) FROM embeddings) LEFT JOIN v_doc_sources w ON w.name = v.source_name WHERE v.url LIKE 'https://%'),
+ k AS (SELECT unnest(list_reduce(list([{'id': id, 's': source_name, 'v': v}] ORDER BY id), lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: list_dot_product(y.v, x[1].v) >= CASE WHEN y.s = x[1].s THEN 0.35 ELSE 0.40 END)) > 0 THEN kept ELSE list_concat(kept, x) END)).id AS id FROM a),
+ n AS (SELECT a.*, k.id IS NOT NULL AS anchor FROM a LEFT JOIN k USING (id)),
+ f AS (SELECT x.id, x.weight, CASE WHEN x.anchor THEN x.id ELSE (SELECT min(y.id) FROM n y WHERE y.anchor AND y.id < x.id AND list_dot_product(y.v, x.v) >= CASE WHEN y.source_name = x.source_name THEN 0.35 ELSE 0.40 END) END AS by FROM n x)
+ SELECT coalesce(max(CASE WHEN f.weight > a.weight THEN f.id END), f.by) AS id FROM f JOIN a ON a.id = f.by GROUP BY f.by""")
 def d08(s, d):
     v = _vector_articles(s, d).select("id", "source_name", "embedding")
     return D.semantic_dedup(v, V.doc_sources(s, d), 0.35, 0.40)
@@ -197,16 +203,32 @@ def d22(s, d):
     return e.select("evaluation_id", L.lifecycle(F.col("evaluation_id") % 3 != 0, F.col("composite"), F.coalesce("scope", F.lit(0.0)), F.size("subject_regions")).alias("state"))
 
 
-@query("d21_freshness", """WITH v AS (SELECT a.vec_id, 3 * list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 1) % (SELECT count(*) FROM embeddings)),
- p AS (SELECT c.id AS cluster_id, c.article_ids AS cur, o.article_ids AS old, v.cosine FROM v_clusters c JOIN v_clusters o ON o.id = c.id - 1 LEFT JOIN v ON v.vec_id = c.id) SELECT cluster_id, CASE WHEN cosine IS NULL OR cosine < 0.85 THEN 'new' WHEN len(list_filter(cur, lambda x: NOT list_contains(old, x))) > 0 THEN 'developing' ELSE 'stale' END AS freshness FROM p""")
-def d21(s, d):
+_NEAREST_SQL = """WITH n AS (SELECT count(*) AS n FROM embeddings), c AS (SELECT v.id, v.report_date AS day, v.article_ids, e.embedding AS v, v.id % 9 <> 0 AS summed FROM v_clusters v, n JOIN embeddings e ON e.vec_id = v.id % n.n),
+ m AS (SELECT c.id, h.id AS h_id, list_sum(list_transform(list_zip(c.v, h.v), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS cosine FROM c JOIN c h ON h.day BETWEEN c.day - 3 AND c.day - 1 AND h.summed),
+ b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, h_id) AS r FROM m WHERE cosine > 0)"""
+
+
+def _nearest(s, d):
+    """Clusters with the nearest one of the three days before; one in nine has no summary to compare with."""
+    c = V.clusters(s, d).select("id", F.col("report_date").alias("day"), "article_ids")
     e = V.table(s, d, "embeddings")
-    other = e.select(F.col("vec_id").alias("o"), F.col("embedding").alias("vb"))
-    v = e.withColumn("o", (F.col("vec_id") * 7 + 1) % e.count()).join(other, "o").select(F.col("vec_id").alias("cluster_id"), (3 * Y.dot(F.col("embedding"), F.col("vb"))).alias("cosine"))
-    c = V.clusters(s, d).select(F.col("id").alias("cluster_id"), "article_ids")
-    o = c.select((F.col("cluster_id") + 1).alias("cluster_id"), F.col("article_ids").alias("old"))
-    met = c.join(o, "cluster_id").join(v, "cluster_id", "left")
-    return met.select("cluster_id", L.freshness(F.col("cosine"), F.array_except("article_ids", "old")).alias("freshness"))
+    v = c.withColumn("vec_id", F.col("id") % e.count()).join(e.select("vec_id", F.col("embedding").alias("vector")), "vec_id")
+    v = materialise(v.select("id", "day", "vector", "article_ids"))
+    return c, H.nearest_history(v, v.select(F.col("id").alias("h_id"), F.col("day").alias("h_day"), F.when(F.col("id") % 9 != 0, F.col("vector")).alias("vector")))
+
+
+@query("j15_nearest_history", _NEAREST_SQL + " SELECT id, h_id, round(cosine, 9) AS cosine FROM b WHERE r = 1")
+def j15(s, d):
+    return _nearest(s, d)[1].withColumn("cosine", F.round("cosine", 9))
+
+
+@query("d21_freshness", _NEAREST_SQL + """ SELECT c.id AS cluster_id, CASE WHEN coalesce(3 * b.cosine, 0) < 0.85 THEN 'new' WHEN len(list_filter(c.article_ids, lambda x: NOT list_contains(o.article_ids, x))) > 0 THEN 'developing' ELSE 'stale' END AS freshness, CASE WHEN 3 * b.cosine >= 0.85 THEN b.h_id END AS continues FROM v_clusters c LEFT JOIN b ON b.id = c.id AND b.r = 1 LEFT JOIN v_clusters o ON o.id = b.h_id""")
+def d21(s, d):
+    c, near = _nearest(s, d)
+    old = c.select(F.col("id").alias("h_id"), F.col("article_ids").alias("old"))
+    met = c.join(near, "id", "left").join(old, "h_id", "left")
+    close = 3 * F.col("cosine")  # the tables' vectors are spread wider than summaries of one story are
+    return met.select(F.col("id").alias("cluster_id"), L.freshness(close, F.array_except("article_ids", "old")).alias("freshness"), F.when(close >= 0.85, F.col("h_id")).alias("continues"))
 
 
 @query("key_cluster", "SELECT o_orderkey AS id, substr(sha1(o_orderpriority || '|' || o_orderstatus), 1, 16) AS cluster_key, substr(sha1(CASE WHEN o_orderpriority < o_orderstatus THEN o_orderpriority || '|' || o_orderstatus ELSE o_orderstatus || '|' || o_orderpriority END), 1, 8) AS storyline_key FROM orders")

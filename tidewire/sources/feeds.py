@@ -19,7 +19,7 @@ def stripped(text: Column) -> Column:
 
 
 def _field(item: Column, name: str) -> Column:
-    """An element's text, CDATA and references resolved."""
+    """An element's text, CDATA and references resolved: for items that are no well-formed XML."""
     raw = F.regexp_extract(item, f"(?s)<{name}(?:\\s[^>]*)?>(.*?)</{name}>", 1)
     raw = F.regexp_replace(raw, "(?s)<!\\[CDATA\\[(.*?)\\]\\]>", "$1")
     for reference, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
@@ -27,15 +27,47 @@ def _field(item: Column, name: str) -> Column:
     return stripped(raw)
 
 
+# North American zone names of RFC 822 with their offsets from UTC.
+ZONES = {"EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+_LINK = "STRUCT<_VALUE: STRING, _href: STRING, _rel: STRING>"
+ITEM = f"title STRING, link ARRAY<{_LINK}>, guid STRUCT<_VALUE: STRING, _isPermaLink: STRING>, pubDate STRING, published STRING, updated STRING, `dc:date` STRING, description STRING, summary STRING, `content:encoded` STRING, content STRING"
+
+
+def feed_time(text: Column) -> Column:
+    """A feed's date as a timestamp: RFC 822 (weekday, seconds, zone as you like; years of two or four digits) or ISO 8601; UTC if no zone is named, null if it is no date."""
+    text = F.regexp_replace(stripped(text), "\\s+", " ")
+    zone = F.regexp_extract(text, "(?:^|[0-9 ])([+-][0-9]{2}:?[0-9]{2}|[A-Za-z]{1,5})$", 1)
+    named = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for item in ZONES.items() for x in item]), F.upper(zone)), F.lit("+0000"))
+    offset = F.when(F.rlike(zone, F.lit("^[+-]")), F.replace(zone, F.lit(":"), F.lit(""))).otherwise(named)
+    mail = "^(?:[A-Za-z]{3,9},? )?([0-9]{1,2}) ([A-Za-z]{3})[a-z]* ([0-9]{2}|[0-9]{4}) ([0-9]{1,2}:[0-9]{2})(:[0-9]{2})?(?: .*)?$"
+    part = lambda k: F.regexp_extract(text, mail, k)
+    year = F.when(F.length(part(3)) == 2, F.concat(F.when(part(3) < "70", "20").otherwise("19"), part(3))).otherwise(part(3))
+    written = F.concat_ws(" ", part(1), F.initcap(part(2)), year, F.concat(part(4), F.coalesce(F.nullif(part(5), F.lit("")), F.lit(":00"))), offset)
+    by_mail = F.when(F.rlike(text, F.lit(mail)), F.try_to_timestamp(written, F.lit("d MMM yyyy H:mm:ss xx")))
+    iso = "^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+    rest = F.regexp_extract(text, iso + "(?:[T ][0-9:.]+)?(.*)$", 1)
+    by_iso = F.when(F.rlike(text, F.lit(iso)), F.when(F.trim(rest) == "", F.concat(text, F.when(F.length(text) > 10, "Z").otherwise("T00:00:00Z"))).otherwise(text).try_cast("timestamp"))
+    return F.coalesce(by_mail, by_iso)
+
+
 def feed_items(rows: DataFrame, payload: str, now: Column, max_age_hours: int, pages: DataFrame, least: int = 150, own: int = 300) -> DataFrame:
-    """Items of feeds with link and title, not older than the cutoff: the item's own body if longer than `own`, else its page's (pages: url, body); at least `least` characters.
+    """Items of RSS feeds and entries of Atom feeds with link and title, not older than the cutoff: the item's own body if longer than `own`, else its page's (pages: url, body); at least `least` characters.
 
-    Items without a date count as of now.
+    Each item is parsed as XML (undeclared prefixes allowed); one that is not well formed is read by its elements' names.
+    A link is the element's text, an alternate link's href, or a permanent guid. Items without a date that can be read
+    count as of now.
     """
-    items = rows.select("*", F.posexplode(F.regexp_extract_all(payload, F.lit("(?s)(<item[ >].*?</item>)"), 1)).alias("pos", "_item"))
-    body = F.coalesce(F.nullif(_field(F.col("_item"), "content:encoded"), F.lit("")), _field(F.col("_item"), "description"))
-    at = F.coalesce(F.try_to_timestamp(F.regexp_replace(_field(F.col("_item"), "pubDate"), "^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss")), now)
-    found = items.select(*rows.columns, "pos", _field(F.col("_item"), "link").alias("url"), _field(F.col("_item"), "title").alias("title"), at.alias("published_at"), body.alias("_own")).drop(payload)
+    items = rows.select("*", F.posexplode(F.regexp_extract_all(payload, F.lit("(?s)(<(?:[A-Za-z]+:)?(item|entry)[ >\t\n].*?</(?:[A-Za-z]+:)?\\2>)"), 1)).alias("pos", "_raw"))
+    bare = F.regexp_replace("_raw", "<(/?)(?:atom|rss):", "<$1")
+    items = items.withColumn("_item", bare).withColumn("_x", F.from_xml("_item", ITEM, {"mode": "PERMISSIVE", "ignoreNamespace": "false"}))
+    text = lambda name, tag: F.coalesce(F.nullif(stripped(F.col("_x").getField(name)), F.lit("")), F.nullif(_field(F.col("_item"), tag), F.lit("")))
+    shown = F.filter("_x.link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    hrefs = F.filter(F.transform(shown, lambda x: stripped(F.coalesce(x["_href"], x["_VALUE"]))), lambda u: F.coalesce(u, F.lit("")) != "")
+    guid = F.when(F.coalesce(F.lower(F.col("_x.guid._isPermaLink")), F.lit("true")) == "true", stripped(F.col("_x.guid._VALUE")))
+    link = F.coalesce(F.try_element_at(hrefs, F.lit(1)), F.nullif(_field(F.col("_item"), "link"), F.lit("")), guid)
+    at = F.coalesce(*[feed_time(text(c, c)) for c in ("pubDate", "published", "updated", "dc:date")], now)
+    body = F.coalesce(text("content:encoded", "content:encoded"), text("content", "content"), text("description", "description"), text("summary", "summary"), F.lit(""))
+    found = items.select(*rows.columns, "pos", link.alias("url"), text("title", "title").alias("title"), at.alias("published_at"), body.alias("_own")).drop(payload)
     kept = found.where((F.col("url") != "") & (F.col("title") != "") & (F.col("published_at") >= now - F.make_dt_interval(hours=F.lit(max_age_hours))))
     met = kept.join(pages.select("url", F.col("body").alias("_page")), "url", "left")
     plain = stripped(F.regexp_replace("_own", "(?s)<[^>]*>", "\n"))
