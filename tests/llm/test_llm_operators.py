@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.llm import byte_bpe, exact_dedup, language, mixing, near_dedup, neighbours, quality, registry, repeats, toxicity, web_text
+from tidewire.llm import byte_bpe, exact_dedup, language, mixing, near_dedup, neighbours, quality, registry, repeats, sampling, toxicity, web_text
 
 SPACE = str.maketrans("", "", " \t\n\x0b\x0c\r")
 ODD_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id bigint, size string, score string, uid string, digest string, copies string, `row` string"
@@ -389,6 +389,26 @@ def test_language(spark, odd, none):
     assert language.predicted(none, model).count() == 0
 
 
+def test_every_language_is_learned_however_often_an_id_repeats(spark):
+    german, english = "Der Hund und die Katze gehen nach Hause", "The dog and the cat are going home now"
+    one = [(1, german, "de")] * 5000 + [(i, f"{english} {i}", "en") for i in range(2, 5002)]
+    kind = "doc_id bigint, text string, lang string"
+    for rows in (one, [(i, t, "en" if x == "de" else "de") for i, t, x in one], [(1, f"{t} {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}", x) for k, (_, t, x) in enumerate(one)]):
+        model = language.train(spark.createDataFrame(rows, kind).repartition(4), F.lit(True), sample=50, centroids=2)
+        assert set(model["langs"]) == {"de", "en"}
+    got = language.predicted(spark.createDataFrame([(1, german, None), (2, english, None)], kind), language.train(spark.createDataFrame(one, kind), F.lit(True), sample=50, centroids=2))
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "de", 2: "en"}
+
+
+def test_labelled_samples_hold_each_id_once(spark):
+    docs = spark.createDataFrame([(1, "same text")] * 5000 + [(2, f"text {i}") for i in range(3000)] + [(3, None), (4, "four"), (None, "no id")], "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1)] * 4000 + [(1, 0), (2, 0), (3, 1), (4, None), (None, 1), (5, 1)], "doc_id bigint, quality int")
+    got = sorted(map(tuple, sampling.labelled_sample(docs, labels, "quality", {0: 10, 1: 10}, F.lit(True)).collect()))
+    assert [y for y, _ in got] == [0, 1, 1] and [t for y, t in got if y] == ["", "same text"] and got[0][1].startswith("text ")
+    assert sorted(map(tuple, sampling.labelled_sample(docs.repartition(7), labels, "quality", {0: 10, 1: 10}, F.lit(True)).collect())) == got
+    assert quality.train(docs, labels, F.lit(True)) and toxicity.train(docs, labels.withColumnRenamed("quality", "toxic"), F.lit(True))
+
+
 def test_toxicity_finds_documents_and_sentences(spark, odd, none, labels):
     rnd = random.Random(8)
     clean = ["river", "stone", "cloud", "paper", "green", "window", "morning", "letter"]

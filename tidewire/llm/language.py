@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm import buffers
@@ -80,7 +80,11 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nda
 
 
 def train(docs: DataFrame, fits: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS) -> dict:
-    """Learn from the rows of non-null language among which `fits` (a condition on `_id`) holds."""
+    """Learn from the rows of non-null language among which `fits` (a condition on `_id`) holds.
+
+    Centroids come from at most `sample` different rows (id and text) of each language, those of the least hashes; however
+    often a row or an id repeats, every language with rows is learned.
+    """
     workers_see_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), letters(F.col(text_col)).alias("text")).where(F.col("lang").isNotNull()).where(fits)
 
@@ -95,23 +99,25 @@ def train(docs: DataFrame, fits: Column, id_col: str = "doc_id", text_col: str =
     df = {r["slot"]: r["docs"] for r in rows.select("text").mapInArrow(frequency, "slot bigint, docs bigint").groupBy("slot").agg(F.sum("docs").alias("docs")).collect()}
     total = df.pop(-1, 0)
     idf = np.log((total + 1) / (np.array([df.get(k, 0) for k in range(DIMENSIONS)]) + 1.0)) + 0.1
-    per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    #: The smallest hashes of each language: a share of the hash range that holds some more than `sample` rows.
+    hashed = rows.withColumn("h", F.xxhash64("_id", "text"))
+    per_lang = {r["lang"]: max(1, r["n"]) for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    #: The smallest hashes of each language: a share of the hash range that holds some more than `sample` different rows.
     share = F.lit(0.0)
     for lang, n in sorted(per_lang.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, (sample + 4 * sample**0.5 + 20) / n))).otherwise(share)
-    hashed = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / float(1 << 30)
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, (sample + 6 * sample**0.5 + 20) / n))).otherwise(share)
+    some = hashed.where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < share).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    some = some.withColumn("place", place).where(F.col("place") <= sample).select("lang", "place", "text")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches):
             x = vectors(counts(*buffers.utf8(part.column("text"))), idf)
             packed = [(np.flatnonzero(r).astype("<u2").tobytes(), r[r != 0].astype("<f4").tobytes()) for r in x]
-            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())], ["lang", "h", "slots", "weights"])
+            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("place"), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())], ["lang", "place", "slots", "weights"])
 
-    chosen = rows.withColumn("h", hashed).where(F.col("h") < share).select("lang", "h", "text").mapInArrow(sparse, "lang string, h double, slots binary, weights binary").toPandas()
+    chosen = some.mapInArrow(sparse, "lang string, place int, slots binary, weights binary").toPandas()
     centres, floors, langs = [np.zeros((0, DIMENSIONS), np.float32)], [np.zeros(0)], []
-    for lang, own in chosen.sort_values(["lang", "h", "slots"]).groupby("lang", sort=True):
-        own = own.head(sample)
+    for lang, own in chosen.sort_values(["lang", "place"]).groupby("lang", sort=True):
         x = np.zeros((len(own), DIMENSIONS), np.float32)
         for k, (s, w) in enumerate(zip(own["slots"], own["weights"], strict=True)):
             x[k, np.frombuffer(s, "<u2")] = np.frombuffer(w, "<f4")

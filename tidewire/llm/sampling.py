@@ -16,10 +16,12 @@ def fold(id_column: Column, folds: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], fits: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(y, text) of at most per_class[y] labelled rows of each class y: those of the smallest id hashes among which `fits` holds.
 
-    The chosen ids are the bounded broadcast side, so that no text moves.
+    An id is one row: of repeated labels the largest counts, of texts repeated under one id that of the smallest hash. The
+    chosen ids are the bounded broadcast side, so that only their texts move.
     """
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("y")).where(F.col("_id").isNotNull()).where(fits)
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("y")).where(F.col("_id").isNotNull() & F.col("y").isNotNull()).where(fits).groupBy("_id").agg(F.max("y").alias("y"))
     chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n) for y, n in per_class.items()]
     ids = reduce(DataFrame.unionByName, chosen)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.join(F.broadcast(ids), "_id").select("y", "text")
+    met = rows.join(F.broadcast(ids), "_id").groupBy("_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    return met.select("y", "one.text")
