@@ -6,14 +6,15 @@ ceil(17 * (|x| + |y|) / 37) shingles: the occurrences T that a document needs in
 
 Texts of equal sets are one node. All shingles have one order: by their number in a sketch of all rows (SKETCH counters),
 then by hash. Similar nodes share at least one of their first |x| - ceil(0.85 |x|) + 1 shingles, so only these are listed,
-and lists of one node are dropped. What is left is settled exactly, in three steps, none of which puts out the pairs of a
-list:
+and lists of one node are dropped. What is left is settled exactly, in steps, none of which puts out the pairs of a list:
 
-1. Every listed node goes, with its whole set, to the longest of its lists, in cells of bounded size; a cell is searched by
+1. Lists of up to LIST_MEMBERS nodes go to their members; each member merges its lists, and is near the nodes that occur in
+   as many as its own and their first shingles ask for. Nodes near no other one, and in no longer list, are done.
+2. Every other node goes, with its whole set, to the longest of its lists, in cells of bounded size; a cell is searched by
    T-occurrence, and puts out a forest of links. Families of near copies become one component here.
-2. Lists of up to LIST_MEMBERS nodes that still hold several components go to their members; each member merges its lists
-   and keeps the nodes that occur in as many as its own and their first shingles ask for; these are compared whole.
-3. In longer lists that still hold several components, nodes outside the largest one are searched in the list, by blocks.
+3. Lists of up to LIST_MEMBERS nodes that still hold several components go to their members again, and nodes that are near
+   one of another component are compared whole.
+4. In longer lists that still hold several components, nodes outside the largest one are searched in the list, by blocks.
 
 T-occurrence search is DivideSkip: up to T - 1 of the longest lists are set aside; the short ones are merged, and
 documents that occur often enough there to reach T are looked up in the long ones by binary search.
@@ -28,6 +29,7 @@ length are read whole. An empty table gives an empty result, extra columns are i
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +48,8 @@ SHARE = (17, 37)
 #: Counters of the sketch that orders shingles, and how many travel together.
 SKETCH = 1 << 22
 SKETCH_CHUNK = 1 << 15
+#: Lists of ids or shingles of up to so many rows (16 bytes each) are broadcast.
+NARROW_ROWS = 1_000_000
 #: Members and shingles of a cell at most (a longer text is a cell's only one, or one of two).
 CELL_MEMBERS = 512
 CELL_SHINGLES = 1_000_000
@@ -53,7 +57,6 @@ CELL_SHINGLES = 1_000_000
 LIST_MEMBERS = 256
 SLICE = 120_000
 
-_HASH = np.uint64((1 << 48) - 1)
 
 
 def needed(x, y):
@@ -71,33 +74,34 @@ def slot(value: np.ndarray) -> np.ndarray:
 
 
 def counted(texts: DataFrame) -> np.ndarray:
-    """The sketch of all rows: by counter, how often its shingles occur (65,535 at most)."""
+    """The sketch of all rows: by counter, how often its shingles occur (255 at most)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SKETCH, np.uint32)
+        sketch = np.zeros(SKETCH, np.uint8)
         for batch in batches:
             for part in buffers.slices(batch, "text", SLICE):
-                np.add.at(sketch, slot(shingles(*buffers.utf8(part.column("text")), WORDS)[1]), 1)
+                at, n = np.unique(slot(shingles(*buffers.utf8(part.column("text")), WORDS)[1]), return_counts=True)
+                sketch[at] = np.minimum(sketch[at] + n, 255)
         for k in range(0, SKETCH, SKETCH_CHUNK):
-            yield pa.RecordBatch.from_arrays([pa.array([k // SKETCH_CHUNK]), pa.array([np.minimum(sketch[k : k + SKETCH_CHUNK], 65535).astype("<u2").tobytes()], pa.binary())], ["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k // SKETCH_CHUNK]), pa.array([zlib.compress(sketch[k : k + SKETCH_CHUNK].tobytes(), 1)], pa.binary())], ["chunk", "counts"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts"), strict=True):
-                own = np.frombuffer(counts.as_buffer(), "<u2")
-                sums[chunk] = np.minimum(sums[chunk] + own, 65535).astype(np.uint32) if chunk in sums else own.astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.astype("<u2").tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
+            for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                own = np.frombuffer(zlib.decompress(counts), np.uint8)
+                sums[chunk] = np.minimum(sums[chunk].astype(np.uint16) + own, 255).astype(np.uint8) if chunk in sums else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
 
     parts = texts.select("text").mapInArrow(run, "chunk bigint, counts binary").repartition("chunk").mapInArrow(summed, "chunk bigint, counts binary").collect()
-    out = np.zeros((SKETCH // SKETCH_CHUNK, SKETCH_CHUNK), np.uint16)
+    out = np.zeros((SKETCH // SKETCH_CHUNK, SKETCH_CHUNK), np.uint8)
     for row in parts:
-        out[row["chunk"]] = np.frombuffer(row["counts"], "<u2")
+        out[row["chunk"]] = np.frombuffer(row["counts"], np.uint8)
     return out.reshape(-1)
 
 
 def sets(texts: DataFrame, sketch) -> DataFrame:
-    """Per row: id, n, shape (16 bytes naming its set), first (its listed shingles) and whole (its set), as 64-bit numbers in the order of all shingles."""
+    """Per row: id, n, shape (16 bytes naming its set), first (its listed shingles, 64-bit numbers in the order of all shingles) and whole (its set, six bytes each)."""
     key = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,14 +121,15 @@ def sets(texts: DataFrame, sketch) -> DataFrame:
                 number = number[order]
                 first = np.where(n > 0, listed(n), 0)
                 of_first = np.arange(len(number)) - np.repeat(at[:-1], n) < np.repeat(first, n)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), _binary(shape), packed(number[of_first], np.append(0, np.cumsum(first))), packed(number, at)], ["id", "n", "shape", "first", "whole"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), _binary(shape), packed(number[of_first], np.append(0, np.cumsum(first))), packed(value.view(np.uint16).reshape(-1, 4)[:, :3], at)], ["id", "n", "shape", "first", "whole"])
 
     return texts.mapInArrow(run, f"id {key}, n bigint, shape binary, first binary, whole binary")
 
 
 def packed(values: np.ndarray, at: np.ndarray) -> pa.Array:
     """values[at[i] : at[i + 1]] as bytes, for each i."""
-    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * values.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+    width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * width).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
 def unpacked(column: pa.Array, kind: str = "<u8") -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +138,14 @@ def unpacked(column: pa.Array, kind: str = "<u8") -> tuple[np.ndarray, np.ndarra
     return raw.view(kind), at // np.dtype(kind).itemsize
 
 
+def whole_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all shingles, borders of the rows) of a column of six bytes a shingle."""
+    raw, at = buffers.utf8(column)
+    out = np.zeros((len(raw) // 6, 4), "<u2")
+    out[:, :3] = raw.view("<u2").reshape(-1, 3)
+    return out.reshape(-1).view("<u8"), at // 6
+
+
 class Index:
     """Inverted lists over some sets: each shingle's documents, ascending."""
 
@@ -208,25 +221,34 @@ def occurring(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarr
     return number[count >= least], count[count >= least]
 
 
-def in_groups(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[pa.Table]:
-    """Whole groups of rows sorted by `names`, one after the other."""
-    held: list[pa.Table] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in names], 1)
+def in_groups(batches: Iterator[pa.RecordBatch], names: list[str], most: int = 1) -> Iterator[tuple[list[tuple[int, int]], pa.Table]]:
+    """(begin and end of each group, rows) of whole groups of rows sorted by `names`: at least `most` rows at once."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+
+    def whole(last: bool) -> tuple[list[tuple[int, int]], pa.Table, int]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys = np.stack([table.column(c).to_numpy() for c in names], 1)
         begin = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
-        if held and any(held[-1].column(c)[-1].as_py() != table.column(c)[0].as_py() for c in names):
-            yield pa.concat_tables(held).combine_chunks()
-            held = []
-        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(table)], strict=True):
-            held.append(table.slice(a, b - a))
-            if b < len(table):
-                yield pa.concat_tables(held).combine_chunks()
-                held = []
+        upto = len(table) if last else int(begin[-1])
+        begin = begin[begin < upto]
+        return list(zip(begin.tolist(), [*begin[1:].tolist(), upto][: len(begin)], strict=True)), table, upto
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            count += batch.num_rows
+        if count >= most and held:
+            groups, table, upto = whole(False)
+            if upto:
+                yield groups, table.slice(0, upto)
+                held = table.slice(upto).to_batches()
+                count = len(table) - upto
+            else:
+                count = 0  # one group so far: look again after as many more rows
     if held:
-        yield pa.concat_tables(held).combine_chunks()
+        groups, table, _ = whole(True)
+        yield groups, table
 
 
 def _column(table: pa.Table, name: str) -> np.ndarray:
@@ -241,27 +263,28 @@ def linked(cells: DataFrame, rows: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in in_groups(batches, "bucket", "cell"):
-            node, label, asks = _column(table, "node"), _column(table, "label"), _column(table, "asks")
-            values, at = unpacked(table.column("whole").chunk(0))
-            index = Index(values, at)
-            group = np.unique(label, return_inverse=True)[1]
+        for groups, table in in_groups(batches, ["bucket", "cell"]):
             a, b = [], []
-            for i in np.flatnonzero(asks).tolist():
-                wanted = group != group[i]
-                if not wanted.any():
-                    continue
-                for j in index.search(values[at[i] : at[i + 1]], wanted).tolist():
-                    if group[j] != group[i]:
-                        group[group == group[j]] = group[i]
-                        a.append(node[i])
-                        b.append(node[j])
+            for begin, end in groups:
+                own = table.slice(begin, end - begin).combine_chunks()
+                node, label, asks = (_column(own, c) for c in ("node", "label", "asks"))
+                values, at = whole_sets(own.column("whole").chunk(0))
+                index = Index(values, at)
+                group = np.unique(label, return_inverse=True)[1]
+                for i in np.flatnonzero(asks).tolist():
+                    wanted = group != group[i]
+                    if not wanted.any():
+                        continue
+                    for j in index.search(values[at[i] : at[i + 1]], wanted).tolist():
+                        if group[j] != group[i]:
+                            group[group == group[j]] = group[i]
+                            a.append(node[i])
+                            b.append(node[j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     asked = materialise(cells)
-    wanted = checked(materialise(asked.select("node").distinct()), 100_000)
-    some = rows.select(F.col("row").alias("node"), "whole").join(wanted, "node")
-    dealt = asked.join(some, "node").repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
+    met = rows.select(F.col("row").alias("node"), "whole").join(checked(asked, NARROW_ROWS), "node")
+    dealt = met.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
     return materialise(dealt.select("bucket", "cell", "node", "asks", "label", "whole").mapInArrow(run, "a bigint, b bigint").distinct())
 
 
@@ -282,37 +305,56 @@ def _sent(entries: DataFrame) -> DataFrame:
     """What each list sends to its members: (node, n, others, sizes), the smaller nodes of other components that can be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in in_groups(batches, "shingle"):
-            order = np.lexsort((_column(table, "node"), _column(table, "n")))
-            node, n, label = (_column(table, c)[order] for c in ("node", "n", "label"))
-            low = np.searchsorted(n, (OF_UNION * n + 99) // 100)
-            got = [low[i] + np.flatnonzero(label[low[i] : i] != label[i]) for i in range(len(node))]
-            got = [g[np.argsort(node[g])] for g in got]
-            some = [i for i, g in enumerate(got) if len(g)]
-            every = np.concatenate([got[i] for i in some]) if some else np.zeros(0, np.int64)
-            at = np.append(0, np.cumsum([len(got[i]) for i in some])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(n[some]), packed(node[every], at), packed(n[every], at)], ["node", "n", "others", "sizes"])
+        for groups, table in in_groups(batches, ["shingle"], 8192):
+            every = [_column(table, c) for c in ("node", "n", "label")]
+            heads, others, sizes = [], [], []
+            for begin, end in groups:
+                node, n, label = (x[begin:end] for x in every)
+                order = np.lexsort((node, n))
+                node, n, label = node[order], n[order], label[order]
+                low = np.searchsorted(n, (OF_UNION * n + 99) // 100)
+                for i in range(1, len(node)):
+                    near = low[i] + np.flatnonzero(label[low[i] : i] != label[i])
+                    if len(near):
+                        near = near[np.argsort(node[near])]
+                        heads.append((node[i], n[i]))
+                        others.append(node[near])
+                        sizes.append(n[near])
+            if heads:
+                at = np.append(0, np.cumsum([len(x) for x in others])).astype(np.int64)
+                own = np.array(heads, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), packed(np.concatenate(others), at), packed(np.concatenate(sizes), at)], ["node", "n", "others", "sizes"])
 
     dealt = entries.select("shingle", "node", "n", "label").repartition("shingle").sortWithinPartitions("shingle")
     return dealt.mapInArrow(run, "node bigint, n bigint, others binary, sizes binary")
 
 
+def _near(sent: DataFrame) -> DataFrame:
+    """Nodes (node) that are near another one."""
+    return _candidates(sent).select(F.explode(F.array("node", "other")).alias("node")).distinct()
+
+
 def _candidates(sent: DataFrame) -> DataFrame:
     """(node, other) that share as many listed shingles as linked sets of their sizes do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in in_groups(batches, "node"):
-            n = int(_column(table, "n")[0])
-            others, at = unpacked(table.column("others").chunk(0), "<i8")
-            sizes, _ = unpacked(table.column("sizes").chunk(0), "<i8")
-            known, where = np.unique(others, return_index=True)
-            size = sizes[where]
-            both = needed(n, size)
-            goal = np.maximum(1, np.minimum(listed(n) - (n - both), listed(size) - (size - both)))
-            lists = [others[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            number, count = occurring(lists, int(goal.min()))
-            near = number[count >= goal[np.searchsorted(known, number)]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), _column(table, "node")[0], np.int64)), pa.array(near)], ["node", "other"])
+        for groups, table in in_groups(batches, ["node"], 4096):
+            node, n = _column(table, "node"), _column(table, "n")
+            others, at = unpacked(table.column("others").combine_chunks(), "<i8")
+            sizes, _ = unpacked(table.column("sizes").combine_chunks(), "<i8")
+            found = []
+            for begin, end in groups:
+                known, where = np.unique(others[at[begin] : at[end]], return_index=True)
+                size = sizes[at[begin] : at[end]][where]
+                both = needed(n[begin], size)
+                goal = np.maximum(1, np.minimum(listed(n[begin]) - (n[begin] - both), listed(size) - (size - both)))
+                number, count = occurring([others[at[i] : at[i + 1]] for i in range(begin, end)], int(goal.min()))
+                near = number[count >= goal[np.searchsorted(known, number)]]
+                if len(near):
+                    found.append(np.stack([np.full(len(near), node[begin]), near]))
+            if found:
+                pairs = np.concatenate(found, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["node", "other"])
 
     return sent.repartition("node").sortWithinPartitions("node").mapInArrow(run, "node bigint, other bigint")
 
@@ -321,21 +363,23 @@ def _compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The linked ones (a, b) of pairs (node, other), by whole sets: a node's candidates are indexed, and it is searched."""
     pairs = materialise(pairs)
     asked = materialise(pairs.groupBy("node").count())
-    wanted = checked(materialise(pairs.select("node").union(pairs.select("other")).distinct()), 100_000)
-    some = materialise(rows.select(F.col("row").alias("node"), "whole").join(wanted, "node"))
-    of_other = some.select(F.col("node").alias("other"), "whole")
     #: A node of very many candidates is searched in blocks of them.
     dealt = pairs.join(checked(asked), "node").withColumn("block", F.pmod(F.xxhash64("other"), F.ceil(F.col("count") / CELL_MEMBERS)))
-    queries = dealt.select("node", "block").distinct().join(some, "node").select("node", "block", F.lit(-1).cast("bigint").alias("other"), "whole")
-    both = queries.unionByName(dealt.join(of_other, "other").select("node", "block", "other", "whole"))
+    queries = dealt.select(F.col("node").alias("row"), "node", "block", F.lit(-1).cast("bigint").alias("other")).distinct()
+    wanted = materialise(queries.unionByName(dealt.select(F.col("other").alias("row"), "node", "block", "other")))
+    both = rows.select("row", "whole").join(checked(wanted, NARROW_ROWS), "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in in_groups(batches, "node", "block"):
-            other = _column(table, "other")
-            values, at = unpacked(table.column("whole").chunk(0))
-            query = int(np.flatnonzero(other < 0)[0])
-            found = Index(values, at).search(values[at[query] : at[query + 1]], other >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), _column(table, "node")[0], np.int64)), pa.array(other[found])], ["a", "b"])
+        for groups, table in in_groups(batches, ["node", "block"], 64):
+            node, other = _column(table, "node"), _column(table, "other")
+            a, b = [], []
+            for begin, end in groups:
+                values, at = whole_sets(table.column("whole").slice(begin, end - begin).combine_chunks())
+                query = int(np.flatnonzero(other[begin:end] < 0)[0])
+                found = Index(values, at).search(values[at[query] : at[query + 1]], other[begin:end] >= 0)
+                a += [node[begin]] * len(found)
+                b += other[begin:end][found].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return materialise(both.repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(run, "a bigint, b bigint"))
 
@@ -380,7 +424,12 @@ def links(rows: DataFrame, nodes: DataFrame, most_members: int = CELL_MEMBERS, m
 
     every = nodes.select("row", "n", "first").mapInArrow(entries_of, "shingle bigint, node bigint, n bigint")
     shared = materialise(every.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1"))
-    entries = materialise(every.join(checked(shared, 200_000), "shingle"))
+    entries = materialise(every.join(checked(shared, NARROW_ROWS), "shingle"))
+    if entries.isEmpty():
+        return None
+    near = _near(_sent(entries.where(F.col("m") <= list_members).withColumn("label", F.col("node"))))
+    near = materialise(near.union(entries.where(F.col("m") > list_members).select("node")).distinct())
+    entries = materialise(entries.join(checked(near, NARROW_ROWS), "node", "left_semi"))
     if entries.isEmpty():
         return None
     chosen = entries.groupBy("node", "n").agg(F.max(F.struct("m", "shingle")).alias("longest")).select(F.col("longest.shingle").alias("bucket"), "node", "n")
@@ -410,7 +459,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **si
     rows = materialise(sets(texts, sketch).withColumn("row", F.monotonically_increasing_id()))
     words = rows.where("n > 0")
     shapes = materialise(words.groupBy("shape").agg(F.min("row").alias("row"), F.min("id").alias("least")))
-    nodes = words.select("row", "n", "first").join(checked(shapes.select("row"), 200_000), "row", "left_semi")
+    nodes = words.select("row", "n", "first").join(checked(shapes.select("row"), NARROW_ROWS), "row", "left_semi")
     edges = links(words, nodes, **sizes)
     known = shapes
     if edges is not None and not edges.isEmpty():
