@@ -1,5 +1,6 @@
 """Operators on hand-made rows: the sequential rules against plain Python, and table-driven cases."""
 
+import copy
 import random
 
 import numpy as np
@@ -12,6 +13,7 @@ from tidewire.functions import text as X
 from tidewire.operators import analytics as A
 from tidewire.operators import clustering as C
 from tidewire.operators import dedup as D
+from tidewire.operators import displayed as U
 from tidewire.operators import graph as G
 from tidewire.operators import rounds
 from tidewire.operators import scoring as S
@@ -172,12 +174,18 @@ def test_claims_within_tolerance(spark):
     assert got.x == ["55%"]
 
 
-def test_equivalent_perspectives_group_in_order():
+def test_canonical_views_carry_leads_and_sources(spark):
     from tidewire.operators import perspectives as E
 
-    texts = ["Government welcomes the deal", "Government welcomes the deal!", "Critics call it a sell-out", "Government welcomes this deal"]
-    assert E.canonical(texts) == [0, 0, 1, 0]
-    assert E.keep_preferred([0, 1, 2], [0.1, 0.9, 0.5], {(0, 1), (1, 2)}) == [1]
+    a, b = "报道地震灾情及伤亡情况，关注救援进展和余震风险。", "报道地震伤亡及救援进展，关注余震风险。"
+    assert E.canonical([(["Reuters"], a), (["BBC"], b)]) == [(["Reuters", "BBC"], a)]
+    # A source speaks once; a view whose sources have all spoken is left out, as is one that only confirms.
+    groups = [(["x", " x ", ""], "  Oil is\n dear "), (["x", "y"], "Quite another thing is said here"), (["x"], "A third thing"), (["z"], "该来源报道与主摘要角度接近，未稳定提炼出可单列的差异化视角。"), (["z"], "oil is dear!"), (["w"], ""), ([], "No one says this")]
+    assert E.canonical(groups) == [(["x", "z"], "Oil is dear"), (["y"], "Quite another thing is said here")]
+    assert not E.distinct("This source Reports a similar angle to the main summary.") and not E.distinct("未提供足够的视角") and E.distinct("未提供" + "长" * 9 + "视角")
+    rows = spark.createDataFrame([(c, k, s, t) for c in (1, 2) for k, (s, t) in enumerate(groups)] + [(3, 0, None, None)], "c bigint, k int, s array<string>, t string")
+    got = {(r.c, r.place): (r.sources, r.perspective) for r in E.canonicalise(rows, "c", "k", "s", "t").collect()}
+    assert got == {(c, k): x for c in (1, 2) for k, x in enumerate(E.canonical(groups), 1)}
 
 
 def test_editorial_rules(spark):
@@ -244,6 +252,45 @@ def test_golden_coverage(spark):
     assert {r.day: (r.stories, r.covered) for r in got} == want
 
 
+@pytest.mark.parametrize("least", [40.0, 60.0, 85.0])
+def test_resembled_texts_equal_all_pairs(spark, least):
+    from tidewire.operators import storyline as L
+
+    rnd = random.Random(int(least))
+    words = ["storm", "coast", "king", "Spain", "exports", "fall", "falls", "the", "a", "日本", "ß", "harbour"]
+    text = lambda: " ".join(rnd.choice(words) + rnd.choice(["", "", "s"]) for _ in range(rnd.randint(0, 6)))
+    asked, known = [text() for _ in range(120)], [text() for _ in range(60)]
+    want = [a for a in asked if any(Y.token_set_ratio(a, k) >= least for k in known)]
+    assert L.resembled(asked, known, least) == want and 0 < len(want)
+    rows = [(d, t) for d in (1, 2) for t in asked]
+    fresh = [(1, t) for t in known] + [(2, t) for t in known[:9]]
+    got = L.golden_coverage(spark.createDataFrame(rows, "day int, headline string"), spark.createDataFrame(fresh, "day int, headline string"), least, block_rows=16).collect()
+    covered = lambda d: sum(bool(t.strip()) and any(Y.token_set_ratio(t, f) >= least for e, f in fresh if e == d and f.strip()) for t in asked)
+    assert {r.day: (r.stories, r.covered) for r in got} == {d: (sum(bool(t.strip()) for t in asked), covered(d)) for d in (1, 2)}
+
+
+@pytest.mark.parametrize(
+    "selector, want",
+    [
+        ("a", ["/1", "/2", "/3", "/4", "/5"]), ("nav a", ["/1", "/2"]), ("nav > a", ["/2"]), ("article a, .post a", ["/3", "/4"]), ("ul.menu li a.x", ["/1"]), ("a[href*='3'], a[href$=\"5\"]", ["/3", "/5"]),
+        ("#main a", ["/3"]), ("a[rel]", ["/4"]), ("h2 a", ["/3"]), ("* > h2 > a[href^='/']", ["/3"]), ("video a", []), ("a[rel='x,y']", ["/4"]),
+    ],
+)
+def test_selected_links(selector, want):
+    from tidewire.functions.selectors import selected
+
+    html = """<body><nav><ul class="menu top"><li><a class="x y" href="/1">1</a></li></ul><br><a href="/2">2</a></nav><article id=main><h2><a href="/3">3</a></h2></article>
+    <div class='post'><p>open<a rel="x,y" href="/4">4</a></div></p><a href="">none</a><a>none</a><img src=x><a href='/5'>5</a>"""
+    assert selected(html, selector) == want and selected(None, selector) == []
+
+
+def test_selectors_that_are_not_understood_fail():
+    from tidewire.functions.selectors import compiled
+
+    with pytest.raises(ValueError):
+        compiled("a:hover")
+
+
 def test_store_opens_and_replaces(spark, tmp_path):
     from tidewire.operators import catalogue as K
 
@@ -283,10 +330,60 @@ def test_report_files(spark, tmp_path):
 def test_foreach_batch_sink_keeps_keys_unique(spark, tmp_path):
     from tidewire.streaming import streams as R
 
+    kind = "k bigint, v string"
     write = R.append_new(f"{tmp_path}/table", ["k"])
-    write(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k bigint, v string"), 0)
-    write(spark.createDataFrame([(2, "d"), (3, "e")], "k bigint, v string"), 1)
-    assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/table").collect()) == [1, 2, 3]
+    batches = [spark.createDataFrame(x, kind) for x in ([(1, "a"), (1, "a"), (2, "c")], [(2, "d"), (3, "e")], [(3, "f"), (4, "g")])]
+    write(batches[0], 0)
+    write(batches[1], 1)
+    write(batches[1], 1)  # a batch that is run again leaves its rows once
+    write(batches[0], 0)
+    write(batches[2], 2)
+    got = sorted(map(tuple, R.read_appended(spark, f"{tmp_path}/table", kind).collect()))
+    assert [k for k, _ in got] == [1, 2, 3, 4] and got[0] == (1, "a") and got[3] == (4, "g")
+    assert R.read_appended(spark, f"{tmp_path}/none", kind).count() == 0
+
+
+def test_idle_keys_leave_the_state(spark, tmp_path):
+    from tidewire.streaming import streams as R
+
+    rows = [(k, hour) for hour in range(40) for k in ([0, 1, 2, 3, 4] if hour < 4 else [9])]
+    events = spark.createDataFrame(rows, "user_id bigint, hour int").select("user_id", F.timestamp_seconds(F.lit(1704067200) + F.col("hour") * 3600).alias("ts"))
+    sizes = {}
+    for idle in (None, "5"):
+        stream = R.lifecycle_state(R.in_batches(events, 8), idle=idle, lateness="1 hour")
+        query = stream.writeStream.foreachBatch(lambda b, e: b.count()).outputMode("update").option("checkpointLocation", f"{tmp_path}/{idle}").trigger(availableNow=True).start()
+        query.awaitTermination()
+        sizes[idle] = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert max(sizes["5"]) >= 5 and sizes["5"][-1] == 1 and sizes[None][-1] == 6
+
+
+def test_replacement_that_fails_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    from tidewire.operators import catalogue as K
+
+    path = f"file://{tmp_path}/t"
+    read = lambda: sorted(r.id for r in K.read_table(spark, path).collect())
+    for n in (1, 2, 3):
+        K.replace_table(spark.range(n), path)
+        assert read() == list(range(n))
+    assert len(K._generations(spark, path)) == 2  # the live one, and the one before for running readers
+    generations = K._generations
+    calls = []
+
+    def failing(s, p):
+        calls.append(p)
+        if len(calls) == 2:
+            raise OSError("the driver is lost between write and commit")
+        return generations(s, p)
+
+    monkeypatch.setattr(K, "_generations", failing)
+    with pytest.raises(OSError):
+        K.replace_table(spark.range(9), path)
+    monkeypatch.setattr(K, "_generations", generations)
+    assert read() == [0, 1, 2]
+    K.replace_table(spark.range(4), path)
+    assert read() == [0, 1, 2, 3]
+    with pytest.raises(FileNotFoundError):
+        K.read_table(spark, f"file://{tmp_path}/nothing")
 
 
 def test_vector_pairs_equal_all_pairs(spark):
@@ -332,40 +429,92 @@ def test_semantic_dedup_of_equal_vectors(spark):
         assert sorted(r.id for r in got.collect()) == sorted(want)
 
 
-def displayed(rows, least):
-    """D23 over all pairs as the reference has it: URLs of the suppressed pass to the preferred."""
-    urls, gone = [{r[2]} - {None} for r in rows], set()
-    for i, x in enumerate(rows):
-        for j in range(i + 1, len(rows)):
-            if i in gone:
+def resolved_by_pairs(cards, centroids, least=0.73):
+    """D23 pair by pair, as the rule is told: each shown card meets all later ones."""
+    for i, left in enumerate(cards):
+        for j in range(i + 1, len(cards)):
+            right = cards[j]
+            if left.action == "suppressed":
                 break
-            y = rows[j]
-            close = x[4] is not None and y[4] is not None and sum(a * b for a, b in zip(x[4], y[4], strict=True)) >= least
-            if j in gone or not (urls[i] & urls[j] or (x[3] is not None and x[3] == y[3]) or close):
+            if right.action == "suppressed":
+                continue
+            shared = bool({u for u, _ in left.articles} & {u for u, _ in right.articles})
+            cosine = float(np.dot(centroids[i], centroids[j])) if centroids[i] is not None and centroids[j] is not None else -1.0
+            reason, confidence = ("shared_article_url", 0.95) if shared else ("embedding_similarity", cosine)
+            if not shared and cosine < least:
                 continue
-            lost, kept = (i, j) if y[1] > x[1] else (j, i)
-            gone.add(lost)
-            urls[kept] |= urls[lost]
-    return {r[0] for k, r in enumerate(rows) if k not in gone}
+            if left.family and left.family == right.family and not shared and not (cosine >= 0.9 and len(set(left.sources) & set(right.sources)) >= 2):
+                continue
+            first = left.positive if left.positive != right.positive else (left.composite, len(left.groups), len(left.sources), left.new) >= (right.composite, len(right.groups), len(right.sources), right.new)
+            (left if first else right).take(right if first else left, reason, confidence)
+    return cards
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_display_dedup_equals_the_rule_over_all_pairs(spark, seed):
-    from tidewire.operators import perspectives as E
+def states(cards):
+    return [(c.id, c.action, c.reason, c.confidence, c.into, c.articles, c.sources, c.groups) for c in cards]
+
 
+@pytest.mark.parametrize("seed", range(6))
+def test_displayed_cards_equal_the_rule_pair_by_pair(seed):
     rnd = random.Random(seed)
-    schema = "id bigint, weight double, url string, title string, vector array<double>"
-    chain = [(1, 0.0, "u1", "same", None), (2, 5.0, "u2", "same", None), (3, 3.0, "u3", "same", None)]
-    assert {r.id for r in E.display_dedup(spark.createDataFrame(chain, schema)).collect()} == {2} == displayed(chain, 0.73)
-
-    def vector():
-        x = np.array([rnd.gauss(0, 1) for _ in range(5)])
-        return (x / np.linalg.norm(x)).tolist()
-
-    shared = [vector() for _ in range(3)]
-    rows = [(i, float(i % 7), rnd.choice([None, f"u{rnd.randrange(60)}"]), rnd.choice([None, None, f"t{rnd.randrange(40)}"]), rnd.choice([None, vector(), rnd.choice(shared)])) for i in range(150)]
-    got = [r.id for r in E.display_dedup(spark.createDataFrame(rows, schema)).collect()]
-    assert len(got) == len(set(got)) and set(got) == displayed(rows, 0.73)
+    views = ["Oil is dear", "oil is dear!", "The ministry rejects it", "No distinct perspective could be extracted", "Rain falls on the coast again"]
+
+    def card(i):
+        own = [(f"u{rnd.randrange(60)}", rnd.choice("abcd")) for _ in range(rnd.randint(0, 3))]
+        return U.Card(i, rnd.choice([0.2, 0.4, 0.4, 0.9]), rnd.random() < 0.5, rnd.choice([None, "f", "g"]), rnd.random() < 0.1, own, list(dict.fromkeys(x for _, x in own)), [([rnd.choice("abcde")], rnd.choice(views)) for _ in range(rnd.randint(0, 3))])
+
+    cards = [card(i) for i in range(60)]
+    centroids = [None if rnd.random() < 0.1 else np.array([np.cos(x), np.sin(x)]) for x in (rnd.choice([rnd.random() * 6.28, 0.5]) for _ in cards)]
+    got, want = U.resolve(copy.deepcopy(cards), centroids), resolved_by_pairs(copy.deepcopy(cards), centroids)
+    assert states(got) == states(want) and any(c.action == "merged" for c in got)
+
+
+@pytest.mark.parametrize(
+    "left, right, cosine, kept",
+    [
+        ({"composite": 0.8, "articles": [("u", "a")]}, {"composite": 0.6, "articles": [("u", "b")]}, 0.0, [0]),
+        ({"composite": 0.8}, {"composite": 0.6}, 0.99, [0]),
+        ({"composite": 0.6}, {"composite": 0.6}, 0.748, [0]),
+        ({"composite": 0.8}, {"composite": 0.6}, 0.64, [0, 1]),
+        ({"composite": 0.6}, {"composite": 0.8}, 0.75, [1]),
+        ({"composite": 0.9, "family": "f"}, {"composite": 0.85, "family": "f"}, 0.99, [0, 1]),
+        ({"composite": 0.9, "family": "f", "articles": [("u", "a")]}, {"composite": 0.85, "family": "f", "articles": [("u", "a")]}, 0.1, [0]),
+        ({"composite": 0.9, "family": "f", "sources": ["a", "b", "c"]}, {"composite": 0.8, "family": "f", "sources": ["c", "b"]}, 0.95, [0]),
+        ({"composite": 0.9, "family": "f", "sources": ["a", "b"]}, {"composite": 0.8, "family": "f", "sources": ["b", "c"]}, 0.95, [0, 1]),
+        ({"composite": 0.9, "family": "f"}, {"composite": 0.8, "family": "g"}, 0.95, [0]),
+        ({"composite": 0.9}, {"composite": 0.1, "positive": True}, 0.95, [1]),
+        ({"composite": 0.4, "groups": [(["a"], "x")]}, {"composite": 0.4, "groups": [(["a"], "x"), (["b"], "y")]}, 0.95, [1]),
+        ({"composite": 0.4}, {"composite": 0.4, "new": True}, 0.95, [1]),
+    ],
+)
+def test_displayed_pairs(left, right, cosine, kept):
+    cards = [U.Card(0, **copy.deepcopy(left)), U.Card(1, **copy.deepcopy(right))]
+    U.resolve(cards, [np.array([1.0, 0.0]), np.array(unit(cosine))])
+    assert [c.id for c in cards if c.action != "suppressed"] == kept
+
+
+def test_merged_cards_take_articles_sources_and_views():
+    a, b = "报道地震灾情及伤亡情况，关注救援进展和余震风险。", "报道地震伤亡及救援进展，关注余震风险。"
+    left = U.Card(1, 0.9, articles=[("u", "Reuters"), ("v", "Reuters")], sources=["Reuters"], groups=[(["Reuters"], a)])
+    right = U.Card(2, 0.8, articles=[("u", "AFP"), ("w", "BBC")], sources=["AFP", "BBC"], groups=[(["BBC"], b)])
+    U.resolve([left, right], [None, None])
+    assert left.articles == [("u", "Reuters"), ("v", "Reuters"), ("w", "BBC")] and left.sources == ["Reuters", "BBC"] and left.groups == [(["Reuters", "BBC"], a)]
+    assert (left.action, right.action, right.into, left.reason, left.confidence) == ("merged", "suppressed", 1, "shared_article_url", 0.95)
+
+
+def test_displayed_query_equals_the_rule_pair_by_pair(spark):
+    from tidewire.plans import payload_queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    rows = Q.displayed(spark, sf).orderBy("report", "place", "id").collect()
+    want = []
+    for report in sorted({r.report for r in rows}):
+        own = [r for r in rows if r.report == report]
+        cards = [U.Card(r.id, r.composite, r.new, r.family, r.positive, [(x.url, x.source) for x in r.articles], list(r.sources), [(list(g.sources), g.perspective) for g in r.groups]) for r in own]
+        want += states(resolved_by_pairs(cards, [None if r.centroid is None else np.array(r.centroid) for r in own]))
+    got = Q.QUERIES["d23_display_dedup"](spark, sf).collect()
+    assert sorted((r.id, r.action, r.reason, r.confidence, r.into, r.urls, r.sources, [(g.sources, g.perspective) for g in r.groups]) for r in got) == sorted((*w[:5], [u for u, _ in w[5]], w[6], w[7]) for w in want)
+    assert {r.action for r in got} == {"kept", "merged", "suppressed"}
 
 
 def unit(cosine):

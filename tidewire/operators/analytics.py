@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.functions.text import is_real
+
 from tidewire.sources.views import DIMENSIONS
 
 
@@ -60,6 +62,16 @@ def source_regions(members: DataFrame, sources: DataFrame) -> DataFrame:
     return members.join(sources.select("source_id", F.col("name").alias("source_name"), F.col("region").alias("origin_region")), "source_id")
 
 
+def article_regions(clusters: DataFrame, articles: DataFrame, sources: DataFrame) -> DataFrame:
+    """cluster_id, source name and region of each real article of each cluster (id, article_ids), repeated ones kept.
+
+    articles: id, url, source_name; sources: name, region (null where the source is unknown).
+    """
+    listed = clusters.select(F.col("id").alias("cluster_id"), F.explode("article_ids").alias("id"))
+    real = articles.where(is_real(F.col("url"))).select("id", "source_name")
+    return listed.join(real, "id").join(sources.select(F.col("name").alias("source_name"), F.col("region").alias("origin_region")), "source_name", "left").select("cluster_id", "source_name", "origin_region")
+
+
 def source_subject(rows: DataFrame, member_regions: DataFrame) -> DataFrame:
     """Source region by subject region; every pair counts once per selected cluster."""
     subjects = rows.where("selected AND cluster_id IS NOT NULL").select("cluster_id", F.explode(_subjects(F.col("subject_regions"))).alias("subject_region"))

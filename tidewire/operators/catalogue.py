@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.operators.rounds import dense_places
+
 # The tables of the store with their columns.
 TABLES = {
     "articles": "id bigint, url string, title string, source_name string, published_at timestamp, content string, topics array<string>, embedding array<float>, clustered boolean, is_searched boolean, search_region string, source_kind string, platform string, account_id string, is_official_source boolean, origin_region string, searched_provider string, is_placeholder boolean, search_acceptance_status string, search_acceptance_reason string, search_evidence_role string, ownership_suppressed boolean, created_at timestamp",
@@ -36,13 +38,46 @@ def _filesystem(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the table, then put the new folder in its place; a failed write leaves the old one."""
-    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
-    df.write.parquet(staged)
-    target, fs = _filesystem(df.sparkSession, path)
-    fs.delete(target, True)
-    fs.rename(_filesystem(df.sparkSession, staged)[0], target)
+POINTER = "_live-"
+
+
+def _generations(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, folder) of the generations that a table's pointers name, oldest first."""
+    p, fs = _filesystem(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    return sorted((int(number), folder) for number, _, folder in (n.removeprefix(POINTER).partition("-") for n in names if n.startswith(POINTER)))
+
+
+def replace_table(df: DataFrame, path: str, keep: int = 1) -> None:
+    """Write a new generation, then name it live by one rename of its pointer; until then, and if anything fails, readers see the old one.
+
+    Generations are folders beside each other, and the pointer with the highest number names the live one. Older ones are
+    swept after the commit, but for `keep` of them, so that running readers may finish. One writer at a time: a second one
+    that commits the same number fails.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    folder = f"gen-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{folder}")
+    known = _generations(spark, path)
+    number = known[-1][0] + 1 if known else 1
+    staged, fs = _filesystem(spark, f"{path}/_next-{folder}")
+    fs.create(staged, False).close()
+    if any(n >= number for n, _ in _generations(spark, path)) or not fs.rename(staged, _filesystem(spark, f"{path}/{POINTER}{number:010d}-{folder}")[0]):
+        raise RuntimeError(f"another writer has replaced {path}")
+    for n, old in known[: max(0, len(known) - keep)]:
+        fs.delete(_filesystem(spark, f"{path}/{POINTER}{n:010d}-{old}")[0], False)
+        fs.delete(_filesystem(spark, f"{path}/{old}")[0], True)
+
+
+def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The live generation of a table."""
+    known = _generations(spark, path)
+    if not known:
+        raise FileNotFoundError(f"{path} has no generation")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{path.rstrip('/')}/{known[-1][1]}")
 
 
 def open_store(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -50,10 +85,9 @@ def open_store(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     out = {}
     for name, schema in TABLES.items():
         path = f"{root.rstrip('/')}/{name}"
-        p, fs = _filesystem(spark, path)
-        if not fs.exists(p):
-            spark.createDataFrame([], schema).write.parquet(path)
-        out[name] = spark.read.schema(schema).parquet(path)
+        if not _generations(spark, path):
+            replace_table(spark.createDataFrame([], schema), path)
+        out[name] = read_table(spark, path, schema)
         out[name].createOrReplaceTempView(name)
     return out
 
@@ -64,10 +98,11 @@ def by_key(rows: DataFrame, key: str, value) -> DataFrame:
 
 
 def append_numbered(existing: DataFrame, incoming: DataFrame, order: list, key: str = "id") -> DataFrame:
-    """Incoming rows get the ids after the largest one, in order, and are appended."""
-    top = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    numbered = incoming.withColumn(key, F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(top))
-    return existing.unionByName(numbered.withColumn(key, (F.col(key) + F.col("_top")).cast(existing.schema[key].dataType)).select(*existing.columns))
+    """Incoming rows get the ids after the largest one, in order, and are appended; ids come from places inside ranges of the order."""
+    top = existing.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
+    placed = dense_places(incoming, *[F.col(c) if isinstance(c, str) else c for c in order], name="_place")
+    numbered = placed.withColumn(key, (F.col("_place") + F.lit(int(top))).cast(existing.schema[key].dataType))
+    return existing.unionByName(numbered.select(*existing.columns))
 
 
 def link(rows: DataFrame, links: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import char_ngrams, jaccard
+from tidewire.operators.rounds import dense_places
 from tidewire.operators.similarity import bucketed_pairs, dot
 
 
@@ -37,7 +38,7 @@ def cluster_order(members: DataFrame, regions: DataFrame) -> DataFrame:
     """Clusters by regions, sources and articles, largest first."""
     met = members.join(regions.select(F.col("name").alias("source_name"), "region"), "source_name", "left")
     g = met.groupBy("component").agg(F.countDistinct(F.nullif(F.col("region"), F.lit(""))).alias("regions"), F.countDistinct("source_name").alias("sources"), F.count("*").alias("articles"))
-    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("regions"), F.desc("sources"), F.desc("articles"), "component")))
+    return dense_places(g, F.desc("regions"), F.desc("sources"), F.desc("articles"), F.col("component")).withColumn("place", F.col("place").cast("int"))
 
 
 def validate_cluster(rows: DataFrame, group: str, key: str, vector: str, least: float, title: str | None = None, overlap: float = 0.05, pair: float = 0.50, pair_overlap: float = 0.03) -> DataFrame:

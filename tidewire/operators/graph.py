@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewire.runtime import checked, materialise, small_enough
+
 
-from tidewire.runtime import checked, materialise
+#: Edges that are at most so many are joined in one task, which is sooner done than a round over the cluster.
+FINISH_ROWS = 200_000
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, finish_rows: int = FINISH_ROWS) -> DataFrame:
     """(id, component), the component named by its smallest id; nodes without edges are their own.
 
-    Label spreading with pointer jumping over written tables: rounds grow with the logarithm of the diameter.
+    Label spreading with pointer jumping over written tables: rounds grow with the logarithm of the diameter. At most
+    `finish_rows` edges of numbered nodes are joined in one task instead.
     """
-    both = materialise(edges.select("a", "b").where("a <> b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct())
+    one_way = materialise(edges.select("a", "b").where("a <> b"))
+    if isinstance(one_way.schema["a"].dataType, T.LongType) and small_enough(one_way, finish_rows):
+        joined = checked(materialise(one_way.coalesce(1).mapInArrow(_joined, "id bigint, component bigint")), finish_rows)
+        return nodes.select("id").distinct().join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    both = materialise(one_way.union(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = materialise(nodes.select("id", F.col("id").alias("component")).distinct())
     while True:
         heard = both.join(checked(labels.select(F.col("id").alias("b"), F.col("component").alias("c"))), "b").groupBy("a").agg(F.min("c").alias("c"))
@@ -28,6 +41,25 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = jumped
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, component) of the ends of all edges (a, b)."""
+    parts = [np.stack([b.column(c).to_numpy() for c in ("a", "b")]) for b in batches if b.num_rows]
+    if not parts:
+        return
+    ids, ends = np.unique(np.concatenate(parts, 1), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    label = np.arange(len(ids))
+    while True:
+        before = label.copy()
+        np.minimum.at(label, a, before[b])
+        np.minimum.at(label, b, before[a])
+        np.minimum.at(label, before, label.copy())  # whoever led a node hears of its new lead
+        label = label[label]
+        if (label == before).all():
+            break
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], ["id", "component"])
+
+
 def split_coherently(vectors: np.ndarray, least: float) -> list[list[int]]:
     """The medoid, then greedily the member that keeps the mean pairwise cosine highest while at least `least`; the rest again.
 

@@ -25,8 +25,7 @@ REMNANT = "(?i)(?:超|超过|约|近|达|至少|至多|致|导致|造成)\\s*(?:
 #: A claim: a number with sign, a range, scale and unit; and what stands near a single digit that is one.
 CLAIM = f"((?:[$€£¥￥]\\s*)?{_NUMBER}(?:\\s*[-–—:比]\\s*{_NUMBER})?(?:\\s*(?:千|천|万|만|亿|억|兆|조)(?:\\s*{_NUMBER})?)?(?:\\s*(?:%|％|万亿美元|亿美元|亿元|万元|美元|欧元|人民币|票|项|例|病例|人|名|家|国|枚|架|艘|倍|岁|年|月|日|건|명))?)"
 CONTEXT = "(?iU)[$€£¥￥%％]|万亿美元|亿美元|亿元|万元|美元|欧元|人民币|票|项|例|病例|人|名|家|国|枚|架|艘|倍|岁|年|月|日|건|명|死亡|死者|遇难|伤亡|受伤|伤者|确诊|病例|\\b(?:dead|death(?:s)?|died|kill(?:ed|s)?|casualt(?:y|ies)|injur(?:ed|y|ies)|people|persons|cases|patients|votes?|years?|months?|days?|percent|points?|items?|ships?|aircraft)\\b"
-CORRUPTED = "(?i)有关数字|certain number"
-BARE = "(?i)^\\s*[0-9,]+(?:\\.[0-9]+)?\\s*(?:[%％]|万人|万|人|死者|dead|injured)?\\s*[。.!?]?$"
+CORRUPTED = ("有关数字|certain number", "^\\s*[\\d,]+(?:\\.\\d+)?\\s*(?:[%％]|万人|万|人|死者|dead|injured)?\\s*[。.!?]?$")
 BEFORE, BEHIND = 12, 24
 BLOCKED = ("needs_review", "seek_more_evidence", "suppress")
 
@@ -145,12 +144,12 @@ def publication_issues(articles: Column, status: Column, flags: Column, summary:
 
 
 def publication_rejection(issues: Column, flags: Column, status: Column, summary: Column, summary_en: Column) -> Column:
-    """why a summary is not published: its issues, else a blocked status, else visibly corrupted text; null publishes."""
+    """why a summary is not published: its issues, else a blocked status, else visibly corrupted text with the pattern that it shows; null publishes."""
     free = ~F.array_contains(flags, "human_approved")
-    corrupted = lambda t: F.coalesce(t, F.lit("")).rlike(CORRUPTED) | F.coalesce(t, F.lit("")).rlike(BARE)
+    corrupted = F.coalesce(*[F.when(F.coalesce(t, F.lit("")).rlike(f"(?i){p}"), F.lit(f"malformed_summary={p}")) for t in (summary, summary_en) for p in CORRUPTED])
     return (
         F.when(F.size(issues) > 0, F.array_join(issues, ";")).when(free & status.isin(*BLOCKED), F.concat(F.lit("quality_status="), status))
-        .when(free & F.array_contains(flags, "unsupported_numeric_claim"), "unsupported_numeric_claim").when(corrupted(summary) | corrupted(summary_en), "malformed_summary")
+        .when(free & F.array_contains(flags, "unsupported_numeric_claim"), "unsupported_numeric_claim").otherwise(corrupted)
     )
 
 

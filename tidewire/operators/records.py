@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.functions.selectors import selected_udf
+from tidewire.runtime import checked
+
 # Paths of listing pages, and how many rows of a queue are shown.
 LISTED = ("/tag/", "/category/", "/page/", "/author/", "/search", "/about", "/contact", "#")
 QUEUE_LIMITS = (1, 500)
@@ -19,12 +22,17 @@ def absolute(base: Column, href: Column) -> Column:
 
 
 def article_links(pages: DataFrame, rules: DataFrame, limit: int = 25) -> DataFrame:
-    """(page_id, pos, link): each page's distinct links to its own domain, in order, listing paths left out, with the domain's required part (rules: domain, part).
+    """(page_id, pos, link): each page's distinct links to its own domain, in order, listing paths left out.
 
-    A link's element is not looked at: selectors by element come down to the required part of its URL.
+    rules (domain, part and, if there are any, selector): a domain's selector chooses the elements whose links count, and
+    its part must stand in the URL. Pages of other domains give all their links, by column expressions; only pages with a
+    selector are read by the matcher.
     """
     domain = F.lower(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    met = pages.select("page_id", "url", domain.alias("domain"), F.regexp_extract_all("html", F.lit("<a\\s[^>]*href=[\"']([^\"']+)[\"']"), 1).alias("hrefs")).join(F.broadcast(rules), "domain", "left")
+    met = pages.select("page_id", "url", domain.alias("domain"), F.regexp_extract_all("html", F.lit("<a\\s[^>]*href=[\"']([^\"']+)[\"']"), 1).alias("hrefs"), "html").join(checked(rules), "domain", "left")
+    if "selector" in rules.columns:
+        with_rule = met.where("selector IS NOT NULL").withColumn("hrefs", selected_udf("html", "selector"))
+        met = met.where("selector IS NULL").unionByName(with_rule)
     full = F.transform("hrefs", lambda h: absolute(F.col("url"), h))
     path = lambda u: F.regexp_extract(u, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     own = lambda u: F.contains(F.lower(F.regexp_extract(u, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.col("domain"))
@@ -95,6 +103,29 @@ def review_lines(reviews: DataFrame) -> DataFrame:
     return reviews.select("id", F.format_string("#%d %s/%s %s %s verdict=%s reason=%s", "id", "target_label", "target_region", "stage", "domain", "verdict", "reason").alias("line"))
 
 
+def _in_order(rows: DataFrame, order: list[Column], line: Column, limit: int) -> DataFrame:
+    """(place, line) of the first `limit` rows in an order: a report's section."""
+    first = rows.orderBy(*order).limit(limit).agg(F.collect_list(line).alias("lines"))
+    return first.select(F.posexplode("lines").alias("place", "line"))
+
+
+def audit_lines(issues: DataFrame, contribution: DataFrame, silent: DataFrame, ranked: int = 15) -> DataFrame:
+    """Section, place, line of an audit's text: issues by name (key, n), the sources that contribute most (as A06 has them), and those that contribute nothing (source_name)."""
+    counted = _in_order(issues, [F.asc("key")], F.format_string("- %s: %d", "key", "n"), 10_000)
+    best = _in_order(contribution, [F.desc("impact_weighted"), F.asc("source_name")], F.format_string("  %-35s %6d  %7.3f  %5d  %5d", "source_name", "appearances", "impact_weighted", "exclusive", "selected_count"), ranked)
+    none = silent.agg(F.array_join(F.array_sort(F.collect_set("source_name")), ", ").alias("names")).where("names <> ''")
+    none = none.select(F.lit(0).alias("place"), F.concat(F.lit("  Zero-contribution (candidates to drop): "), "names").alias("line"))
+    sections = [x.select(F.lit(name).alias("section"), F.col("place").cast("bigint").alias("place"), "line") for name, x in (("issues", counted), ("sources", best), ("silent", none))]
+    return sections[0].union(sections[1]).union(sections[2])
+
+
+def calibration_lines(weights: DataFrame) -> DataFrame:
+    """Place, line of the calibration's text, by dimension: weight, seed, their ratio (n/a for a seed of 0) and when it changed (dimension, weight, seed, updated_at as text)."""
+    ratio = F.when(F.col("seed") != 0, F.format_string("%.2fx", F.col("weight") / F.col("seed"))).otherwise("n/a")
+    line = F.format_string("  %-22s %.4f  (seed %.4f, %s)  [%s]", "dimension", "weight", "seed", ratio, F.coalesce("updated_at", F.lit("")))
+    return _in_order(weights, [F.asc("dimension")], line, 10_000)
+
+
 def feedback_lines(rows: DataFrame) -> DataFrame:
     """Per day, accepted and rejected stories as one line each, in order, and their counts."""
     line = F.concat(F.when(F.col("verdict") > 0, "+ ").otherwise("- "), "label", F.lit(" ("), F.format_number("composite", 2), F.lit(")"))

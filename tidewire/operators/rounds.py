@@ -63,7 +63,7 @@ def _in_one_task(speaks: DataFrame, listens: DataFrame) -> DataFrame:
                 taken[number[own[speaking]]] = True
         yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], ["id"])
 
-    rows = speaks.withColumn("says", F.lit(1)).union(listens.withColumn("says", F.lit(0)))
+    rows = speaks.withColumn("says", F.lit(1)).unionByName(listens.withColumn("says", F.lit(0)))
     return rows.coalesce(1).mapInArrow(run, "id bigint")
 
 
@@ -99,3 +99,15 @@ def displacing(edges: DataFrame, finish_rows: int = FINISH_ROWS) -> DataFrame:
 def numbered(rows: DataFrame, *order: Column) -> DataFrame:
     """rows (written) with place: ascending numbers in the given order, with gaps; dealt by ranges, so that no task holds all."""
     return materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
+
+
+def dense_places(rows: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """rows (written) with their places 1, 2, 3 ... in the given order: numbered inside ranges, plus the rows of the ranges before. Ties take any order."""
+    placed = numbered(rows, *order)
+    before, table = 0, []
+    for number, n in sorted(map(tuple, placed.groupBy(F.shiftright("place", 33).alias("range")).count().collect())):
+        table.append((number, before))
+        before += n
+    offsets = F.broadcast(placed.sparkSession.createDataFrame(table, "_range bigint, _before bigint"))
+    met = placed.join(offsets, F.shiftright("place", 33) == F.col("_range"))
+    return met.select(*rows.columns, (F.col("_before") + F.col("place").bitwiseAND((1 << 33) - 1) + 1).alias(name))

@@ -84,11 +84,14 @@ def _groups(s, d):
     return lines.select("cluster_id", "pos", F.array("source_name", F.lit("S3")).alias("sources"), "text")
 
 
-@query("r05_perspective_payload", f"""WITH p AS (SELECT cluster_id, source_name, bool_or({_COUNTS}) AS ok, bool_or(NOT is_placeholder) AS really FROM v_search GROUP BY 1, 2), m AS (SELECT cluster_id, count(*) FILTER (really) >= 2 AS multi FROM p GROUP BY 1),
+_VIEWS_SQL = f"""WITH p AS (SELECT cluster_id, source_name, bool_or({_COUNTS}) AS ok, bool_or(NOT is_placeholder) AS really FROM v_search GROUP BY 1, 2), m AS (SELECT cluster_id, count(*) FILTER (really) >= 2 AS multi FROM p GROUP BY 1),
  g AS (SELECT v.cluster_id, v.pos, CASE WHEN v.pos % 5 = 0 THEN 'It is irrelevant' ELSE 'View ' || v.pos END AS text, sum(CASE WHEN a.source_name IS NULL THEN 0 ELSE 1 END + CASE WHEN b.source_name IS NULL THEN 0 ELSE 1 END) AS n, min(CASE WHEN v.pos % 5 = 0 THEN 0 ELSE 1 END) AS ok FROM v_search v LEFT JOIN p a ON a.ok AND a.cluster_id = v.cluster_id AND a.source_name = v.source_name LEFT JOIN p b ON b.ok AND b.cluster_id = v.cluster_id AND b.source_name = 'S3' GROUP BY 1, 2, 3),
  r AS (SELECT *, n > 0 AND ok = 1 AS shown, row_number() OVER (PARTITION BY cluster_id, n > 0 AND ok = 1 ORDER BY pos) AS k FROM g),
  o AS (SELECT cluster_id, count(*) FILTER (shown) AS shown, count(*) FILTER (NOT shown) AS suppressed, coalesce(sum(n) FILTER (shown), 0) AS shown_sources, string_agg(text, ' / ' ORDER BY pos) FILTER (shown AND k <= 2) AS first FROM r GROUP BY 1)
- SELECT o.cluster_id, CASE WHEN multi THEN shown ELSE 0 END AS distinct_perspectives, suppressed, CAST(shown_sources AS BIGINT) AS shown_sources, multi AND shown >= 2 AS expandable, CASE WHEN shown >= 2 THEN first ELSE '' END AS preview FROM o JOIN m ON m.cluster_id = o.cluster_id""")
+ SELECT o.cluster_id, CASE WHEN multi THEN shown ELSE 0 END AS distinct_perspectives, suppressed, CAST(shown_sources AS BIGINT) AS shown_sources, multi AND shown >= 2 AS expandable, CASE WHEN shown >= 2 THEN first ELSE '' END AS preview FROM o JOIN m ON m.cluster_id = o.cluster_id"""
+
+
+@query("r05_perspective_payload", _VIEWS_SQL)
 def r05(s, d):
     return B.perspective_payload(_groups(s, d), V.search_articles(s, d))
 
@@ -121,6 +124,50 @@ def k06(s, d):
     return read.select("cluster_id", F.size("r.sources").cast("bigint").alias("sources"), F.size(F.filter("r.sources", lambda x: x["url"].isNotNull())).cast("bigint").alias("linked"))
 
 
+_TOPICS = ("国际时政", "商业财经", "World", "Odd")
+_HEADED = "CASE WHEN o_orderkey % 5 > 0 THEN 'Head ' || o_orderkey ELSE ['国际时政', '商业财经', 'World', 'Odd'][CAST(o_orderkey % 4 + 1 AS BIGINT)] END"
+
+
+@query("k06_report_payload", f"""WITH c AS (SELECT cluster_id, count(*) FILTER (NOT is_placeholder) AS real_articles, count(*) FILTER (is_placeholder) AS placeholders, count(DISTINCT source_name) FILTER (NOT is_placeholder) AS real_sources, count(DISTINCT region) FILTER (NOT is_placeholder AND NOT is_searched) AS organic_regions FROM v_search GROUP BY 1),
+ so AS (SELECT cluster_id, string_agg(source_name, ',' ORDER BY p) AS sources FROM (SELECT cluster_id, source_name, min(pos) AS p FROM v_search WHERE NOT is_placeholder GROUP BY 1, 2) GROUP BY 1), vs AS ({_VIEWS_SQL}),
+ pl AS (SELECT o_orderkey AS cluster_id, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_custkey % 3 = 0 THEN 'hot' WHEN o_orderkey % 2 = 0 THEN 'main' ELSE 'positive' END AS lane, CASE WHEN o_custkey % 3 = 0 THEN 'f' || o_custkey % 2 ELSE '' END AS family, o_orderkey, o_totalprice FROM orders)
+ SELECT CAST(date AS VARCHAR) AS date, count(*) OVER (PARTITION BY date) AS total, lane, family, count(*) OVER (PARTITION BY date, lane, family) AS members, CAST(row_number() OVER (PARTITION BY date ORDER BY CASE lane WHEN 'hot' THEN 0 WHEN 'main' THEN 1 ELSE 2 END, family, cluster_id) AS INTEGER) AS index, cluster_id,
+  {_HEADED} AS headline, 'Body ' || o_orderkey || '.' || chr(10) || chr(10) || 'More.' AS summary, CASE WHEN o_orderkey % 2 = 0 THEN 'English ' || o_orderkey END AS headline_en, CASE WHEN o_orderkey % 6 = 1 THEN 'Society' ELSE ['World', 'Business', 'World', 'World'][CAST(o_orderkey % 4 + 1 AS BIGINT)] END AS broad_category,
+  coalesce(sources, '') AS sources, coalesce(real_sources, 0) >= 2 AS is_multi, coalesce(real_articles, 0) AS linked, coalesce(placeholders, 0) AS placeholders, coalesce(organic_regions, 0) AS regions, coalesce(distinct_perspectives, 0) AS views, coalesce(expandable, false) AS expandable, coalesce(preview, '') AS preview,
+  o_orderkey % 3 = 0 AS is_developing, round(o_totalprice / 500000, 3) AS impact FROM pl LEFT JOIN c USING (cluster_id) LEFT JOIN so USING (cluster_id) LEFT JOIN vs USING (cluster_id)""")
+def k06_payload(s, d):
+    """Reports by day, written as JSON documents and read again by their schema: one row for each card, with its place in the report."""
+    import uuid
+
+    from tidewire.operators import report as R
+    from tidewire.runtime import keep, scratch_root
+
+    o, k = V.table(s, d, "orders"), F.col("o_orderkey")
+    head = F.when(k % 5 > 0, F.concat(F.lit("**Head "), k.cast("string"), F.lit("**\n\n"))).otherwise("")
+    summary = F.concat(head, F.lit("Body "), k.cast("string"), F.lit(".\n\n• 【S1】 a view\nMore.\n \n"))
+    texts = o.select(
+        k.alias("cluster_id"), V.pick(_TOPICS, k % 4).alias("topic"), F.when(k % 6 == 1, "社会民生").alias("display_category"), summary.alias("summary"), F.when(k % 2 == 0, F.concat(F.lit("**English "), k.cast("string"), F.lit("**\nText."))).alias("summary_en"),
+        F.when(k % 3 == 0, "developing").alias("freshness_state"), F.lit("key").alias("storyline_key"), F.lit("name").alias("storyline_name"), F.lit(None).cast("string").alias("storyline_role"), F.lit(0.5).alias("quality_score"), F.lit(None).cast("string").alias("quality_status"),
+        F.array(F.lit("flag")).alias("quality_flags"), F.lit(None).cast("string").alias("duplicate_action"), (F.col("o_totalprice") / 500000).alias("composite"))
+    articles = V.search_articles(s, d).withColumn("published_at", F.timestamp_seconds(F.col("pos") % 86400))
+    cards = R.cards(texts, articles, _groups(s, d), s.createDataFrame([("S1", ["jti"])], "source_name string, codes array<string>"))
+    lane = F.when(F.col("o_custkey") % 3 == 0, "hot").when(k % 2 == 0, "main").otherwise("positive")
+    family = F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("f"), (F.col("o_custkey") % 2).cast("string")))
+    placed = o.select(F.col("o_orderdate").cast("date").alias("date"), k.alias("cluster_id"), lane.alias("lane"), k.alias("place"), family.alias("family"), family.alias("family_name"))
+    root = f"{scratch_root(s)}/reports-{uuid.uuid4().hex}"
+    keep(s, root)
+    R.report_payloads(placed, cards).select("doc").write.text(root)
+    read = s.read.schema(R.PAYLOAD).json(root)
+    one = lambda name, cards, family, n: F.transform(cards, lambda c: F.struct(F.lit(name).alias("lane"), family.alias("family"), n.cast("bigint").alias("members"), c.alias("c")))
+    none = F.lit("")
+    all_of = F.concat(one("main", F.col("clusters"), none, F.size("clusters")), one("positive", F.col("positive_stories"), none, F.size("positive_stories")), F.flatten(F.transform("hot_topics", lambda h: one("hot", h["summaries"], h["storyline_key"], h["member_count"]))))
+    flat = read.select("date", F.col("total_cluster_count").alias("total"), F.explode(all_of).alias("x")).select("date", "total", "x.lane", "x.family", "x.members", "x.c.*")
+    linked = F.size(F.filter("articles", lambda a: a["url"].isNotNull())).cast("bigint")
+    return flat.select(
+        "date", "total", "lane", "family", "members", "index", "cluster_id", "headline", "summary", "headline_en", "broad_category", F.array_join("sources", ",").alias("sources"), "is_multi", linked.alias("linked"), F.col("placeholder_count").alias("placeholders"),
+        F.col("organic_unique_regions").alias("regions"), F.col("distinct_perspective_count").alias("views"), F.col("has_expandable_perspectives").alias("expandable"), F.col("perspective_preview").alias("preview"), "is_developing", F.col("impact_composite").alias("impact"))
+
+
 # Acceptance
 
 _HOST = "regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '^www\\.', '')"

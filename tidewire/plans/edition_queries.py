@@ -170,7 +170,7 @@ _HEADS_SQL = "['俄军袭击乌克兰边境', '关税谈判继续', 'Only Englis
 @query("r09_repaired_labels", f"""WITH o AS (SELECT o_orderkey AS id, o_custkey AS report, {_NAMES_SQL}[CAST(o_orderkey % 6 + 1 AS BIGINT)] AS n0, {_HEADS_SQL}[CAST(o_orderkey % 5 + 1 AS BIGINT)] AS h0, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders),
  k AS (SELECT *, CASE o_orderkey6 WHEN 0 THEN '美以伊局势' WHEN 1 THEN '关税战' WHEN 2 THEN 'Tariffwar' WHEN 4 THEN 'Нефть' WHEN 5 THEN '炼油厂火灾' END AS nm, CASE h5 WHEN 0 THEN '俄军袭击乌克兰边境' WHEN 1 THEN '关税谈判继续' WHEN 2 THEN 'OnlyEngli' || 's' WHEN 3 THEN '洪水退去' WHEN 4 THEN '日本の製油' END AS lead FROM (SELECT *, id % 6 AS o_orderkey6, id % 5 AS h5 FROM o)),
  f AS (SELECT *, coalesce(nm, lead) AS name, h5 = 0 AS esc, o_orderkey6 IN (0, 5) AS stale, h5 IN (0, 1, 3) AS zh FROM k),
- l AS (SELECT *, CASE WHEN esc AND stale THEN lead WHEN o_orderkey6 IN (0, 1, 5) OR (o_orderkey6 = 3 AND zh) THEN name WHEN zh THEN lead ELSE name END AS label FROM f) SELECT report, id AS family, label FROM l WHERE place = 1""")
+ l AS (SELECT *, CASE WHEN esc AND stale THEN lead WHEN o_orderkey6 IN (0, 1, 5) OR (o_orderkey6 = 3 AND zh) THEN name WHEN zh THEN lead ELSE name END AS label, CASE WHEN esc AND stale THEN sp WHEN o_orderkey6 IN (0, 1, 5) OR (o_orderkey6 = 3 AND zh) THEN ne WHEN zh THEN coalesce(sp, ne) ELSE ne END AS label_en FROM (SELECT *, CASE WHEN id % 4 <> 0 THEN 'Family ' || id END AS ne, CASE WHEN zh AND id % 7 <> 0 THEN 'Short ' || id END AS sp FROM f)) SELECT report, id AS family, label, label_en FROM l WHERE place = 1""")
 def r09(s, d):
     from pyspark.sql import Window
 
@@ -180,8 +180,8 @@ def r09(s, d):
     name = V.pick(("热点专题：美以伊局势", "关税战 ", "Tariff war", "", "Нефть", "炼油厂火灾"), k % 6)
     head = V.pick(("俄军袭击乌克兰边境", "关税谈判继续", "Only English here", "洪水退去。", "日本の製油"), k % 5)
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    families = o.select(F.col("o_custkey").alias("report"), place.alias("place"), k.alias("family"), name.alias("name"), F.lit(None).cast("string").alias("name_en"), F.lit("关税战").alias("storyline_name"))
-    members = o.select(k.alias("family"), F.lit(1).alias("pos"), F.lit(None).cast("string").alias("short_name"), head.alias("headline"))
+    families = o.select(F.col("o_custkey").alias("report"), place.alias("place"), k.alias("family"), name.alias("name"), F.when(k % 4 != 0, F.concat(F.lit(" Family "), k.cast("string"))).alias("name_en"), F.lit("关税战").alias("storyline_name"))
+    members = o.select(k.alias("family"), F.lit(1).alias("pos"), F.lit(None).cast("string").alias("short_name"), F.when(k % 7 != 0, F.concat(F.lit("Short "), k.cast("string"))).otherwise(" ").alias("short_name_en"), head.alias("headline"))
     labels = B.repaired(families, members)
     first = families.where("place = 1").select("report", "family")
     return labels.join(first, ["report", "family"], "left_semi")

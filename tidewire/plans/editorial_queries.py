@@ -156,6 +156,23 @@ def s23(s, d):
     return read.select("r.id", F.size("r.cluster.article_ids").cast("bigint").alias("members"), "r.cluster.topic")
 
 
+@query("s23_report_files", "SELECT id, len(article_ids) AS members, topic_category AS topic, CAST(report_date AS VARCHAR) AS date FROM v_clusters WHERE report_date BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'")
+def s23_files(s, d):
+    """Reports as files by date, written to the shared folder and read back for one year."""
+    import uuid
+
+    from tidewire.runtime import keep, scratch_root
+    from tidewire.sources import feeds as I
+
+    root = f"{scratch_root(s)}/reports-{uuid.uuid4().hex}"
+    keep(s, root)
+    c = V.clusters(s, d)
+    I.write_reports(c.select(F.col("report_date").alias("date"), "id", F.struct(F.col("topic_category").alias("topic"), "article_ids").alias("cluster")).withColumn("date", F.trunc("date", "month")), root)
+    read = I.read_reports(s, root, "id bigint, cluster struct<topic:string,article_ids:array<bigint>>", ("1995-01-01", "1995-12-31"))
+    day = c.select("id", F.col("report_date").cast("string").alias("date"))
+    return read.select("id", F.size("cluster.article_ids").cast("bigint").alias("members"), "cluster.topic").join(day, "id")
+
+
 @query("a19_summary_counts", "SELECT m.cluster_id, count(*) AS sources, count(DISTINCT s.region) AS regions, count(*) FILTER (s.ownership LIKE 'independent%') AS independent FROM v_members m JOIN v_sources s ON s.source_id = m.source_id GROUP BY 1")
 def a19(s, d):
     m = V.members(s, d).join(V.sources(s, d), "source_id")

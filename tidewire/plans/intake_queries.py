@@ -151,7 +151,7 @@ def z19(s, d):
     return _contract(s, d).agg(F.count_if(F.size("issues") == 0).alias("safe"), F.count("*").alias("n"))
 
 
-@query("f05_publication_rejections", f"WITH {_CONTRACT} SELECT cluster_id, pos, CASE WHEN issues <> '' AND pos % 2 = 0 THEN replace(issues, ' ', ';') WHEN pos % 3 = 1 THEN 'quality_status=needs_review' WHEN pos % 7 = 0 THEN 'unsupported_numeric_claim' WHEN pos % 8 = 5 THEN 'malformed_summary' END AS reason FROM x")
+@query("f05_publication_rejections", f"WITH {_CONTRACT} SELECT cluster_id, pos, CASE WHEN issues <> '' AND pos % 2 = 0 THEN replace(issues, ' ', ';') WHEN pos % 3 = 1 THEN 'quality_status=needs_review' WHEN pos % 7 = 0 THEN 'unsupported_numeric_claim' WHEN pos % 8 = 5 THEN 'malformed_summary=有关数字|certain number' END AS reason FROM x")
 def f05(s, d):
     c = _contract(s, d)
     issues = F.when(F.col("pos") % 2 == 0, F.col("issues")).otherwise(F.array().cast("array<string>"))

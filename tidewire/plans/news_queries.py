@@ -69,6 +69,11 @@ def a03(s, d):
     return A.source_subject(V.evaluations(s, d, False), _member_regions(s, d))
 
 
+@query("j06_article_regions", "SELECT c.cluster_id, a.source_name, w.region AS origin_region FROM (SELECT id AS cluster_id, unnest(article_ids) AS aid FROM v_clusters) c JOIN v_articles a ON a.id = c.aid AND a.url LIKE 'https://%' LEFT JOIN v_doc_sources w ON w.name = a.source_name")
+def j06(s, d):
+    return A.article_regions(V.clusters(s, d), V.articles(s, d), V.doc_sources(s, d))
+
+
 @query("a04_trends", f"WITH {_JUDGED} SELECT CAST(report_date AS VARCHAR) AS report_date, count(*) FILTER (selected) AS selected, count(*) FILTER (NOT selected) AS candidates, round(count(*) FILTER (verdict = 1) / nullif(count(verdict), 0), 2) AS accept_rate, round(avg(composite), 3) AS composite_avg FROM j GROUP BY report_date")
 def a04(s, d):
     return A.trends(_judged(s, d)).withColumn("report_date", F.col("report_date").cast("string"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewire.operators import displayed as U
 from tidewire.operators import perspectives as E
 from tidewire.operators import storyline as L
 from tidewire.sources import payloads as P
 from tidewire.sources import views as V
-from tidewire.sources.pages import title
 from tidewire.sources.views import with_views
 
 QUERIES: dict = {}
@@ -67,15 +67,32 @@ def z08(s, d):
 
 @query("d27_canonical_perspectives")
 def d27(s, d):
-    c = V.table(s, d, "conversations").select("conv_id", "turn", "text")
-    return E.canonicalise(c, "conv_id", "turn", "text")
+    c = V.table(s, d, "conversations")
+    sources = F.array(F.concat(F.lit("s"), ((F.col("conv_id") + 3 * F.col("turn")) % 7).cast("string")), F.concat("role", F.lit(" "), (F.col("turn") % 3).cast("string"))).alias("sources")
+    return E.canonicalise(c.select("conv_id", "turn", sources, "text"), "conv_id", "turn", "sources", "text")
+
+
+_VIEWS = ("报道地震灾情及伤亡情况，关注救援进展和余震风险。", "报道地震伤亡及救援进展，关注余震风险。", "No distinct perspective could be extracted", "Markets fear a longer conflict and dearer oil", "Markets fear a longer conflict, and dearer oil", "The ministry rejects the report")
+
+
+def displayed(s, d):
+    """Reports by order day: clusters as summaries, families by customer, lines as articles and views."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    line = V.table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.concat(F.lit("s"), (F.col("l_suppkey") % 5).cast("string")).alias("source"), F.concat(F.lit("https://s.example/"), (F.col("l_partkey") % 60).cast("string")).alias("url"), V.pick(_VIEWS, F.col("l_partkey") % 6).alias("perspective"))
+    held = F.array_sort(F.collect_list(F.struct("n", "url", "source", "perspective")))
+    articles = line.groupBy("id").agg(held.alias("a"))
+    family = F.when(c % 3 == 0, F.concat(F.lit("f"), (c % 2).cast("string")))
+    positive = k % 11 == 0
+    angle = F.radians((c % 24) * 15)
+    rows = V.table(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("report"), F.when(family.isNotNull(), 0).when(positive, 1).otherwise(2).alias("place"), k.alias("id"), F.round(F.col("o_totalprice") / 500000, 2).alias("composite"), (k % 2 == 0).alias("new"), family.alias("family"), (positive & family.isNull()).alias("positive"), F.when(k % 13 != 0, F.array(F.cos(angle), F.sin(angle))).alias("centroid"))
+    shown = F.transform("a", lambda x: F.struct(x["url"].alias("url"), x["source"].alias("source")))
+    groups = F.transform("a", lambda x: F.struct(F.array(x["source"]).alias("sources"), x["perspective"].alias("perspective")))
+    return rows.join(articles, "id").select(*rows.columns, shown.alias("articles"), F.array_distinct(F.transform("a", lambda x: x["source"])).alias("sources"), groups.alias("groups"))
 
 
 @query("d23_display_dedup")
 def d23(s, d):
-    vectors = V.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    rows = V.table(s, d, "pages").select(F.col("page_id").alias("id"), (F.col("page_id") % 7).cast("double").alias("weight"), "url", F.nullif(title(F.col("html")), F.lit("")).alias("title"))
-    return E.display_dedup(rows.join(vectors, "id", "left"))
+    return U.resolve_displayed(displayed(s, d))
 
 
 @query("j21_url_overlap", "WITH g AS (SELECT l_orderkey AS id, list(DISTINCT l_suppkey) AS s FROM lineitem GROUP BY 1) SELECT a.id, list_has_any(a.s, b.s) AS overlap FROM g a JOIN g b ON b.id = a.id + 1")

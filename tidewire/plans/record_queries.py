@@ -30,6 +30,23 @@ def s15(s, d):
     return R.article_links(pages, rules).withColumn("pos", F.col("pos").cast("bigint"))
 
 
+@query("s15_selected_links", """WITH p AS (SELECT page_id, html, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS root, page_id % 4 AS k FROM pages), h AS (SELECT page_id, root, k, CASE k WHEN 0 THEN flatten(list_transform(regexp_extract_all(html, '(?s)<nav[^>]*>(.*?)</nav>', 1), lambda n: regexp_extract_all(n, '<a href="([^"]+)"', 1))) WHEN 3 THEN [] ELSE regexp_extract_all(html, '<a href="([^"]+)"', 1) END AS hrefs FROM p),
+ u AS (SELECT page_id, root || unnest(CASE WHEN k = 1 THEN list_filter(hrefs, lambda x: ends_with(x, 'e')) ELSE hrefs END) AS link, generate_subscripts(CASE WHEN k = 1 THEN list_filter(hrefs, lambda x: ends_with(x, 'e')) ELSE hrefs END, 1) AS i FROM h WHERE root <> ''),
+ f AS (SELECT page_id, link, min(i) AS i FROM u WHERE NOT regexp_matches(link, '(/tag/|/category/|/page/|/author/|/search|/about|/contact)') AND (page_id % 4 <> 2 OR contains(link, 'a')) GROUP BY 1, 2), r AS (SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY i) AS n FROM f) SELECT page_id, CAST(n - 1 AS BIGINT) AS pos, link FROM r WHERE n <= 25""")
+def s15_selected(s, d):
+    """Every page's own host has a rule of its own: by element, by the link's end, by the URL's part, and one that matches nothing."""
+    p = V.table(s, d, "pages")
+    host = F.lower(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    own = p.withColumn("url", F.regexp_replace("url", "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*).*$", "$1"))
+    out = None
+    for k, (part, selector) in enumerate((("", "article > nav a, body nav li a"), ("", "a[href$='e']"), ("a", None), ("", "main .post > a"))):
+        some = own.where(F.col("page_id") % 4 == k)
+        rules = p.where(F.col("page_id") % 4 == k).select(host.alias("domain")).distinct().select("domain", F.lit(part).alias("part"), F.lit(selector).cast("string").alias("selector"))
+        found = R.article_links(some, rules)
+        out = found if out is None else out.union(found)
+    return out.withColumn("pos", F.col("pos").cast("bigint"))
+
+
 @query("s17_meta_dates", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 < 2 THEN CAST(date_trunc('second', CAST(o_orderdate AS TIMESTAMP)) AS VARCHAR)[1:19] END AS published FROM orders")
 def s17(s, d):
     o, k = V.table(s, d, "orders"), F.col("o_orderkey") % 3
@@ -100,6 +117,28 @@ def r15(s, d):
     return R.review_lines(e)
 
 
+_CONTRIBUTED = "WITH m AS (SELECT DISTINCT v.source_name, v.cluster_id FROM v_search v WHERE NOT v.is_placeholder AND v.pos % 3 > 0), k AS (SELECT cluster_id, count(*) AS k FROM m GROUP BY 1), o AS (SELECT m.source_name, count(*) AS appearances, round(sum(e.composite), 3) AS impact_weighted, count(*) FILTER (k.k = 1) AS exclusive, count(*) FILTER (e.selected) AS selected_count FROM m JOIN v_evaluations e ON e.cluster_id = m.cluster_id JOIN k ON k.cluster_id = m.cluster_id GROUP BY 1)"
+
+
+@query("r15_audit_lines", _CONTRIBUTED + """ SELECT 'issues' AS section, CAST(row_number() OVER (ORDER BY key) - 1 AS BIGINT) AS place, '- ' || key || ': ' || n AS line FROM (SELECT event_type AS key, count(*) AS n FROM events GROUP BY 1)
+ UNION ALL SELECT 'sources', p - 1, concat_ws(repeat(' ', 2), '', format('{:<35} {:>6}', source_name, appearances), format('{:>7.3f}', impact_weighted), format('{:>5}', exclusive), format('{:>5}', selected_count)) FROM (SELECT *, row_number() OVER (ORDER BY impact_weighted DESC, source_name) AS p FROM o) WHERE p <= 5
+ UNION ALL SELECT 'silent', 0, repeat(' ', 2) || 'Zero-contribution (candidates to drop): ' || string_agg(n, ', ' ORDER BY n) FROM (VALUES ('S1'), ('T1'), ('T2')) x(n) WHERE n NOT IN (SELECT source_name FROM o)""")
+def r15_audit(s, d):
+    from tidewire.operators.analytics import source_contribution, zero_contribution
+
+    members = V.search_articles(s, d).where("NOT is_placeholder AND pos % 3 > 0").select("cluster_id", "source_name")
+    own = source_contribution(V.evaluations(s, d, False), members)
+    named = s.createDataFrame([("S1",), ("T1",), ("T2",)], "source_name string")
+    issues = V.table(s, d, "events").groupBy(F.col("event_type").alias("key")).agg(F.count("*").alias("n"))
+    return R.audit_lines(issues, own, named.join(own, "source_name", "left_anti"), 5)
+
+
+@query("r15_calibration_lines", "SELECT CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS place, concat_ws(repeat(' ', 2), '', format('{:<22} {:.4f}', event_type, w), format('(seed {:.4f}, {})', s, CASE WHEN s <> 0 THEN format('{:.2f}x', w / s) ELSE 'n/a' END), format('[{}]', t)) AS line FROM (SELECT event_type, count(*) / 1024.0::DOUBLE AS w, CASE WHEN event_type = 'click' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS s, CAST(max(date_trunc('second', ts)) AS VARCHAR)[1:19] AS t FROM events GROUP BY 1)")
+def r15_calibration(s, d):
+    e = V.table(s, d, "events").groupBy(F.col("event_type").alias("dimension")).agg((F.count("*") / 1024.0).alias("weight"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+    return R.calibration_lines(e.withColumn("seed", F.when(F.col("dimension") == "click", 0.0).otherwise(0.5)))
+
+
 @query("z03_feedback_text", "WITH x AS (SELECT f.id, CAST(e.report_date AS VARCHAR) AS day, f.verdict, e.display_category AS label, e.composite FROM v_feedback f JOIN v_evaluations e ON e.cluster_id = f.cluster_id) SELECT day, count(*) FILTER (verdict > 0) AS accepted, count(*) FILTER (verdict < 0) AS rejected, count(*) AS n FROM x GROUP BY 1")
 def z03(s, d):
     e = V.evaluations(s, d, False).select("cluster_id", F.col("report_date").cast("string").alias("day"), F.col("display_category").alias("label"), "composite")

@@ -109,6 +109,15 @@ def j11(s, d):
     return C.event_edges(_vector_articles(s, d), least=0.40, strong=0.40).select("a", "b")
 
 
+@query("d10_coherent_edges", f"""WITH {_VA}, {_EDGE.replace(' WHERE ', ' AND ').replace('SELECT a.id AS a, b.id AS b FROM', 'SELECT a.id AS a, b.id AS b, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS cosine FROM')},
+ c AS (SELECT id, {_CLEAN.format(t='substr(content, 1, 60)')} AS c FROM v_articles), g AS (SELECT id, {_GRAMS.format(c='c')} AS g FROM c)
+ SELECT a, b FROM ed JOIN g x ON x.id = a JOIN g y ON y.id = b WHERE cosine >= 0.6 OR len(list_intersect(x.g, y.g)) >= 0.12 * greatest(len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)), 1)""")
+def d10(s, d):
+    """Edges of the event graph under its coherence rule: those under the strong bar need titles alike (here the content's opening)."""
+    v = _vector_articles(s, d).withColumn("title", F.substring("content", 1, 60))
+    return C.event_edges(v, least=0.40, strong=0.60).select("a", "b")
+
+
 @query("d11_components", f"WITH RECURSIVE {_VA}, {_EDGE}, u AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed), r AS (SELECT a AS id, a AS c FROM u UNION SELECT u.a, r.c FROM r JOIN u ON u.b = r.id WHERE r.c < u.a) SELECT id, min(c) AS component FROM r GROUP BY 1")
 def d11(s, d):
     e = materialise(C.event_edges(_vector_articles(s, d), least=0.40, strong=0.40).select("a", "b"))
@@ -130,6 +139,17 @@ def d14(s, d):
     return C.validate_cluster(V.table(s, d, "embeddings").where("label IS NOT NULL"), "label", "vec_id", "embedding", 0.0)
 
 
+@query("d14_title_outliers", f"""WITH r AS (SELECT e.label, e.vec_id, e.embedding, {_CLEAN.format(t="coalesce(substr(d.text, 1, 60), '')")} AS c FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE label IS NOT NULL), t AS (SELECT label, vec_id, {_GRAMS.format(c='c')} AS g FROM r),
+ p AS (SELECT a.label, a.vec_id, count(*) + 1 AS n, avg(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))) AS mean FROM r a JOIN r b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1, 2),
+ o AS (SELECT a.label, a.vec_id, avg(len(list_intersect(a.g, b.g)) / greatest(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)), 1)) AS o FROM t a JOIN t b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1, 2)
+ SELECT r.label, r.vec_id, round(p.mean, 4) AS mean_cosine, coalesce(p.mean < CASE WHEN n = 2 THEN 0.5 ELSE 0.001 END AND o.o < CASE WHEN n = 2 THEN 0.03 ELSE 0.05 END, false) AS outlier FROM r LEFT JOIN p USING (label, vec_id) LEFT JOIN o USING (label, vec_id)""")
+def d14_titles(s, d):
+    """Outliers by both halves of the rule: low mean cosine, and openings unlike the others'."""
+    t = V.table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), F.coalesce(F.substring("text", 1, 60), F.lit("")).alias("title"))
+    rows = V.table(s, d, "embeddings").where("label IS NOT NULL").join(t, "vec_id")
+    return C.validate_cluster(rows, "label", "vec_id", "embedding", 0.001, "title")
+
+
 @query("d15_coherent_split")
 def d15(s, d):
     e = V.table(s, d, "embeddings").select("vec_id", "embedding", (F.col("vec_id") % 50).cast("bigint").alias("component"))
@@ -318,11 +338,11 @@ def x08(s, d):
 
 @query("x02_distinct_stream", "SELECT DISTINCT user_id, event_type FROM events")
 def x02(s, d):
-    rows = R.event_stream(s, d).select("user_id", "event_type", "ts")
-    return R.drained(R.distinct_within(rows, ["user_id", "event_type"], "3650 days"), "append").select("user_id", "event_type")
+    rows = V.table(s, d, "events").select("user_id", "event_type", "ts")
+    return R.appended(R.distinct_within(R.in_batches(rows, 4), ["user_id", "event_type"]), ["user_id", "event_type"]).select("user_id", "event_type")
 
 
 @query("x04_lifecycle_stream", "SELECT user_id, count(*) AS seen, CASE WHEN count(*) < 3 THEN 'emerging' WHEN count(*) < 10 THEN 'developing' ELSE 'stabilized' END AS state FROM events GROUP BY 1")
 def x04(s, d):
-    out = R.drained(R.lifecycle_state(R.event_stream(s, d)), "update")
+    out = R.drained(R.lifecycle_state(R.event_stream(s, d), idle="8760"), "update")
     return out.groupBy("user_id").agg(F.max("seen").alias("seen"), F.max_by("state", "seen").alias("state"))

@@ -85,6 +85,17 @@ def site_items(rows: DataFrame, payload: str, root: str, cutoff: Column) -> Data
     return out.where((F.col("title") != "") & (F.col("published_at") >= cutoff))
 
 
+def write_reports(reports: DataFrame, root: str) -> None:
+    """One folder of JSON lines per report date (reports: date and any columns), replaced whole."""
+    reports.repartition("date").write.mode("overwrite").partitionBy("date").json(root)
+
+
+def read_reports(spark: SparkSession, root: str, schema: str, dates: tuple[str, str] | None = None) -> DataFrame:
+    """The reports of write_reports() between two dates; only their folders are read."""
+    rows = spark.read.schema(f"{schema}, date date").json(root)
+    return rows if dates is None else rows.where(F.col("date").between(*[F.lit(x).cast("date") for x in dates]))
+
+
 def selected_sources(sources: DataFrame, mode: str, named: list[str] | None = None) -> DataFrame:
     """All sources of a full run; of a delta run the named ones, or else all but portals."""
     if mode != "delta":

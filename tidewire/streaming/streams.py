@@ -12,6 +12,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidewire.runtime import keep, scratch_root
 
 
+def in_batches(rows: DataFrame, files: int) -> DataFrame:
+    """A table as a stream of `files` batches in the order of time."""
+    spark = rows.sparkSession
+    root = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
+    keep(spark, root)
+    rows.repartitionByRange(files, "ts").write.parquet(f"{root}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -47,34 +56,78 @@ def distinct_within(events: DataFrame, keys: list[str], lateness: str = "8 hours
 
 
 def append_new(path: str, keys: list[str]):
-    """A foreachBatch sink that appends rows of unseen keys to a Parquet table, so keys are unique forever."""
+    """A foreachBatch sink that appends rows of unseen keys to a Parquet table, so keys are unique forever, with no state in the stream.
+
+    Each batch has a folder of its own, named by its number: a batch that is run again is held against the other ones and
+    overwrites its own, so its rows stand there once however often it fails. Read the table with read_appended().
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
         fresh = batch.dropDuplicates(keys)
-        jvm = batch.sparkSession.sparkContext._jvm
-        there = jvm.org.apache.hadoop.fs.Path(path)
-        if there.getFileSystem(batch.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(there):
-            fresh = fresh.join(batch.sparkSession.read.parquet(path).select(*keys), keys, "left_anti")
-        fresh.write.mode("append").parquet(path)
+        before = [f for n, f in _batches(spark, path) if n != epoch]
+        if before:
+            fresh = fresh.join(spark.read.schema(batch.schema).parquet(*before).select(*keys), keys, "left_anti").select(*batch.columns)
+        fresh.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={epoch}")
 
     return write
 
 
+def _batches(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, folder) of the batches that are whole."""
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(there):
+        return []
+    folders = [f.getPath() for f in fs.listStatus(there) if f.getPath().getName().startswith("batch=")]
+    return [(int(p.getName().removeprefix("batch=")), p.toString()) for p in folders if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+
+def read_appended(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of a table that append_new() wrote."""
+    folders = [f for _, f in _batches(spark, path)]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def appended(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """What an available-now run of the stream leaves in a new table of append_new()."""
+    spark = stream.sparkSession
+    root = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
+    keep(spark, root)
+    query = stream.writeStream.foreachBatch(append_new(f"{root}/out", keys)).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return read_appended(spark, f"{root}/out", stream.schema)
+
+
 STATE = "seen bigint, state string"
 
 
-def lifecycle_state(events: DataFrame, key: str = "user_id") -> DataFrame:
-    """Emerging, developing, stabilized per key by the number of events so far."""
+def lifecycle_state(events: DataFrame, key: str = "user_id", idle: str | None = None, lateness: str = "8 hours") -> DataFrame:
+    """Emerging, developing, stabilized per key by the number of events so far.
+
+    With `idle` (hours, as a number), a key that is silent so long behind the watermark is forgotten, so the state holds the
+    active keys only; without it keys are remembered forever.
+    """
+    wait = None if idle is None else int(float(idle) * 3_600_000)
+    rows = events if wait is None else events.withWatermark("ts", lateness)
 
     def step(keys: tuple, batches, state: GroupState):
-        seen = state.get[0] if state.exists else 0
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen, last = state.get[0] if state.exists else 0, 0
         for pdf in batches:
             seen += len(pdf)
+            last = max(last, int(pdf["ts"].max().timestamp() * 1000))
         name = "emerging" if seen < 3 else "developing" if seen < 10 else "stabilized"
         state.update((seen, name))
+        if wait is not None:
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + wait)
         yield pd.DataFrame({key: [keys[0]], "seen": [seen], "state": [name]})
 
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} bigint, seen bigint, state string", STATE, "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if wait is None else GroupStateTimeout.EventTimeTimeout
+    return rows.select(key, "ts").groupBy(key).applyInPandasWithState(step, f"{key} bigint, seen bigint, state string", STATE, "update", timeout)
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
