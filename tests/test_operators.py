@@ -69,6 +69,34 @@ def test_first_come_over_keys_equals_the_rule(spark, finish):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("least", [60.0, 85.0])
+def test_fuzzy_edges_equal_all_pairs(spark, least):
+    rnd = random.Random(int(least))
+    base = ["Storm hits the coast again", "King visits Spain", "Exports fall 12% in May", "", "日本の経済"]
+
+    def title():
+        own = list(rnd.choice(base))
+        for _ in range(rnd.randint(0, 4)):
+            own.insert(rnd.randint(0, len(own)), rnd.choice("aeZ 9ß日")) if rnd.random() < 0.5 or not own else own.pop(rnd.randrange(len(own)))
+        return "".join(own)
+
+    rows = [(i, f"s{i % 2}", None if i % 41 == 0 else title()) for i in range(120)]
+    got = sorted(map(tuple, D.fuzzy_edges(spark.createDataFrame(rows, "id bigint, source_name string, title string"), least).collect()))
+    assert got == [(i, j) for i, s, t in rows for j, u, v in rows if i < j and s == u and Y.indel_ratio(t, v) >= least]
+
+
+def test_fuzzy_dedup_query_equals_the_rule(spark):
+    from tidewire.plans import text_queries as Q
+    from tidewire.sources import views as V
+
+    sf = "/root/testdata/sf0.001"
+    rows = V.titles(spark, sf).select("id", "title", "source_name").orderBy("id").collect()
+    weight = {r["name"]: r["weight"] for r in V.doc_sources(spark, sf).collect()}
+    similar = {(i, j) for i, a in enumerate(rows) for j, b in enumerate(rows) if i < j and a.source_name == b.source_name and Y.indel_ratio(a.title, b.title) >= 85}
+    want = D.keep_fuzzy(list(range(len(rows))), [weight.get(r.source_name, 0.5) for r in rows], similar)
+    assert sorted(r.id for r in Q.QUERIES["d07_fuzzy_dedup"](spark, sf).collect()) == sorted(rows[k].id for k in want)
+
+
 def test_fuzzy_dedup_needs_one_source(spark):
     rows = spark.createDataFrame([(1, "Markets rally on rates", "a"), (2, "Markets rally on rate", "a"), (3, "Markets rally on rates", "b")], "id bigint, title string, source_name string")
     weights = spark.createDataFrame([("a", 0.9)], "name string, weight double")

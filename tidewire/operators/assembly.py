@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import preview
+from tidewire.runtime import checked
 
 # Labels of search failures (Chinese, English), of provenance and of search stages, and texts that are no perspective.
 FAILURES = {
@@ -111,7 +112,7 @@ def source_entries(articles: DataFrame, certifications: DataFrame, language: int
     shown = F.concat(F.when(F.col("is_searched"), "🔍").otherwise(""), "source_name", F.when(said.isNotNull(), F.concat(F.lit(" · "), said)).otherwise(""))
     compact = F.when(F.col("is_placeholder"), F.concat(F.lit("🔍"), pending_label(F.col("source_name")) if language else F.col("source_name"))).otherwise(shown)
     label = F.when(F.col("is_placeholder"), failure_label(F.col("reason"), language)).otherwise(said)
-    met = a.join(F.broadcast(certifications), "source_name", "left")
+    met = a.join(checked(certifications), "source_name", "left")
     counts = counts_as_perspective(F.col("is_placeholder"), F.col("is_searched"), *args)
     return met.select("cluster_id", "pos", "source_name", compact.alias("label"), label.alias("provenance"), F.when(~F.col("is_placeholder"), F.col("url")).alias("url"), F.coalesce("codes", F.array().cast("array<string>")).alias("codes"), counts.alias("counts"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.operators.rounds import FINISH_ROWS, displacing, first_come, numbered
-from tidewire.operators.similarity import bucketed_pairs, cosine, dot, ratio_possible, ratio_udf, token_set_udf, unit, vector_pairs
+from tidewire.operators.similarity import bucketed_pairs, cosine, dot, letter_counts, ratio_by_letters, ratio_possible, ratio_udf, token_set_udf, unit, vector_pairs
 from tidewire.runtime import checked, materialise
 
 
@@ -55,11 +55,11 @@ def survivors(rows: DataFrame, edges: DataFrame, finish_rows: int = FINISH_ROWS)
 
 
 def fuzzy_edges(articles: DataFrame, least: float = 85.0) -> DataFrame:
-    """Pairs of one source whose titles reach the ratio. Pairs meet by source; a bound from the lengths comes before the exact ratio."""
-    left = articles.select("source_name", F.col("id").alias("a"), F.col("title").alias("ta"))
-    right = articles.select("source_name", F.col("id").alias("b"), F.col("title").alias("tb"))
-    met = left.join(right, "source_name").where((F.col("a") < F.col("b")) & ratio_possible(F.col("ta"), F.col("tb"), least))
-    return met.where(ratio_udf("ta", "tb") >= least).select("a", "b")
+    """Pairs of one source whose titles reach the ratio. Different titles meet by source; bounds from their lengths and letters come before the exact ratio, equal ones need none."""
+    side = lambda x: articles.select("source_name", F.col("id").alias(x), F.col("title").alias(f"t{x}"), letter_counts(F.col("title")).alias(f"c{x}"))
+    bounds = ratio_possible(F.col("ta"), F.col("tb"), least) & ratio_by_letters(F.col("ta"), F.col("tb"), F.col("ca"), F.col("cb"), least)
+    met = side("a").join(side("b"), "source_name").where((F.col("a") < F.col("b")) & bounds).select("a", "b", "ta", "tb")
+    return met.where("ta = tb").select("a", "b").union(met.where("ta <> tb").where(ratio_udf("ta", "tb") >= least).select("a", "b"))
 
 
 def fuzzy_dedup(articles: DataFrame, weights: DataFrame, least: float = 85.0) -> DataFrame:

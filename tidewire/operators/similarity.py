@@ -287,6 +287,22 @@ def ratio_possible(a: Column, b: Column, least: float) -> Column:
     return 200 * small >= least * (small + large)
 
 
+#: Groups of letters whose numbers bound an edit similarity; all other characters are one more group.
+LETTERS = ("eE", "aA", "tT", "iI", "nN", "oO", "sS", "rR", "hH", "lL", "dD", "uU", "cCmMfF", "pPgGwWyY", "bBvVkKxXjJqQzZ", "0123456789", " ")
+
+
+def letter_counts(text: Column) -> Column:
+    """How many characters of each group a text has."""
+    counts = [F.length(text) - F.length(F.translate(text, group, "")) for group in LETTERS]
+    return F.array(*counts, F.length(F.translate(text, "".join(LETTERS), "")))
+
+
+def ratio_by_letters(a: Column, b: Column, counts_a: Column, counts_b: Column, least: float) -> Column:
+    """What a ratio of at least `least` implies for the letters: each edit changes one group's number by one, and there are no more edits than the ratio leaves."""
+    apart = F.aggregate(F.zip_with(counts_a, counts_b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    return apart <= (F.length(a) + F.length(b)) * (1 - least / 100) + 1e-9
+
+
 def ngram_pairs(rows: DataFrame, key: str, text: str, block: str, least: float) -> DataFrame:
     """D04 join: pairs (a < b) of one block with n-gram Jaccard of at least `least`, through an inverted index of grams.
 

@@ -111,11 +111,11 @@ def j11(s, d):
 
 @query("d10_coherent_edges", f"""WITH {_VA}, {_EDGE.replace(' WHERE ', ' AND ').replace('SELECT a.id AS a, b.id AS b FROM', 'SELECT a.id AS a, b.id AS b, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS cosine FROM')},
  c AS (SELECT id, {_CLEAN.format(t='substr(content, 1, 60)')} AS c FROM v_articles), g AS (SELECT id, {_GRAMS.format(c='c')} AS g FROM c)
- SELECT a, b FROM ed JOIN g x ON x.id = a JOIN g y ON y.id = b WHERE cosine >= 0.6 OR len(list_intersect(x.g, y.g)) >= 0.12 * greatest(len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)), 1)""")
+ SELECT a, b FROM ed JOIN g x ON x.id = a JOIN g y ON y.id = b WHERE cosine >= 0.6 OR len(list_intersect(x.g, y.g)) >= 0.04 * greatest(len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)), 1)""")
 def d10(s, d):
     """Edges of the event graph under its coherence rule: those under the strong bar need titles alike (here the content's opening)."""
     v = _vector_articles(s, d).withColumn("title", F.substring("content", 1, 60))
-    return C.event_edges(v, least=0.40, strong=0.60).select("a", "b")
+    return C.event_edges(v, least=0.40, strong=0.60, overlap=0.04).select("a", "b")
 
 
 @query("d11_components", f"WITH RECURSIVE {_VA}, {_EDGE}, u AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed), r AS (SELECT a AS id, a AS c FROM u UNION SELECT u.a, r.c FROM r JOIN u ON u.b = r.id WHERE r.c < u.a) SELECT id, min(c) AS component FROM r GROUP BY 1")

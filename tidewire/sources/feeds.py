@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import epoch
+from tidewire.runtime import checked
 
 # The order in which a source's collection methods are tried, and known certifications.
 METHODS = ("newsnow", "rss", "rss_fallback", "rsshub", "api", "scrape")
@@ -116,7 +117,7 @@ def first_success(attempts: DataFrame) -> DataFrame:
 
 def certifications(entries: DataFrame, known: DataFrame) -> DataFrame:
     """(source_name, code, label) of certification codes; an unknown code fails the query."""
-    met = entries.join(F.broadcast(known), "code", "left")
+    met = entries.join(checked(known), "code", "left")
     label = F.coalesce("label", F.raise_error(F.concat(F.lit("Unknown certification code: "), "code")).cast("string"))
     return met.select("source_name", "code", label.alias("label"))
 
