@@ -97,6 +97,80 @@ def test_fuzzy_dedup_query_equals_the_rule(spark):
     assert sorted(r.id for r in Q.QUERIES["d07_fuzzy_dedup"](spark, sf).collect()) == sorted(rows[k].id for k in want)
 
 
+def plain_split(vectors, least):
+    """D15 as it is told, over a matrix of cosines."""
+    size = np.linalg.norm(vectors, axis=1)
+    cosine = vectors @ vectors.T / np.outer(size, size)
+    rest, out = list(range(len(vectors))), []
+    mean = lambda g: np.mean([cosine[i, j] for n, i in enumerate(g) for j in g[n + 1 :]])
+    while rest:
+        core = [max(rest, key=lambda n: sum(cosine[n, m] for m in rest if m != n))]
+        left = [n for n in rest if n != core[0]]
+        while left:
+            best = max(left, key=lambda n: mean([*core, n]))
+            if mean([*core, best]) < least:
+                break
+            core.append(best)
+            left.remove(best)
+        out.append(core)
+        rest = left
+    return out
+
+
+def test_coherence_queries_equal_the_rule(spark):
+    from tidewire.plans import store_queries, text_queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    want = {}
+    for c in range(50):
+        own = [r for r in rows if r.vec_id % 50 == c]
+        parts = plain_split(np.array([r.embedding for r in own], float), 0.2) if len(own) >= 3 else [list(range(len(own)))]
+        want |= {own[i].vec_id: k for k, part in enumerate(parts) for i in part}
+    assert {r.vec_id: r.part for r in text_queries.QUERIES["d15_coherent_split"](spark, sf).collect()} == want
+    keeps = {}
+    for key in range(200):
+        own = [r for r in rows if r.vec_id % 200 == key]
+        parts = plain_split(np.array([r.embedding for r in own], float), 0.2) if len(own) > 1 and not any(r.vec_id % 97 == 0 for r in own) else [list(range(len(own)))]
+        anchor = max(range(len(own)), key=lambda i: own[i].vec_id % 13 / 13, default=None)
+        primary = next((p for p in parts if anchor in p), [])
+        primary = primary if len(primary) >= 2 else max(parts, key=len)
+        keeps |= {r.vec_id: len(parts) == 1 or (len(primary) >= 2 and i in primary) for i, r in enumerate(own)}
+    assert {r.id: r.keeps for r in store_queries.QUERIES["d16_split_families"](spark, sf).collect()} == keeps
+
+
+def test_split_of_many_members_needs_no_matrix():
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(2500, 16)) + 3 * np.eye(16)[rnd.integers(0, 3, 2500)]
+    sims = (u := x / np.linalg.norm(x, axis=1, keepdims=True)) @ u.T
+    parts = G.split_coherently(x, 0.45)
+    assert sorted(i for p in parts for i in p) == list(range(2500)) and len(parts) > 1
+    first = parts[0]
+    assert first[0] == int((sims.sum(1) - 1).argmax())
+    gain, total = sims[first[0]].copy(), 0.0
+    for n, i in enumerate(first[1:], 2):
+        free = np.setdiff1d(np.arange(2500), first[: n - 1])
+        assert gain[i] >= gain[free].max() - 1e-9
+        total += gain[i]
+        gain += sims[i]
+        assert total / (n * (n - 1) / 2) >= 0.45 - 1e-9
+
+
+def test_text_queries_equal_the_rules(spark):
+    from tidewire.plans import text_queries as Q
+    from tidewire.sources import views as V
+
+    sf = "/root/testdata/sf0.001"
+    titles = [(r.id, r.title) for r in V.titles(spark, sf).collect()]
+    want = {}
+    for day in range(20):
+        golden = [t.strip() for i, t in titles if i % 20 == day and i % 3 == 0 and t.strip()]
+        fresh = [t.strip() for i, t in titles if i % 20 == day and i % 3 and t.strip()]
+        if golden:
+            want[day] = len(golden), sum(any(Y.token_set_ratio(g, f) >= 60 for f in fresh) for g in golden)
+    assert {r.day: (r.stories, r.covered) for r in Q.QUERIES["j20_golden_coverage"](spark, sf).collect()} == want
+
+
 def test_fuzzy_dedup_needs_one_source(spark):
     rows = spark.createDataFrame([(1, "Markets rally on rates", "a"), (2, "Markets rally on rate", "a"), (3, "Markets rally on rates", "b")], "id bigint, title string, source_name string")
     weights = spark.createDataFrame([("a", 0.9)], "name string, weight double")

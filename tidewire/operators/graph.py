@@ -71,12 +71,12 @@ def split_coherently(vectors: np.ndarray, least: float) -> list[list[int]]:
     rest, out = np.arange(len(unit)), []
     while len(rest):
         own = unit[rest]
-        group = [int(np.argmax(own @ own.sum(0) - (own * own).sum(1)))]
+        group = [int(np.argmax(np.round(own @ own.sum(0) - (own * own).sum(1), 9)))]  # equal sums go to the first member
         inside = np.zeros(len(rest), bool)
         inside[group] = True
         gain, total = own @ own[group[0]], 0.0
         while len(group) < len(rest):
-            best = int(np.argmax(np.where(inside, -np.inf, gain)))
+            best = int(np.argmax(np.where(inside, -np.inf, np.round(gain, 9))))
             count = len(group) + 1
             if (total + gain[best]) / (count * (count - 1) / 2) < least:
                 break

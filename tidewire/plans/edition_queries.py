@@ -148,6 +148,16 @@ def e07(s, d):
     return V.table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x), 9).alias("norm"), F.size(v).alias("size"))
 
 
+@query("e07_vector_slots", """WITH shifts AS (SELECT list(list_reduce(list_concat([v], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY v) AS crc FROM range(256) t(v)),
+ w AS (SELECT p_partkey AS id, unnest(regexp_extract_all(lower(p_name), '([\\p{L}\\p{N}]+)', 1)) AS x FROM part),
+ h AS (SELECT id, xor(list_reduce(list_concat([4294967295], list_transform(range(0, octet_length(encode(x))), lambda k: ('0x' || substr(hex(encode(x)), 2 * k + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 64 AS slot FROM w, shifts),
+ n AS (SELECT id, slot, count(*) AS n FROM h GROUP BY 1, 2) SELECT id, CAST(slot AS INTEGER) AS slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 9) AS value FROM n""")
+def e07_slots(s, d):
+    """Every slot of the vectors of all part names, by value."""
+    v = V.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.posexplode(N.hashed_vector(F.col("p_name"))).alias("slot", "value"))
+    return v.where("value > 0").withColumn("value", F.round("value", 9))
+
+
 @query("e03_storyline_relations", "SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN 'same_core_storyline' WHEN value / 100.0::DOUBLE >= 0.8 THEN 'same_core_storyline' WHEN value / 100.0::DOUBLE >= 0.66 THEN 'same_direct_spillover_storyline' ELSE 'not_related' END AS relation FROM events")
 def e03(s, d):
     e = V.table(s, d, "events")
