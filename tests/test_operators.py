@@ -177,10 +177,15 @@ def test_fuzzy_dedup_needs_one_source(spark):
     assert {r.id for r in D.fuzzy_dedup(rows, weights).collect()} == {1, 3}
 
 
-def test_components_of_chain_and_ring(spark):
-    edges = [(i, i + 1) for i in range(1, 30)] + [(100, 101), (101, 102), (102, 100)]
-    got = {r.id: r.component for r in G.connected_components(spark.createDataFrame([(7000,)], "id bigint").union(spark.createDataFrame([(x,) for e in edges for x in e], "id bigint")), spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert got[30] == 1 and got[102] == 100 and got[7000] == 7000
+@pytest.mark.parametrize("finish", [0, 200_000])
+def test_components_of_chain_and_ring(spark, finish):
+    edges = [(i, i + 1) for i in range(1, 30)] + [(100, 101), (101, 102), (102, 100), (500, 500)]
+    nodes = spark.createDataFrame([(x,) for e in edges for x in e] + [(7000,)], "id bigint")
+    rows = G.connected_components(nodes, spark.createDataFrame(edges, "a bigint, b bigint"), finish).collect()
+    got = {r.id: r.component for r in rows}
+    assert len(rows) == len(got) == 35 and got[7000] == 7000 and got[500] == 500
+    assert {got[i] for i in range(1, 31)} == {1} and {got[i] for i in (100, 101, 102)} == {100}
+    assert G.connected_components(nodes, spark.createDataFrame([], "a bigint, b bigint"), finish).count() == 35
 
 
 def test_coherent_split_keeps_like_together():
