@@ -1,0 +1,18 @@
+"""Cases of the third review: bars and ties as the SQL has them, streams without loss, whole searches."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidewire.operators import scoring as S
+
+
+def test_composite_at_the_bar_multiplies_before_it_divides(spark):
+    rows = [(0.575, 1.0, 2.75, 1.0, 8.0, 1.0), (0.575, 3.0, 2.75, 0.0, 4.0, 3.0)]
+    kinds = "signal double, scope double, severity double, novelty double, actor_influence double, decision_relevance double"
+    dims = {d: F.lit(0.0) if d == "feelgood" else F.col(d) for d in S.DIMENSIONS}
+    got = [r.c for r in spark.createDataFrame(rows, kinds).select(S.composite(dims, F.col("signal"), S.weights(spark)).alias("c")).collect()]
+    want = [0.24 * s + 0.16 * a / 10 + 0.16 * b / 10 + 0.12 * c / 10 + 0.14 * d / 10 + 0.18 * e / 10 for s, a, b, c, d, e in rows]
+    assert got == want and all(c < S.REVIEW_FLOOR for c in got)

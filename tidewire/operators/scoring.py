@@ -51,10 +51,10 @@ def weights(spark, calibrated: dict[str, float] | None = None) -> dict[str, floa
 
 
 def composite(dims: dict[str, Column], signal_col: Column, w: dict[str, float]) -> Column:
-    """Weighted signal plus weighted tenths of the dimensions, in 0 to 1."""
+    """Weighted signal plus tenths of the weighted dimensions, in 0 to 1. Weights come before the tenths: a value at a bar of status() depends on it."""
     total = F.lit(w["signal"]) * signal_col
     for d in DIMENSIONS:
-        total = total + F.lit(w[d]) * (F.coalesce(dims[d], F.lit(0.0)) / 10)
+        total = total + F.lit(w[d]) * F.coalesce(dims[d], F.lit(0.0)) / 10
     return clamp(total)
 
 
