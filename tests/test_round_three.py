@@ -26,3 +26,22 @@ def test_top_window_ties_are_those_of_the_scores_put_out(spark, tmp_path):
     spark.createDataFrame([(1, 0)], "c_custkey bigint, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(k, f"N{k}") for k in range(25)], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
     assert sorted(r.evaluation_id for r in Q.QUERIES["t01_top_window"](spark, str(tmp_path)).collect()) == list(range(90))
+
+
+def test_distinct_stream_keeps_what_comes_late(spark, tmp_path, monkeypatch):
+    from tidewire.plans import text_queries as Q
+    from tidewire.streaming import streams as R
+
+    rows = [(d * 10 + u, u + 100 * d, "x", d) for d in range(4) for u in range(10)]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, day int")
+    events.select("event_id", "user_id", "event_type", F.timestamp_seconds(F.lit(1704067200) + F.col("day") * 86400).alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
+
+    def newest_first(rows, files):
+        root = f"{tmp_path}/in"
+        for day in (3, 2, 1, 0):
+            rows.where(F.dayofmonth("ts") == day + 1).coalesce(1).write.mode("append").parquet(root)
+        return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+    monkeypatch.setattr(R, "in_batches", newest_first)
+    got = sorted(map(tuple, Q.QUERIES["x02_distinct_stream"](spark, str(tmp_path)).collect()))
+    assert got == sorted((u, t) for _, u, t, _ in rows)

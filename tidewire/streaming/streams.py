@@ -13,7 +13,7 @@ from tidewire.runtime import keep, scratch_root
 
 
 def in_batches(rows: DataFrame, files: int) -> DataFrame:
-    """A table as a stream of `files` batches in the order of time."""
+    """A table as a stream of `files` batches, each of one span of time. They come in the order in which their files were finished, so any of them may be late."""
     spark = rows.sparkSession
     root = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
     keep(spark, root)
@@ -49,7 +49,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 def distinct_within(events: DataFrame, keys: list[str], lateness: str = "8 hours") -> DataFrame:
-    """First row per key within the lateness bound; the forever-unique form is the anti-join of append_new()."""
+    """First row per key within the lateness bound. Rows behind the watermark are lost; where none may be, append_new() is the form."""
     if not events.isStreaming:
         return events.dropDuplicates(keys)
     return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(keys)
