@@ -45,3 +45,21 @@ def test_distinct_stream_keeps_what_comes_late(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(R, "in_batches", newest_first)
     got = sorted(map(tuple, Q.QUERIES["x02_distinct_stream"](spark, str(tmp_path)).collect()))
     assert got == sorted((u, t) for _, u, t, _ in rows)
+
+
+def test_hashed_vector_computes_its_words_once(spark):
+    """In time: 20,000 texts of a hundred words; words were extracted anew for every slot of every slot."""
+    import time
+    import zlib
+
+    from tidewire.operators import editions as N
+
+    words = [f"w{i}" for i in range(100)]
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 50 == 0, F.lit(" ,")).otherwise(F.concat_ws(" ", *[F.lit(w) for w in words], F.concat(F.lit("x"), (F.col("id") % 7).cast("string")))).alias("t"))
+    start = time.monotonic()
+    got = {r.id: r.v for r in rows.select("id", N.hashed_vector(F.col("t")).alias("v")).where("id % 997 = 0 OR element_at(v, 1) < 0").collect()}
+    assert time.monotonic() - start < 60
+    for i, v in got.items():
+        want = np.bincount([zlib.crc32(w.encode()) % 64 for w in [*words, f"x{i % 7}"]], minlength=64).astype(float)
+        assert v is None if i % 50 == 0 else v == pytest.approx(want / np.sqrt(want @ want), abs=1e-15)
+    assert len(got) == 21

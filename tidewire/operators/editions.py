@@ -131,10 +131,17 @@ def salvaged(answer: Column, schema: str) -> Column:
 
 def hashed_vector(text: Column, size: int = 64) -> Column:
     """A text's words counted in `size` slots by hash, as a unit vector; a stand-in where no embedding is given. Null without words."""
-    slots = F.transform(F.regexp_extract_all(F.lower(text), F.lit("([\\p{L}\\p{N}]+)"), 1), lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(size)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(F.size(slots) > 0, F.transform(counts, lambda x: x / norm))
+    words = F.regexp_extract_all(F.lower(text), F.lit("([\\p{L}\\p{N}]+)"), 1)
+    slots = F.transform(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(size)).cast("int"))
+    counted = lambda own: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(own, lambda s: s == i)).cast("double"))
+    norm = lambda counts: F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
+    scaled = lambda counts: _once(norm(counts), lambda n: F.transform(counts, lambda x: x / n))
+    return _once(slots, lambda own: F.when(F.size(own) > 0, _once(counted(own), scaled)))
+
+
+def _once(value: Column, then) -> Column:
+    """then(value), with the value computed once: a column that a lambda names is computed anew for each of its elements."""
+    return F.transform(F.array(value), then)[0]
 
 
 def ragged_union(parts: list[DataFrame]) -> DataFrame:
