@@ -63,3 +63,26 @@ def test_hashed_vector_computes_its_words_once(spark):
         want = np.bincount([zlib.crc32(w.encode()) % 64 for w in [*words, f"x{i % 7}"]], minlength=64).astype(float)
         assert v is None if i % 50 == 0 else v == pytest.approx(want / np.sqrt(want @ want), abs=1e-15)
     assert len(got) == 21
+
+
+@pytest.mark.parametrize("block_rows", [7, 1000])
+def test_nearest_history_searches_the_days_before_in_a_grid(spark, monkeypatch, block_rows):
+    """Rows travel once to a grid of blocks; every query meets every row of its window, however days are cut."""
+    from tidewire.operators import history as H
+    from tidewire.operators import similarity as Y
+
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(60, 6)).astype(np.float32)
+    vectors[7] = vectors[3]
+    day = [int(x) for x in rng.integers(0, 9, 60)]
+    rows = spark.createDataFrame([(i, d, v.tolist()) for i, (d, v) in enumerate(zip(day, vectors, strict=True))], "id bigint, n int, vector array<float>").withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), F.col("n")))
+    monkeypatch.setattr(H, "best_matches", lambda *a, **k: Y.best_matches(*a, **k, block_rows=block_rows))
+    got = {r.id: (r.h_id, r.cosine) for r in H.nearest_history(rows, rows.select(F.col("id").alias("h_id"), F.col("day").alias("h_day"), "vector")).collect()}
+    cosine = vectors.astype(float) @ vectors.astype(float).T
+    want = {}
+    for i in range(60):
+        met = [(cosine[i, j], -j) for j in range(60) if 1 <= day[i] - day[j] <= 3 and cosine[i, j] > 0]
+        if met:
+            want[i] = -max(met)[1]
+    assert {i: h for i, (h, _) in got.items()} == want
+    assert all(c == pytest.approx(cosine[i, h]) for i, (h, c) in got.items())
