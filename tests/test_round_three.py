@@ -86,3 +86,18 @@ def test_nearest_history_searches_the_days_before_in_a_grid(spark, monkeypatch,
             want[i] = -max(met)[1]
     assert {i: h for i, (h, _) in got.items()} == want
     assert all(c == pytest.approx(cosine[i, h]) for i, (h, c) in got.items())
+
+
+def test_best_history_query_searches_all_rows(spark):
+    """Every row asks, and every other keyed row may answer."""
+    from tidewire.plans import store_queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    want = set()
+    for c in rows:
+        for h in rows:
+            shared, named = c.vec_id % 5 < 2 and h.vec_id % 5 < 2, h.vec_id % 5 < 2
+            if h.vec_id != c.vec_id and h.vec_id % 7 and h.label is not None and (shared or not named) and np.dot(np.array(c.embedding, float), np.array(h.embedding, float)) >= (0.25 if shared else 0.3):
+                want.add(c.vec_id)
+    assert {r.id for r in Q.QUERIES["j14_best_history"](spark, sf).collect()} == want

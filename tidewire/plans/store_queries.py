@@ -233,13 +233,14 @@ def w08(s, d):
 
 
 @query("j14_best_history", """WITH v AS (SELECT vec_id, embedding, DATE '2024-01-01' + CAST(vec_id % 10 AS INTEGER) AS day, vec_id % 5 < 2 AS conflict, CASE WHEN vec_id % 7 <> 0 THEN 'k' || label END AS key FROM embeddings),
- m AS (SELECT c.vec_id AS id, h.vec_id AS h_id, h.key, list_sum(list_transform(list_zip(c.embedding, h.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS cosine, greatest(0.0::DOUBLE, (5 - greatest(c.day - h.day, 0)) / 5::DOUBLE) * 0.08::DOUBLE AS bonus, c.conflict AND h.conflict AS shared, h.conflict AS named FROM v c JOIN v h ON c.vec_id % 3 = 1 AND h.vec_id % 3 <> 1 AND h.key IS NOT NULL),
+ m AS (SELECT c.vec_id AS id, h.vec_id AS h_id, h.key, list_sum(list_transform(list_zip(c.embedding, h.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS cosine, greatest(0.0::DOUBLE, (5 - greatest(c.day - h.day, 0)) / 5::DOUBLE) * 0.08::DOUBLE AS bonus, c.conflict AND h.conflict AS shared, h.conflict AS named FROM v c JOIN v h ON h.vec_id <> c.vec_id AND h.key IS NOT NULL),
  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine + bonus DESC, h_id) AS k FROM m WHERE (NOT named OR shared) AND cosine >= CASE WHEN shared THEN 0.25 ELSE 0.3 END) SELECT id, h_id, key, round(cosine + bonus, 4) AS score FROM r WHERE k = 1""")
 def j14(s, d):
     conflicts = F.when(F.col("vec_id") % 5 < 2, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("conflicts")
     v = V.table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"), F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("vec_id") % 10).cast("int")).alias("day"), conflicts, F.when(F.col("vec_id") % 7 != 0, F.concat(F.lit("k"), F.col("label").cast("string"))).alias("key"))
-    current = v.where("vec_id % 3 = 1").select(F.col("vec_id").alias("id"), "day", "vector", "conflicts")
-    return H.best_history(current, v.where("vec_id % 3 <> 1").select(F.col("vec_id").alias("h_id"), F.col("day").alias("h_day"), "key", "vector", "conflicts"), 0.3, 0.25).withColumn("score", F.round("score", 4))
+    current = v.select(F.col("vec_id").alias("id"), "day", "vector", "conflicts")
+    history = v.select(F.col("vec_id").alias("h_id"), F.col("day").alias("h_day"), "key", "vector", "conflicts")
+    return H.best_history(current, history, 0.3, 0.25, others=True).withColumn("score", F.round("score", 4))
 
 
 @query("d16_split_families")
