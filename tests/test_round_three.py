@@ -122,3 +122,19 @@ def test_semantic_dedup_writes_no_pairs(spark, monkeypatch):
     pairs = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(similar, 1)))}
     assert sorted(r.id for r in got.collect()) == sorted(D.keep_anchored(list(range(2000)), [weight[s] for s in source], pairs))
     assert all(df.count() <= 2000 for df in written) and len(pairs) > 400_000
+
+
+def _exchanges(df) -> int:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange SinglePartition")
+
+
+def test_cluster_sums_shuffle_their_members_once(spark):
+    from tidewire.operators import assembly as B
+    from tidewire.sources import views as V
+
+    sf = "/root/testdata/sf0.001"
+    sources = F.broadcast(V.sources(spark, sf).withColumnRenamed("name", "source_name"))
+    met = V.members(spark, sf).join(sources, "source_id").withColumn("searched", F.lit(False)).withColumn("official", F.lit(False))
+    assert _exchanges(S.signal(met)) == 1
+    assert _exchanges(B.summary_counts(V.search_articles(spark, sf))) == 1
