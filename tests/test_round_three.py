@@ -138,3 +138,11 @@ def test_cluster_sums_shuffle_their_members_once(spark):
     met = V.members(spark, sf).join(sources, "source_id").withColumn("searched", F.lit(False)).withColumn("official", F.lit(False))
     assert _exchanges(S.signal(met)) == 1
     assert _exchanges(B.summary_counts(V.search_articles(spark, sf))) == 1
+
+
+def test_cluster_order_has_no_window_over_all(spark):
+    from tidewire.plans import store_queries as Q
+
+    placed = Q.QUERIES["t06_cluster_order"](spark, "/root/testdata/sf0.001")
+    assert "Window" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.place for r in placed.collect()) == list(range(1, placed.count() + 1))
