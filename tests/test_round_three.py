@@ -146,3 +146,13 @@ def test_cluster_order_has_no_window_over_all(spark):
     placed = Q.QUERIES["t06_cluster_order"](spark, "/root/testdata/sf0.001")
     assert "Window" not in placed._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r.place for r in placed.collect()) == list(range(1, placed.count() + 1))
+
+
+def test_displayed_reports_share_a_call_by_their_summaries(spark):
+    from tidewire.operators import displayed as U
+
+    rows = spark.range(64 * 500).select((F.col("id") % 64).alias("report"), "id")
+    n = U.heaps(rows)
+    calls = rows.groupBy(F.pmod(F.xxhash64("report"), F.lit(n)).alias("heap")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    assert calls <= 5 * U.SHARED_ROWS
+    assert U.heaps(rows.limit(10)) == 1

@@ -19,7 +19,8 @@ SAME_IN_FAMILY = 0.90
 SHARED_SOURCES = 2
 BY_URL = 0.95
 
-REPORTS = 64
+#: Summaries of small reports that share a call; a larger report has one of its own.
+SHARED_ROWS = 1024
 
 
 @dataclass
@@ -155,9 +156,12 @@ def resolve_displayed(rows: DataFrame, least: float = SAME_EVENT) -> DataFrame:
             "into": pd.array([c.into for c in cards], "Int64"), "urls": [[u for u, _ in c.articles] for c in cards], "sources": [c.sources for c in cards], "groups": shown,
         })
 
-    #: Some tens of reports share a call, so that small ones cost little.
-    heaps = max(1, rows.select("report").distinct().count() // REPORTS)
-    return rows.groupBy(F.pmod(F.xxhash64("report"), F.lit(heaps)).alias("heap")).applyInPandas(run, RESULT.format(report=rows.schema["report"].dataType.simpleString()))
+    return rows.groupBy(F.pmod(F.xxhash64("report"), F.lit(heaps(rows))).alias("heap")).applyInPandas(run, RESULT.format(report=rows.schema["report"].dataType.simpleString()))
+
+
+def heaps(rows: DataFrame) -> int:
+    """In how many calls the reports are resolved: by their summaries, so that many or large reports don't come together."""
+    return max(1, rows.count() // SHARED_ROWS)
 
 
 def _list(value) -> list:
