@@ -156,3 +156,19 @@ def test_displayed_reports_share_a_call_by_their_summaries(spark):
     calls = rows.groupBy(F.pmod(F.xxhash64("report"), F.lit(n)).alias("heap")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     assert calls <= 5 * U.SHARED_ROWS
     assert U.heaps(rows.limit(10)) == 1
+
+
+@pytest.mark.parametrize("block_rows", [5, 1000])
+def test_mean_overlaps_by_blocks_equal_all_pairs(spark, block_rows):
+    from tidewire.operators import clustering as C
+
+    rnd = random.Random(8)
+    rows = [(k % 3 if k else 9, k, sorted({rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 5))})) for k in range(60)]
+    known = spark.createDataFrame(rows, "c int, id bigint, g array<string>")
+    got = {r.id: r.o for r in C.mean_overlaps(known.where("id % 2 = 0"), known, "c", "id", block_rows).collect()}
+    want = {}
+    for c, k, g in rows:
+        others = [set(h) for d, m, h in rows if d == c and m != k]
+        if k % 2 == 0 and others:
+            want[k] = sum(len(set(g) & h) / max(len(set(g) | h), 1) for h in others) / len(others)
+    assert got == pytest.approx(want)
