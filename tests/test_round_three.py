@@ -172,3 +172,15 @@ def test_mean_overlaps_by_blocks_equal_all_pairs(spark, block_rows):
         if k % 2 == 0 and others:
             want[k] = sum(len(set(g) & h) / max(len(set(g) | h), 1) for h in others) / len(others)
     assert got == pytest.approx(want)
+
+
+def test_history_search_writes_no_vectors(spark, monkeypatch):
+    from tidewire.operators import history as H
+    from tidewire.operators import similarity as Y
+
+    written = []
+    plain = Y.materialise
+    monkeypatch.setattr(Y, "materialise", lambda df: written.append(df.columns) or plain(df))
+    rows = spark.createDataFrame([(i, i % 3, [1.0, float(i)]) for i in range(9)], "id bigint, n int, vector array<float>").withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), F.col("n")))
+    assert H.nearest_history(rows, rows.select(F.col("id").alias("h_id"), F.col("day").alias("h_day"), "vector")).count() == 6
+    assert written == [["heap", "rows", "columns"]]
