@@ -184,3 +184,19 @@ def test_history_search_writes_no_vectors(spark, monkeypatch):
     rows = spark.createDataFrame([(i, i % 3, [1.0, float(i)]) for i in range(9)], "id bigint, n int, vector array<float>").withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), F.col("n")))
     assert H.nearest_history(rows, rows.select(F.col("id").alias("h_id"), F.col("day").alias("h_day"), "vector")).count() == 6
     assert written == [["heap", "rows", "columns"]]
+
+
+def test_report_payload_members_travel_once_and_reports_are_written_small(spark, tmp_path, monkeypatch):
+    """k06: members and groups are shuffled as keys, once each; the reports on disk are a fraction of their text."""
+    import gzip
+    import pathlib
+
+    from tidewire.plans import assembly_queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    assert _exchanges(Q.QUERIES["r05_perspective_payload"](spark, sf)) == 2
+    monkeypatch.setattr("tidewire.runtime.scratch_root", lambda spark: f"file://{tmp_path}")
+    assert Q.QUERIES["k06_report_payload"](spark, sf).count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+    files = list(pathlib.Path(tmp_path).glob("reports-*/part-*"))
+    assert files and all(f.name.endswith(".gz") for f in files)
+    assert sum(f.stat().st_size for f in files) * 4 < sum(len(gzip.decompress(f.read_bytes())) for f in files)

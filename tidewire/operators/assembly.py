@@ -101,20 +101,24 @@ def provenance(kind: Column, platform: Column, searched: Column, status: Column,
     )
 
 
+def source_label(language: int = 1) -> Column:
+    """How a source is shown in a list, of a search view's columns: its name with its provenance, or what is missing."""
+    said = provenance(F.col("source_kind"), F.col("platform"), F.col("is_searched"), *[F.col(c) for c in ("status", "evidence", "reason", "freshness")], language=language)
+    shown = F.concat(F.when(F.col("is_searched"), "🔍").otherwise(""), "source_name", F.when(said.isNotNull(), F.concat(F.lit(" · "), said)).otherwise(""))
+    return F.when(F.col("is_placeholder"), F.concat(F.lit("🔍"), pending_label(F.col("source_name")) if language else F.col("source_name"))).otherwise(shown)
+
+
 def source_entries(articles: DataFrame, certifications: DataFrame, language: int = 1) -> DataFrame:
     """Articles (a search view's columns) with label, url, certification codes and whether they count as a perspective.
 
     A placeholder shows its failure instead of a provenance and has no URL. certifications: source_name, codes.
     """
-    a = articles
     args = [F.col(c) for c in ("status", "evidence", "reason", "freshness")]
     said = provenance(F.col("source_kind"), F.col("platform"), F.col("is_searched"), *args, language=language)
-    shown = F.concat(F.when(F.col("is_searched"), "🔍").otherwise(""), "source_name", F.when(said.isNotNull(), F.concat(F.lit(" · "), said)).otherwise(""))
-    compact = F.when(F.col("is_placeholder"), F.concat(F.lit("🔍"), pending_label(F.col("source_name")) if language else F.col("source_name"))).otherwise(shown)
     label = F.when(F.col("is_placeholder"), failure_label(F.col("reason"), language)).otherwise(said)
-    met = a.join(checked(certifications), "source_name", "left")
+    met = articles.join(checked(certifications), "source_name", "left")
     counts = counts_as_perspective(F.col("is_placeholder"), F.col("is_searched"), *args)
-    return met.select("cluster_id", "pos", "source_name", compact.alias("label"), label.alias("provenance"), F.when(~F.col("is_placeholder"), F.col("url")).alias("url"), F.coalesce("codes", F.array().cast("array<string>")).alias("codes"), counts.alias("counts"))
+    return met.select("cluster_id", "pos", "source_name", source_label(language).alias("label"), label.alias("provenance"), F.when(~F.col("is_placeholder"), F.col("url")).alias("url"), F.coalesce("codes", F.array().cast("array<string>")).alias("codes"), counts.alias("counts"))
 
 
 def article_meta(articles: DataFrame, fields: list[str]) -> DataFrame:
@@ -123,15 +127,20 @@ def article_meta(articles: DataFrame, fields: list[str]) -> DataFrame:
     return g.select("cluster_id", "source_name", F.transform("entries", lambda e: F.struct(*[e[f].alias(f) for f in fields])).alias("entries"))
 
 
-def summary_counts(articles: DataFrame) -> DataFrame:
-    """Per cluster: real and placeholder articles and sources, organic sources and regions. Articles are shuffled once, narrow; names are told apart where their cluster is."""
+def count_columns() -> list[Column]:
+    """What summary_counts() counts, as aggregates of a search view's columns."""
     real, organic = ~F.col("is_placeholder"), ~F.col("is_placeholder") & ~F.col("is_searched")
     kinds = lambda c: F.size(F.collect_set(c)).cast("bigint")
-    rows = articles.select("cluster_id", "source_name", "region", "is_placeholder", "is_searched").repartition("cluster_id")
-    return rows.groupBy("cluster_id").agg(
+    return [
         F.count_if(real).alias("real_articles"), F.count_if(~real).alias("placeholders"), kinds(F.when(real, F.col("source_name"))).alias("real_sources"),
         kinds(F.when(~real, F.col("source_name"))).alias("placeholder_sources"), kinds(F.when(organic, F.col("source_name"))).alias("organic_sources"),
-        kinds(F.when(organic & (F.coalesce("region", F.lit("")) != ""), F.col("region"))).alias("organic_regions"))
+        kinds(F.when(organic & (F.coalesce("region", F.lit("")) != ""), F.col("region"))).alias("organic_regions")]
+
+
+def summary_counts(articles: DataFrame) -> DataFrame:
+    """Per cluster: real and placeholder articles and sources, organic sources and regions. Articles are shuffled once, narrow; names are told apart where their cluster is."""
+    rows = articles.select("cluster_id", "source_name", "region", "is_placeholder", "is_searched").repartition("cluster_id")
+    return rows.groupBy("cluster_id").agg(*count_columns())
 
 
 def perspective_payload(groups: DataFrame, articles: DataFrame) -> DataFrame:
@@ -140,16 +149,17 @@ def perspective_payload(groups: DataFrame, articles: DataFrame) -> DataFrame:
     A group shows if a source of its counts as a current perspective and its text is one; ineligible sources leave it.
     Groups count as distinct only for clusters of two real sources at least.
     """
-    args = [F.col(c) for c in ("is_placeholder", "is_searched", "status", "evidence", "reason", "freshness")]
-    per_source = articles.groupBy("cluster_id", "source_name").agg(F.max(counts_as_perspective(*args)).alias("eligible"), F.max(~F.col("is_placeholder")).alias("real"))
-    multi = per_source.groupBy("cluster_id").agg((F.count_if("real") >= 2).alias("multi"))
-    spread = groups.select("cluster_id", "pos", "text", F.posexplode_outer("sources").alias("k", "source_name"))
-    met = spread.join(per_source.where("eligible").select("cluster_id", "source_name", "eligible"), ["cluster_id", "source_name"], "left")
-    g = met.groupBy("cluster_id", "pos").agg(F.first("text").alias("text"), F.count("eligible").alias("sources"))
+    args = ("is_placeholder", "is_searched", "status", "evidence", "reason", "freshness")
+    counts, real = counts_as_perspective(*[F.col(c) for c in args]), ~F.col("is_placeholder")
+    #: Members and groups meet at their cluster, and travel no more if they lie there. A real source without name is one of its own.
+    nameless = F.coalesce(F.max(F.when(real & F.col("source_name").isNull(), 1)), F.lit(0))
+    voices = articles.groupBy("cluster_id").agg(F.collect_set(F.when(counts, F.col("source_name"))).alias("eligible"), (F.size(F.collect_set(F.when(real, F.col("source_name")))) + nameless >= 2).alias("multi"))
+    met = groups.join(voices, "cluster_id", "left")
+    sources = F.size(F.filter("sources", lambda s: F.array_contains("eligible", s)))
+    g = met.groupBy("cluster_id", "pos").agg(F.first("text").alias("text"), F.sum(F.greatest(F.coalesce(sources, F.lit(0)), F.lit(0)).cast("bigint")).alias("sources"), F.first("multi").alias("multi"))
     g = g.withColumn("shown", (F.col("sources") > 0) & is_renderable(F.col("text")))
     first = F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("shown"), F.struct("pos", "text")))), 1, 2), lambda x: preview(x["text"]))
-    out = g.groupBy("cluster_id").agg(F.count_if("shown").alias("shown"), F.count_if(~F.col("shown")).alias("suppressed"), first.alias("first"), F.sum(F.when(F.col("shown"), F.col("sources"))).alias("shown_sources"))
-    out = out.join(multi, "cluster_id", "left").withColumn("multi", F.coalesce("multi", F.lit(False)))
+    out = g.groupBy("cluster_id").agg(F.count_if("shown").alias("shown"), F.count_if(~F.col("shown")).alias("suppressed"), first.alias("first"), F.sum(F.when(F.col("shown"), F.col("sources"))).alias("shown_sources"), F.coalesce(F.first("multi"), F.lit(False)).alias("multi"))
     distinct = F.when(F.col("multi"), F.col("shown")).otherwise(F.lit(0))
     return out.select("cluster_id", distinct.cast("bigint").alias("distinct_perspectives"), "suppressed", F.coalesce("shown_sources", F.lit(0)).cast("bigint").alias("shown_sources"), (F.col("multi") & (F.col("shown") >= 2)).alias("expandable"), F.when(F.col("shown") >= 2, F.array_join("first", " / ")).otherwise("").alias("preview"))
 

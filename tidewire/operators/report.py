@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.display import broad_category
 from tidewire.functions.text import headline
-from tidewire.operators.assembly import perspective_payload, source_entries, summary_counts
+from tidewire.operators.assembly import count_columns, perspective_payload, source_label
 
 ARTICLE = "struct<title:string,url:string,source:string,published_at:string,search_acceptance_status:string,search_acceptance_reason:string,result_freshness_state:string,is_placeholder:boolean,is_real_article:boolean>"
 CARD = (
@@ -28,12 +28,13 @@ def body_only(text: Column) -> Column:
     return F.regexp_replace(F.array_join(F.transform(kept, lambda y: y["x"]), "\n"), "^(?:[ \\t]*\n)+|(?:\n[ \\t]*)+$", "")
 
 
-def cards(summaries: DataFrame, articles: DataFrame, groups: DataFrame, certifications: DataFrame, english: bool = True) -> DataFrame:
+def cards(summaries: DataFrame, articles: DataFrame, groups: DataFrame, english: bool = True) -> DataFrame:
     """cluster_id and card (see CARD, without its index) of each summary.
 
     summaries: cluster_id, topic, display_category, summary, summary_en, freshness_state, storyline_key, storyline_name,
     storyline_role, quality_score, quality_status, quality_flags, duplicate_action, composite. articles: a search view's
-    columns; groups: the views of perspective_payload(). Everything is summed per cluster before it meets the summaries.
+    columns; groups: the views of perspective_payload(). Everything is summed per cluster before it meets the summaries; articles and
+    groups that lie by cluster are not shuffled again.
     """
     placeholder = F.col("is_placeholder")
     article = F.struct(
@@ -41,10 +42,11 @@ def cards(summaries: DataFrame, articles: DataFrame, groups: DataFrame, certific
         F.coalesce("status", F.when(F.col("is_searched"), "accepted")).alias("search_acceptance_status"), F.coalesce("reason", F.lit("")).alias("search_acceptance_reason"),
         F.col("freshness").alias("result_freshness_state"), placeholder.alias("is_placeholder"), (~placeholder).alias("is_real_article"),
     )
-    listed = articles.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", article.alias("a")))), lambda x: x["a"]).alias("articles"))
-    entries = source_entries(articles, certifications).groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("pos", "label", "url"))).alias("_e"))
-    entries = entries.select("cluster_id", F.transform("_e", lambda e: F.struct(e["label"].alias("label"), e["url"].alias("url"))).alias("footer_sources"))
-    met = summaries.join(listed, "cluster_id", "left").join(entries, "cluster_id", "left").join(summary_counts(articles), "cluster_id", "left").join(perspective_payload(groups, articles), "cluster_id", "left")
+    member = F.struct("pos", article.alias("a"), source_label().alias("label"))
+    rows = articles.groupBy("cluster_id").agg(F.array_sort(F.collect_list(member)).alias("_m"), *count_columns())
+    entry = lambda m: F.struct(m["label"].alias("label"), m["a"]["url"].alias("url"))
+    rows = rows.withColumns({"articles": F.transform("_m", lambda m: m["a"]), "footer_sources": F.transform("_m", entry)}).drop("_m")
+    met = summaries.join(rows, "cluster_id", "left").join(perspective_payload(groups, articles), "cluster_id", "left")
     none = lambda kind: F.array().cast(f"array<{kind}>")
     met = met.withColumn("articles", F.coalesce("articles", none(ARTICLE))).withColumn("footer_sources", F.coalesce("footer_sources", none("struct<label:string,url:string>")))
     count = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
@@ -72,7 +74,7 @@ def report_payloads(placed: DataFrame, card_rows: DataFrame) -> DataFrame:
     rows = placed.join(card_rows, "cluster_id")
     order = F.when(F.col("lane") == "hot", 0).when(F.col("lane") == "main", 1).otherwise(2)
     one = F.struct(order.alias("lane"), F.coalesce("family", F.lit("")).alias("family"), "place", "cluster_id", F.col("family_name").alias("name"), "card")
-    day = rows.groupBy("date").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    day = rows.repartition("date").groupBy("date").agg(F.array_sort(F.collect_list(one)).alias("all"))
     numbered = F.transform("all", lambda x, i: F.struct(x["lane"].alias("lane"), x["family"].alias("family"), x["name"].alias("name"), x["card"].withField("index", i + 1).alias("card")))
     day = day.withColumn("all", numbered)
     lane = lambda n: F.transform(F.filter("all", lambda x: x["lane"] == n), lambda x: x["card"])

@@ -101,9 +101,10 @@ SEARCH_REASONS = ("current_event_perspective", "background_context", "http_404,s
 SEARCH_TEXTS = ("said \"we will act at once\" on Monday.", "has published its annual report.", "was seen near the port.", "did not comment, 称：“不会接受这种安排” 。")
 
 
-def search_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of clusters with what a search run stores about them: provenance, acceptance, freshness, evidence role."""
+def search_articles(spark: SparkSession, sf_dir: str, by_cluster: bool = False) -> DataFrame:
+    """Members of clusters with what a search run stores about them: provenance, acceptance, freshness, evidence role. On demand they lie by cluster: keys travel, and texts are made where they arrive."""
     x = table(spark, sf_dir, "lineitem")
+    x = x.repartition("l_orderkey") if by_cluster else x
     part, supp, text = F.col("l_partkey"), F.col("l_suppkey"), lambda c: c.cast("string")
     searched, placeholder = F.col("l_returnflag") != "N", part % 9 == 0
     url = F.when(placeholder, F.concat(F.lit("placeholder:"), text(part))).otherwise(F.concat(pick(SEARCH_URLS, supp % 5), text(part)))
