@@ -200,3 +200,17 @@ def test_report_payload_members_travel_once_and_reports_are_written_small(spark,
     files = list(pathlib.Path(tmp_path).glob("reports-*/part-*"))
     assert files and all(f.name.endswith(".gz") for f in files)
     assert sum(f.stat().st_size for f in files) * 4 < sum(len(gzip.decompress(f.read_bytes())) for f in files)
+
+
+def test_issue_histogram_computes_issues_once(spark):
+    """a09: each pattern stands once in the plan; a plain explode, and lists that use a text several times, computed them anew."""
+    from tidewire.operators import grounding as G
+    from tidewire.plans import intake_queries as Q
+
+    plan = Q.QUERIES["a09_issue_histogram"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    rows = spark.createDataFrame([("**Head**\nA body of more than twenty letters.",)], "t string").select(G.text_issues(F.col("t")).alias("i"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 4
+    assert "size(" not in plan
+    odd = [("",), (None,), ("  ",), ("12人。",), ("A long enough body of text, it is. 7 %!",), ("**H**\n3人。 A body of more than twenty letters",)]
+    got = [r.i for r in spark.createDataFrame(odd, "t string").select(G.text_issues(F.col("t")).alias("i")).collect()]
+    assert got == [[], [], ["empty_summary"], ["summary_body_too_short", "leading_numeric_fragment", "orphan_numeric_fragment"], ["orphan_numeric_fragment"], ["leading_numeric_fragment", "orphan_numeric_fragment"]]

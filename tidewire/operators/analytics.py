@@ -121,8 +121,9 @@ def quality_summary(rows: DataFrame, score: str, low: float = 0.45) -> DataFrame
 
 
 def flag_histogram(rows: DataFrame, flags: str = "flags") -> DataFrame:
-    """How often each flag occurs."""
-    return rows.select(F.explode(flags).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+    """How often each flag occurs. Flags are computed once for each row: a plain explode would test for them first, by computing them."""
+    each = rows.select(F.posexplode_outer(flags).alias("_k", "flag")).where("_k IS NOT NULL")
+    return each.groupBy("flag").agg(F.count("*").alias("n"))
 
 
 def one_angle(perspectives: DataFrame) -> DataFrame:

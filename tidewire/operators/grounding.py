@@ -115,16 +115,30 @@ def without(text: Column, dropped: Column) -> Column:
     return F.array_join(F.filter(sentences(text), lambda s: ~F.exists(dropped, lambda c: F.contains(s, c))), " ")
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed once for each row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def text_issues(text: Column) -> Column:
     """codes of what is wrong with a summary's text; its first line may be a bold headline."""
-    body = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "^\\s*\\*\\*.+?\\*\\*[^\\n]*(\\n|$)", ""))
-    orphan = F.exists(sentences(body), lambda s: s.rlike(ORPHAN))
-    issues = F.array_compact(F.array(
-        F.when(F.length(F.regexp_replace(body, "\\s+", "")) < 20, "summary_body_too_short"), F.when(text.rlike(PLACEHOLDER), "numeric_placeholder"), F.when(body.rlike(LEADING), "leading_numeric_fragment"),
-        F.when(orphan, "orphan_numeric_fragment"), F.when(body.rlike("^\\s*[，,、。.!！？?]"), "malformed_sentence_start"), F.when(text.rlike(REMNANT), "malformed_numeric_remnant"),
-    ))
-    blank = F.trim(text) == ""
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).when(blank, F.array(F.lit("empty_summary"))).otherwise(issues)
+
+    def of_body(x: Column) -> Column:
+        text, body = x["text"], x["body"]
+        #: Fragments have a digit; sentences are cut only where there is one.
+        digit = F.translate(body, "0123456789", "") != body
+        orphan = digit & F.exists(sentences(body), lambda s: s.rlike(ORPHAN))
+        return F.array_compact(F.array(
+            F.when(F.length(F.regexp_replace(body, "\\s+", "")) < 20, "summary_body_too_short"), F.when(text.rlike(PLACEHOLDER), "numeric_placeholder"), F.when(digit & body.rlike(LEADING), "leading_numeric_fragment"),
+            F.when(orphan, "orphan_numeric_fragment"), F.when(body.rlike("^\\s*[，,、。.!！？?]"), "malformed_sentence_start"), F.when(text.rlike(REMNANT), "malformed_numeric_remnant"),
+        ))
+
+    def issues(text: Column) -> Column:
+        body = F.trim(F.regexp_replace(text, "^\\s*\\*\\*.+?\\*\\*[^\\n]*(\\n|$)", ""))
+        several = once(F.struct(text.alias("text"), body.alias("body")), of_body)
+        return F.when(text == "", F.array().cast("array<string>")).when(F.trim(text) == "", F.array(F.lit("empty_summary"))).otherwise(several)
+
+    return once(F.coalesce(text, F.lit("")), issues)
 
 
 def article_issues(articles: Column) -> Column:
@@ -132,9 +146,9 @@ def article_issues(articles: Column) -> Column:
     real = lambda a: ~F.coalesce(a["is_placeholder"], F.lit(False)) & F.coalesce(F.lower(F.trim(a["url"])).rlike("^https?://[^/?#]+"), F.lit(False))
     mismatch = lambda a: F.lower(a["url"]).startswith("placeholder:") & ~F.coalesce(a["is_placeholder"], F.lit(False))
     unverified = lambda a: a["is_searched"] & (a["status"] == "accepted") & (F.coalesce(a["freshness"], F.lit("")) == "") & ~F.coalesce(a["reason"] == "current_event_perspective", F.lit(False))
-    of = lambda test, code: F.transform(F.filter(articles, lambda a: F.coalesce(test(a), F.lit(False))), lambda a: F.lit(code))
-    none = F.when(F.exists(articles, real), F.array().cast("array<string>")).otherwise(F.array(F.lit("no_real_articles")))
-    return F.concat(of(mismatch, "placeholder_url_mismatch"), of(unverified, "search_evidence_unverified"), none)
+    of = lambda rows, test, code: F.transform(F.filter(rows, lambda a: F.coalesce(test(a), F.lit(False))), lambda a: F.lit(code))
+    none = lambda rows: F.when(F.exists(rows, real), F.array().cast("array<string>")).otherwise(F.array(F.lit("no_real_articles")))
+    return once(articles, lambda rows: F.concat(of(rows, mismatch, "placeholder_url_mismatch"), of(rows, unverified, "search_evidence_unverified"), none(rows)))
 
 
 def publication_issues(articles: Column, status: Column, flags: Column, summary: Column, summary_en: Column, approved: Column) -> Column:
