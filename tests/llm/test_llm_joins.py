@@ -298,3 +298,16 @@ def test_repeated_rows_share_no_rank(spark):
     rows = [(1, "alpha " * 25)] * 500 + [(2, "alpha " * 25)] * 500
     got = resampled(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), spark.createDataFrame([("alpha",)], "text string"))
     assert sorted(r[4] for r in got if r[4]) == list(range(1, 101)) and len({r[0] for r in got if r[4]}) == 1
+
+
+def test_set_join_beyond_broadcasts_sends_no_other_sets(spark, monkeypatch):
+    """op11: where lists are too long to go everywhere, bits tell exactly which rows take part before anything travels; the order's counters grow."""
+    from tidewire.llm import set_join as J
+
+    rows = spark.range(0, 100_000, 1, 3).select((F.col("id") + F.when(F.col("id") > 50_000, 1 << 33).otherwise(0)).alias("row"), F.lit(b"x").alias("whole"))
+    asked = rows.where("row % 1000 IN (0, 1, 767, 768)").select(F.col("row").alias("node"))
+    monkeypatch.setattr(J, "NARROW_ROWS", 10)
+    sent = J.marked(rows, asked.withColumnRenamed("node", "row"))
+    assert sorted(map(tuple, sent.select("row").collect())) == sorted(map(tuple, asked.collect()))
+    assert "BroadcastHashJoin [static_invoke" in J.with_sets(asked, rows, "node")._jdf.queryExecution().executedPlan().toString()
+    assert J.counters_for(1) == J.SKETCH < J.counters_for(500_000) < J.counters_for(3_000_000) == J.MOST_SKETCH

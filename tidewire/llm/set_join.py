@@ -4,8 +4,8 @@ A document's set holds its different runs of four words (maximal runs of visible
 fewer words is one run). Two sets are linked when 100 * |x & y| >= 85 * |x | y|, that is, when they share at least
 ceil(17 * (|x| + |y|) / 37) shingles: the occurrences T that a document needs in the inverted lists of the other's shingles.
 
-Texts of equal sets are one node. All shingles have one order: by their number in a sketch of all rows (SKETCH counters),
-then by hash. Similar nodes share at least one of their first |x| - ceil(0.85 |x|) + 1 shingles, so only these are listed,
+Texts of equal sets are one node. All shingles have one order: by their number in a sketch of all rows (whose counters
+grow with the rows, so that what is common still stands out), then by hash. Similar nodes share at least one of their first |x| - ceil(0.85 |x|) + 1 shingles, so only these are listed,
 and lists of one node are dropped. What is left is settled exactly, in steps, none of which puts out the pairs of a list:
 
 1. Lists of up to LIST_MEMBERS nodes go to their members; each member merges its lists, and is near the nodes that occur in
@@ -39,17 +39,21 @@ from pyspark.sql import functions as F
 
 from tidewire.llm import buffers
 from tidewire.llm.near_dedup import _binary, components, shingles
-from tidewire.runtime import checked, materialise, workers_see_package
+from tidewire.runtime import checked, materialise, small_enough, workers_see_package
 
 WORDS = 4
 #: Links have at least OF_UNION hundredths of the union in common: SHARE[0] / SHARE[1] of the sum of both sizes.
 OF_UNION = 85
 SHARE = (17, 37)
-#: Counters of the sketch that orders shingles, and how many travel together.
+#: Counters of the sketch that orders shingles: at least, at most, and for each row between; and how many travel together.
 SKETCH = 1 << 22
+MOST_SKETCH = 1 << 24
+ROW_COUNTERS = 16
 SKETCH_CHUNK = 1 << 15
 #: Lists of ids or shingles of up to so many rows (16 bytes each) are broadcast.
 NARROW_ROWS = 1_000_000
+#: Longer lists of shingles: so many low bits tell first which rows may meet one.
+SHARED_BITS = 1 << 27
 #: Members and shingles of a cell at most (a longer text is a cell's only one, or one of two).
 CELL_MEMBERS = 512
 CELL_SHINGLES = 1_000_000
@@ -69,34 +73,39 @@ def listed(n):
     return n - (OF_UNION * n + 99) // 100 + 1
 
 
-def slot(value: np.ndarray) -> np.ndarray:
-    return (value & np.uint64(SKETCH - 1)).astype(np.int64)
+def slot(value: np.ndarray, counters: int) -> np.ndarray:
+    return (value & np.uint64(counters - 1)).astype(np.int64)
 
 
-def counted(texts: DataFrame) -> np.ndarray:
-    """The sketch of all rows: by counter, how often its shingles occur (255 at most)."""
+def counters_for(rows: int) -> int:
+    """A power of two."""
+    return min(max(SKETCH, 1 << max(0, rows * ROW_COUNTERS - 1).bit_length()), MOST_SKETCH)
+
+
+def counted(texts: DataFrame, counters: int) -> np.ndarray:
+    """The sketch of all rows: by counter, how often its shingles occur (65,535 at most)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SKETCH, np.uint8)
+        sketch = np.zeros(counters, np.uint16)
         for batch in batches:
             for part in buffers.slices(batch, "text", SLICE):
-                at, n = np.unique(slot(shingles(*buffers.utf8(part.column("text")), WORDS)[1]), return_counts=True)
-                sketch[at] = np.minimum(sketch[at] + n, 255)
-        for k in range(0, SKETCH, SKETCH_CHUNK):
+                at, n = np.unique(slot(shingles(*buffers.utf8(part.column("text")), WORDS)[1], counters), return_counts=True)
+                sketch[at] = np.minimum(sketch[at] + n, 65535)
+        for k in range(0, counters, SKETCH_CHUNK):
             yield pa.RecordBatch.from_arrays([pa.array([k // SKETCH_CHUNK]), pa.array([zlib.compress(sketch[k : k + SKETCH_CHUNK].tobytes(), 1)], pa.binary())], ["chunk", "counts"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                own = np.frombuffer(zlib.decompress(counts), np.uint8)
-                sums[chunk] = np.minimum(sums[chunk].astype(np.uint16) + own, 255).astype(np.uint8) if chunk in sums else own
+                own = np.frombuffer(zlib.decompress(counts), np.uint16)
+                sums[chunk] = np.minimum(sums[chunk].astype(np.uint32) + own, 65535).astype(np.uint16) if chunk in sums else own
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
 
     parts = texts.select("text").mapInArrow(run, "chunk bigint, counts binary").repartition("chunk").mapInArrow(summed, "chunk bigint, counts binary").collect()
-    out = np.zeros((SKETCH // SKETCH_CHUNK, SKETCH_CHUNK), np.uint8)
+    out = np.zeros((counters // SKETCH_CHUNK, SKETCH_CHUNK), np.uint16)
     for row in parts:
-        out[row["chunk"]] = np.frombuffer(row["counts"], np.uint8)
+        out[row["chunk"]] = np.frombuffer(row["counts"], np.uint16)
     return out.reshape(-1)
 
 
@@ -116,7 +125,7 @@ def sets(texts: DataFrame, sketch) -> DataFrame:
                 for k, seed in enumerate((0xA5A5, 0x5A5A5A)):
                     if len(some):
                         shape[some, k] = np.add.reduceat(buffers.mix64(value ^ np.uint64(seed << 48 & (1 << 64) - 1)), at[some])
-                number = counts[slot(value)].astype(np.uint64) << np.uint64(48) | value
+                number = counts[slot(value, len(counts))].astype(np.uint64) << np.uint64(48) | value
                 order = np.lexsort((number, owner))
                 number = number[order]
                 first = np.where(n > 0, listed(n), 0)
@@ -255,6 +264,23 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy()
 
 
+def marked(rows: DataFrame, wanted: DataFrame, key: str = "row") -> DataFrame:
+    """The rows whose number (key) is among those of `wanted`: exact, and no row travels. A number is a bit in the map of its 32,768 neighbours; maps (4 KB) are few enough to go everywhere."""
+    bit = F.bitmap_bit_position(key)
+    maps = wanted.groupBy(F.bitmap_bucket_number(key).alias("_bucket")).agg(F.bitmap_construct_agg(bit).alias("_map"))
+    byte = F.conv(F.hex(F.substring("_map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(materialise(maps)), F.bitmap_bucket_number(key) == F.col("_bucket"))
+    return met.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)
+
+
+def with_sets(asked: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """asked (written) with the sets of its rows, which `key` names. Sets of other rows don't travel, however many are asked for."""
+    held = rows.select(F.col("row").alias(key), "whole")
+    if small_enough(asked, NARROW_ROWS):
+        return held.join(F.broadcast(asked), key)
+    return marked(held, asked, key).join(asked, key)
+
+
 def linked(cells: DataFrame, rows: DataFrame) -> DataFrame:
     """Edges (a, b) of a forest over the links in each cell of (bucket, cell, node, asks, label).
 
@@ -283,8 +309,7 @@ def linked(cells: DataFrame, rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     asked = materialise(cells)
-    met = rows.select(F.col("row").alias("node"), "whole").join(checked(asked, NARROW_ROWS), "node")
-    dealt = met.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
+    dealt = with_sets(asked, rows, "node").repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
     return materialise(dealt.select("bucket", "cell", "node", "asks", "label", "whole").mapInArrow(run, "a bigint, b bigint").distinct())
 
 
@@ -367,7 +392,7 @@ def _compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     dealt = pairs.join(checked(asked), "node").withColumn("block", F.pmod(F.xxhash64("other"), F.ceil(F.col("count") / CELL_MEMBERS)))
     queries = dealt.select(F.col("node").alias("row"), "node", "block", F.lit(-1).cast("bigint").alias("other")).distinct()
     wanted = materialise(queries.unionByName(dealt.select(F.col("other").alias("row"), "node", "block", "other")))
-    both = rows.select("row", "whole").join(checked(wanted, NARROW_ROWS), "row")
+    both = with_sets(wanted, rows, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for groups, table in in_groups(batches, ["node", "block"], 64):
@@ -424,7 +449,11 @@ def links(rows: DataFrame, nodes: DataFrame, most_members: int = CELL_MEMBERS, m
 
     every = nodes.select("row", "n", "first").mapInArrow(entries_of, "shingle bigint, node bigint, n bigint")
     shared = materialise(every.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1"))
-    entries = materialise(every.join(checked(shared, NARROW_ROWS), "shingle"))
+    if small_enough(shared, NARROW_ROWS):
+        entries = materialise(every.join(F.broadcast(shared), "shingle"))
+    else:
+        low = F.col("shingle").bitwiseAND(SHARED_BITS - 1).alias("low")
+        entries = materialise(marked(every.select("*", low), shared.select(low), "low").drop("low").join(shared, "shingle"))
     if entries.isEmpty():
         return None
     near = _near(_sent(entries.where(F.col("m") <= list_members).withColumn("label", F.col("node"))))
@@ -455,11 +484,11 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **si
     workers_see_package(spark)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     texts = docs.select(F.col(id_col).alias("id"), F.translate(F.coalesce(F.col(text_col), F.lit("")), letters, letters.lower()).alias("text"))
-    sketch = spark.sparkContext.broadcast(counted(texts))
+    sketch = spark.sparkContext.broadcast(counted(texts, counters_for(docs.count())))
     rows = materialise(sets(texts, sketch).withColumn("row", F.monotonically_increasing_id()))
     words = rows.where("n > 0")
     shapes = materialise(words.groupBy("shape").agg(F.min("row").alias("row"), F.min("id").alias("least")))
-    nodes = words.select("row", "n", "first").join(checked(shapes.select("row"), NARROW_ROWS), "row", "left_semi")
+    nodes = marked(words.select("row", "n", "first"), shapes.select("row"))
     edges = links(words, nodes, **sizes)
     known = shapes
     if edges is not None and not edges.isEmpty():
