@@ -214,3 +214,46 @@ def test_issue_histogram_computes_issues_once(spark):
     odd = [("",), (None,), ("  ",), ("12人。",), ("A long enough body of text, it is. 7 %!",), ("**H**\n3人。 A body of more than twenty letters",)]
     got = [r.i for r in spark.createDataFrame(odd, "t string").select(G.text_issues(F.col("t")).alias("i")).collect()]
     assert got == [[], [], ["empty_summary"], ["summary_body_too_short", "leading_numeric_fragment", "orphan_numeric_fragment"], ["orphan_numeric_fragment"], ["leading_numeric_fragment", "orphan_numeric_fragment"]]
+
+
+def titles_of_one_source(n, seed):
+    rnd = random.Random(seed)
+    words = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 8))) for _ in range(300)]
+    return [" ".join(rnd.choice(words) for _ in range(9))[:60].strip() for _ in range(n)]
+
+
+def test_fuzzy_edges_by_blocks_equal_all_pairs(spark):
+    from tidewire.operators import dedup as D
+    from tidewire.operators import similarity as Y
+
+    rnd = random.Random(5)
+    base = [*titles_of_one_source(6, 1), " ".join(titles_of_one_source(2, 2)), "日本の経済", "", "x"]
+    rows = []
+    for i in range(150):
+        own = list(rnd.choice(base))
+        for _ in range(rnd.randint(0, 3)):
+            own.insert(rnd.randint(0, len(own)), rnd.choice("aeZ 9ß日"))
+        rows.append((i, [f"s{i % 2}", None][i % 29 == 0], None if i % 31 == 0 else "".join(own)))
+    frame = spark.createDataFrame(rows, "id bigint, source_name string, title string")
+    want = [(i, j) for i, s, t in rows for j, u, v in rows if i < j and s and s == u and Y.indel_ratio(t, v) >= 85]
+    assert any(len(rows[i][2]) > Y.WORD_BITS for i, _ in want)
+    for size in (16, 4096):
+        assert sorted(map(tuple, D.fuzzy_edges(frame, 85.0, size).collect())) == want
+    similar = set(want)
+    weights = spark.createDataFrame([("s0", 0.9)], "name string, weight double")
+    kept = D.keep_fuzzy(list(range(150)), [0.5] * 150, similar)
+    assert sorted(r.id for r in D.fuzzy_dedup(frame, weights).collect()) == sorted(kept)
+
+
+def test_fuzzy_dedup_of_a_large_source(spark):
+    """In time: 8,000 titles of one source, each pair of which was compared by expressions."""
+    import time
+
+    from tidewire.operators import dedup as D
+
+    titles = titles_of_one_source(8_000, 3)
+    frame = spark.createDataFrame([(i, t, "s") for i, t in enumerate([*titles, *titles[:50], *(t + "s" for t in titles[:50])])], "id bigint, title string, source_name string")
+    start = time.monotonic()
+    got = {r.id for r in D.fuzzy_dedup(frame, spark.createDataFrame([("s", 0.9)], "name string, weight double")).collect()}
+    assert time.monotonic() - start < 40
+    assert len(got) > 7_000 and not got & set(range(8_000, 8_100))

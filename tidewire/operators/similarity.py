@@ -293,36 +293,145 @@ def token_set_ratio(a: str | None, b: str | None) -> float:
     return max(best, indel_ratio(common, with_a), indel_ratio(common, with_b)) if common else best
 
 
-@F.pandas_udf(T.DoubleType())
-def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 @F.pandas_udf(T.DoubleType())
 def token_set_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def ratio_possible(a: Column, b: Column, least: float) -> Column:
-    """Length bound that a ratio of at least `least` implies: a cheap filter before the exact ratio."""
-    small, large = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    return 200 * small >= least * (small + large)
+#: Rows of a block of texts that are compared with another block's.
+TEXT_ROWS = 4096
 
+#: Longest text that a machine word holds, and pairs that are compared at once.
+WORD_BITS = 64
+PAIRS_AT_ONCE = 65_536
 
-#: Groups of letters whose numbers bound an edit similarity; all other characters are one more group.
-LETTERS = ("eE", "aA", "tT", "iI", "nN", "oO", "sS", "rR", "hH", "lL", "dD", "uU", "cCmMfF", "pPgGwWyY", "bBvVkKxXjJqQzZ", "0123456789", " ")
+
+def text_cells(rows: DataFrame, key: str, text: str, group: str, block_rows: int = TEXT_ROWS) -> DataFrame:
+    """(cell, i, j, side, k, text): each pair of rows of a group meets in one cell, for a function of mapInArrow().
+
+    Groups of any size are dealt into blocks by keys (bigint, one row each), and block i meets block j >= i in a cell: a row
+    travels once to each block of its group. Rows lie by cell, left (0) before right (1); a block that meets itself is
+    there once. Rows without group or text and groups of one row take no part.
+    """
+    held = materialise(rows.select(F.col(group).alias("g"), F.col(key).cast("bigint").alias("k"), F.col(text).alias("text")).where("g IS NOT NULL AND text IS NOT NULL"))
+    sizes = held.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = materialise(sizes.select("g", F.monotonically_increasing_id().alias("cell"), F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")))
+    cells = sizes.agg(F.sum(F.col("blocks").cast("bigint") * (F.col("blocks") + 1) / 2)).first()[0] or 1
+    dealt = held.join(checked(sizes), "g").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("other") < F.col("own")).cast("int").alias("side"), "k", "text")
+    return dealt.repartition(max(1, min(int(cells), 2000)), "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side")
 
 
-def letter_counts(text: Column) -> Column:
-    """How many characters of each group a text has."""
-    counts = [F.length(text) - F.length(F.translate(text, group, "")) for group in LETTERS]
-    return F.array(*counts, F.length(F.translate(text, "".join(LETTERS), "")))
+def met_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str], np.ndarray, list[str], bool]]:
+    """Of each cell of text_cells(): keys and texts of either side, and whether they are one block."""
+    cell, sides = None, ([], [])
 
+    def out():
+        tables = [pa.Table.from_batches(side) if side else None for side in sides]
+        left, right = tables[0], tables[1] if tables[1] is not None else tables[0]
+        return left.column("k").to_numpy(), left.column("text").to_pylist(), right.column("k").to_numpy(), right.column("text").to_pylist(), tables[1] is None
 
-def ratio_by_letters(a: Column, b: Column, counts_a: Column, counts_b: Column, least: float) -> Column:
-    """What a ratio of at least `least` implies for the letters: each edit changes one group's number by one, and there are no more edits than the ratio leaves."""
-    apart = F.aggregate(F.zip_with(counts_a, counts_b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    return apart <= (F.length(a) + F.length(b)) * (1 - least / 100) + 1e-9
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "i", "j", "side")], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if tuple(keys[a, :3].tolist()) != cell:
+                if sides[0] and (sides[1] or cell[1] == cell[2]):
+                    yield out()
+                cell, sides = tuple(keys[a, :3].tolist()), ([], [])
+            sides[keys[a, 3]].append(batch.slice(a, b - a))
+    if sides[0] and (sides[1] or cell[1] == cell[2]):
+        yield out()
+
+
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts one after the other, and lengths."""
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.array([len(t) for t in texts], np.int64)
+
+
+class Coded:
+    """Texts of two sides as numbers: letters by frequency from 1, bit masks and counts of letters, for LCS of many pairs at once."""
+
+    def __init__(self, left: list[str], right: list[str]):
+        points, self.length = _points([*left, *right])
+        _, number, often = np.unique(points, return_inverse=True, return_counts=True)
+        rank = np.empty(len(often), np.int64)
+        rank[np.argsort(-often, kind="stable")] = np.arange(1, len(often) + 1)
+        self.letters, self.n = len(often) + 1, len(left)
+        row = np.repeat(np.arange(len(self.length)), self.length)
+        place = np.arange(len(points)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
+        code = rank[number]
+        self.short = self.length <= WORD_BITS
+        fits = self.short[row]
+        self.row, self.place, self.code = row[fits], place[fits], code[fits]
+        #: Letters of the second side, a line for each place.
+        self.lines = np.zeros((WORD_BITS, len(right)), np.int32)
+        own = self.row >= self.n
+        self.lines[self.place[own], self.row[own] - self.n] = self.code[own]
+        #: How often each letter stands in a text; rare letters share counters.
+        self.counts = np.zeros((len(self.length), 64), np.int32)
+        np.add.at(self.counts, (row, np.where(code < 48, code, 48 + code % 16)), 1)
+        most = self.counts[self.short].max(0) if self.short.any() else np.zeros(64, np.int32)
+        letter, level = np.repeat(np.arange(64), most), np.concatenate([np.arange(m) for m in most.tolist()])
+        #: Counts as 0-1 digits, so that products add up the lesser of two counts.
+        self.digits = lambda a, b: (self.counts[a:b, letter] > level).astype(np.float32)
+        self.right_digits = self.digits(self.n, None)
+
+    def common(self, a: int, b: int) -> np.ndarray:
+        """How many letters the texts a to b of the first side have in common with each of the second, in any order: at least their LCS."""
+        out = self.digits(a, b) @ self.right_digits.T
+        own, others = self.counts[a:b], self.counts[self.n :]
+        for x in np.flatnonzero(~self.short[a:b]).tolist():
+            out[x] = np.minimum(own[x], others).sum(1)
+        for y in np.flatnonzero(~self.short[self.n :]).tolist():
+            out[:, y] = np.minimum(own, others[y]).sum(1)
+        return out
+
+    def masks(self, a: int, b: int) -> np.ndarray:
+        """For each text a to b of the first side and each letter: a bit for each place where it stands."""
+        out = np.zeros((b - a, self.letters), np.uint64)
+        p, q = np.searchsorted(self.row, [a, b])
+        np.bitwise_or.at(out, (self.row[p:q] - a, self.code[p:q]), np.uint64(1) << self.place[p:q].astype(np.uint64))
+        return out
+
+    def lcs(self, masks: np.ndarray, x: np.ndarray, y: np.ndarray, without_x: np.ndarray | None = None, without_y: np.ndarray | None = None) -> np.ndarray:
+        """LCS lengths of pairs (row of masks, text of the second side), by bit-parallel rows as in lcs_length(). Bits in `without` take places out."""
+        out = np.zeros(len(x), np.int64)
+        flat, one = masks.ravel(), np.uint64(1)
+        for at in range(0, len(x), PAIRS_AT_ONCE):
+            part = slice(at, at + PAIRS_AT_ONCE)
+            base, who = x[part] * masks.shape[1], y[part]
+            keep = None if without_x is None else ~without_x[part]
+            row = np.full(len(who), ~np.uint64(0))
+            for k in range(int(self.length[self.n + who].max())):
+                hit = row & flat[base + self.lines[k, who]]
+                if keep is not None:
+                    hit &= keep & ((without_y[part] >> np.uint64(k) & one) - one)
+                row = (row + hit) | (row - hit)
+            out[part] = WORD_BITS - np.bitwise_count(row)
+        return out
+
+
+def ratio_pairs(left: list[str], right: list[str], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (place in left, place in right) whose indel_ratio is at least `least`: bounds from lengths and letters by matrix products, then LCS of many pairs at once."""
+    coded = Coded(left, right)
+    la, lb = coded.length[: coded.n], coded.length[coded.n :]
+    for at in range(0, len(left), BLOCK_SLICE):
+        end = min(at + BLOCK_SLICE, len(left))
+        total = la[at:end, None] + lb[None]
+        need = least * total / 200 - 1e-9
+        x, y = np.nonzero((np.minimum(la[at:end, None], lb[None]) >= need) & (coded.common(at, end) >= need))
+        fits = coded.short[at + x] & coded.short[coded.n + y]
+        lcs = np.zeros(len(x), np.int64)
+        lcs[fits] = coded.lcs(coded.masks(at, end), x[fits], y[fits])
+        for k in np.flatnonzero(~fits).tolist():
+            lcs[k] = lcs_length(left[at + x[k]], right[y[k]])
+        total = total[x, y]
+        good = np.where(total > 0, 100.0 * 2 * lcs / np.maximum(total, 1), 100.0) >= least
+        yield at + x[good], y[good]
 
 
 def ngram_pairs(rows: DataFrame, key: str, text: str, block: str, least: float) -> DataFrame:
