@@ -257,3 +257,30 @@ def test_fuzzy_dedup_of_a_large_source(spark):
     got = {r.id for r in D.fuzzy_dedup(frame, spark.createDataFrame([("s", 0.9)], "name string, weight double")).collect()}
     assert time.monotonic() - start < 40
     assert len(got) > 7_000 and not got & set(range(8_000, 8_100))
+
+
+def shuffled(spark):
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_ngram_pairs_shuffle_rows_and_no_pairs(spark):
+    """d04: candidates were shuffled, and joined with both sides' grams."""
+    from tidewire.operators import similarity as Y
+
+    titles = titles_of_one_source(40, 4)
+    rnd = random.Random(6)
+    rows = [(i, f"b{i % 2}" if i % 37 else None, rnd.choice(["", None, "ab", "A-b", "a", "日本", "日本の経済"]) if i % 9 == 0 else rnd.choice(titles) + rnd.choice(["", "!", " again", " Zé"])) for i in range(900)]
+    frame = spark.createDataFrame(rows, "id bigint, b string, t string")
+    clean = ["".join(c for c in (t or "").lower() if c.isalnum() or c == "_") for _, _, t in rows]
+    grams = [({c} if len(c) <= 3 else {c[i : i + 3] for i in range(len(c) - 2)}) if c else set() for c in clean]
+    want = {}
+    for i, a in enumerate(grams):
+        for j in range(i + 1, len(rows)):
+            if a and grams[j] and rows[i][1] and rows[i][1] == rows[j][1] and len(a & grams[j]) / len(a | grams[j]) >= 0.5:
+                want[i, j] = len(a & grams[j]) / len(a | grams[j])
+    for size in (128, 4096):
+        before = shuffled(spark)
+        got = {(r.k1, r.k2): r.overlap for r in Y.ngram_pairs(frame, "id", "t", "b", 0.5, **({} if size == 4096 else {"block_rows": size})).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 5.1e-5 for k in want)
+    assert shuffled(spark) - before < 8 * len(want)

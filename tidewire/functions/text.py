@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 WORD = "[^\\p{L}\\p{N}_]"
 
 
+def gram_text(text: Column) -> Column:
+    """What n-grams are cut from: the lower-case text without non-word characters."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), WORD, "")
+
+
 def char_ngrams(text: Column, n: int = 3) -> Column:
     """Distinct character n-grams of the lower-case text without non-word characters; a text of at most n is its own only gram."""
-    clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), WORD, "")
+    clean = gram_text(text)
     size = F.length(clean)
     grams = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(clean, i, n))
     return F.when(size == 0, F.array().cast("array<string>")).when(size <= n, F.array(clean)).otherwise(F.array_distinct(grams))

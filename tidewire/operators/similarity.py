@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.functions.text import char_ngrams, jaccard
+from tidewire.functions.text import gram_text
 from tidewire.runtime import checked, materialise, workers_see_package
 
 #: Vectors of a block that are multiplied with another block, and how many rows of it at once.
@@ -434,23 +434,57 @@ def ratio_pairs(left: list[str], right: list[str], least: float) -> Iterator[tup
         yield at + x[good], y[good]
 
 
-def ngram_pairs(rows: DataFrame, key: str, text: str, block: str, least: float) -> DataFrame:
-    """D04 join: pairs (a < b) of one block with n-gram Jaccard of at least `least`, through an inverted index of grams.
+def ngram_pairs(rows: DataFrame, key: str, text: str, block: str, least: float, block_rows: int = TEXT_ROWS) -> DataFrame:
+    """D04 join: pairs (k1 < k2) of one block with n-gram Jaccard of at least `least` > 0; keys are bigint, one row each.
 
-    Prefix filter: two sets that similar share one of each other's first size - ceil(least * size) + 1 rarest grams, so
-    only these are joined.
+    Rows travel as their texts, once to each block of text_cells(). A task counts the grams in common through the lists of
+    one side's grams, and puts out the pairs that pass, not the candidates.
     """
-    grams = rows.select(F.col(key).alias("k"), F.col(block).alias("b"), char_ngrams(F.col(text)).alias("g")).where(F.size("g") > 0)
-    frequency = grams.select("b", F.explode("g").alias("x")).groupBy("b", "x").agg(F.count("*").alias("df"))
-    ordered = grams.select("k", "b", F.size("g").alias("n"), F.explode("g").alias("x")).join(frequency, ["b", "x"])
-    sorted_grams = ordered.groupBy("k", "b", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "x"))), lambda s: s["x"]).alias("g"))
-    prefix = F.slice("g", F.lit(1), (F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).cast("int"))
-    first = sorted_grams.select("k", "b", "n", F.explode(prefix).alias("x"))
-    left, right = first.select("b", "x", F.col("k").alias("k1"), F.col("n").alias("n1")), first.select("b", "x", F.col("k").alias("k2"), F.col("n").alias("n2"))
-    pairs = left.join(right, ["b", "x"]).where((F.col("k1") < F.col("k2")) & (F.least("n1", "n2") >= least * F.greatest("n1", "n2"))).select("k1", "k2").distinct()
-    held = grams.select("k", "g")
-    met = pairs.join(held.select(F.col("k").alias("k1"), F.col("g").alias("g1")), "k1").join(held.select(F.col("k").alias("k2"), F.col("g").alias("g2")), "k2")
-    return met.select("k1", "k2", F.round(jaccard(F.col("g1"), F.col("g2")), 4).alias("overlap"), jaccard(F.col("g1"), F.col("g2")).alias("_j")).where(F.col("_j") >= least).drop("_j")
+    clean = rows.select(F.col(key).alias("k"), F.col(block).alias("b"), gram_text(F.col(text)).alias("c")).where("c <> ''")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ka, ta, kb, tb, same in met_texts(batches):
+            for x, y, m, u in gram_overlaps(ta, tb, least):
+                a, b = ka[x], kb[y]
+                fit = a < b if same else a != b
+                a, b = a[fit], b[fit]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(m[fit]), pa.array(u[fit])], ["k1", "k2", "m", "u"])
+
+    workers_see_package(rows.sparkSession)
+    met = text_cells(clean, "k", "c", "b", block_rows).mapInArrow(run, "k1 bigint, k2 bigint, m bigint, u bigint")
+    return met.select("k1", "k2", F.round(F.col("m") / F.col("u"), 4).alias("overlap"))
+
+
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, gram) of the distinct 3-grams of each text, three code points in a number; shorter texts are their own grams."""
+    points, length = _points(texts)
+    row, start = np.repeat(np.arange(len(texts)), length), np.cumsum(length) - length
+    padded = np.concatenate([points.astype(np.int64), np.zeros(2, np.int64)])
+    ends = np.repeat(start + length, length) - np.arange(len(points))
+    second, third = (np.where(ends > n, padded[n : n + len(points)], 0) for n in (1, 2))
+    first = np.where(length[row] >= 3, ends >= 3, ends == length[row])
+    both = np.unique(np.stack([row, points.astype(np.int64) << 42 | second << 21 | third], 1)[first], axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def gram_overlaps(left: list[str], right: list[str], least: float, rows: int = 64) -> Iterator[tuple[np.ndarray, ...]]:
+    """(place in left, place in right, grams in common, grams of either) of the pairs whose Jaccard overlap is at least `least` > 0."""
+    (ra, ga), (rb, gb) = _grams(left), _grams(right)
+    na, nb = np.bincount(ra, minlength=len(left)), np.bincount(rb, minlength=len(right))
+    order = np.argsort(gb, kind="stable")
+    known, holders = gb[order], rb[order]
+    low, high = np.searchsorted(known, ga, "left"), np.searchsorted(known, ga, "right")
+    cuts = np.searchsorted(ra, np.arange(0, len(left) + rows, rows))
+    for n, at in enumerate(range(0, len(left), rows)):
+        own = slice(cuts[n], cuts[n + 1])
+        many = high[own] - low[own]
+        where = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low[own], many)
+        common = np.bincount(np.repeat(ra[own] - at, many) * len(right) + holders[where], minlength=min(rows, len(left) - at) * len(right))
+        met = np.flatnonzero(common)
+        x, y, m = at + met // len(right), met % len(right), common[met]
+        u = na[x] + nb[y] - m
+        good = m / u >= least
+        yield x[good], y[good], m[good], u[good]
 
 
 def mean_pairwise(rows: DataFrame, group: str, vector: str) -> DataFrame:
