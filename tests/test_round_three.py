@@ -311,3 +311,25 @@ def test_compaction_of_alike_rows_shuffles_no_pairs(spark):
     assert {r.id: r.representative for r in D.compacted_updates(docs, 0.3, 30.0).collect()} == want
     assert shuffled(spark) - before < 5e6
     assert {r.id: r.representative for r in D.compacted_updates(docs, 0.3, 30.0, 200).collect()} == want
+
+
+def test_resembled_compares_many_texts_at_once(spark):
+    """j20, in time: 1,000 stories that no headline resembles; each candidate went through Python's numbers. Results are those of all pairs, also of texts beyond a machine word."""
+    import time
+
+    from tidewire.operators import similarity as Y
+    from tidewire.operators import storyline as L
+
+    rnd = random.Random(9)
+    words = ["storm", "coast", "king", "Spain", "exports", "fall", "falls", "the", "a", "日本", "extraordinarily-long-token-of-letters"]
+    text = lambda: " ".join(rnd.choice(words) + rnd.choice(["", "", "s"]) for _ in range(rnd.randint(0, 12)))
+    asked, known = [text() for _ in range(200)], [text() for _ in range(60)]
+    assert max(map(len, asked)) > Y.WORD_BITS
+    for n, least in ((1, 30.0), (7, 60.0), (60, 75.0), (60, 100.0)):
+        assert L.resembled(asked, known[:n], least) == [a for a in asked if any(Y.token_set_ratio(a, k) >= least for k in known[:n])]
+    titles = titles_of_one_source(2_000, 10)
+    start = time.monotonic()
+    got = L.resembled(titles[:1000], titles[1000:], 76.0)
+    assert time.monotonic() - start < 6
+    some = titles[:1000:50]
+    assert [t for t in got if t in some] == [t for t in some if any(Y.token_set_ratio(t, k) >= 76.0 for k in titles[1000:])]
