@@ -36,3 +36,29 @@ def test_history_asks_each_vector_of_a_day_once(spark, monkeypatch, block_rows):
     assert {i: h for i, (h, _) in got.items()} == want
     assert all(c == pytest.approx(cosine[vec[i], vec[h]]) for i, (h, c) in got.items())
     assert asked == [(len(set(zip(day, vec, strict=True))), len({(d, v) for i, (d, v) in enumerate(zip(day, vec, strict=True)) if i % 4}), False)]
+
+
+def test_freshness_reads_old_sources_once_for_a_day_and_vector(spark, tmp_path, monkeypatch):
+    """d21: sources of matches meet what was asked, not each cluster; and the whole result is that of the SQL."""
+    import duckdb
+
+    from tidewire.operators import history as H
+    from tidewire.plans import text_queries as Q
+
+    rng = np.random.default_rng(3)
+    orders = [(i, int(rng.integers(1, 6)), "1-URGENT") for i in range(200)]
+    lines = [(i, int(x)) for i, _, _ in orders if i % 13 for x in rng.integers(0, 3, 2)]
+    spark.createDataFrame(orders, "o_orderkey bigint, n int, o_orderpriority string").withColumn("o_orderdate", F.date_add(F.lit("2024-01-01").cast("date"), F.col("n")).cast("timestamp")).drop("n").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey bigint, l_suppkey bigint").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(6)], "vec_id bigint, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    sides, plain = [], H.best_matches
+    monkeypatch.setattr(H, "best_matches", lambda queries, base, *a, **k: sides.append((queries.count(), base.count())) or plain(queries, base, *a, **k))
+    got = Q.QUERIES["d21_freshness"](spark, str(tmp_path))
+    met = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in line]
+    con = duckdb.connect()
+    for name in ("orders", "lineitem", "embeddings"):
+        con.sql(f"CREATE VIEW {name} AS FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.sql(Q.ORACLE_SQL["d21_freshness"]).fetchall()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert len({r[1] for r in want}) == 3 and max(max(s) for s in sides) <= 30
+    assert len(met) == 1 and "vec_id" in met[0]
