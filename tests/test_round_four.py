@@ -62,3 +62,43 @@ def test_freshness_reads_old_sources_once_for_a_day_and_vector(spark, tmp_path,
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
     assert len({r[1] for r in want}) == 3 and max(max(s) for s in sides) <= 30
     assert len(met) == 1 and "vec_id" in met[0]
+
+
+def test_report_parts_are_bounded_and_whole(spark):
+    """k06: no document holds more cards than a part, and the parts' lists together are the report, with the numbers of the whole."""
+    import json
+
+    from tidewire.operators import report as R
+
+    days = [(i, "2024-01-01" if i < 23 else None if i == 23 else "2024-01-02", ("hot", "main", "positive", None)[i % 4], ("f1", "f0")[i % 8 // 4] if i % 4 == 0 else None) for i in range(26)]
+    rows = spark.createDataFrame(days, "cluster_id bigint, date string, lane string, family string").withColumns({"date": F.col("date").cast("date"), "place": -F.col("cluster_id"), "family_name": F.concat(F.lit("n"), F.col("cluster_id").cast("string"))})
+    numbered = R.placed(rows, most=4).withColumn("card", F.struct("index", "cluster_id", F.lit(None).cast("string").alias("headline"), F.lit('a "b"\n中').alias("summary")))
+    docs = [(r.date, json.loads(r.doc)) for r in R.report_payloads(numbered).collect()]
+    in_day = lambda d: sorted((x for at, x in docs if str(at) == d), key=lambda x: x["part"])
+    assert [len(in_day(d)) for d in ("2024-01-01", "2024-01-02", "None")] == [6, 1, 1]
+    held = lambda x: [c for h in x["hot_topics"] for c in h["summaries"]] + x["clusters"] + x["positive_stories"]
+    assert all(len(held(x)) <= 4 for _, x in docs)
+    own = sorted((i for i, d, _, _ in days if d == "2024-01-01"), key=lambda i: (min((i % 4) or 0, 2), days[i][3] or "", -i))
+    got = [c for x in in_day("2024-01-01") for c in held(x)]
+    assert [c["cluster_id"] for c in got] == own and [c["index"] for c in got] == list(range(1, 24)) and got[0]["summary"] == 'a "b"\n中'
+    assert {(x["total_cluster_count"], x["main_count"], x["positive_count"], x["parts"]) for x in in_day("2024-01-01")} == {(23, 6, 11, 6)}
+    assert {(h["storyline_key"], h["storyline_name"], h["member_count"]) for x in in_day("2024-01-01") for h in x["hot_topics"]} == {("f0", "n20", 3), ("f1", "n16", 3)}
+
+
+def test_report_payload_rows_do_not_depend_on_parts(spark, monkeypatch):
+    """k06: keys of members travel once to their cluster and once to their day; cards are made there, and read again from any number of parts."""
+    from tidewire.operators import report as R
+    from tidewire.plans import assembly_queries as Q
+
+    sf, plain, seen, parts = "/root/testdata/sf0.001", R.report_payloads, [], R.placed
+    whole = sorted(map(repr, Q.QUERIES["k06_report_payload"](spark, sf).collect()))
+    monkeypatch.setattr(R, "placed", lambda rows: parts(rows, 2))
+    monkeypatch.setattr(R, "report_payloads", lambda rows: seen.append(plain(rows)) or seen[-1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(repr, Q.QUERIES["k06_report_payload"](spark, sf).collect())) == whole
+        lines = seen[0]._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [line for line in lines if "Exchange hashpartitioning(date" in line]
+    assert len(dealt) == 1 and all(x not in line for x in ("summary", "headline", " articles#") for line in lines[lines.index(dealt[0]) :])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,11 +103,11 @@ def provenance(kind: Column, platform: Column, searched: Column, status: Column,
     )
 
 
-def source_label(language: int = 1) -> Column:
-    """How a source is shown in a list, of a search view's columns: its name with its provenance, or what is missing."""
-    said = provenance(F.col("source_kind"), F.col("platform"), F.col("is_searched"), *[F.col(c) for c in ("status", "evidence", "reason", "freshness")], language=language)
-    shown = F.concat(F.when(F.col("is_searched"), "🔍").otherwise(""), "source_name", F.when(said.isNotNull(), F.concat(F.lit(" · "), said)).otherwise(""))
-    return F.when(F.col("is_placeholder"), F.concat(F.lit("🔍"), pending_label(F.col("source_name")) if language else F.col("source_name"))).otherwise(shown)
+def source_label(language: int = 1, at: Callable[[str], Column] = F.col) -> Column:
+    """How a source is shown in a list, of a search view's columns (or whatever `at` finds by their names): its name with its provenance, or what is missing."""
+    said = provenance(at("source_kind"), at("platform"), at("is_searched"), *[at(c) for c in ("status", "evidence", "reason", "freshness")], language=language)
+    shown = F.concat(F.when(at("is_searched"), "🔍").otherwise(""), at("source_name"), F.when(said.isNotNull(), F.concat(F.lit(" · "), said)).otherwise(""))
+    return F.when(at("is_placeholder"), F.concat(F.lit("🔍"), pending_label(at("source_name")) if language else at("source_name"))).otherwise(shown)
 
 
 def source_entries(articles: DataFrame, certifications: DataFrame, language: int = 1) -> DataFrame:

@@ -105,17 +105,36 @@ def search_articles(spark: SparkSession, sf_dir: str, by_cluster: bool = False)
     """Members of clusters with what a search run stores about them: provenance, acceptance, freshness, evidence role. On demand they lie by cluster: keys travel, and texts are made where they arrive."""
     x = table(spark, sf_dir, "lineitem")
     x = x.repartition("l_orderkey") if by_cluster else x
-    part, supp, text = F.col("l_partkey"), F.col("l_suppkey"), lambda c: c.cast("string")
-    searched, placeholder = F.col("l_returnflag") != "N", part % 9 == 0
+    return x.select(F.col("l_orderkey").alias("cluster_id"), *_search_columns(F.col))
+
+
+#: The columns of lineitem that a search view's are made of.
+SEARCH_LINE = ("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+
+
+def search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per cluster the keys (an array, lines) that its search view is made of, for travels; see search_members()."""
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cluster_id"), *SEARCH_LINE)
+    return x.repartition("cluster_id").groupBy("cluster_id").agg(F.collect_list(F.struct(*SEARCH_LINE)).alias("lines"))
+
+
+def search_members(lines: F.Column) -> F.Column:
+    """A search view's columns, as an array of structs, of search_lines()."""
+    return F.transform(lines, lambda x: F.struct(*_search_columns(lambda c: x[c])))
+
+
+def _search_columns(at) -> list[F.Column]:
+    part, supp, text = at("l_partkey"), at("l_suppkey"), lambda c: c.cast("string")
+    searched, placeholder = at("l_returnflag") != "N", part % 9 == 0
     url = F.when(placeholder, F.concat(F.lit("placeholder:"), text(part))).otherwise(F.concat(pick(SEARCH_URLS, supp % 5), text(part)))
     content = F.concat(F.lit("Party P"), text(part % 4), F.lit(" "), pick(SEARCH_TEXTS, part % 4))
-    return x.select(
-        F.col("l_orderkey").alias("cluster_id"), ((F.col("l_linenumber") * 1000000 + part) * 10000 + supp).alias("pos"), F.concat(F.lit("S"), text(supp % 7)).alias("source_name"), url.alias("url"),
+    return [
+        ((at("l_linenumber") * 1000000 + part) * 10000 + supp).alias("pos"), F.concat(F.lit("S"), text(supp % 7)).alias("source_name"), url.alias("url"),
         F.concat(F.lit("Line "), text(part)).alias("title"), content.alias("content"), searched.alias("is_searched"), placeholder.alias("is_placeholder"),
         F.when(searched, F.when(part % 4 == 0, "rejected").otherwise("accepted")).alias("status"), F.when(searched, pick(SEARCH_REASONS, part % 5)).alias("reason"),
         F.when(supp % 4 == 0, "fresh").when(supp % 4 == 1, "stale").alias("freshness"), F.when(part % 7 == 0, "direct_event").when(part % 7 == 1, "background").alias("evidence"),
         F.when(supp % 6 == 0, "official_web").when(supp % 6 == 1, "official_social").otherwise("news").alias("source_kind"), F.when(supp % 6 == 1, F.when(part % 2 == 0, "x").otherwise("youtube")).alias("platform"),
-        pick(("us", "de", "cn", "fr"), supp % 4).alias("region"), F.when(searched, F.when(part % 3 == 0, "tavily_country").otherwise("tavily_official")).alias("provider"))
+        pick(("us", "de", "cn", "fr"), supp % 4).alias("region"), F.when(searched, F.when(part % 3 == 0, "tavily_country").otherwise("tavily_official")).alias("provider")]
 
 
 # The same views for DuckDB.
